@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import urlfilter, winnowing
+from . import licenses, media, mergepieces, packing, secrets, urlfilter, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
     "op2_url_filter": urlfilter.op2_url_filter,
+    "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_packing": packing.op5_packing,
+    "op6_merge_pieces": mergepieces.op6_merge_pieces,
+    "op9_license_scan": licenses.op9_license_scan,
+    "op10_media": media.op10_media,
 }
 ORACLE_SQL = {"op2_url_filter": urlfilter.OP2_SQL}
