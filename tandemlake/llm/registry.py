@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import licenses, media, mergepieces, packing, secrets, urlfilter, winnowing
+from . import langid, licenses, media, mergepieces, packing, quality, secrets, simhash, urlfilter, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
     "op2_url_filter": urlfilter.op2_url_filter,
+    "op3_simhash": simhash.op3_simhash,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_packing": packing.op5_packing,
     "op6_merge_pieces": mergepieces.op6_merge_pieces,
+    "op7_language": langid.op7_language,
+    "op8_quality": quality.op8_quality,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_media": media.op10_media,
 }
