@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import langid, licenses, media, mergepieces, packing, quality, secrets, simhash, urlfilter, winnowing
 
 QUERIES = {
@@ -15,5 +17,8 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_media": media.op10_media,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op2_url_filter": urlfilter.OP2_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
