@@ -257,11 +257,20 @@ query(
 )(lambda s, d: rounded(sm.wilcoxon(sm.he_table(facts(s, d), SETS), "ASIA", "EUROPE")))
 query(
     "allele_summary",
-    """SELECT marker_id, value, count(*) AS n, round(avg(height), 4) AS mean_height, round(min(size), 6) AS min_size, round(max(size), 6) AS max_size,
-       round(max(size) - min(size), 6) AS delta, round(avg(size), 6) AS mean_size, count(DISTINCT sample_id) AS samples,
+    """SELECT marker_id, value, count(*) AS n, round(sum(height), 2) AS sum_height, round(min(size), 6) AS min_size, round(max(size), 6) AS max_size,
+       round(max(size) - min(size), 6) AS delta, round(sum(size), 2) AS sum_size, count(DISTINCT sample_id) AS samples,
        round(count(*) / any_value(total), 6) AS freq
        FROM (SELECT *, count(*) OVER (PARTITION BY marker_id) AS total FROM allele) GROUP BY marker_id, value""", "allele",
-)(lambda s, d: rounded(sm.allele_summary(tb.alleles(s, d))).withColumn("mean_height", F.round("mean_height", 4)))
+)(lambda s, d: rounded(_sums(sm.allele_summary(tb.alleles(s, d)))))
+
+
+def _sums(df):
+    """Means back to sums: they have two exact digits, so rounding never meets a tie."""
+    for x in ("height", "size"):
+        df = df.withColumn(f"sum_{x}", F.round(F.col(f"mean_{x}") * F.col("n"), 2)).drop(f"mean_{x}")
+    return df
+
+
 query(
     "allele_summary_by_set",
     """SELECT set_id, marker_id, value, count(*) AS n, round(count(*) / any_value(total), 6) AS freq
