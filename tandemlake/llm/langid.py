@@ -121,6 +121,39 @@ def document_probabilities(m: LanguageModel, texts: list[str]) -> np.ndarray:
     return total / np.maximum(size, 1)[:, None]
 
 
+def gradients(m: LanguageModel, rows: np.ndarray, live: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean cross-entropy over all live positions, for x, u, b, w and c."""
+    hd = m.u.shape[1]
+    params = [m.x, m.u, m.b, m.w, m.c]
+    runs = [_states(m, d, rows, live, True) for d in (0, 1)]
+    p = runs[0][0] @ m.w[:hd] + runs[1][0] @ m.w[hd:] + m.c
+    p = np.exp(p - p.max(axis=2, keepdims=True))
+    p /= p.sum(axis=2, keepdims=True)
+    p[:, np.arange(len(y)), y] -= 1
+    p *= (live.T / live.sum()).astype(np.float32)[:, :, None]
+    grads = [np.zeros_like(q) for q in params]
+    grads[4] += p.sum(axis=(0, 1))
+    for d, (states, saved) in enumerate(runs):
+        w = m.w[d * hd : (d + 1) * hd]
+        grads[3][d * hd : (d + 1) * hd] = np.einsum("tbh,tbk->hk", states, p, optimize=True)
+        from_above = p @ w.T
+        dh = np.zeros((len(y), hd), np.float32)
+        for t, h, z, r, n, vn in reversed(saved):
+            dh = dh + from_above[t]
+            on = live[:, t, None]
+            dn = dh * (1 - z) * on
+            dz = dh * (h - n) * z * (1 - z) * on
+            da = dn * (1 - n * n)
+            dr = da * vn * r * (1 - r)
+            flat = np.concatenate([dz, dr, da], axis=1)
+            into = np.concatenate([dz, dr, da * r], axis=1)
+            np.add.at(grads[0][d], rows[:, t], flat)
+            grads[1][d] += h.T @ into
+            grads[2][d] += flat.sum(axis=0)
+            dh = into @ m.u[d].T + np.where(on, dh * z, dh)
+    return grads
+
+
 def fit(segments: np.ndarray, lengths: np.ndarray, labels: np.ndarray, langs: tuple[str, ...], steps: int = STEPS, seed: int = 7) -> LanguageModel:
     """Adam on the mean cross-entropy of all positions, gradients by backpropagation through time."""
     rng = np.random.default_rng(seed)
@@ -136,32 +169,7 @@ def fit(segments: np.ndarray, lengths: np.ndarray, labels: np.ndarray, langs: tu
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(g, -(-TRAIN_BATCH // k)) for g in groups])
         rows, live, y = segments[pick], np.arange(SEGMENT) < lengths[pick, None], labels[pick]
-        runs = [_states(m, d, rows, live, True) for d in (0, 1)]
-        p = runs[0][0] @ m.w[:hd] + runs[1][0] @ m.w[hd:] + m.c
-        p = np.exp(p - p.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        p[:, np.arange(len(y)), y] -= 1
-        p *= (live.T / live.sum()).astype(np.float32)[:, :, None]
-        grads = [np.zeros_like(q) for q in params]
-        grads[4] += p.sum(axis=(0, 1))
-        for d, (states, saved) in enumerate(runs):
-            w = m.w[d * hd : (d + 1) * hd]
-            grads[3][d * hd : (d + 1) * hd] = np.einsum("tbh,tbk->hk", states, p, optimize=True)
-            from_above = p @ w.T
-            dh = np.zeros((len(y), hd), np.float32)
-            for t, h, z, r, n, vn in reversed(saved):
-                dh = dh + from_above[t]
-                on = live[:, t, None]
-                dn = dh * (1 - z) * on
-                dz = dh * (h - n) * z * (1 - z) * on
-                da = dn * (1 - n * n)
-                dr = da * vn * r * (1 - r)
-                flat = np.concatenate([dz, dr, da], axis=1)
-                into = np.concatenate([dz, dr, da * r], axis=1)
-                np.add.at(grads[0][d], rows[:, t], flat)
-                grads[1][d] += h.T @ into
-                grads[2][d] += flat.sum(axis=0)
-                dh = into @ m.u[d].T + np.where(on, dh * z, dh)
+        grads = gradients(m, rows, live, y)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         rate = RATE * min(1.0, step / 20) * (0.1 if step > 0.8 * steps else 1.0)
         for q, g, a, b in zip(params, grads, first, second):

@@ -108,14 +108,15 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows
     """Fit on labelled rows for which `learn` holds; at most some `sample_rows` of each class are read.
 
     docs: doc_id, text. labels: doc_id, quality (0 or 1; other labels are ignored, as are rows with nulls). Without
-    labelled rows of both classes the model gives the share of label 1 (one half without any) to every text.
+    labelled texts of both classes the model gives the share of label 1 (one half without any) to every text.
     """
     known = labels.select("doc_id", "quality").filter(learn & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     sizes = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
+    share = (sizes.get(1, 0) + 1) / (total + 2)
+    constant = QualityModel(b"", b"", math.log(share / (1 - share)), (0.0,) * FEATURES)
     if len(sizes) < 2:
-        share = (sizes.get(1, 0) + 1) / (total + 2)
-        return QualityModel(b"", b"", math.log(share / (1 - share)), (0.0,) * FEATURES)
+        return constant
     # Each row's hash decides, so the sample is the same on every machine and its size is bounded.
     draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) / 1e6
     chance = F.when(F.col("quality") == 1, min(1.0, sample_rows / sizes[1])).otherwise(min(1.0, sample_rows / sizes[0]))
@@ -134,6 +135,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows
                 break
         return b"\n".join(out)[:DICTIONARY_BYTES]
 
+    if not (texts[0] and texts[1]):
+        return constant
     good, bad = content(1), content(0)
     rest = [(t, q) for q in (0, 1) for t in texts[q][1::2]] or [(t, q) for q in (0, 1) for t in texts[q]]
     x = np.array([evidence(good, bad, t) for t, _ in rest])
