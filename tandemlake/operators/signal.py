@@ -40,7 +40,11 @@ def weighted(data: Column, weights: list[float]) -> Column:
     head = F.transform(F.reverse(F.slice(data, 2, half)), lambda x: first - F.abs(x - first))
     tail = F.transform(F.reverse(F.slice(data, n - half, half)), lambda x: last + F.abs(x - last))
     wide = F.concat(head, data, tail)
-    moved = [F.transform(F.slice(wide, k + 1, n), lambda x, w=w: x * w) for k, w in enumerate(weights)]
+
+    def moved_by(k: int) -> Column:
+        return F.transform(F.slice(wide, k + 1, n), lambda x: x * weights[k])
+
+    moved = [moved_by(k) for k in range(len(weights))]
     out = moved[0]
     for m in moved[1:]:
         out = F.zip_with(out, m, lambda a, b: a + b)
@@ -177,15 +181,11 @@ def turning_points(y: np.ndarray, lookahead: int, delta: float) -> tuple[list[tu
     return (tops[1:], lows) if first == "top" else (tops, lows[1:] if first else lows)
 
 
-def align(ladder: list[float], times: list[float], heights: list[float], gap: float = -0.005, tolerance: float = 4.0) -> tuple[float, float, np.ndarray]:
+def align(sizes: np.ndarray, x: np.ndarray, h: np.ndarray, pairs: list[tuple[int, int]], gap: float = -0.005, tolerance: float = 4.0) -> tuple[float, float, np.ndarray]:
     """(score, rss, z): ladder sizes matched to peaks by dynamic programming until the score no longer rises.
 
-    z is the cubic size of a time; the first fit pairs the largest sizes with the last peaks.
+    Sizes and times x both descend; z is the cubic size of a time, at first fitted to `pairs`.
     """
-    sizes, order = np.sort(np.array(ladder, float))[::-1], np.argsort(times)[::-1]
-    x, h = np.array(times, float)[order], np.array(heights, float)[order]
-    n = min(len(sizes), len(x))
-    pairs = list(zip(range(n), range(n)))
     best, z = -1.0, None
     weight = (np.log10(np.maximum(h / h.max(), 1e-9)) + len(sizes)) / len(sizes)
     while len(pairs) >= 4:
@@ -214,6 +214,28 @@ def align(ladder: list[float], times: list[float], heights: list[float], gap: fl
     return (best, kept, z) if z is not None else (-1.0, -1.0, np.zeros(4))
 
 
+def align_ladder(ladder: list[float], times: list[float], heights: list[float]) -> tuple[float, float, np.ndarray]:
+    """The best alignment of a ladder to some of its channel's peaks.
+
+    The highest peaks, from as many as the ladder has up to all, are paired with the sizes in order, shifted by a few
+    places either way; the three best cubic fits are aligned further, and the best score (then the least rss) wins.
+    """
+    sizes, by_height = np.sort(np.array(ladder, float))[::-1], np.argsort(heights)[::-1]
+    starts = []
+    for count in sorted({min(len(times), len(sizes) + extra) for extra in (-2, 0, 1, 2, 4, 8)} | {len(times)}):
+        chosen = np.sort(by_height[: max(count, 0)])
+        order = chosen[np.argsort(np.array(times, float)[chosen])[::-1]]
+        x, h = np.array(times, float)[order], np.array(heights, float)[order]
+        for shift in range(-3, 8):
+            pairs = [(i, i + shift) for i in range(len(sizes)) if 0 <= i + shift < len(x)]
+            if len(pairs) >= max(5, len(sizes) - 7):
+                i, j = np.array(pairs).T
+                rss = float(((np.polyval(np.polyfit(x[j], sizes[i], 3), x[j]) - sizes[i]) ** 2).sum())
+                starts.append((rss / len(pairs), len(starts), x, h, pairs))
+    tried = [align(sizes, x, h, pairs) for _, _, x, h, pairs in sorted(starts)[:3]]
+    return min(tried, key=lambda a: (-a[0], a[1])) if tried else (-1.0, -1.0, np.zeros(4))
+
+
 # The helpers over tables of traces.
 
 PEAK = "channel_id bigint, rtime int, height double, area double, brtime int, ertime int, wrtime int, srtime double, beta double, peak_type string"
@@ -264,7 +286,7 @@ def align_ladders(peaks: DataFrame, sizes: list[float]) -> DataFrame:
     """assay_id, score, rss, z, n_peaks of each assay's ladder channel; assays are dealt to tasks."""
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
-        score, rss, z = align(sizes, f["rtime"].tolist(), f["height"].tolist())
+        score, rss, z = align_ladder(sizes, f["rtime"].tolist(), f["height"].tolist())
         return pd.DataFrame([(f["assay_id"].iloc[0], score, rss, z.tolist(), len(f))], columns=["assay_id", "score", "rss", "z", "n_peaks"])
 
     return peaks.select("assay_id", "rtime", "height").groupBy("assay_id").applyInPandas(one, "assay_id bigint, score double, rss double, z array<double>, n_peaks bigint")
