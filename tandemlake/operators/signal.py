@@ -32,32 +32,33 @@ def savgol_weights(window: int = 11, order: int = 7, deriv: int = 0) -> list[flo
     return (np.linalg.pinv(powers)[deriv] * factor).tolist()
 
 
-def weighted(data: Column, weights: list[float]) -> Column:
-    """Moving weighted sum of an array, the ends mirrored through their points; built-in functions only."""
-    half = len(weights) // 2
+def weighted(traces: DataFrame, weights: list[float]) -> DataFrame:
+    """Moving weighted sums of the data, the ends mirrored through their points; shorter traces stay as they are."""
+    half, data = len(weights) // 2, F.col("data")
     n = F.size(data)
     first, last = F.element_at(data, 1), F.element_at(data, -1)
     head = F.transform(F.reverse(F.slice(data, 2, half)), lambda x: first - F.abs(x - first))
     tail = F.transform(F.reverse(F.slice(data, n - half, half)), lambda x: last + F.abs(x - last))
-    wide = F.concat(head, data, tail)
+    wide = traces.withColumn("_wide", F.when(n > half, F.concat(head, data, tail)))
 
-    def moved_by(k: int) -> Column:
-        return F.transform(F.slice(wide, k + 1, n), lambda x: x * weights[k])
+    def at(_: Column, i: Column) -> Column:
+        terms = [F.get("_wide", i + k) * w for k, w in enumerate(weights)]
+        return sum(terms[1:], terms[0])
 
-    moved = [moved_by(k) for k in range(len(weights))]
-    out = moved[0]
-    for m in moved[1:]:
-        out = F.zip_with(out, m, lambda a, b: a + b)
-    return F.when(n > half, out).otherwise(data)
+    return wide.withColumn("data", F.when(F.col("_wide").isNotNull(), F.transform(data, at)).otherwise(data)).drop("_wide")
 
 
 def smooth(traces: DataFrame, window: int = 11, order: int = 7) -> DataFrame:
-    return traces.withColumn("data", weighted(F.col("data"), savgol_weights(window, order)))
+    return weighted(traces, savgol_weights(window, order))
 
 
-def hanning(traces: DataFrame, window: int = 11) -> DataFrame:
+def hanning_weights(window: int = 11) -> list[float]:
     w = np.hanning(window)
-    return traces.withColumn("data", weighted(F.col("data"), (w / w.sum()).tolist()))
+    return (w / w.sum()).tolist()
+
+
+def hanning(traces: DataFrame, window: int = 11) -> DataFrame:
+    return weighted(traces, hanning_weights(window))
 
 
 def top_hat(traces: DataFrame, half: int) -> DataFrame:

@@ -151,3 +151,12 @@ def comprehensive(alleles: DataFrame) -> dict[str, DataFrame]:
         "clonality_by_polyclonal": cumulative_clonality(alleles, "polyclonal"), "allele_summary": allele_summary(alleles, ("set_id",)),
         "marker_distribution": marker_distribution(alleles),
     }
+
+
+def set_counts(members: DataFrame, alleles: DataFrame) -> DataFrame:
+    """set_id, members, with_alleles, markers; sets without alleles stay, with zeros."""
+    seen = alleles.select("sample_id", "marker_id").distinct()
+    joined = members.join(seen.withColumnRenamed("sample_id", "seen"), F.col("sample_id") == F.col("seen"), "left")
+    return joined.groupBy("set_id").agg(
+        F.count_distinct("sample_id").alias("members"), F.count_distinct("seen").alias("with_alleles"), F.count_distinct("marker_id").alias("markers")
+    )

@@ -14,6 +14,7 @@ from ..operators import popgen as pop
 from ..operators import quality as ql
 from ..operators import sets as st
 from ..operators import signal as sg
+from ..operators import store
 from ..operators import summary as sm
 from ..sources import exports as ex
 from ..sources import tables as tb
@@ -444,7 +445,16 @@ query(
     """SELECT event_id, round(1 - (CASE WHEN value <= 0 THEN 0.25 ELSE 0 END) - (CASE WHEN value > 50 THEN 0.05 ELSE 0 END) - (CASE WHEN value > 255 THEN 0.1 ELSE 0 END)
        - (CASE WHEN value > 1024 THEN 0.1 ELSE 0 END) - (CASE WHEN 36 - user_id % 40 > 0 THEN 0.025 * (36 - user_id % 40 - 1) ELSE 0 END), 6) AS score FROM events""",
 )(lambda s, d: tb.read(s, d, "events").select("event_id", F.round(scalar.ladder_score(F.col("value"), F.col("user_id") % 40, F.lit(36)), 6).alias("score")))
-query("wavelength_rgb")(lambda s, d: s.range(370, 791).select("id", F.concat_ws(" ", scalar.wavelength_rgb(F.col("id").cast("double"), F.lit(255)).cast("array<string>")).alias("rgb")))
+query(
+    "wavelength_rgb",
+    """WITH w AS (SELECT CAST(i AS BIGINT) AS id, CAST(i AS DOUBLE) AS x FROM range(370, 791) r(i)),
+    c AS (SELECT id, x, CASE WHEN x >= 380 AND x < 440 THEN (440 - x) / 60 WHEN x >= 510 AND x < 580 THEN (x - 510) / 70 WHEN x >= 580 AND x <= 780 THEN 1 ELSE 0 END AS r,
+      CASE WHEN x >= 440 AND x < 490 THEN (x - 440) / 50 WHEN x >= 490 AND x < 580 THEN 1 WHEN x >= 580 AND x < 645 THEN (645 - x) / 65 ELSE 0 END AS g,
+      CASE WHEN x >= 380 AND x < 490 THEN 1 WHEN x >= 490 AND x < 510 THEN (510 - x) / 20 ELSE 0 END AS b,
+      CASE WHEN x >= 380 AND x < 420 THEN 0.3 + 0.7 * (x - 380) / 40 WHEN x >= 420 AND x < 701 THEN 1 WHEN x >= 701 AND x <= 780 THEN 0.3 + 0.7 * (780 - x) / 80 ELSE 0 END AS f FROM w)
+    SELECT id, concat_ws(' ', CAST(CAST(round(255 * pow(r * f, 0.8)) AS INT) AS VARCHAR), CAST(CAST(round(255 * pow(g * f, 0.8)) AS INT) AS VARCHAR),
+      CAST(CAST(round(255 * pow(b * f, 0.8)) AS INT) AS VARCHAR)) AS rgb FROM c""",
+)(lambda s, d: s.range(370, 791).select("id", F.concat_ws(" ", scalar.wavelength_rgb(F.col("id").cast("double"), F.lit(255)).cast("array<string>")).alias("rgb")))
 query(
     "channel_stats",
     """SELECT vec_id AS channel_id, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS median, round(min(x), 6) AS min, round(max(x), 6) AS max, round(stddev_pop(x), 6) AS sd
@@ -460,8 +470,20 @@ query(
     "local_maxima",
     f"WITH {_POINTS} SELECT channel_id, t, round(y, 6) AS y FROM (SELECT *, lag(y) OVER w AS a, lead(y) OVER w AS b FROM p WINDOW w AS (PARTITION BY channel_id ORDER BY t)) WHERE y > a AND y > b AND y > 0.1",
 )(lambda s, d: rounded(sg.local_maxima(tb.traces(s, d), 0.1)))
-query("savgol")(lambda s, d: rounded(sg.points(sg.smooth(tb.traces(s, d)))))
-query("hanning_smooth")(lambda s, d: rounded(sg.points(sg.hanning(tb.traces(s, d), 5))))
+
+
+def _weighted_sql(weights: list[float]) -> str:
+    """Moving sums over lists, the ends mirrored through their points."""
+    half = len(weights) // 2
+    return f"""WITH c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS d FROM embeddings),
+    w AS (SELECT vec_id, len(d) AS n, list_concat(list_concat([d[1] - abs(x - d[1]) FOR x IN list_reverse(d[2:{half + 1}])], d),
+          [d[len(d)] + abs(x - d[len(d)]) FOR x IN list_reverse(d[len(d) - {half}:len(d) - 1])]) AS wide FROM c)
+    SELECT vec_id AS channel_id, CAST(t AS INT) AS t, round(list_inner_product(wide[t + 1:t + {len(weights)}], {weights}), 6) AS y
+    FROM w, range(0, 64) r(t)"""
+
+
+query("savgol", _weighted_sql(sg.savgol_weights()))(lambda s, d: rounded(sg.points(sg.smooth(tb.traces(s, d)))))
+query("hanning_smooth", _weighted_sql(sg.hanning_weights(5)))(lambda s, d: rounded(sg.points(sg.hanning(tb.traces(s, d), 5))))
 query("turning_points")(lambda s, d: sg.detect_turning_points(tb.traces(s, d), 3, 0.05))
 query("cwt_peaks")(lambda s, d: rounded(sg.scan_peaks(tb.traces(s, d), sg.ScanParams(widths=(1, 2, 3, 4), min_snr=1.0))))
 query("ladder_alignment")(lambda s, d: sg.align_ladders(tb.peaks(s, d).filter("channel_id < 50"), [float(x) for x in range(10, 60, 3)]).select("assay_id", F.round("score", 6).alias("score"), F.round("rss", 6).alias("rss"), "n_peaks"))
@@ -477,3 +499,65 @@ query(
     "export_structure",
     f"SELECT sample_id || ' ' || CASE set_id {' '.join(f'''WHEN '{x}' THEN {i}''' for i, x in enumerate(SETS, 1))} END || ' ' || concat_ws(' ', " + ", ".join(f"coalesce(CAST(CAST(m{m} AS INT) AS VARCHAR), '-9')" for m in MARKERS3) + ") AS line FROM genotype", "genotype",
 )(lambda s, d: ex.structure(wide(s, d), MARKERS3, SETS))
+
+# Stored tables.
+
+
+def _changes(s, d):
+    """A new account balance for every third customer, a new segment for every fifth, and ten new customers."""
+    old = tb.read(s, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    third = old.filter("c_custkey % 3 = 0").select("c_custkey", F.lit("").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    more = s.range(10_000_000, 10_000_010).select(F.col("id").alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(None).cast("double").alias("c_acctbal"))
+    return old, third.unionByName(more)
+
+
+query(
+    "merge_update",
+    """SELECT c_custkey, c_name, round(CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END, 2) AS c_acctbal FROM customer
+       UNION ALL SELECT CAST(i AS BIGINT), 'new', NULL FROM range(10000000, 10000010) r(i)""",
+)(lambda s, d: rounded(store.merge(*_changes(s, d), ["c_custkey"]), 2))
+query("insert_missing", "SELECT CAST(i AS BIGINT) AS c_custkey FROM range(10000000, 10000010) r(i)")(lambda s, d: store.insert(*_changes(s, d), ["c_custkey"]).select("c_custkey"))
+
+
+@query(
+    "delete_cascade",
+    """SELECT 'customer' AS t, count(*) AS n FROM customer WHERE c_nationkey <> 3 UNION ALL
+       SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) UNION ALL
+       SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3)""",
+)
+def delete_cascade(s, d):
+    tables = dict(zip(("customer", "orders", "lineitem"), tb.read(s, d, "customer", "orders", "lineitem")))
+    links = [("customer", "c_custkey", "orders", "o_custkey"), ("orders", "o_orderkey", "lineitem", "l_orderkey")]
+    left = store.delete(tables, tables["customer"].filter("c_nationkey = 3"), links)
+    parts = [left[t].agg(F.lit(t).alias("t"), F.count("*").alias("n")) for t in tables]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+query(
+    "set_counts",
+    """SELECT country AS set_id, count(DISTINCT s.sample_id) AS members, count(DISTINCT a.sample_id) AS with_alleles, count(DISTINCT a.marker_id) AS markers
+       FROM sample s LEFT JOIN (SELECT * FROM allele WHERE height > 90000) a ON a.sample_id = s.sample_id GROUP BY ALL""", "allele", "sample",
+)(lambda s, d: sm.set_counts(tb.country_sets(s, d), al.absolute(tb.alleles(s, d), 90_000)))
+query(
+    "set_distances",
+    """, l AS (SELECT set_id, 1 AS k, m1 AS v FROM whole UNION ALL SELECT set_id, 2, m2 FROM whole UNION ALL SELECT set_id, 3, m3 FROM whole)
+    SELECT a.set_id AS set_i, b.set_id AS set_j, round(avg(CASE WHEN a.v <> b.v THEN 1.0 ELSE 0 END), 6) AS d
+    FROM l a JOIN l b ON a.k = b.k AND a.set_id <> b.set_id GROUP BY ALL""", "whole",
+)(lambda s, d: rounded(pop.set_distances(wide(s, d), MARKERS3)))
+query(
+    "main_country_alleles",
+    """SELECT marker_id, value, count(*) AS n FROM allele WHERE sample_id IN (SELECT sample_id FROM sample WHERE country =
+       (SELECT country FROM sample GROUP BY country ORDER BY count(*) DESC, country DESC LIMIT 1)) GROUP BY ALL""", "allele", "sample",
+)(lambda s, d: _main_country_alleles(s, d))
+
+
+def _main_country_alleles(s, d):
+    """The sets of the main country taken together, as one more set."""
+    people = tb.samples(s, d).select("sample_id", "country")
+    top = st.main_country(st.all_samples(people), people)
+    inside = people.join(F.broadcast(top.select("country")), "country").select("sample_id")
+    return tb.alleles(s, d).join(inside, "sample_id", "left_semi").groupBy("marker_id", "value").agg(F.count("*").alias("n"))
+
+
+query("export_alleles")(lambda s, d: ex.allele_document(tb.alleles(s, d)))
+query("plot_points")(lambda s, d: ex.plot_points(tb.traces(s, d)))
