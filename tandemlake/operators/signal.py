@@ -81,8 +81,12 @@ def channel_stats(traces: DataFrame) -> DataFrame:
 
 
 def points(traces: DataFrame) -> DataFrame:
-    """channel_id, t, y: a row a point."""
-    return traces.select("channel_id", F.posexplode("data").alias("t", "y"))
+    """channel_id, t, y: a row a point.
+
+    The outer form, as for the plain one the optimizer infers a filter on the size of the array, which repeats all the
+    expressions that made it.
+    """
+    return traces.select("channel_id", F.posexplode_outer("data").alias("t", "y")).filter("t IS NOT NULL")
 
 
 def local_maxima(traces: DataFrame, min_height: float) -> DataFrame:
