@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 @dataclass(frozen=True)
 class ScanParams:
@@ -248,6 +250,7 @@ PEAK = "channel_id bigint, rtime int, height double, area double, brtime int, er
 
 def _each(traces: DataFrame, schema: str, rows: Callable[[int, np.ndarray], list[tuple]]) -> DataFrame:
     """Run a helper on every trace, in Arrow batches; Spark partitions the traces."""
+    ship(traces.sparkSession)
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,6 +293,8 @@ def detect_turning_points(traces: DataFrame, lookahead: int = 5, delta: float =
 def align_ladders(peaks: DataFrame, sizes: list[float]) -> DataFrame:
     """assay_id, score, rss, z, n_peaks of each assay's ladder channel; assays are dealt to tasks."""
 
+    ship(peaks.sparkSession)
+
     def one(f: pd.DataFrame) -> pd.DataFrame:
         score, rss, z = align_ladder(sizes, f["rtime"].tolist(), f["height"].tolist())
         return pd.DataFrame([(f["assay_id"].iloc[0], score, rss, z.tolist(), len(f))], columns=["assay_id", "score", "rss", "z", "n_peaks"])

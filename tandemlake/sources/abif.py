@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 _ENTRY = struct.Struct(">4sihhiii")
 #: Element types of the format: struct codes of numbers; the others are text.
 _NUMBERS = {1: "B", 4: "h", 5: "i", 7: "f", 8: "d", 201: "b"}
@@ -60,6 +62,8 @@ def channels(data: bytes) -> list[tuple[int, str | None, int | None, list[int]]]
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """path, dye_no, dye, wavelength, raw of every channel of the files below a path; other files are an error."""
 
+    ship(spark)
+
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = [(p, *c) for p, data in zip(f["path"], f["content"]) for c in channels(bytes(data))]
