@@ -17,7 +17,7 @@ from tandemlake.llm.common import read_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Pooled probability of the predicted language below which a document has no clear language.
-LANGUAGE_SCORE = 0.5
+LANGUAGE_SCORE = 0.3
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

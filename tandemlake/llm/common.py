@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows that a mapper handles at a time; texts may be long, so batches are cut small.
 SLICE_ROWS = 256
 
@@ -55,6 +57,7 @@ def map_columns(
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship(df.sparkSession)
     out_schema = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -231,6 +231,30 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, key: str = "
     return map_columns(docs.select(*names, whole_text(text).alias("_text")), schema, work)
 
 
+def language_runs(docs: DataFrame, model: LanguageModel | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, runs: (start, end, lang) of byte positions in the lower-cased text with the same label, end exclusive.
+
+    Null and empty texts, and all texts without a model, have no runs.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def runs(t: str) -> list[dict]:
+        m = shared.value
+        if m is None or not t:
+            return []
+        rows, lengths = _segments(t.lower().encode("utf-8", "surrogatepass"))
+        best = np.concatenate([position_probabilities(m, rows[a : a + BATCH], lengths[a : a + BATCH]).argmax(axis=2).ravel() for a in range(0, len(rows), BATCH)])
+        best = best[: int(lengths.sum())]
+        ends = np.flatnonzero(np.append(best[1:] != best[:-1], True)) + 1
+        return [{"start": int(a), "end": int(b), "lang": m.langs[best[a]]} for a, b in zip([0, *ends[:-1]], ends)]
+
+    def work(rows: dict[str, list]) -> dict[str, list]:
+        return {key: rows[key], "runs": [runs(t) for t in rows["_text"]]}
+
+    typed = docs.schema[key].dataType.simpleString()
+    return map_columns(docs.select(key, whole_text(text).alias("_text")), f"`{key}` {typed}, runs array<struct<start:bigint,end:bigint,lang:string>>", work)
+
+
 def held_out() -> Column:
     return F.coalesce(id_fold("doc_id", 3) == 1, F.lit(False))
 

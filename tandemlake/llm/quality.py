@@ -27,8 +27,8 @@ DICTIONARY_BYTES = 160_000
 BLOCK = 512
 #: A shorter last block doesn't count as the best or worst one.
 LEAST_BLOCK = 64
-#: Characters of a text that training reads.
-TRAIN_CHARS = 32_768
+#: Equal slices of a text longer than TEXT_BYTES characters that go to a dictionary, from all over it.
+SLICES = 4
 FEATURES = 6
 LEVEL = 3
 #: Probability of label 1 from which a text is predicted good.
@@ -81,12 +81,11 @@ def evidence(good: bytes, bad: bytes, text: str) -> tuple[float, ...]:
     return total / n, low, high, least / n, below / n, worse / n
 
 
-def spread_slices(data: bytes, size: int, parts: int = 4) -> bytes:
-    """`size` bytes in equal slices from all over a longer text."""
-    if len(data) <= size:
-        return data
-    each = size // parts
-    return b"".join(data[int(i * (len(data) - each) / (parts - 1)) :][:each] for i in range(parts))
+def spread_slices(text: Column) -> Column:
+    """Slices of TEXT_BYTES characters in all, spread evenly over a text, or the text itself if it is shorter."""
+    n, each = F.length(text), TEXT_BYTES // SLICES
+    cut = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring(text, ((n - each) * i / (SLICES - 1)).cast("int") + 1, F.lit(each)))
+    return F.when(n <= TEXT_BYTES, text).otherwise(F.concat_ws("\n", cut))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> np.ndarray:
@@ -118,29 +117,27 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows
     if len(sizes) < 2:
         return constant
     # Each row's hash decides, so the sample is the same on every machine and its size is bounded.
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) / 1e6
+    share_of = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / 1e6
     chance = F.when(F.col("quality") == 1, min(1.0, sample_rows / sizes[1])).otherwise(min(1.0, sample_rows / sizes[0]))
-    drawn = F.broadcast(known.filter(draw < chance).dropDuplicates(["doc_id"]))
+    drawn = F.broadcast(known.filter(share_of(8) < chance).dropDuplicates(["doc_id"]))  # some 2 * sample_rows rows
     rows = docs.join(drawn, "doc_id").select("doc_id", "quality", whole_text().alias("text"))
-    rows = rows.select("doc_id", "quality", F.substring("text", 1, TRAIN_CHARS).alias("text")).orderBy("doc_id", "text").limit(4 * sample_rows).collect()
-    texts = {q: [r["text"] for i, r in enumerate(rows) if r["quality"] == q] for q in (0, 1)}
+    # One half fills the dictionaries, the other calibrates.
+    fills = rows.filter(share_of(9) < 0.5).select("doc_id", "quality", spread_slices(F.col("text")).alias("part"))
+    fills = fills.orderBy(F.xxhash64("doc_id"), "part").limit(4 * sample_rows).collect()
 
     def content(q: int) -> bytes:
-        out, size = [], 0
-        for t in texts[q][0::2]:  # every other text fills the dictionary, the rest calibrate
-            part = spread_slices(t.encode("utf-8", "surrogatepass"), TEXT_BYTES)
-            out.append(part)
-            size += len(part)
-            if size >= DICTIONARY_BYTES:
-                break
-        return b"\n".join(out)[:DICTIONARY_BYTES]
-
-    if not (texts[0] and texts[1]):
-        return constant
+        return "\n".join(r["part"] for r in fills if r["quality"] == q).encode("utf-8", "surrogatepass")[:DICTIONARY_BYTES]
+
     good, bad = content(1), content(0)
-    rest = [(t, q) for q in (0, 1) for t in texts[q][1::2]] or [(t, q) for q in (0, 1) for t in texts[q]]
-    x = np.array([evidence(good, bad, t) for t, _ in rest])
-    y = np.array([float(q) for _, q in rest])
+
+    def features(part: dict[str, list]) -> dict[str, list]:
+        return {"quality": part["quality"], "f": [list(evidence(good, bad, t)) for t in part["text"]]}
+
+    rest = map_columns(rows.filter(share_of(9) >= 0.5).select("quality", "text"), "quality int, f array<double>", features)
+    rest = rest.orderBy("quality", "f").limit(4 * sample_rows).collect()  # whole texts stay on the executors
+    x, y = np.array([r["f"] for r in rest]), np.array([float(r["quality"]) for r in rest])
+    if not (good and bad and 0 < y.sum() < len(y)):
+        return constant
     w = fit_logistic(x, y)
     # The sample holds the classes in other shares than the labels do.
     shift = math.log(sizes[1] / sizes[0]) - math.log(max(y.sum(), 1) / max(len(y) - y.sum(), 1))

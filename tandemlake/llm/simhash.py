@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import cut, map_columns, read_table, whole_text
 from .graph import components
 
@@ -181,6 +182,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_links(nodes: DataFrame) -> DataFrame:
     """a, b: links that connect what all links within the radius connect. nodes: node bigint, distinct fp bigint."""
+    ship(nodes.sparkSession)
     width = BITS // BLOCKS
     block = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
     shards = nodes.select("node", "fp", block.alias("block")).withColumn(

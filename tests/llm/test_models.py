@@ -124,3 +124,17 @@ def test_all_positions_count():
         r, n = langid._segments(p)
         total = total + langid.position_probabilities(m, r, n).sum(axis=(0, 1))
     assert langid.document_probabilities(m, [text])[0] == pytest.approx(total / len(data), rel=1e-4)
+
+
+def test_runs_of_positions(spark, edge_docs):
+    rows = [(i, ("the house and the garden " if i % 2 else "das haus und der garten ") * 5, "en" if i % 2 else "de") for i in range(80)]
+    model = langid.train_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    mixed = "the house and the garden " * 20 + "das haus und der garten " * 20
+    got = langid.language_runs(spark.createDataFrame([(1, mixed), (2, None), (3, "")], "doc_id bigint, text string"), model).orderBy("doc_id").collect()
+    runs = got[0]["runs"]
+    assert runs[0]["start"] == 0 and runs[-1]["end"] == len(mixed) and all(a["end"] == b["start"] and a["lang"] != b["lang"] for a, b in zip(runs, runs[1:]))
+    english = sum(r["end"] - r["start"] for r in runs if r["lang"] == "en" and r["end"] <= 520)
+    assert english > 400 and got[1]["runs"] == got[2]["runs"] == []
+    texts = {r["doc_id"]: (r["text"] or "").lower().encode() for r in edge_docs.collect()}
+    for r in langid.language_runs(edge_docs, model).collect():
+        assert sum(x["end"] - x["start"] for x in r["runs"]) == len(texts[r["doc_id"]])
