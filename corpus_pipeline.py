@@ -38,8 +38,9 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, that with the smallest id; documents without an id stay."""
-    classes = simhash.near_classes(docs.select("doc_id", "text"))
+    """One document of each class of texts with a similarity of 0.8 or more on five-word shingles, that with the smallest
+    id; documents without an id stay."""
+    classes = simhash.similar_classes(docs.select("doc_id", "text"))
     gone = classes.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
     left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
     # Of rows that repeat an id, the one with the smallest text stays.

@@ -7,11 +7,17 @@ are bounded: a shard above TREE_SIZE fingerprints is dealt to several trees, and
 tree of every other part. Trees travel with their shard's queries, as shards grow with the corpus and a broadcast of
 them would have no bound. Of a shard's links only those that join two classes leave the task; the classes of the whole
 corpus are the connected components of these.
+
+`near_classes` links 64-bit fingerprints within RADIUS bits. `similar_classes` links texts by their similarity on
+shingles: 64 bits are too few to tell 0.8 from 0.6, so there a fingerprint of WIDE_BITS bits over the set of shingles is
+what trees hold, with the radius that belongs to the similarity, and shards are equal 16-bit blocks of a second
+fingerprint over PAIR_SHINGLE-word shingles, of which an edit changes fewer than of longer ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +38,12 @@ TREE_SIZE = 16_384
 #: From so many fingerprints on, queries go down the tree together, in numpy.
 TOGETHER = 48
 _CHUNK = 65_536
+#: Bits of the fingerprints that `similar_classes` compares, and words and bits of those that it deals to shards.
+WIDE_BITS = 512
+PAIR_SHINGLE = 2
+PAIR_BITS = 256
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -65,6 +77,39 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     return map_columns(df.select(key, whole_text(text).alias("_text")), f"`{key}` {typed}, fp bigint", work)
 
 
+def _further(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th hash that is made of each 64-bit hash, by adding and mixing."""
+    z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << BITS))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def set_fingerprint(words: list[bytes], shingle: int, bits: int) -> bytes:
+    """A bit is one where over half of the distinct shingles' hashes have it set; all zero without words."""
+    import xxhash
+
+    if not words:
+        return bytes(bits // 8)
+    digest, join, n = xxhash.xxh64_intdigest, b" ".join, max(1, len(words) - shingle + 1)
+    hashes = np.unique(np.fromiter((digest(join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
+    ones, step = np.zeros(bits, np.int64), _CHUNK * BITS // bits
+    for at in range(0, len(hashes), step):
+        part = hashes[at : at + step]
+        all_bits = np.stack([_further(part, k) for k in range(bits // BITS)], axis=1).astype(">u8")
+        ones += np.unpackbits(all_bits.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def similarity_radius(similarity: float, bits: int = WIDE_BITS) -> int:
+    """Bits in which fingerprints of two sets of this Jaccard similarity differ on average, and one standard deviation more.
+
+    Sets of equal size have the cosine 2s / (1 + s), and a bit differs with the probability angle / pi.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
 class BKTree:
     """Fingerprints by Hamming distance to their parent."""
 
@@ -96,11 +141,14 @@ class BKTree:
         return found
 
     def within_all(self, values: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(place, indices of the queries at most `radius` away from its value); all queries go down together."""
+        """(place, indices of the queries at most `radius` away from its value); all queries go down together.
+
+        values: a row of 64-bit words for each query, the highest first.
+        """
         todo = [(0, np.arange(len(values)))] if self.values else []
         while todo:
             at, who = todo.pop()
-            d = np.bitwise_count(values[who] ^ np.uint64(self.values[at])).astype(np.int16)
+            d = np.bitwise_count(values[who] ^ as_words([self.values[at]], values.shape[1])).sum(axis=1, dtype=np.int16)
             near = who[d <= radius]
             if len(near):
                 yield at, near
@@ -110,6 +158,11 @@ class BKTree:
                     todo.append((child, some))
 
 
+def as_words(values: list[int], width: int) -> np.ndarray:
+    """Numbers as rows of `width` 64-bit words."""
+    return np.frombuffer(b"".join([v.to_bytes(8 * width, "big") for v in values]), ">u8").astype(np.uint64).reshape(-1, width)
+
+
 def tree_links(tree_ids: list[int], tree_fps: list[int], ids: list[int], fps: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links between ids with fingerprints within the radius, as many as needed to connect what all links connect.
 
@@ -135,7 +188,8 @@ def tree_links(tree_ids: list[int], tree_fps: list[int], ids: list[int], fps: li
     if len(fps) < TOGETHER:
         hits = ((p, np.array([q])) for q, f in enumerate(fps) for p in tree.within(f, radius))
     else:
-        hits = tree.within_all(np.array(fps, np.uint64), radius)
+        width = -(-max(max(fps).bit_length(), max(tree_fps).bit_length(), 1) // BITS)
+        hits = tree.within_all(as_words(fps, width), radius)
     for p, who in hits:
         if len(who) == 1 and queries[who[0]] == places[p]:
             continue
@@ -146,48 +200,60 @@ def tree_links(tree_ids: list[int], tree_fps: list[int], ids: list[int], fps: li
     return links
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard; a shard's rows may span batches."""
-    mask = (1 << BITS) - 1
-    shard, rows = None, ([], [], [])
-    out_a: list[int] = []
-    out_b: list[int] = []
-
-    def close():
-        ids, fps, roles = rows
-        if len(ids) > 1:
-            if 1 in roles or 2 in roles:
-                tree = [i for i, r in enumerate(roles) if r == 1]
-                query = [i for i, r in enumerate(roles) if r == 2]
-            else:
-                tree = query = range(len(ids))
-            for a, b in tree_links([ids[i] for i in tree], [fps[i] for i in tree], [ids[i] for i in query], [fps[i] for i in query]):
-                out_a.append(a)
-                out_b.append(b)
-
-    for batch in batches:
-        got = batch.to_pydict()
-        for key, node, fp, role in zip(zip(got["block"], got["bits"], got["part"], got["other"]), got["node"], got["fp"], got["role"]):
-            if key != shard:
-                close()
-                shard, rows = key, ([], [], [])
-            rows[0].append(node)
-            rows[1].append(fp & mask)
-            rows[2].append(role)
+def _searcher(radius: int, number: Callable) -> Callable:
+    """Search of sorted shards; `number` makes an unsigned number of a fingerprint."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by shard; a shard's rows may span batches."""
+        shard, rows = None, ([], [], [])
+        out_a: list[int] = []
+        out_b: list[int] = []
+
+        def close():
+            ids, fps, roles = rows
+            if len(ids) > 1:
+                if 1 in roles or 2 in roles:
+                    tree = [i for i, r in enumerate(roles) if r == 1]
+                    query = [i for i, r in enumerate(roles) if r == 2]
+                else:
+                    tree = query = range(len(ids))
+                if tree and query:
+                    numbers = [number(f) for f in fps]
+                    for a, b in tree_links([ids[i] for i in tree], [numbers[i] for i in tree], [ids[i] for i in query], [numbers[i] for i in query], radius):
+                        out_a.append(a)
+                        out_b.append(b)
+
+        for batch in batches:
+            got = batch.to_pydict()
+            for key, node, fp, role in zip(zip(got["block"], got["bits"], got["part"], got["other"]), got["node"], got["fp"], got["role"]):
+                if key != shard:
+                    close()
+                    shard, rows = key, ([], [], [])
+                rows[0].append(node)
+                rows[1].append(fp)
+                rows[2].append(role)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+            out_a, out_b = [], []
+        close()
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-        out_a, out_b = [], []
-    close()
-    yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
+    return search
 
-def near_links(nodes: DataFrame) -> DataFrame:
-    """a, b: links that connect what all links within the radius connect. nodes: node bigint, distinct fp bigint."""
-    ship(nodes.sparkSession)
-    width = BITS // BLOCKS
-    block = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-    shards = nodes.select("node", "fp", block.alias("block")).withColumn(
-        "bits", F.expr(f"shiftrightunsigned(fp, block * {width})").bitwiseAND(F.lit((1 << width) - 1))
-    )
+
+def _unsigned(fp: int) -> int:
+    return fp % (1 << BITS)
+
+
+def _big(fp: bytes) -> int:
+    return int.from_bytes(fp, "big")
+
+
+def shard_links(shards: DataFrame, radius: int, number: Callable) -> DataFrame:
+    """a, b: links that connect what all links within the radius connect, of those within a shard.
+
+    shards: node bigint, fp, block int, bits (equal within a shard of a block).
+    """
+    ship(shards.sparkSession)
     large = shards.groupBy("block", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > TREE_SIZE)
     dealt = shards.join(large, ["block", "bits"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / TREE_SIZE), F.lit(1)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -200,7 +266,41 @@ def near_links(nodes: DataFrame) -> DataFrame:
     )
     rows = dealt.select("node", "fp", "block", "bits", F.explode(meets).alias("meet")).select("node", "fp", "block", "bits", "meet.*")
     sorted_rows = rows.repartition("block", "bits", "part", "other").sortWithinPartitions("block", "bits", "part", "other", "fp")
-    return sorted_rows.mapInArrow(_search, "a bigint, b bigint")
+    return sorted_rows.mapInArrow(_searcher(radius, number), "a bigint, b bigint")
+
+
+def near_links(nodes: DataFrame) -> DataFrame:
+    """a, b: links that connect what all links within RADIUS connect. nodes: node bigint, distinct fp bigint."""
+    width = BITS // BLOCKS
+    block = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    shards = nodes.select("node", "fp", block.alias("block")).withColumn(
+        "bits", F.expr(f"shiftrightunsigned(fp, block * {width})").bitwiseAND(F.lit((1 << width) - 1))
+    )
+    return shard_links(shards, RADIUS, _unsigned)
+
+
+def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """key, component_id of every row: the smallest key reachable over links between texts of at least this similarity.
+
+    The Jaccard similarity of the sets of `shingle`-word shingles (words as in `fingerprint`) is judged by fingerprints
+    of WIDE_BITS bits, within some 0.04 of the true one, and by one equal 16-bit block of the pair fingerprints. Texts
+    with equal words always link. Texts without words (null, empty, blank) link to each other. Rows with a null key
+    link to nothing, and their component_id is null. Repeated rows share their class. Keys are integers.
+    """
+
+    def work(rows: dict[str, list]) -> dict[str, list]:
+        words = [t.encode("utf-8", "surrogatepass").lower().split() for t in rows["_text"]]
+        pairs = [np.frombuffer(set_fingerprint(w, PAIR_SHINGLE, PAIR_BITS), ">u2").tolist() for w in words]
+        return {key: rows[key], "fp": [set_fingerprint(w, shingle, WIDE_BITS) for w in words], "pairs": pairs}
+
+    typed = df.schema[key].dataType.simpleString()
+    prints = cut(map_columns(df.select(key, whole_text(text).alias("_text")), f"`{key}` {typed}, fp binary, pairs array<int>", work))
+    # One node for each distinct fingerprint, named by its smallest key: copies are never compared with each other.
+    nodes = cut(prints.filter(F.col(key).isNotNull()).groupBy("fp").agg(F.min(key).cast("bigint").alias("node"), F.min("pairs").alias("pairs")))
+    shards = nodes.select("node", "fp", F.posexplode("pairs").alias("block", "bits"))
+    found = components(shard_links(shards, similarity_radius(similarity), _big))
+    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(classes, "fp", "left").select(key, F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:

@@ -1,7 +1,6 @@
 import random
 import re
 
-import numpy as np
 import pytest
 import xxhash
 
@@ -67,7 +66,7 @@ def test_search_follows_only_near_edges():
     for q in fps[::7]:
         assert sorted(tree.within(q, 3)) == [i for i, f in enumerate(fps) if (f ^ q).bit_count() <= 3]
     together = {}
-    for place, who in tree.within_all(np.array(fps, np.uint64), 3):
+    for place, who in tree.within_all(s.as_words(fps, 1), 3):
         for w in who.tolist():
             together.setdefault(w, []).append(place)
     assert all(sorted(together[i]) == [j for j, f in enumerate(fps) if (f ^ q).bit_count() <= 3] for i, q in enumerate(fps))
@@ -105,3 +104,41 @@ def test_query(spark, sf):
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (7, 7), (301, 300), (300, 301)], "a bigint, b bigint")
     assert {r["node"]: r["component"] for r in components(edges).collect()} == {i: 0 for i in range(201)} | {300: 300, 301: 300}
+
+
+def shingles(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("size", [s.TREE_SIZE, 5])
+def test_similar_classes(spark, monkeypatch, size):
+    """Edits that keep a similarity of 0.9 link, texts below 0.5 don't, and classes are the smallest ids of their group."""
+    monkeypatch.setattr(s, "TREE_SIZE", size)
+    rng = random.Random(4)
+    rows, group = [], []
+    for g in range(25):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(150, 400))]
+        for n in range(4):
+            words = list(base)
+            for _ in range(len(base) // 150 if n else 0):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words).upper() if n == 3 else " ".join(words)))
+            group.append(g)
+    rows += [(1000, ""), (1001, None), (1002, "  \n"), (1003, "two words"), (None, rows[0][1])]
+    got = {r["doc_id"]: r["component_id"] for r in s.similar_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    sets = [shingles(t) for _, t in rows]
+    assert all(jaccard(sets[i], sets[i - i % 4]) > 0.9 for i in range(100))
+    assert [got[i] for i in range(100)] == [4 * g for g in group]
+    assert (got[1000], got[1001], got[1002], got[1003], got[None]) == (1000, 1000, 1000, 1003, None)
+
+
+def test_set_fingerprint_counts_each_shingle_once():
+    words = b"a b c d e f g h".split()
+    assert s.set_fingerprint(words * 3, 2, 256) == s.set_fingerprint(words * 9, 2, 256)
+    assert s.set_fingerprint([], 5, 512) == bytes(64) and len(s.set_fingerprint(words, 5, 512)) == 64
+    assert s.similarity_radius(0.9) < s.similarity_radius(0.8) == 85
