@@ -8,14 +8,15 @@ tree of every other part. Trees travel with their shard's queries, as shards gro
 them would have no bound. Of a shard's links only those that join two classes leave the task; the classes of the whole
 corpus are the connected components of these.
 
-`near_classes` links 64-bit fingerprints within RADIUS bits. `similar_classes` links texts by their similarity on
-shingles: 64 bits are too few to tell 0.8 from 0.6, so there a fingerprint of WIDE_BITS bits over the set of shingles is
-what trees hold, with the radius that belongs to the similarity, and shards are equal 16-bit blocks of a second
-fingerprint over PAIR_SHINGLE-word shingles, of which an edit changes fewer than of longer ones.
+`near_classes` links 64-bit fingerprints within RADIUS bits. `similar_classes` links texts by the exact Jaccard similarity
+of their sets of shingles, and needs no fingerprints: in any one order of all shingles, two sets of n and m shingles with
+a similarity of s share one of their first n - ceil(s n) + 1 and m - ceil(s m) + 1 shingles. Texts that share such a
+shingle are candidates, and candidates are compared shingle by shingle, so no pair is lost and none is added.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -38,12 +39,16 @@ TREE_SIZE = 16_384
 #: From so many fingerprints on, queries go down the tree together, in numpy.
 TOGETHER = 48
 _CHUNK = 65_536
-#: Bits of the fingerprints that `similar_classes` compares, and words and bits of those that it deals to shards.
 WIDE_BITS = 512
-PAIR_SHINGLE = 2
-PAIR_BITS = 256
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
+#: Texts, about, and at most one in so many, whose shingles are counted to put common ones last, and common shingles at
+#: most. Results don't depend on it: any order is right.
+SAMPLE_TEXTS = 20_000
+SAMPLE_STEP = 8
+COMMON = 1 << 18
+#: Pairs of an Arrow batch, about.
+_PAIRS = 200_000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -244,10 +249,6 @@ def _unsigned(fp: int) -> int:
     return fp % (1 << BITS)
 
 
-def _big(fp: bytes) -> int:
-    return int.from_bytes(fp, "big")
-
-
 def shard_links(shards: DataFrame, radius: int, number: Callable) -> DataFrame:
     """a, b: links that connect what all links within the radius connect, of those within a shard.
 
@@ -279,28 +280,166 @@ def near_links(nodes: DataFrame) -> DataFrame:
     return shard_links(shards, RADIUS, _unsigned)
 
 
-def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """key, component_id of every row: the smallest key reachable over links between texts of at least this similarity.
+def shingle_hashes(text: str, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """XXH64 of the distinct shingles, sorted; of all words where they are fewer, and none without words."""
+    import xxhash
 
-    The Jaccard similarity of the sets of `shingle`-word shingles (words as in `fingerprint`) is judged by fingerprints
-    of WIDE_BITS bits, within some 0.04 of the true one, and by one equal 16-bit block of the pair fingerprints. Texts
-    with equal words always link. Texts without words (null, empty, blank) link to each other. Rows with a null key
-    link to nothing, and their component_id is null. Repeated rows share their class. Keys are integers.
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    digest, join, n = xxhash.xxh64_intdigest, b" ".join, max(1, len(words) - shingle + 1)
+    return np.unique(np.fromiter((digest(join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
+
+
+def first_shingles(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """Those of which similar sets share one: the first n - ceil(similarity n) + 1, rare ones before the sorted common."""
+    seen = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        seen = np.where(common[at] == hashes, counts[at], 0)
+    n = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1 if len(hashes) else 0
+    return hashes[np.lexsort((hashes, seen))[:n]]
+
+
+def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of shingles that recur in a sample of the texts."""
+    step = max(SAMPLE_STEP, texts.count() // SAMPLE_TEXTS)
+    some = texts.select("_text").filter(F.pmod(F.xxhash64("_text"), F.lit(step)) == 0)
+    found = map_columns(some, "h array<bigint>", lambda rows: {"h": [shingle_hashes(t, shingle).view(np.int64) for t in rows["_text"]]})
+    counted = found.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    got = counted.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()  # at most COMMON rows
+    hashes, counts = got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first column, cut only where that changes."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+        held = [np.concatenate(x) for x in zip(held, columns)] if held else columns
+        last = int(np.searchsorted(held[0], held[0][-1]))
+        if last:
+            yield [c[:last] for c in held]
+            held = [c[last:] for c in held]
+    if held:
+        yield held
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of first shingles that several nodes have, each with the node before it in the group (-1: none)."""
+    for h, n, node in _runs(batches):
+        same = h[1:] == h[:-1]
+        after = np.append(False, same)
+        keep = after | np.append(same, False)
+        before = np.where(after, np.append(-1, node[:-1]), -1)
+        size = np.append(0, n[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, n, node, before, size)], names=["h", "n", "node", "before", "size"])
+
+
+def _crossing(similarity: float) -> Callable:
+    """Pairs of a group's nodes of different classes whose sizes allow the similarity; groups come sorted by size."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
+        for h, n, node, label in _runs(batches):
+            cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])).tolist()
+            for begin, end in zip(cuts, cuts[1:]):
+                if (label[begin:end] == label[begin]).all():
+                    continue
+                for i in range(begin, end - 1):
+                    stop = begin + int(np.searchsorted(n[begin:end], n[i] / similarity + 1e-6, "right"))
+                    other = node[i + 1 : stop][label[i + 1 : stop] != label[i]]
+                    if len(other):
+                        out.append((np.maximum(other, node[i]), np.minimum(other, node[i])))
+                        held += len(other)
+                    if held >= _PAIRS:
+                        yield batch()
+                        out, held = [], 0
+        if out:
+            yield batch()
+
+    return work
+
+
+def _alike(similarity: float) -> Callable:
+    def work(rows: dict[str, list]) -> dict[str, list]:
+        a, b = [], []
+        for i, j, x, y in zip(rows["a"], rows["b"], rows["x"], rows["y"]):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both + 1e-9 >= similarity * (len(x) + len(y) - both):
+                a.append(i)
+                b.append(j)
+        return {"a": a, "b": b}
+
+    return work
+
+
+def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """key, digest (SHA-256 of the text), class of every row; rows of a class are those reachable over links.
+
+    Texts link where the Jaccard similarity of their sets of `shingle`-word shingles (words as in `fingerprint`) is at
+    least `similarity`, exactly. Texts without words (null, empty, blank) link to each other. Keys, null or repeated,
+    have no part in it.
     """
+    ship(df.sparkSession)
+    texts = df.select(key, whole_text(text).alias("_text")).withColumn("digest", F.unhex(F.sha2("_text", 256)))
+    # Rows of equal key and text are one.
+    row = F.unhex(F.sha2(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary"), F.col("digest")), 256)).alias("row")
+    common, counts = _common_shingles(texts, shingle)
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        words = [t.encode("utf-8", "surrogatepass").lower().split() for t in rows["_text"]]
-        pairs = [np.frombuffer(set_fingerprint(w, PAIR_SHINGLE, PAIR_BITS), ">u2").tolist() for w in words]
-        return {key: rows[key], "fp": [set_fingerprint(w, shingle, WIDE_BITS) for w in words], "pairs": pairs}
+        sets = [shingle_hashes(t, shingle) for t in rows["_text"]]
+        first = [first_shingles(x, common, counts, similarity).view(np.int64) for x in sets]
+        names = [hashlib.sha256(x.tobytes()).digest()[:16] for x in sets]
+        return {key: rows[key], "digest": rows["digest"], "name": names, "n": [len(x) for x in sets], "first": first}
 
     typed = df.schema[key].dataType.simpleString()
-    prints = cut(map_columns(df.select(key, whole_text(text).alias("_text")), f"`{key}` {typed}, fp binary, pairs array<int>", work))
-    # One node for each distinct fingerprint, named by its smallest key: copies are never compared with each other.
-    nodes = cut(prints.filter(F.col(key).isNotNull()).groupBy("fp").agg(F.min(key).cast("bigint").alias("node"), F.min("pairs").alias("pairs")))
-    shards = nodes.select("node", "fp", F.posexplode("pairs").alias("block", "bits"))
-    found = components(shard_links(shards, similarity_radius(similarity), _big))
-    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(classes, "fp", "left").select(key, F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
+    prints = cut(map_columns(texts, f"`{key}` {typed}, digest binary, name binary, n bigint, first array<bigint>", work))
+    # One node for each distinct set, with one row that has it: copies are never compared with each other.
+    one = prints.groupBy("name").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("first").alias("first"))
+    nodes = cut(one.withColumn("node", F.monotonically_increasing_id()))
+    dealt = nodes.select(F.explode("first").alias("h"), "n", "node").repartition("h").sortWithinPartitions("h", "n", "node")
+    shared = cut(dealt.mapInArrow(_shared, "h bigint, n bigint, node bigint, before bigint, size bigint"))
+
+    # Neighbours in a group first: they join most of a large group of copies, whose pairs then need no comparison.
+    near = shared.filter((F.col("before") >= 0) & (F.col("size") + 1e-6 >= similarity * F.col("n")))
+    near = cut(near.select(F.greatest("node", "before").alias("a"), F.least("node", "before").alias("b")).distinct())
+    # Sizes ascend in a group, so whatever fits one of its nodes fits a neighbour: `near` has every node of any pair.
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
+    read = texts.select(row, "_text").join(wanted, "row").groupBy("row", "node").agg(F.first("_text").alias("_text"))
+    sets = cut(map_columns(read, "node bigint, x binary", lambda rows: {"node": rows["node"], "x": [shingle_hashes(t, shingle).tobytes() for t in rows["_text"]]}))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar, by their sets."""
+        both = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
+        return cut(map_columns(both, "a bigint, b bigint", _alike(similarity)))
+
+    found = links(near)
+    label = F.coalesce("component", "node").alias("label")
+    labelled = shared.select("h", "n", "node").join(components(found), "node", "left").select("h", "n", "node", label)
+    crossing = labelled.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(_crossing(similarity), "a bigint, b bigint")
+    rest = cut(crossing.distinct().join(near, ["a", "b"], "left_anti"))
+    known = components(cut(found.union(links(rest))))
+    classes = nodes.select("name", "node").join(known, "node", "left").select("name", F.coalesce("component", "node").alias("class"))
+    return prints.select(key, "digest", "name").join(classes, "name").select(key, "digest", "class")
+
+
+def similar_classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """key, component_id of every row: the smallest key reachable over links between texts of at least this similarity.
+
+    Links are those of `similar_rows`. Rows that repeat a key with other texts have classes of their own. Rows with a
+    null key link to nothing, and their component_id is null.
+    """
+    rows = cut(similar_rows(df.filter(F.col(key).isNotNull()), key, text, shingle, similarity))
+    least = rows.groupBy("class").agg(F.min(key).cast("bigint").alias("component_id"))
+    without = df.filter(F.col(key).isNull()).select(key, F.lit(None).cast("bigint").alias("component_id"))
+    return rows.join(least, "class").select(key, "component_id").unionByName(without)
 
 
 def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:

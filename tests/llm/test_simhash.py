@@ -142,3 +142,43 @@ def test_set_fingerprint_counts_each_shingle_once():
     assert s.set_fingerprint(words * 3, 2, 256) == s.set_fingerprint(words * 9, 2, 256)
     assert s.set_fingerprint([], 5, 512) == bytes(64) and len(s.set_fingerprint(words, 5, 512)) == 64
     assert s.similarity_radius(0.9) < s.similarity_radius(0.8) == 85
+
+
+def edited(rng, base, share):
+    """A copy with one contiguous passage of about this share of its words added, cut or replaced."""
+    n = max(1, round(share * len(base)))
+    at = rng.randrange(len(base) - n)
+    fresh = [f"y{rng.randrange(10**6)}" for _ in range(n)]
+    kind = rng.randrange(3)
+    return base[:at] + ([] if kind == 1 else fresh) + base[at if kind == 0 else at + n :]
+
+
+def test_similar_classes_equal_brute_force_with_contiguous_edits(spark):
+    """Pairs on both sides of 0.8, by passages and by single words, link exactly where their sets say so."""
+    rng = random.Random(11)
+    rows, near = [], 0
+    for g in range(150):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(30, 300))]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(edited(rng, base, rng.uniform(0.05, 0.25))))]
+    rows += [(len(rows) + i, " ".join([*(f"c{j}" for j in range(10)), f"tail{i}"])) for i in range(40)]
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                near += 0.8 <= jaccard(sets[i], sets[j]) < 0.85
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    assert near >= 15
+    got = {r["doc_id"]: r["component_id"] for r in s.similar_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == root
+
+
+def test_similar_classes_of_a_repeated_key(spark):
+    rng = random.Random(2)
+    a, b = (" ".join(f"w{rng.randrange(4000)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, a), (3, b), (3, "alone here")]
+    got = sorted(tuple(r) for r in s.similar_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 3)]
+    ids = {(r["doc_id"], r["digest"]): r["class"] for r in s.similar_rows(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(ids) == 5 and len(set(ids.values())) == 3
