@@ -29,10 +29,18 @@ _CONTEXT = re.compile(
     r"|authorization|auth[_-]key|client[_-]?id|session[_-]?id|signature|encryption|ssh-rsa|-----begin",
     re.IGNORECASE | re.ASCII,
 )
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,512}")
-#: Characters between a sensitive word's end and a candidate's start, and the text around that primes the dictionary.
+LEAST = 16
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+#: The head of a PEM block, its header lines, and what separates its lines: breaks, also as written in strings.
+_PEM = re.compile(r"-----BEGIN [^\r\n-]{1,64}-----", re.IGNORECASE)
+_PEM_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*: ")
+_PEM_LINE = re.compile(r"(?:[^\r\n\\]|\\(?![nr]))+")
+_PEM_PIECE = re.compile(r"[A-Za-z0-9+/=]+")
+#: Characters between the end of a sensitive word, or of a secret found, and a candidate's start; the text around that
+#: primes the dictionary; characters of a candidate that are judged at a time.
 REACH = 48
 AROUND = 512
+WINDOW = 512
 #: Marginal compressed bytes for each byte of a candidate from which it counts as incompressible.
 NOVELTY = 0.72
 
@@ -78,22 +86,84 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _incompressible(text: str, begin: int, end: int) -> bool:
+    """Whether the candidate mixes letters and digits and a window of it is novel."""
+    s = text[begin:end]
+    if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+        return False
+    around = text[max(0, begin - AROUND) : begin] + text[end : end + AROUND]
+    # A last window shorter than a candidate is joined to the one before.
+    cuts = [*range(0, max(1, len(s) - LEAST + 1), WINDOW), len(s)]
+    return any(novelty(s[a:b], around) >= NOVELTY for a, b in zip(cuts, cuts[1:]))
+
+
+def _outside(begin: int, end: int, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The parts of an interval that no known span covers; known spans are sorted."""
+    out = []
+    for a, b, _ in known:
+        if b > begin and a < end:
+            if a > begin:
+                out.append((begin, a, "novel"))
+            begin = max(begin, b)
+    return [*out, (begin, end, "novel")] if begin < end else out
+
+
+def _pem_pieces(text: str, at: int) -> list[tuple[int, int]]:
+    """The lines of a PEM block's body from the end of its head on, up to a shorter one, which is the last.
+
+    A line with blanks is a body whose breaks have become blanks, if only its last piece is short.
+    """
+    out: list[tuple[int, int]] = []
+    for line in _PEM_LINE.finditer(text, at):
+        pieces = [m.span() for m in re.finditer(r"[^\s\"',]+", line[0])]
+        if not pieces or (not out and _PEM_HEADER.match(line[0].lstrip())):
+            continue
+        # A body in one line may have the closing line after it.
+        close = next((i for i, (a, b) in enumerate(pieces) if "-----" in line[0][a:b]), None)
+        if close is not None:
+            a, b = pieces[close]
+            head = line[0].index("-----", a)
+            pieces = pieces[:close] + ([(a, head)] if head > a else [])
+        whole = all(_PEM_PIECE.fullmatch(line[0], a, b) for a, b in pieces) and all(b - a >= LEAST for a, b in pieces[:-1])
+        if not pieces or not whole or (not out and pieces[0][1] - pieces[0][0] < LEAST):
+            break
+        out += [(line.start() + a, line.start() + b) for a, b in pieces]
+        if close is not None or out[-1][1] - out[-1][0] < out[0][1] - out[0][0]:
+            break
+    return out
+
+
 def novel_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Candidates in sensitive context that are incompressible and that no known span overlaps."""
+    """Candidates in sensitive context that are incompressible, without what known spans cover.
+
+    Context reaches on from every secret, so all of those that follow one another are found, and so are the parts of a
+    token that dots join; the body of a PEM block goes as a whole.
+    """
     out: list[tuple[int, int, str]] = []
+    known = sorted(known)
     done = -1
     for word in _CONTEXT.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(done, word.end()), min(len(text), word.end() + REACH + 512)):
-            if m.start() > word.end() + REACH:
-                break
-            done = m.end()
-            s = m[0]
-            mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-            if not mixed or any(a < m.end() and m.start() < b for a, b, _ in known):
+        pem = _PEM.match(text, word.start())
+        if pem and pem.end() > done:
+            pieces = _pem_pieces(text, pem.end())
+            if any(_incompressible(text, a, b) for a, b in pieces):
+                for a, b in pieces:
+                    out += _outside(a, b, known)
+                done = pieces[-1][1]
                 continue
-            around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
-            if novelty(s, around) >= NOVELTY:
-                out.append((m.start(), m.end(), "novel"))
+        limit = word.end() + REACH
+        at = max(done, word.end())
+        while at <= limit:
+            m = _CANDIDATE.search(text, at, min(len(text), limit + LEAST))
+            if not m:
+                break
+            begin, end = m.start(), _CANDIDATE.match(text, m.start()).end()
+            at = done = end
+            if _incompressible(text, begin, end):
+                out += _outside(begin, end, known)
+                limit = max(limit, end + REACH)
+            elif text[end : end + 1] == ".":
+                limit = max(limit, end + 1)
     return out
 
 
