@@ -53,15 +53,15 @@ zlib | altered source | altered source versions must be plainly marked as such a
 zlib | origin of this software | the origin of this software must not be misrepresented
 bsl-1.0 | boost | distributed under the boost software license version 1 0
 bsl-1.0 | boost org | boost org license 1 0 txt
-cc0-1.0 | creative commons | to the extent possible under law (?:\S+ ){1,12}waived all copyright and related or neighboring rights
+cc0-1.0 | waived all copyright | to the extent possible under law (?:\S+ ){1,12}waived all copyright and related or neighboring rights
 cc0-1.0 | publicdomain | creativecommons org publicdomain zero 1 0
 cc-pdm-1.0 | publicdomain | creativecommons org publicdomain mark 1 0
-postgresql | postgresql | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement
+postgresql | without a written agreement | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement
 artistic-2.0 | artistic | licensed under the artistic license(?: version)? 2 0
 artistic-1.0 | artistic | licensed under the artistic license(?: version)? 1 0
 perl | perl | under the same terms as perl itself
-eupl-1.2 | european union | licensed under the eupl(?: version)? 1 2
-eupl-1.1 | european union | licensed under the eupl(?: version)? 1 1
+eupl-1.2 | eupl | licensed under the eupl(?: version)? 1 2
+eupl-1.1 | eupl | licensed under the eupl(?: version)? 1 1
 ms-pl | microsoft | microsoft public license ms pl
 ms-rl | microsoft | microsoft reciprocal license ms rl
 openssl | openssl | this product includes software developed by the openssl project
@@ -220,13 +220,14 @@ lgpl-2.1 | lgpl | lgplv?2 1
 agpl-3.0 | agpl | agplv?3
 apache | apache license | (?:the )?apache license
 apache | apache software license | apache software license
-mit | mit license | (?:the )?(?:mit|expat) license
+mit | mit license | (?:the )?mit license
+mit | expat license | (?:the )?expat license
 mit | mit licensed | mit licensed
 bsd-new | bsd license | (?:new|modified|revised) bsd license
 bsd-simplified | bsd license | (?:simplified|freebsd) bsd license
 bsd | bsd license | (?:the )?bsd license
 isc | isc license | (?:the )?isc license
-zlib | zlib license | (?:the )?zlib(?: libpng)? license
+zlib | zlib | (?:the )?zlib(?: libpng)? license
 mpl | mozilla public | mozilla public license
 epl | eclipse public | eclipse public license
 cddl | common development | common development and distribution license
@@ -249,7 +250,7 @@ sspl | server side public | server side public license
 busl | business source | business source license
 elastic-2.0 | elastic license | elastic license(?: 2 0| v2)?
 llama | llama | llama ?[23]? community license(?: agreement)?
-openrail | openrail | (?:creativeml )?open ?rail(?: [ms])?(?: license)?
+openrail | rail | (?:creativeml )?open ?rail(?: [ms])?(?: license)?
 rail | responsible ai | (?:bigscience )?responsible ai license
 cc-by-nc-nd | cc by | cc by nc nd
 cc-by-nc-sa | cc by | cc by nc sa
@@ -263,7 +264,11 @@ public-domain | public domain | (?:released (?:in|into|to)|dedicated to|placed i
 all-rights-reserved | all rights reserved | all rights reserved
 copyright | copyright | copyright (?:c )?(?:19|20)[0-9]{2}
 permissive-hint | permission | permission is (?:hereby )?granted
-licensed-under | licensed under | (?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?\S+(?: \S+)? licen[cs]e
+licensed-under | licensed under | licensed under (?:the )?(?:terms of )?(?:the )?\S+(?: \S+)? licen[cs]e
+licensed-under | released under | released under (?:the )?(?:terms of )?(?:the )?\S+(?: \S+)? licen[cs]e
+licensed-under | distributed under | distributed under (?:the )?(?:terms of )?(?:the )?\S+(?: \S+)? licen[cs]e
+licensed-under | available under | available under (?:the )?(?:terms of )?(?:the )?\S+(?: \S+)? licen[cs]e
+licensed-under | published under | published under (?:the )?(?:terms of )?(?:the )?\S+(?: \S+)? licen[cs]e
 """
 
 GROUPS = (NOTICES, CREATIVE, TAGS, TITLES, NAMES)

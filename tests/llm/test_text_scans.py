@@ -157,3 +157,50 @@ def test_rest_of_a_key_around_a_base_span():
 def test_prose_after_a_pem_head_stays():
     text = "write -----BEGIN PRIVATE KEY----- before\nthe body of the key\n" + PROSE
     assert hide(text) == text
+
+
+def phrases(tree, rng):
+    """A random text that the parsed regex matches."""
+    out = ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "SUBPATTERN":
+            out += phrases(arg[3], rng)
+        elif op == "BRANCH":
+            out += phrases(rng.choice(arg[1]), rng)
+        elif op == "MAX_REPEAT":
+            out += "".join(phrases(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+        elif op == "IN":
+            kind, value = rng.choice(arg)
+            out += chr(value) if str(kind) == "LITERAL" else chr(rng.randint(*value)) if str(kind) == "RANGE" else "x"
+        elif op != "ASSERT":
+            raise AssertionError(op)
+    return out
+
+
+def test_gated_scan_equals_all_rules(monkeypatch):
+    """Every text that a rule matches has the rule's keyword, so detections don't depend on the gate."""
+    rng = random.Random(3)
+    texts = []
+    for _, _, keyword, regex in licenses.rules():
+        body = regex.pattern.removeprefix("(?<= )").removesuffix("(?= )")
+        for _ in range(30):
+            found = phrases(re._parser.parse(body), rng)
+            assert regex.fullmatch(f" {found} ", 1, len(found) + 1) or regex.search(f" {found} ")
+            assert keyword in found, (keyword, found)
+            texts.append(f" {found} ")
+    gated = [licenses.detections(t) for t in texts]
+    every = [(0, k) for k in licenses.keywords()]
+    monkeypatch.setattr(licenses, "gate", lambda: type("All", (), {"iter": lambda self, words: every})())
+    assert gated == [licenses.detections(t) for t in texts]
+
+
+def test_grants_without_the_word_licensed():
+    found = lambda t: [x[2] for x in licenses.detections(licenses.words_of(t)[0])]
+    for verb in ("licensed", "released", "distributed", "available", "published"):
+        assert found(f"{verb} under the Foo license") == ["licensed-under"]
+    assert found("Licensed under the EUPL 1.2") == ["eupl-1.2"] and found("Licensed under the EUPL, version 1.1") == ["eupl-1.1"]
+    assert found("an Open RAIL license") == ["openrail"]
+    assert found("To the extent possible under law, the author has waived all copyright and related or neighboring rights") == ["cc0-1.0"]
