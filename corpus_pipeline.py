@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandemlake.llm import langid, packing, quality, secrets, simhash
-from tandemlake.llm.common import read_table
+from tandemlake.llm.common import cut, read_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Pooled probability of the predicted language below which a document has no clear language.
@@ -38,16 +38,22 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts with a similarity of 0.8 or more on five-word shingles, that with the smallest
-    id; documents without an id stay."""
-    classes = simhash.similar_classes(docs.select("doc_id", "text"))
-    gone = classes.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    # Of rows that repeat an id, the one with the smallest text stays.
-    alone = left.filter(F.col("doc_id").isNull())
-    rest = F.min(F.struct("text", "lang", "source", "n_chars")).alias("rest")
-    first = left.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(rest).select("doc_id", "rest.*")
-    return first.unionByName(alone).select(*COLUMNS)
+    """One document of each class of texts with a similarity of 0.8 or more on five-word shingles: that with the smallest
+    id, null ids last, and of rows with one id in a class that with the smallest text. An id that repeats with unrelated
+    texts stays with each."""
+    rows = cut(simhash.similar_rows(docs.select("doc_id", "text")))
+    first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("id"))
+    named = rows.join(first, "class").filter(F.col("doc_id").eqNullSafe(F.col("id.doc_id"))).select("class", simhash.row_name().alias("row"))
+    kept = cut(named.groupBy("class").agg(F.collect_set("row").alias("rows")).select("class", F.explode("rows").alias("row"), (F.size("rows") > 1).alias("tied")))
+    named_docs = docs.select(*COLUMNS, simhash.text_digest().alias("digest")).withColumn("row", simhash.row_name()).drop("digest")
+    best = kept.filter("NOT tied").select("row")
+    tied = kept.filter("tied")
+    if not tied.isEmpty():
+        texts = named_docs.select("row", "text").join(tied, "row").groupBy("class").agg(F.min(F.struct("text", "row")).alias("least"))
+        best = best.unionByName(texts.select("least.row"))
+    # Rows that repeat id and text are one.
+    rest = F.min(F.struct(*COLUMNS)).alias("rest")
+    return named_docs.join(best, "row").groupBy("row").agg(rest).select("rest.*")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -47,8 +47,10 @@ SIMILARITY = 0.8
 SAMPLE_TEXTS = 20_000
 SAMPLE_STEP = 8
 COMMON = 1 << 18
-#: Pairs of an Arrow batch, about.
+#: Pairs of an Arrow batch, about; pairs that are broadcast at most; bits of the map of wanted rows at most.
 _PAIRS = 200_000
+FEW_PAIRS = 50_000
+WANTED_BITS = 1 << 26
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -380,6 +382,29 @@ def _alike(similarity: float) -> Callable:
     return work
 
 
+def row_name(key: str = "doc_id", digest: str = "digest") -> Column:
+    """SHA-256 of a row's key and digest: rows of equal key and text are one."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary"), F.col(digest)), 256))
+
+
+def text_digest(text: str = "text") -> Column:
+    return F.unhex(F.sha2(whole_text(text), 256))
+
+
+def _place(bits: int) -> Column:
+    return F.pmod(F.xxhash64("row"), F.lit(bits))
+
+
+def _wanted_bits(rows: DataFrame, bits: int) -> np.ndarray:
+    """One byte for each 8 places, with the bits of the wanted rows."""
+    part = 32_768
+    at = rows.select(_place(bits).alias("p")).groupBy((F.col("p") / part).cast("long").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % part).alias("m"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in at.collect():  # at most bits / 32,768 rows of 4 KB
+        out[r["k"] * part // 8 : (r["k"] + 1) * part // 8] = np.frombuffer(r["m"], np.uint8)
+    return out
+
+
 def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """key, digest (SHA-256 of the text), class of every row; rows of a class are those reachable over links.
 
@@ -388,9 +413,7 @@ def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     have no part in it.
     """
     ship(df.sparkSession)
-    texts = df.select(key, whole_text(text).alias("_text")).withColumn("digest", F.unhex(F.sha2("_text", 256)))
-    # Rows of equal key and text are one.
-    row = F.unhex(F.sha2(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary"), F.col("digest")), 256)).alias("row")
+    texts = df.select(key, whole_text(text).alias("_text")).withColumn("digest", text_digest("_text"))
     common, counts = _common_shingles(texts, shingle)
 
     def work(rows: dict[str, list]) -> dict[str, list]:
@@ -402,7 +425,7 @@ def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     typed = df.schema[key].dataType.simpleString()
     prints = cut(map_columns(texts, f"`{key}` {typed}, digest binary, name binary, n bigint, first array<bigint>", work))
     # One node for each distinct set, with one row that has it: copies are never compared with each other.
-    one = prints.groupBy("name").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("first").alias("first"))
+    one = prints.groupBy("name").agg(F.min(row_name(key)).alias("row"), F.first("n").alias("n"), F.first("first").alias("first"))
     nodes = cut(one.withColumn("node", F.monotonically_increasing_id()))
     dealt = nodes.select(F.explode("first").alias("h"), "n", "node").repartition("h").sortWithinPartitions("h", "n", "node")
     shared = cut(dealt.mapInArrow(_shared, "h bigint, n bigint, node bigint, before bigint, size bigint"))
@@ -412,12 +435,25 @@ def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     near = cut(near.select(F.greatest("node", "before").alias("a"), F.least("node", "before").alias("b")).distinct())
     # Sizes ascend in a group, so whatever fits one of its nodes fits a neighbour: `near` has every node of any pair.
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
-    read = texts.select(row, "_text").join(wanted, "row").groupBy("row", "node").agg(F.first("_text").alias("_text"))
-    sets = cut(map_columns(read, "node bigint, x binary", lambda rows: {"node": rows["node"], "x": [shingle_hashes(t, shingle).tobytes() for t in rows["_text"]]}))
+    wanted = cut(wanted)
+    bits = min(WANTED_BITS, 1 << max(15, (16 * wanted.count()).bit_length()))
+    marks = _wanted_bits(wanted, bits)
+
+    def read(rows: dict[str, list]) -> dict[str, list]:
+        """Sets of rows that may be wanted, so that few texts are hashed again and none is shuffled."""
+        some = [i for i, p in enumerate(rows["p"]) if marks[p >> 3] >> (p & 7) & 1]
+        return {"row": [rows["row"][i] for i in some], "x": [shingle_hashes(rows["_text"][i], shingle).tobytes() for i in some]}
+
+    maybe = map_columns(texts.select(row_name(key).alias("row"), "_text").withColumn("p", _place(bits)), "row binary, x binary", read)
+    sets = cut(maybe.join(wanted, "row").groupBy("row", "node").agg(F.first("x").alias("x")).select("node", "x"))
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar, by their sets."""
-        both = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
+        known = sets
+        if pairs.count() <= FEW_PAIRS:
+            pairs = F.broadcast(pairs)
+            known = sets.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
+        both = pairs.join(known.withColumnRenamed("node", "a"), "a").join(known.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
         return cut(map_columns(both, "a bigint, b bigint", _alike(similarity)))
 
     found = links(near)

@@ -53,3 +53,13 @@ def test_near_duplicates_of_odd_rows(spark, edge_docs, empty_docs):
 def test_run(spark):
     got = cp.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(got.columns) and got.count() > 0
+
+
+def test_repeated_and_null_ids(spark):
+    """Unrelated texts of one id stay, of copies the one with the smallest id, and null ids go last."""
+    word = lambda g: " ".join(f"g{g}w{i}" for i in range(40))
+    rows = [(1, word(0)), (5, word(1)), (5, word(2)), (2, word(1)), (5, word(3)), (None, word(4)), (None, word(4)), (None, word(0)), (7, word(5) + " z"), (7, word(5)), (7, word(5))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = [(r["doc_id"], r["text"]) for r in cp.drop_near_duplicates(spark, docs, "").collect()]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(got, key=key) == [(1, word(0)), (2, word(1)), (5, word(2)), (5, word(3)), (7, word(5)), (None, word(4))]
