@@ -52,6 +52,30 @@ def pairwise_distance(wide: DataFrame, markers: list[int]) -> DataFrame:
     return left.join(right, F.col("i") < F.col("j")).select("i", "j", differ.alias("d")).withColumn("d_norm", F.col("d") / float(len(markers)))
 
 
+def genotype_members(wide: DataFrame, markers: list[int]) -> DataFrame:
+    """sample_id, genotype of every complete sample: the smallest sample id that has the same values."""
+    names = [f"m{m}" for m in markers]
+    kept = complete(wide, markers).select("sample_id", *names)
+    return kept.join(unique_genotypes(kept, markers).select(*names, F.col("sample_id").alias("genotype")), names).select("sample_id", "genotype")
+
+
+def genotype_pairs(wide: DataFrame, markers: list[int], blocks: int = 12) -> DataFrame:
+    """i, j, n_i, n_j, d, d_norm of every two distinct genotypes i < j with their samples and differing markers.
+
+    With `genotype_members` this is the distance of every pair of complete samples; those of one genotype differ in
+    nothing. Genotypes are dealt to blocks, and each pair of blocks meets by an equi-join.
+    """
+    values = F.array(*[f"m{m}" for m in markers])
+    own = F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    one = unique_genotypes(complete(wide, markers), markers).select("sample_id", "n", values.alias("v"), own.alias("own"), every.alias("other"))
+    left = one.select(F.col("own").alias("p"), F.col("other").alias("q"), F.col("sample_id").alias("i"), F.col("n").alias("n_i"), F.col("v").alias("a"))
+    right = one.select(F.col("other").alias("p"), F.col("own").alias("q"), F.col("sample_id").alias("j"), F.col("n").alias("n_j"), F.col("v").alias("b"))
+    differ = F.aggregate(F.zip_with("a", "b", lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
+    met = left.join(right, ["p", "q"]).filter(F.col("i") < F.col("j"))
+    return met.select("i", "j", "n_i", "n_j", differ.alias("d")).withColumn("d_norm", F.col("d") / float(len(markers)))
+
+
 def mismatch_histogram(wide: DataFrame, markers: list[int]) -> DataFrame:
     """d, share over the ordered-or-equal pairs i <= j of complete samples, diagonal included.
 

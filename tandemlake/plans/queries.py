@@ -361,6 +361,9 @@ query(
       round((CAST(a.m1 <> b.m1 AS INT) + CAST(a.m2 <> b.m2 AS INT) + CAST(a.m3 <> b.m3 AS INT)) / 3, 6) AS d_norm
     FROM g a JOIN g b ON a.sample_id < b.sample_id""", "whole",
 )(lambda s, d: rounded(gt.pairwise_distance(wide(s, d).filter("sample_id <= 150"), MARKERS3)))
+# The distances of all samples: pairs of distinct genotypes and the samples of each. The SQL of pairwise_distance is of samples up to 150.
+query("genotype_pairs")(lambda s, d: rounded(gt.genotype_pairs(wide(s, d), MARKERS3)))
+query("genotype_members")(lambda s, d: gt.genotype_members(wide(s, d), MARKERS3))
 query(
     "mismatch_hist",
     """SELECT CAST(a.m1 <> b.m1 AS INT) + CAST(a.m2 <> b.m2 AS INT) + CAST(a.m3 <> b.m3 AS INT) AS d,

@@ -305,3 +305,18 @@ def test_merge_delete_snapshot(spark):
     assert [[r[0] for r in left[k].collect()] for k in tables] == [[2], [11], [101]]
     members = spark.createDataFrame([("v1", 1), ("v2", 2)], "uid string, id bigint")
     assert [r["id"] for r in store.snapshot(old, members, "v2", "id").collect()] == [2]
+
+
+def test_distances_of_all_pairs_by_genotypes(spark):
+    rows = [("A", i, *(float(i * k % m) for k, m in ((1, 3), (5, 4), (7, 3)))) for i in range(1, 260)] + [("B", 999, None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "set_id string, sample_id bigint, m1 double, m2 double, m3 double")
+    of = {r["sample_id"]: r["genotype"] for r in gt.genotype_members(df, [1, 2, 3]).collect()}
+    got = gt.genotype_pairs(df, [1, 2, 3]).collect()
+    d = {(r["i"], r["j"]): r["d"] for r in got}
+    n = {r[k]: r[f"n_{k}"] for r in got for k in "ij"}
+    assert len(d) == len(got) and n == {g: sum(x == g for x in of.values()) for g in set(of.values())} and set(of) == set(range(1, 260))
+    values = {r[1]: r[2:] for r in rows}
+    for a in of:
+        for b in range(a + 1, 260):
+            i, j = sorted((of[a], of[b]))
+            assert (0 if i == j else d[i, j]) == sum(x != y for x, y in zip(values[a], values[b]))
