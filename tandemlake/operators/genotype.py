@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.exports import numbered
 from .alleles import dominant
 
 
@@ -34,7 +35,7 @@ def haplotypes(wide: DataFrame, markers: list[int]) -> DataFrame:
     """haplotype ('v1 v2 ...'), freq, first_sample, hap_id: 1, 2, ... by first sample; singletons are class 0."""
     text = F.concat_ws(" ", *[F.col(f"m{m}").cast("int").cast("string") for m in markers])
     seen = complete(wide, markers).withColumn("haplotype", text).groupBy("haplotype").agg(F.count("*").alias("freq"), F.min("sample_id").alias("first_sample"))
-    many = seen.filter("freq > 1").withColumn("hap_id", F.row_number().over(Window.orderBy("first_sample")))
+    many = numbered(seen.filter("freq > 1"), ["first_sample"]).withColumn("hap_id", F.col("number").cast("int")).drop("number")
     return many.unionByName(seen.filter("freq = 1").withColumn("hap_id", F.lit(0)))
 
 

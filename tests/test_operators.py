@@ -320,3 +320,12 @@ def test_distances_of_all_pairs_by_genotypes(spark):
         for b in range(a + 1, 260):
             i, j = sorted((of[a], of[b]))
             assert (0 if i == j else d[i, j]) == sum(x != y for x, y in zip(values[a], values[b]))
+
+
+def test_haplotypes_are_numbered_without_one_task_for_all(spark):
+    rows = [("A", i, float(i % 40), float(i % 40)) for i in range(120)] + [("A", 500, 77.0, 1.0)]
+    df = spark.createDataFrame(rows, "set_id string, sample_id bigint, m1 double, m2 double")
+    found = gt.haplotypes(df, [1, 2])
+    assert sorted((r["first_sample"], r["freq"], r["hap_id"]) for r in found.collect()) == [(i, 3, i + 1) for i in range(40)] + [(500, 1, 0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
