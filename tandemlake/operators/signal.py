@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -77,9 +78,13 @@ def top_hat(traces: DataFrame, half: int) -> DataFrame:
 
 
 def channel_stats(traces: DataFrame) -> DataFrame:
-    """Mean, median, least, largest and spread of each trace."""
-    x = traces.select("channel_id", F.explode("data").alias("x"))
-    return x.groupBy("channel_id").agg(F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("median"), F.min("x").alias("min"), F.max("x").alias("max"), F.stddev_pop("x").alias("sd"))
+    """Mean, median, least, largest and spread of each trace, within its row; empty traces have none."""
+    n, order = F.size("data"), F.array_sort("data")
+    total = F.aggregate("data", F.lit(0.0), lambda s, x: s + x)
+    around = F.aggregate("data", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean")))
+    middle = (F.get(order, ((n - 1) / 2).cast("int")) + F.get(order, (n / 2).cast("int"))) / 2
+    rows = traces.filter("size(data) > 0").withColumn("mean", total / n)
+    return rows.select("channel_id", "mean", middle.alias("median"), F.array_min("data").alias("min"), F.array_max("data").alias("max"), F.sqrt(around / n).alias("sd"))
 
 
 def points(traces: DataFrame) -> DataFrame:
@@ -92,10 +97,10 @@ def points(traces: DataFrame) -> DataFrame:
 
 
 def local_maxima(traces: DataFrame, min_height: float) -> DataFrame:
-    """channel_id, t, y of points above both neighbours and min_height."""
-    order = Window.partitionBy("channel_id").orderBy("t")
-    rows = points(traces).withColumn("a", F.lag("y").over(order)).withColumn("b", F.lead("y").over(order))
-    return rows.filter((F.col("y") > F.col("a")) & (F.col("y") > F.col("b")) & (F.col("y") > min_height)).select("channel_id", "t", "y")
+    """channel_id, t, y of points above both neighbours and min_height; no shuffle."""
+    triples = F.transform("data", lambda y, i: F.struct(i.alias("t"), y.alias("y"), F.get("data", i - 1).alias("a"), F.get("data", i + 1).alias("b")))
+    tops = F.filter(triples, lambda p: (p["y"] > p["a"]) & (p["y"] > p["b"]) & (p["y"] > min_height))
+    return traces.select("channel_id", F.explode(tops).alias("p")).select("channel_id", "p.t", "p.y")
 
 
 # Helpers for one trace.
@@ -107,45 +112,70 @@ def ricker(width: int, points: int) -> np.ndarray:
 
 
 def wavelet_peaks(y: np.ndarray, widths, min_snr: float) -> list[int]:
-    """Places of ridges of wavelet maxima that run through the widths and stand out of the noise at the least one."""
-    n = len(y)
-    rows = np.array([np.convolve(y, ricker(w, min(10 * w, n)), mode="same")[:n] for w in widths])
-    ridges: list[list[tuple[int, int]]] = []
-    for level in range(len(rows) - 1, -1, -1):
-        r = rows[level]
-        tops = np.flatnonzero((r[1:-1] > r[:-2]) & (r[1:-1] >= r[2:])) + 1
-        free = set(range(len(ridges)))
-        for t in tops.tolist():
-            near = [i for i in free if ridges[i][-1][0] - level <= 2 and abs(ridges[i][-1][1] - t) <= max(1, widths[level] // 2)]
-            if near:
-                i = min(near, key=lambda i: abs(ridges[i][-1][1] - t))
-                ridges[i].append((level, t))
-                free.discard(i)
-            else:
-                ridges.append([(level, t)])
-    half = max(1, -(-n // 20) // 2)
-    noise = [np.percentile(np.abs(rows[0][max(0, i - half) : i + half + 1]), 10) for i in range(n)]
-    need = -(-len(rows) // 4)
-    return sorted({r[-1][1] for r in ridges if len(r) >= need and abs(rows[r[-1][0]][r[-1][1]]) >= min_snr * max(noise[r[-1][1]], 1e-12)})
-
+    """Places of ridges of wavelet maxima that run through the widths and stand out of the noise (Du et al. 2006).
 
-def half_area(y: np.ndarray, share: float) -> tuple[float, int]:
-    """Area from the first point outwards, while the mean of three points falls but is over the share of the area."""
-    area, i = float(y[0]), 0
-    edge = float(y[:3].sum()) / 3
-    before = 2 * edge
-    while i + 1 < len(y) and area * share / 2 < edge < before:
-        i += 1
-        before, area, edge = edge, area + float(y[i]), float(y[i : i + 3].sum()) / 3
-    return area, i
+    Ridges begin at the largest width; a maximum of the next one goes on with the nearest ridge at most a quarter of the
+    width away. A ridge counts with maxima at a quarter of the widths at least, and a coefficient at its end of at least
+    min_snr times the noise: the 10th percentile of the least width's coefficients in a window of a twentieth of the
+    trace. Noise is looked up at the ends of ridges only.
+    """
+    n, widths = len(y), np.asarray(widths, float)
+    rows = np.array([np.convolve(y, ricker(w, int(min(10 * w, n))), mode="same")[:n] for w in widths])
+    inner = (rows[:, 1:-1] > rows[:, :-2]) & (rows[:, 1:-1] > rows[:, 2:])
+    # Of each ridge: its last place, the level of that, the place where its least width begins, and its maxima.
+    last = level = end = size = np.empty(0, int)
+    patience = np.ceil(widths[0])
+    for k in range(len(rows) - 1, -1, -1):
+        tops = np.flatnonzero(inner[k]) + 1
+        near = np.full(len(tops), -1)
+        live = np.flatnonzero(level - k <= patience + 1)
+        if len(live) and len(tops):
+            far = np.abs(tops[:, None] - last[live][None, :])
+            best = far.argmin(axis=1)
+            near = np.where(far[np.arange(len(tops)), best] <= widths[k] / 4, live[best], -1)
+        on, first, count = np.unique(near[near >= 0], return_index=True, return_counts=True)
+        last, level, end, size = last.copy(), level.copy(), end.copy(), size.copy()
+        went = tops[near >= 0]
+        last[near[near >= 0]], level[on], end[on], size[on] = went, k, went[first], size[on] + count
+        new = tops[near < 0]
+        last, level, end, size = (np.append(a, b) for a, b in ((last, new), (level, np.full(len(new), k)), (end, new), (size, np.ones(len(new), int))))
+    half, odd = divmod(-(-n // 20), 2)
+    out = set()
+    for i in np.flatnonzero(size >= -(-len(rows) // 4)):
+        at = end[i]
+        noise = np.percentile(rows[0][max(0, at - half) : at + half + odd], 10)
+        if abs(rows[level[i], at]) >= min_snr * abs(noise):
+            out.add(int(at))
+    return sorted(out)
+
+
+def flank(y: np.ndarray, share: float) -> tuple[float, int]:
+    """(area, steps) of a peak's flank, which begins at the top y[0] and runs outwards.
+
+    The flank ends at the first point where the mean of three points no longer falls, or is at most half the share of
+    the area up to there; else at the last point. The trace is read in stretches that double, so a flank costs what it
+    is long.
+    """
+    reach = 64
+    while True:
+        part = y[: reach + 3]
+        mean = np.convolve(part, np.ones(3), "full")[2 : len(part) + 2] / 3  # ends padded with zeros
+        area = np.cumsum(part)
+        goes_on = (mean > area * (share / 2)) & (mean < np.append(2 * mean[0], mean[:-1]))
+        known = len(y) if len(part) == len(y) else reach
+        stops = np.flatnonzero(~goes_on[:known])
+        if len(stops) or known == len(y):
+            at = int(stops[0]) if len(stops) else len(y) - 1
+            return float(area[at]), at
+        reach *= 2
 
 
 def find_peaks(y: np.ndarray, p: ScanParams) -> list[tuple[int, float, float, int, int]]:
     """(place, height, area, begin, end) of the peaks that pass the height filters."""
     found: dict[int, float] = {}
     for i in wavelet_peaks(y, p.widths, p.min_snr):
-        low = max(0, i - 3)
-        top = low + int(np.argmax(y[low : i + 3]))
+        stop = min(len(y), i + 3)  # of equal heights the last
+        top = stop - 1 - int(np.argmax(y[max(0, i - 3) : stop][::-1]))
         if y[top] >= p.min_height:
             found[top] = float(y[top])
     middle = float(np.median(list(found.values()))) if found else 0.0
@@ -158,34 +188,52 @@ def find_peaks(y: np.ndarray, p: ScanParams) -> list[tuple[int, float, float, in
     ]
     out = []
     for t, h in kept:
-        (right, e), (left, b) = half_area(y[t:], 5e-2), half_area(y[: t + 1][::-1], 5e-2)
+        (right, e), (left, b) = flank(y[t:], 5e-2), flank(y[: t + 1][::-1], 5e-2)
         out.append((t, h, left + right - float(y[t]), t - b, t + e))
     return out
 
 
+def next_turn(z: np.ndarray, ahead: np.ndarray, begin: int, delta: float) -> tuple[int, int] | None:
+    """(where it is sure, place) of the first maximum of z from `begin` on.
+
+    It is sure where z has fallen from its running maximum by more than delta and nothing ahead reaches that.
+    """
+    reach = 64
+    while begin < len(z):
+        part = z[begin : begin + reach]
+        top = np.maximum.accumulate(part)
+        sure = np.flatnonzero((part < top - delta) & (ahead[begin : begin + reach] < top))
+        if len(sure):
+            return begin + int(sure[0]), begin + int(np.argmax(part[: sure[0] + 1]))
+        if len(part) < reach:
+            return None
+        reach *= 2
+    return None
+
+
 def turning_points(y: np.ndarray, lookahead: int, delta: float) -> tuple[list[tuple[int, float]], list[tuple[int, float]]]:
     """(maxima, minima): extremes that nothing within `lookahead` passes and from which the signal moved by `delta`;
-    the first hit of all is dropped."""
-    tops: list[tuple[int, float]] = []
-    lows: list[tuple[int, float]] = []
-    first = None
-    high, low = -np.inf, np.inf
-    at_high = at_low = 0
-    for i, v in enumerate(y[: len(y) - lookahead]):
-        if v > high:
-            high, at_high = v, i
-        if v < low:
-            low, at_low = v, i
-        ahead = y[i : i + lookahead]
-        if v < high - delta and high != np.inf and ahead.max() < high:
-            tops.append((at_high, float(high)))
-            first = first or "top"
-            high = low = np.inf
-        elif v > low + delta and low != -np.inf and ahead.min() > low:
-            lows.append((at_low, float(low)))
-            first = first or "low"
-            high = low = -np.inf
-    return (tops[1:], lows) if first == "top" else (tops, lows[1:] if first else lows)
+    the first hit of all is dropped.
+
+    Minima are maxima of the mirrored signal, and the two kinds take turns: each search begins where the last extreme
+    became sure.
+    """
+    n = len(y) - lookahead
+    found: dict[int, list[tuple[int, float]]] = {1: [], -1: []}
+    if n <= 0:
+        return [], []
+    views = np.lib.stride_tricks.sliding_window_view(y, lookahead)[:n] if lookahead else y[:n, None]
+    sides = {s: (s * y[:n], (s * views).max(axis=1)) for s in (1, -1)}
+    starts = [(hit, -s) for s in (1, -1) if (hit := next_turn(*sides[s], 0, delta))]
+    hit, sign = min(starts, default=(None, 0))
+    side = -sign
+    while hit:
+        found[side].append((hit[1], float(y[hit[1]])))
+        side = -side
+        hit = next_turn(*sides[side], hit[0] + 1, delta)
+    if sign:
+        found[-sign] = found[-sign][1:]
+    return found[1], found[-1]
 
 
 def align(sizes: np.ndarray, x: np.ndarray, h: np.ndarray, pairs: list[tuple[int, int]], gap: float = -0.005, tolerance: float = 4.0) -> tuple[float, float, np.ndarray]:
@@ -266,9 +314,10 @@ def scan_peaks(traces: DataFrame, params: ScanParams = ScanParams()) -> DataFram
 
     def rows(k, y):
         found = find_peaks(y, params)
-        low = 0
-        while len(found) > params.max_peaks > 0 and low < 100:
-            low += 1
+        if len(found) > params.max_peaks > 0:
+            # The least whole height, at most 100, that no more than max_peaks pass.
+            next_height = sorted((f[1] for f in found), reverse=True)[params.max_peaks]
+            low = min(100, max(1, math.ceil(next_height)))
             found = [f for f in found if f[1] > low]
         out = []
         for t, h, area, b, e in found:
