@@ -33,15 +33,15 @@ def test_flank_stops_where_the_rule_says(length):
 
 
 def test_ridges_of_clean_bumps():
-    t = np.arange(600)
-    y = sum(h * np.exp(-(((t - a) / 6.0) ** 2) / 2) for a, h in ((100, 300.0), (250, 80.0), (470, 200.0)))
-    found = sg.wavelet_peaks(y + np.random.default_rng(1).normal(0, 0.5, 600), range(5, 15), 2.5)
-    assert all(min(abs(f - a) for f in found) <= 2 for a in (100, 250, 470))
+    t = np.arange(5000)
+    y = sum(h * np.exp(-(((t - a) / 6.0) ** 2) / 2) for a, h in ((600, 300.0), (2500, 80.0), (4100, 200.0)))
+    found = sg.wavelet_peaks(y + np.random.default_rng(1).normal(0, 0.5, 5000), range(5, 15), 2.5)
+    assert all(min(abs(f - a) for f in found) <= 2 for a in (600, 2500, 4100))
 
 
 def test_no_more_peaks_than_asked_for(spark):
-    t = np.arange(2000)
-    y = sum((10.0 + 3 * i) * np.exp(-(((t - 80 * i - 60) / 4.0) ** 2) / 2) for i in range(22))
+    t = np.arange(6000)
+    y = sum((10.0 + 3 * i) * np.exp(-(((t - 250 * i - 200) / 4.0) ** 2) / 2) for i in range(22))
     df = spark.createDataFrame([(1, y.tolist())], "channel_id bigint, data array<double>")
     every = sorted(r["height"] for r in sg.scan_peaks(df, sg.ScanParams(max_peaks=0)).collect())
     got = sorted(r["height"] for r in sg.scan_peaks(df, sg.ScanParams(max_peaks=15)).collect())
