@@ -40,8 +40,8 @@ def test_ridges_of_clean_bumps():
 
 
 def test_no_more_peaks_than_asked_for(spark):
-    t = np.arange(6000)
-    y = sum((10.0 + 3 * i) * np.exp(-(((t - 250 * i - 200) / 4.0) ** 2) / 2) for i in range(22))
+    t = np.arange(12000)
+    y = sum((10.0 + 3 * i) * np.exp(-(((t - 520 * i - 300) / 4.0) ** 2) / 2) for i in range(22))
     df = spark.createDataFrame([(1, y.tolist())], "channel_id bigint, data array<double>")
     every = sorted(r["height"] for r in sg.scan_peaks(df, sg.ScanParams(max_peaks=0)).collect())
     got = sorted(r["height"] for r in sg.scan_peaks(df, sg.ScanParams(max_peaks=15)).collect())
