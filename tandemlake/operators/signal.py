@@ -121,7 +121,7 @@ def wavelet_peaks(y: np.ndarray, widths, min_snr: float) -> list[int]:
     """
     n, widths = len(y), np.asarray(widths, float)
     rows = np.array([np.convolve(y, ricker(w, int(min(10 * w, n))), mode="same")[:n] for w in widths])
-    inner = (rows[:, 1:-1] > rows[:, :-2]) & (rows[:, 1:-1] > rows[:, 2:])
+    inner = (rows[:, 1:-1] > rows[:, :-2]) & (rows[:, 1:-1] >= rows[:, 2:])  # of equal ones the first
     # Of each ridge: its last place, the level of that, the place where its least width begins, and its maxima.
     last = level = end = size = np.empty(0, int)
     patience = np.ceil(widths[0])
