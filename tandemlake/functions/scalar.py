@@ -54,6 +54,14 @@ def ladder_score(rss: Column, peaks: Column, ladder: Column) -> Column:
     return F.lit(1.0) - cost - F.when(missing > 0, 0.025 * (missing - 1)).otherwise(0.0)
 
 
+def ladder_reports(rss: Column, peaks: Column, ladder: Column) -> Column:
+    """What `ladder_score` deducts for, in words, joined by '|'."""
+    missing = ladder - peaks
+    said = [F.when(missing > 0, F.format_string("QC missing peaks = %d", missing))]
+    said += [F.when(rss > limit, f"QC RSS > {limit}") for limit in (1024, 255, 50)] + [F.when(rss <= 0, "QC RSS < 0")]
+    return F.concat_ws("|", *said)
+
+
 def wavelength_rgb(nm: Column, top: Column) -> Column:
     """array(red, green, blue) of a wavelength in nm, up to `top`; outside 380 to 780 all zero."""
 

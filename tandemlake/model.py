@@ -27,6 +27,7 @@ LADDERS = {
                380, 400, 414, 420, 440, 460, 480, 500, 514, 520, 540, 560, 580, 600),
     "LIZ500": (35, 50, 75, 100, 139, 150, 160, 200, 250, 300, 340, 350, 400, 450, 490, 500),
 }
+LADDER_DYE = "LIZ"
 COLOURS = ("red", "green", "blue", "orange", "purple", "black", "magenta", "wheat", "cyan", "brown", "slateblue", "lightgreen")
 DYES = {"B": "6-FAM", "G": "VIC", "Y": "NED", "O": "LIZ", "R": "PET"}
 

@@ -16,18 +16,26 @@ def stutter(peaks: DataFrame, reach: float = 1.25) -> DataFrame:
     return peaks.withColumn("peak_type", F.when(near, "peak-stutter").otherwise("peak-called"))
 
 
-def overlaps(peaks: DataFrame) -> DataFrame:
+def overlaps(peaks: DataFrame, channels: DataFrame | None = None) -> DataFrame:
     """peak_id of peaks that overlap in time with a higher one of another channel of the assay.
 
     Peaks have brtime and ertime (end exclusive). Time is cut into slots as wide as a peak of the assay can be, so the
-    range join is an equi-join on assay and slot; all peaks are judged by the types they had before.
+    range join is an equi-join on assay and slot; all peaks are judged by the types they had before. With channels
+    (assay_id, channel_id, data) one of the two peaks must also be lower than the other channel's signal at its time.
     """
     widths = peaks.groupBy("assay_id").agg(F.greatest(F.max(F.col("ertime") - F.col("brtime")), F.lit(1)).alias("width"))
     rows = peaks.join(widths, "assay_id").withColumn("slot", F.floor(F.col("brtime") / F.col("width")))
     near = F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1))
     a = rows.select("assay_id", near.alias("slot"), F.col("channel_id").alias("c1"), F.col("peak_id"), F.col("brtime").alias("b1"), F.col("ertime").alias("e1"), F.col("height").alias("h1"))
-    b = rows.select("assay_id", "slot", F.col("channel_id").alias("c2"), F.col("brtime").alias("b2"), F.col("ertime").alias("e2"), F.col("height").alias("h2"))
+    b = rows.select("assay_id", "slot", F.col("channel_id").alias("c2"), F.col("peak_id").alias("other"), F.col("brtime").alias("b2"), F.col("ertime").alias("e2"), F.col("height").alias("h2"))
     met = a.join(b, ["assay_id", "slot"]).filter("c1 <> c2 AND b1 < e2 AND b2 < e1 AND h1 < h2")
+    if channels is not None:
+        # The signal of the assay's other channels at each peak's time: traces meet the few peaks of their assay.
+        traces = channels.select("assay_id", F.col("channel_id").alias("in"), "data")
+        at = peaks.select("assay_id", "channel_id", "peak_id", "rtime").join(traces, "assay_id").filter("channel_id <> in")
+        at = at.select(F.col("peak_id").alias("p"), "in", F.get("data", F.col("rtime")).alias("level"))
+        met = met.join(at.select(F.col("p").alias("peak_id"), F.col("in").alias("c2"), F.col("level").alias("l1")), ["peak_id", "c2"], "left")
+        met = met.join(at.select(F.col("p").alias("other"), F.col("in").alias("c1"), F.col("level").alias("l2")), ["other", "c1"], "left").filter("h1 < l1 OR h2 < l2")
     return met.select("peak_id").distinct()
 
 

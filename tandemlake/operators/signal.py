@@ -1,4 +1,4 @@
-"""Traces: smoothing, baseline, peak scan and ladder alignment. A trace row has channel_id and data (array<double>)."""
+"""Traces: smoothing, baseline, peak scan and ladders. A trace row has channel_id and data (array<double>)."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .ladder import fit_ladder
 
 
 @dataclass(frozen=True)
@@ -236,59 +237,20 @@ def turning_points(y: np.ndarray, lookahead: int, delta: float) -> tuple[list[tu
     return found[1], found[-1]
 
 
-def align(sizes: np.ndarray, x: np.ndarray, h: np.ndarray, pairs: list[tuple[int, int]], gap: float = -0.005, tolerance: float = 4.0) -> tuple[float, float, np.ndarray]:
-    """(score, rss, z): ladder sizes matched to peaks by dynamic programming until the score no longer rises.
-
-    Sizes and times x both descend; z is the cubic size of a time, at first fitted to `pairs`.
-    """
-    best, z = -1.0, None
-    weight = (np.log10(np.maximum(h / h.max(), 1e-9)) + len(sizes)) / len(sizes)
-    while len(pairs) >= 4:
-        i, j = np.array(pairs).T
-        fit = np.polyfit(x[j], sizes[i], 3)
-        rss = float(((np.polyval(fit, x[j]) - sizes[i]) ** 2).sum())
-        s = weight[None, :] * np.exp(-(((np.polyval(fit, x)[None, :] - sizes[:, None]) / tolerance) ** 2) / 2)
-        d = np.zeros((len(sizes) + 1, len(x) + 1))
-        d[:, 0] = gap * np.arange(len(sizes) + 1)
-        for a in range(1, len(sizes) + 1):
-            for b in range(1, len(x) + 1):
-                d[a, b] = max(d[a - 1, b - 1] + s[a - 1, b - 1], d[a - 1, b] + gap, d[a, b - 1])
-        score = float(d[-1, -1])
-        if score <= best + 1e-9:
-            break
-        best, z, kept = score, fit, rss
-        a, b, pairs = len(sizes), len(x), []
-        while a and b:
-            if d[a, b] == d[a - 1, b - 1] + s[a - 1, b - 1]:
-                pairs.append((a - 1, b - 1))
-                a, b = a - 1, b - 1
-            elif d[a, b] == d[a, b - 1]:
-                b -= 1
-            else:
-                a -= 1
-    return (best, kept, z) if z is not None else (-1.0, -1.0, np.zeros(4))
-
-
-def align_ladder(ladder: list[float], times: list[float], heights: list[float]) -> tuple[float, float, np.ndarray]:
-    """The best alignment of a ladder to some of its channel's peaks.
-
-    The highest peaks, from as many as the ladder has up to all, are paired with the sizes in order, shifted by a few
-    places either way; the three best cubic fits are aligned further, and the best score (then the least rss) wins.
-    """
-    sizes, by_height = np.sort(np.array(ladder, float))[::-1], np.argsort(heights)[::-1]
-    starts = []
-    for count in sorted({min(len(times), len(sizes) + extra) for extra in (-2, 0, 1, 2, 4, 8)} | {len(times)}):
-        chosen = np.sort(by_height[: max(count, 0)])
-        order = chosen[np.argsort(np.array(times, float)[chosen])[::-1]]
-        x, h = np.array(times, float)[order], np.array(heights, float)[order]
-        for shift in range(-3, 8):
-            pairs = [(i, i + shift) for i in range(len(sizes)) if 0 <= i + shift < len(x)]
-            if len(pairs) >= max(5, len(sizes) - 7):
-                i, j = np.array(pairs).T
-                rss = float(((np.polyval(np.polyfit(x[j], sizes[i], 3), x[j]) - sizes[i]) ** 2).sum())
-                starts.append((rss / len(pairs), len(starts), x, h, pairs))
-    tried = [align(sizes, x, h, pairs) for _, _, x, h, pairs in sorted(starts)[:3]]
-    return min(tried, key=lambda a: (-a[0], a[1])) if tried else (-1.0, -1.0, np.zeros(4))
+def peak_rows(channel: int, y: np.ndarray, params: ScanParams) -> list[tuple]:
+    """The peaks of a trace in the columns of PEAK."""
+    found = find_peaks(y, params)
+    if len(found) > params.max_peaks > 0:
+        # The least whole height, at most 100, that no more than max_peaks pass.
+        next_height = sorted((f[1] for f in found), reverse=True)[params.max_peaks]
+        low = min(100, max(1, math.ceil(next_height)))
+        found = [f for f in found if f[1] > low]
+    out = []
+    for t, h, area, b, e in found:
+        beta = area / h if h else 0.0
+        kind = "peak-noise" if any(abs(t - x) < 5 for x in params.ignored) else "peak-broad" if beta > params.max_beta else "peak-scanned"
+        out.append((channel, t, h, area, b, e, e - b, (e - t or 1) / (t - b or 1), beta, kind))
+    return out
 
 
 # The helpers over tables of traces.
@@ -311,22 +273,7 @@ def _each(traces: DataFrame, schema: str, rows: Callable[[int, np.ndarray], list
 
 def scan_peaks(traces: DataFrame, params: ScanParams = ScanParams()) -> DataFrame:
     """Peaks with area, width, skew and beta (area for height); ignored places are noise, large beta is broad."""
-
-    def rows(k, y):
-        found = find_peaks(y, params)
-        if len(found) > params.max_peaks > 0:
-            # The least whole height, at most 100, that no more than max_peaks pass.
-            next_height = sorted((f[1] for f in found), reverse=True)[params.max_peaks]
-            low = min(100, max(1, math.ceil(next_height)))
-            found = [f for f in found if f[1] > low]
-        out = []
-        for t, h, area, b, e in found:
-            beta = area / h if h else 0.0
-            kind = "peak-noise" if any(abs(t - x) < 5 for x in params.ignored) else "peak-broad" if beta > params.max_beta else "peak-scanned"
-            out.append((k, t, h, area, b, e, e - b, (e - t or 1) / (t - b or 1), beta, kind))
-        return out
-
-    return _each(traces, PEAK, rows)
+    return _each(traces, PEAK, lambda k, y: peak_rows(k, y, params))
 
 
 def detect_turning_points(traces: DataFrame, lookahead: int = 5, delta: float = 0.0) -> DataFrame:
@@ -340,12 +287,15 @@ def detect_turning_points(traces: DataFrame, lookahead: int = 5, delta: float =
 
 
 def align_ladders(peaks: DataFrame, sizes: list[float]) -> DataFrame:
-    """assay_id, score, rss, z, n_peaks of each assay's ladder channel; assays are dealt to tasks."""
+    """assay_id, score, rss, z, n_peaks of each assay's ladder channel; assays are dealt to tasks.
+
+    score is that of the alignment (-1 and an empty z without one); see `ladder.fit_ladder`.
+    """
 
     ship(peaks.sparkSession)
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
-        score, rss, z = align_ladder(sizes, f["rtime"].tolist(), f["height"].tolist())
-        return pd.DataFrame([(f["assay_id"].iloc[0], score, rss, z.tolist(), len(f))], columns=["assay_id", "score", "rss", "z", "n_peaks"])
+        fit = fit_ladder(sizes, f["rtime"].to_numpy(float), f["height"].to_numpy(float))
+        return pd.DataFrame([(f["assay_id"].iloc[0], fit.dpscore, fit.rss, fit.z, len(f))], columns=["assay_id", "score", "rss", "z", "n_peaks"])
 
     return peaks.select("assay_id", "rtime", "height").groupBy("assay_id").applyInPandas(one, "assay_id bigint, score double, rss double, z array<double>, n_peaks bigint")
