@@ -1,17 +1,18 @@
 """SimHash near-duplicate classes, with BK-trees over shards of the fingerprints.
 
-Fingerprints that differ in at most RADIUS bits agree in at least one of RADIUS + 1 blocks of bits, so every link lies
-within a shard of fingerprints with equal bits in a block. A shard becomes a BK-tree: children hang at their integer
+Fingerprints that differ in at most RADIUS bits agree in all but RADIUS of any blocks of bits, so every link lies within
+a shard of fingerprints with equal bits in some choice of blocks. A shard becomes a BK-tree: children hang at their integer
 Hamming distance to the parent, and a search follows only edges within the radius of the distance to the node. Trees
 are bounded: a shard above TREE_SIZE fingerprints is dealt to several trees, and each of its parts is searched in the
 tree of every other part. Trees travel with their shard's queries, as shards grow with the corpus and a broadcast of
 them would have no bound. Of a shard's links only those that join two classes leave the task; the classes of the whole
 corpus are the connected components of these.
 
-`near_classes` links 64-bit fingerprints within RADIUS bits. `similar_classes` links texts by the exact Jaccard similarity
-of their sets of shingles, and needs no fingerprints: in any one order of all shingles, two sets of n and m shingles with
-a similarity of s share one of their first n - ceil(s n) + 1 and m - ceil(s m) + 1 shingles. Texts that share such a
-shingle are candidates, and candidates are compared shingle by shingle, so no pair is lost and none is added.
+`near_classes` links 64-bit fingerprints within RADIUS bits. `similar_rows` links texts by the exact Jaccard similarity
+of their sets of shingles: the trees give the first candidates, from fingerprints of the sets, and what fingerprints
+miss comes from shared first shingles: in any one order of all shingles, two sets of n and m shingles with a similarity
+of s share one of their first n - ceil(s n) + 1 and m - ceil(s m) + 1 shingles. All candidates are compared shingle by
+shingle, so no pair is lost and none is added.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -30,7 +32,6 @@ from .common import cut, map_columns, read_table, whole_text
 from .graph import components
 
 RADIUS = 3
-BLOCKS = RADIUS + 1
 BITS = 64
 SHINGLE = 3
 SEED = 42
@@ -39,7 +40,6 @@ TREE_SIZE = 16_384
 #: From so many fingerprints on, queries go down the tree together, in numpy.
 TOGETHER = 48
 _CHUNK = 65_536
-WIDE_BITS = 512
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 #: Texts, about, and at most one in so many, whose shingles are counted to put common ones last, and common shingles at
@@ -47,6 +47,13 @@ SIMILARITY = 0.8
 SAMPLE_TEXTS = 20_000
 SAMPLE_STEP = 8
 COMMON = 1 << 18
+#: A node's number: the size of its set, as far as SIZE_BITS go, before a running number of NODE_BITS.
+NODE_BITS = 39
+SIZE_BITS = 24
+#: Shingles of a set for each counter of its outline, at least.
+OUTLINE_STEP = 4
+#: Rows of a large group of a first shingle that meet in one task, of each side.
+GROUP_ROWS = 4_096
 #: Pairs of an Arrow batch, about; pairs that are broadcast at most; bits of the map of wanted rows at most.
 _PAIRS = 200_000
 FEW_PAIRS = 50_000
@@ -84,39 +91,6 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     return map_columns(df.select(key, whole_text(text).alias("_text")), f"`{key}` {typed}, fp bigint", work)
 
 
-def _further(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The k-th hash that is made of each 64-bit hash, by adding and mixing."""
-    z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << BITS))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def set_fingerprint(words: list[bytes], shingle: int, bits: int) -> bytes:
-    """A bit is one where over half of the distinct shingles' hashes have it set; all zero without words."""
-    import xxhash
-
-    if not words:
-        return bytes(bits // 8)
-    digest, join, n = xxhash.xxh64_intdigest, b" ".join, max(1, len(words) - shingle + 1)
-    hashes = np.unique(np.fromiter((digest(join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
-    ones, step = np.zeros(bits, np.int64), _CHUNK * BITS // bits
-    for at in range(0, len(hashes), step):
-        part = hashes[at : at + step]
-        all_bits = np.stack([_further(part, k) for k in range(bits // BITS)], axis=1).astype(">u8")
-        ones += np.unpackbits(all_bits.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * ones > len(hashes)).tobytes()
-
-
-def similarity_radius(similarity: float, bits: int = WIDE_BITS) -> int:
-    """Bits in which fingerprints of two sets of this Jaccard similarity differ on average, and one standard deviation more.
-
-    Sets of equal size have the cosine 2s / (1 + s), and a bit differs with the probability angle / pi.
-    """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
-
-
 class BKTree:
     """Fingerprints by Hamming distance to their parent."""
 
@@ -272,13 +246,31 @@ def shard_links(shards: DataFrame, radius: int, number: Callable) -> DataFrame:
     return sorted_rows.mapInArrow(_searcher(radius, number), "a bigint, b bigint")
 
 
+def shard_plan(n: int) -> tuple[int, tuple[tuple[int, ...], ...]]:
+    """(blocks, choices): fingerprints are cut into blocks, and those of a choice of blocks equal make a shard.
+
+    RADIUS differing bits leave all but RADIUS of the blocks equal, so every link lies within a shard of some choice. The
+    more blocks, the more of the bits a shard fixes: the least number is taken whose shards have at most TREE_SIZE of n
+    evenly spread fingerprints, so work grows in proportion to n.
+    """
+    for blocks in range(RADIUS + 1, 2 * RADIUS + 2):
+        if n <= TREE_SIZE << (BITS * (blocks - RADIUS) // blocks):
+            break
+    return blocks, tuple(combinations(range(blocks), blocks - RADIUS))
+
+
 def near_links(nodes: DataFrame) -> DataFrame:
     """a, b: links that connect what all links within RADIUS connect. nodes: node bigint, distinct fp bigint."""
-    width = BITS // BLOCKS
-    block = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-    shards = nodes.select("node", "fp", block.alias("block")).withColumn(
-        "bits", F.expr(f"shiftrightunsigned(fp, block * {width})").bitwiseAND(F.lit((1 << width) - 1))
-    )
+    blocks, choices = shard_plan(nodes.count())
+    cuts = [BITS * i // blocks for i in range(blocks + 1)]
+
+    def bits(choice: tuple[int, ...]) -> Column:
+        """The bits of the chosen blocks; the others are zero."""
+        mask = sum(((1 << cuts[i + 1]) - (1 << cuts[i])) for i in choice)
+        return F.col("fp").bitwiseAND(F.lit(mask - (1 << BITS) if mask >> (BITS - 1) else mask))
+
+    keys = F.array(*[F.struct(F.lit(i).alias("block"), bits(c).alias("bits")) for i, c in enumerate(choices)])
+    shards = nodes.select("node", "fp", F.explode(keys).alias("key")).select("node", "fp", "key.*")
     return shard_links(shards, RADIUS, _unsigned)
 
 
@@ -308,62 +300,166 @@ def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
     step = max(SAMPLE_STEP, texts.count() // SAMPLE_TEXTS)
     some = texts.select("_text").filter(F.pmod(F.xxhash64("_text"), F.lit(step)) == 0)
     found = map_columns(some, "h array<bigint>", lambda rows: {"h": [shingle_hashes(t, shingle).view(np.int64) for t in rows["_text"]]})
-    counted = found.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    got = counted.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()  # at most COMMON rows
-    hashes, counts = got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    counted = cut(found.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    # The most frequent ones, as many of equal counts as stay within COMMON.
+    least, total = 2, 0
+    for n, c in sorted(((r["n"], r["c"]) for r in counted.groupBy("n").agg(F.count("*").alias("c")).collect()), reverse=True):  # a row a count
+        total += c
+        if total > COMMON:
+            least = n + 1
+            break
+    got = counted.filter(F.col("n") >= least).toArrow()  # at most COMMON rows
+    hashes, counts = got["h"].to_numpy().view(np.uint64), got["n"].to_numpy()
     order = np.argsort(hashes)
     return hashes[order], counts[order]
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of rows sorted by the first column, cut only where that changes."""
-    held = None
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set: a bit is one where over half of the hashes have it set; 0 without any. Signed."""
+    if not len(hashes):
+        return 0
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = hashes[at : at + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
+def outline(hashes: np.ndarray) -> bytes:
+    """How many of the hashes fall to each of some buckets, by their low bits: a byte each, at most 255."""
+    buckets = 1 << max(3, (len(hashes) // OUTLINE_STEP).bit_length() - 1)
+    counts = np.bincount((hashes & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def may_be_alike(n: int, x: bytes, m: int, y: bytes, similarity: float) -> bool:
+    """Whether outlines of sets of n and m shingles allow the similarity: they share at most the lesser counts."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if a.max(initial=0) == 255 or b.max(initial=0) == 255:
+        return True
+    size = min(len(a), len(b))
+    a, b = (v if len(v) == size else v.reshape(-1, size).sum(axis=0, dtype=np.int64) for v in (a, b))
+    both = int(np.minimum(a, b).sum(dtype=np.int64))
+    return both + 1e-9 >= similarity * (n + m - both)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (h, node, pos), sorted, those of first shingles that several nodes have.
+
+    The first and the last row of a partition stay anyhow, as a group may go on in the next one.
+    """
+    held: list[np.ndarray] = []  # the last row, which waits for what follows
+    held_stays = True
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
-        held = [np.concatenate(x) for x in zip(held, columns)] if held else columns
-        last = int(np.searchsorted(held[0], held[0][-1]))
-        if last:
-            yield [c[:last] for c in held]
-            held = [c[last:] for c in held]
+        columns = [batch.column(i).to_numpy() for i in range(3)]
+        if held:
+            columns = [np.append(x, y) for x, y in zip(held, columns)]
+        same = columns[0][1:] == columns[0][:-1]
+        keep = np.append(held_stays, same) | np.append(same, False)
+        held_stays = bool(same[-1]) if len(same) else held_stays
+        held = [c[-1:] for c in columns]
+        out = np.flatnonzero(keep[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in columns], names=["h", "node", "pos"])
     if held:
-        yield held
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["h", "node", "pos"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of first shingles that several nodes have, each with the node before it in the group (-1: none)."""
-    for h, n, node in _runs(batches):
-        same = h[1:] == h[:-1]
-        after = np.append(False, same)
-        keep = after | np.append(same, False)
-        before = np.where(after, np.append(-1, node[:-1]), -1)
-        size = np.append(0, n[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, n, node, before, size)], names=["h", "n", "node", "before", "size"])
+def node_size(node):
+    return node >> NODE_BITS
+
+
+def _fits(similarity: float, node: np.ndarray, pos: np.ndarray, other: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether sets may be alike whose first common shingle in the order stands at these positions.
+
+    Both must have room for all that they would share from there on.
+    """
+    n, m = node_size(node), node_size(other)
+    least = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-6)
+    room = [np.where(size == (1 << SIZE_BITS) - 1, np.inf, size - place) for size, place in ((n, pos), (m, at))]
+    return (room[0] >= least) & (room[1] >= least) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6)
+
+
+def _neighbours(similarity: float, steps: int) -> Callable:
+    """Pairs of nodes at most `steps` rows apart within a group, of different classes, that may be alike.
+
+    Rows (h, node, pos, label) come sorted by h.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(i).to_numpy() for i in range(4)]
+            old = len(held[0]) if held else 0
+            if held:
+                columns = [np.append(x, y) for x, y in zip(held, columns)]
+            h, node, pos, label = columns
+            a, b = [], []
+            for step in range(1, steps + 1):
+                i = np.flatnonzero((h[step:] == h[:-step]) & (label[step:] != label[:-step])) if len(h) > step else np.empty(0, int)
+                i = i[i + step >= old]  # pairs of held rows are known
+                i = i[_fits(similarity, node[i], pos[i], node[i + step], pos[i + step])]
+                a.append(np.maximum(node[i], node[i + step]))
+                b.append(np.minimum(node[i], node[i + step]))
+            held = [c[-steps:] for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+
+    return work
 
 
 def _crossing(similarity: float) -> Callable:
-    """Pairs of a group's nodes of different classes whose sizes allow the similarity; groups come sorted by size."""
+    """Pairs of nodes of different classes that may be alike, one of them being of role 1.
+
+    Rows (cell, role, node, pos, label) come sorted by cell; role 0 are a block of a group's nodes, role 1 those that
+    aren't of the group's main class. A cell has at most GROUP_ROWS rows of each role, or so.
+    """
+
+    def pairs(rows: list[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        role, node, pos, label = (np.concatenate(x) for x in zip(*rows))
+        left = role == 0
+        order = np.argsort(node[left])
+        every, places, labels = (x[left][order] for x in (node, pos, label))
+        sizes = node_size(every)
+        for x, at, own in zip(*(v[~left].tolist() for v in (node, pos, label))):
+            n = node_size(x)
+            part = slice(np.searchsorted(sizes, n * similarity - 1e-6), np.searchsorted(sizes, n / similarity + 1e-6, "right"))
+            ok = labels[part] != own
+            other, place = every[part][ok], places[part][ok]
+            other = other[_fits(similarity, np.full(len(other), x), np.full(len(other), at), other, place)]
+            if len(other):
+                yield np.maximum(other, x), np.minimum(other, x)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[np.ndarray]]]:
+        """The rows of one cell after the other; a cell may span batches."""
+        cell, rows = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(i).to_numpy() for i in range(5)]
+            starts = np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1])).tolist()
+            for begin, end in zip(starts, [*starts[1:], len(columns[0])]):
+                if columns[0][begin] != cell and rows:
+                    yield rows
+                    rows = []
+                cell = columns[0][begin]
+                rows.append([c[begin:end] for c in columns[1:]])
+        if rows:
+            yield rows
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
-        for h, n, node, label in _runs(batches):
-            cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])).tolist()
-            for begin, end in zip(cuts, cuts[1:]):
-                if (label[begin:end] == label[begin]).all():
-                    continue
-                for i in range(begin, end - 1):
-                    stop = begin + int(np.searchsorted(n[begin:end], n[i] / similarity + 1e-6, "right"))
-                    other = node[i + 1 : stop][label[i + 1 : stop] != label[i]]
-                    if len(other):
-                        out.append((np.maximum(other, node[i]), np.minimum(other, node[i])))
-                        held += len(other)
-                    if held >= _PAIRS:
-                        yield batch()
-                        out, held = [], 0
+        for rows in cells(batches):
+            for pair in pairs(rows):
+                out.append(pair)
+                held += len(pair[0])
+                if held >= _PAIRS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
+                    out, held = [], 0
         if out:
-            yield batch()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
 
     return work
 
@@ -382,6 +478,14 @@ def _alike(similarity: float) -> Callable:
     return work
 
 
+def _allowed(similarity: float) -> Callable:
+    def work(rows: dict[str, list]) -> dict[str, list]:
+        ok = [may_be_alike(*r, similarity) for r in zip(rows["n"], rows["x"], rows["m"], rows["y"])]
+        return {k: [v for v, good in zip(rows[k], ok) if good] for k in ("a", "b")}
+
+    return work
+
+
 def row_name(key: str = "doc_id", digest: str = "digest") -> Column:
     """SHA-256 of a row's key and digest: rows of equal key and text are one."""
     return F.unhex(F.sha2(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary"), F.col(digest)), 256))
@@ -405,12 +509,51 @@ def _wanted_bits(rows: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _numbered_sets(prints: DataFrame, key: str) -> DataFrame:
+    """name, row, node: a number for each distinct set, which begins with its size, and one row that has the set."""
+    one = prints.groupBy("name").agg(F.min(row_name(key)).alias("row"), F.first("n").alias("n"))
+    one = cut(one.withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33).alias("part")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = one.groupBy(part).agg(F.count("*").alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))  # a row a partition
+    number = F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("start")
+    size = F.shiftleft(F.least("n", F.lit((1 << SIZE_BITS) - 1)), NODE_BITS)
+    return cut(one.withColumn("part", part).join(F.broadcast(starts), "part").select("name", "row", "n", (size + number).alias("node")))
+
+
+def _cells(labelled: DataFrame) -> DataFrame:
+    """cell, role, node, pos, label: the nodes of each first shingle that several classes share, ready to be compared.
+
+    The main class of a shingle is its most frequent one; its nodes meet only the others. Groups of any size are dealt
+    to cells of bounded size: a block of the group's nodes, and a block of those of other classes.
+    """
+    per = labelled.groupBy("h", "label").agg(F.count("*").alias("c"))
+    groups = per.groupBy("h").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("g")).filter("g > main.c")
+    blocks = lambda c: F.ceil(c / GROUP_ROWS).cast("int")
+    groups = groups.select("h", F.col("main.label").alias("main"), blocks(F.col("g")).alias("p"), blocks(F.col("g") - F.col("main.c")).alias("q"))
+    rows = labelled.join(groups, "h")
+    place = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+    count = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    own = F.transform(count("q"), lambda j: F.struct(F.lit(0).alias("role"), place("p").alias("i"), j.alias("j")))
+    others = F.transform(count("p"), lambda i: F.struct(F.lit(1).alias("role"), i.alias("i"), place("q").alias("j")))
+    none = F.array().cast("array<struct<role:int,i:int,j:int>>")
+    meets = F.concat(own, F.when(F.col("label") != F.col("main"), others).otherwise(none))
+    met = rows.select("h", "node", "pos", "label", F.explode(meets).alias("m")).repartition("h", "m.i", "m.j").sortWithinPartitions("h", "m.i", "m.j")
+    return met.select(F.xxhash64("h", "m.i", "m.j").alias("cell"), F.col("m.role").cast("bigint").alias("role"), "node", "pos", "label")
+
+
 def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """key, digest (SHA-256 of the text), class of every row; rows of a class are those reachable over links.
 
     Texts link where the Jaccard similarity of their sets of `shingle`-word shingles (words as in `fingerprint`) is at
     least `similarity`, exactly. Texts without words (null, empty, blank) link to each other. Keys, null or repeated,
     have no part in it.
+
+    Candidates come in rounds. First: sets whose fingerprints the trees find within RADIUS bits, and of those that share
+    a first shingle, or a fingerprint, neighbours in a random order, a different one for each shingle. Then again
+    neighbours, in another order, as far as their classes differ. These join nearly all that is alike, in time in
+    proportion to the rows. Last: of those that share a first shingle all pairs whose classes still differ. Outlines rule
+    out most candidates before any set is fetched.
     """
     ship(df.sparkSession)
     texts = df.select(key, whole_text(text).alias("_text")).withColumn("digest", text_digest("_text"))
@@ -418,49 +561,63 @@ def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         sets = [shingle_hashes(t, shingle) for t in rows["_text"]]
-        first = [first_shingles(x, common, counts, similarity).view(np.int64) for x in sets]
-        names = [hashlib.sha256(x.tobytes()).digest()[:16] for x in sets]
-        return {key: rows[key], "digest": rows["digest"], "name": names, "n": [len(x) for x in sets], "first": first}
+        return {
+            key: rows[key], "digest": rows["digest"], "name": [hashlib.sha256(x.tobytes()).digest()[:16] for x in sets], "n": [len(x) for x in sets],
+            "fp": [set_fingerprint(x) for x in sets], "outline": [outline(x) for x in sets],
+            "first": [first_shingles(x, common, counts, similarity).view(np.int64) for x in sets],
+        }
 
     typed = df.schema[key].dataType.simpleString()
-    prints = cut(map_columns(texts, f"`{key}` {typed}, digest binary, name binary, n bigint, first array<bigint>", work))
-    # One node for each distinct set, with one row that has it: copies are never compared with each other.
-    one = prints.groupBy("name").agg(F.min(row_name(key)).alias("row"), F.first("n").alias("n"), F.first("first").alias("first"))
-    nodes = cut(one.withColumn("node", F.monotonically_increasing_id()))
-    dealt = nodes.select(F.explode("first").alias("h"), "n", "node").repartition("h").sortWithinPartitions("h", "n", "node")
-    shared = cut(dealt.mapInArrow(_shared, "h bigint, n bigint, node bigint, before bigint, size bigint"))
-
-    # Neighbours in a group first: they join most of a large group of copies, whose pairs then need no comparison.
-    near = shared.filter((F.col("before") >= 0) & (F.col("size") + 1e-6 >= similarity * F.col("n")))
-    near = cut(near.select(F.greatest("node", "before").alias("a"), F.least("node", "before").alias("b")).distinct())
-    # Sizes ascend in a group, so whatever fits one of its nodes fits a neighbour: `near` has every node of any pair.
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
-    wanted = cut(wanted)
-    bits = min(WANTED_BITS, 1 << max(15, (16 * wanted.count()).bit_length()))
-    marks = _wanted_bits(wanted, bits)
-
-    def read(rows: dict[str, list]) -> dict[str, list]:
-        """Sets of rows that may be wanted, so that few texts are hashed again and none is shuffled."""
-        some = [i for i, p in enumerate(rows["p"]) if marks[p >> 3] >> (p & 7) & 1]
-        return {"row": [rows["row"][i] for i in some], "x": [shingle_hashes(rows["_text"][i], shingle).tobytes() for i in some]}
-
-    maybe = map_columns(texts.select(row_name(key).alias("row"), "_text").withColumn("p", _place(bits)), "row binary, x binary", read)
-    sets = cut(maybe.join(wanted, "row").groupBy("row", "node").agg(F.first("x").alias("x")).select("node", "x"))
+    prints = cut(map_columns(texts, f"`{key}` {typed}, digest binary, name binary, n bigint, fp bigint, outline binary, first array<bigint>", work))
+    # One node for each distinct set: copies are never compared with each other.
+    nodes = _numbered_sets(prints, key)
+    own = lambda *columns: prints.select("name", row_name(key).alias("row"), *columns).join(nodes.select("name", "row", "node"), ["name", "row"]).dropDuplicates(["name", "row", "node"]).select("node", *columns)
+
+    firsts = own("first").select(F.posexplode("first").alias("pos", "h"), "node").select("h", "node", F.col("pos").cast("bigint").alias("pos"))
+    # Ranges of both columns, so a frequent shingle is spread over many tasks.
+    shared = cut(firsts.repartitionByRange("h", "node").sortWithinPartitions("h", "node").mapInArrow(_shared, "h bigint, node bigint, pos bigint"))
+    outlines = cut(own("n", "fp", "outline"))
+
+    def neighbours(rows: DataFrame, seed: int, steps: int) -> DataFrame:
+        mixed = rows.withColumn("mix", F.xxhash64("h", "node", F.lit(seed))).repartitionByRange("h", "mix").sortWithinPartitions("h", "mix")
+        return mixed.select("h", "node", "pos", "label").mapInArrow(_neighbours(similarity, steps), "a bigint, b bigint")
+
+    def classed(found: DataFrame) -> DataFrame:
+        """The shared first shingles with the class of each node by the links found."""
+        return cut(shared.join(components(found), "node", "left").select("h", "node", "pos", F.coalesce("component", "node").alias("label")))
 
     def links(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar, by their sets."""
-        known = sets
-        if pairs.count() <= FEW_PAIRS:
-            pairs = F.broadcast(pairs)
-            known = sets.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
-        both = pairs.join(known.withColumnRenamed("node", "a"), "a").join(known.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
+        """The pairs that are similar: outlines first, then the sets of those that remain."""
+        x = outlines.select(F.col("node").alias("a"), "n", F.col("outline").alias("x"))
+        y = outlines.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("outline").alias("y"))
+        left = cut(map_columns(pairs.join(x, "a").join(y, "b"), "a bigint, b bigint", _allowed(similarity)))
+        wanted = cut(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node"))
+        bits = min(WANTED_BITS, 1 << max(15, (16 * wanted.count()).bit_length()))
+        marks = _wanted_bits(wanted, bits)
+
+        def read(rows: dict[str, list]) -> dict[str, list]:
+            """Sets of rows that may be wanted, so that few texts are hashed again and none is shuffled."""
+            some = [i for i, p in enumerate(rows["p"]) if marks[p >> 3] >> (p & 7) & 1]
+            return {"row": [rows["row"][i] for i in some], "x": [shingle_hashes(rows["_text"][i], shingle).tobytes() for i in some]}
+
+        maybe = map_columns(texts.select(row_name(key).alias("row"), "_text").withColumn("p", _place(bits)), "row binary, x binary", read)
+        sets = cut(maybe.join(wanted, "row").groupBy("row", "node").agg(F.first("x").alias("x")).select("node", "x"))
+        if left.count() <= FEW_PAIRS:
+            left = F.broadcast(left)
+        both = left.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
         return cut(map_columns(both, "a bigint, b bigint", _alike(similarity)))
 
-    found = links(near)
-    label = F.coalesce("component", "node").alias("label")
-    labelled = shared.select("h", "n", "node").join(components(found), "node", "left").select("h", "n", "node", label)
-    crossing = labelled.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(_crossing(similarity), "a bigint, b bigint")
-    rest = cut(crossing.distinct().join(near, ["a", "b"], "left_anti"))
+    # Trees over distinct fingerprints; sets with one fingerprint are neighbours.
+    by_print = near_links(cut(outlines.groupBy("fp").agg(F.min("node").alias("node")).select("node", "fp")))
+    of_print = outlines.select(F.col("fp").alias("h"), "node", F.lit(0).cast("bigint").alias("pos"))
+    sized = lambda c: F.shiftright(c, NODE_BITS)
+    by_print = by_print.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(sized("b") + 1e-6 >= similarity * sized("a"))
+    near = by_print.union(neighbours(shared.union(of_print).withColumn("label", F.col("node")), 1, 1))
+    found = links(cut(near.distinct()))
+    again = cut(neighbours(classed(found), 2, 4).distinct())
+    found = cut(found.union(links(again)))
+    crossing = _cells(classed(found)).mapInArrow(_crossing(similarity), "a bigint, b bigint")
+    rest = cut(crossing.distinct().join(again, ["a", "b"], "left_anti"))
     known = components(cut(found.union(links(rest))))
     classes = nodes.select("name", "node").join(known, "node", "left").select("name", F.coalesce("component", "node").alias("class"))
     return prints.select(key, "digest", "name").join(classes, "name").select(key, "digest", "class")

@@ -1,6 +1,9 @@
+import itertools
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -138,10 +141,75 @@ def test_similar_classes(spark, monkeypatch, size):
 
 
 def test_set_fingerprint_counts_each_shingle_once():
-    words = b"a b c d e f g h".split()
-    assert s.set_fingerprint(words * 3, 2, 256) == s.set_fingerprint(words * 9, 2, 256)
-    assert s.set_fingerprint([], 5, 512) == bytes(64) and len(s.set_fingerprint(words, 5, 512)) == 64
-    assert s.similarity_radius(0.9) < s.similarity_radius(0.8) == 85
+    for words in ("a b c d e f g h", "one two", ""):
+        once = s.shingle_hashes(words, 2)
+        want = sum(1 << i for i in range(64) if 2 * sum(int(h) >> i & 1 for h in once) > len(once)) if len(once) else 0
+        assert s.set_fingerprint(once) % (1 << 64) == want
+    assert s.set_fingerprint(s.shingle_hashes("a b c d " * 3, 2)) == s.set_fingerprint(s.shingle_hashes("a b c d " * 9, 2))
+
+
+def test_outlines_never_rule_out_what_is_alike():
+    rng = np.random.default_rng(5)
+    ruled_out = 0
+    for n in (0, 1, 3, 40, 400, 5000):
+        for share in (0.5, 0.78, 0.8, 0.82, 0.95, 1.0):
+            x = rng.integers(0, 2**63, n).astype(np.uint64)
+            y = np.concatenate([x[: int(n * share)], rng.integers(0, 2**63, rng.integers(0, n // 9 + 1)).astype(np.uint64)])
+            both, every = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+            ok = s.may_be_alike(len(x), s.outline(x), len(y), s.outline(y), 0.8)
+            assert ok or both < 0.8 * every
+            other = rng.integers(0, 2**63, n).astype(np.uint64)
+            ruled_out += not s.may_be_alike(n, s.outline(x), n, s.outline(other), 0.8)
+    assert ruled_out >= 12
+    full = np.zeros(1000, np.uint64)
+    assert s.may_be_alike(1000, s.outline(full), 10, s.outline(np.arange(10, dtype=np.uint64)), 0.8)
+
+
+@pytest.mark.parametrize("n", [0, 1, 10**6, 10**9, 10**11, 10**14])
+def test_shards_stay_small(n):
+    blocks, choices = s.shard_plan(n)
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    assert cuts[-1] == 64 and n / 2 ** min(sum(cuts[i + 1] - cuts[i] for i in c) for c in choices) <= 2 * s.TREE_SIZE
+    # Whatever three bits differ, some choice of blocks is free of them.
+    for bits in ((0, 1, 2), (0, 20, 63), (15, 16, 33), (9, 31, 50)):
+        hit = {next(i for i in range(blocks) if cuts[i] <= b < cuts[i + 1]) for b in bits}
+        assert any(not hit & set(c) for c in choices)
+
+
+def test_links_with_more_blocks(spark, monkeypatch):
+    monkeypatch.setattr(s, "shard_plan", lambda n: (6, tuple(itertools.combinations(range(6), 3))))
+    fps = close_prints(150, 8)
+    nodes = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "node bigint, fp bigint")
+    found = {r["node"]: r["component"] for r in components(s.near_links(nodes)).collect()}
+    assert [found.get(i, i) for i in range(150)] == brute_classes(fps)
+
+
+@pytest.mark.parametrize("size", [3, 64, 4096])
+def test_neighbours_in_batches_of_any_size(size):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(size)
+    h = np.sort(rng.integers(0, 300, 400))
+    node = np.arange(400)
+    pos = rng.integers(0, 9, 400)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in (h, node, pos)], names=["h", "node", "pos"]) for i in range(0, 400, size)]
+    got = [tuple(r.values()) for b in s._shared(iter(batches)) for r in b.to_pylist()]
+    want = [(h[i], i, pos[i]) for i in range(400) if i in (0, 399) or h[i - 1] == h[i] or h[i + 1] == h[i]]
+    assert got == want and list(s._shared(iter([]))) == []
+
+    node = (rng.integers(80, 120, 400) << s.NODE_BITS) + np.arange(400)
+    label = rng.integers(0, 5, 400)
+    rows = [pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in (h, node, pos, label)], names=["h", "node", "pos", "label"]) for i in range(0, 400, size)]
+    got = sorted(tuple(r.values()) for b in s._neighbours(0.8, 3)(iter(rows)) for r in b.to_pylist())
+    room = lambda i: (node[i] >> s.NODE_BITS) - pos[i]
+    need = lambda i, j: math.ceil(0.8 / 1.8 * sum(node[k] >> s.NODE_BITS for k in (i, j)) - 1e-6)
+    want = []
+    for i in range(400):
+        for j in range(i + 1, min(400, i + 4)):
+            small, large = sorted(node[k] >> s.NODE_BITS for k in (i, j))
+            if h[i] == h[j] and label[i] != label[j] and min(room(i), room(j)) >= need(i, j) and small >= 0.8 * large:
+                want.append((max(node[i], node[j]), min(node[i], node[j])))
+    assert got == sorted(want)
 
 
 def edited(rng, base, share):
@@ -153,8 +221,10 @@ def edited(rng, base, share):
     return base[:at] + ([] if kind == 1 else fresh) + base[at if kind == 0 else at + n :]
 
 
-def test_similar_classes_equal_brute_force_with_contiguous_edits(spark):
+@pytest.mark.parametrize("size", [s.GROUP_ROWS, 7])
+def test_similar_classes_equal_brute_force_with_contiguous_edits(spark, monkeypatch, size):
     """Pairs on both sides of 0.8, by passages and by single words, link exactly where their sets say so."""
+    monkeypatch.setattr(s, "GROUP_ROWS", size)
     rng = random.Random(11)
     rows, near = [], 0
     for g in range(150):
