@@ -3,6 +3,8 @@
 Such a tokenizer (NFC, white space to one blank, lower case, then a split into contractions, letter runs, digits and
 symbol runs) never lets a token cross white space, so a text's ids are its words' ids in a row. Corpora repeat words:
 known words are looked up, and only new ones go to the library, many in one call, being told apart by their word ends.
+Texts with a special token of the tokenizer, in any case, are the exception: there the library looks at the text before
+it is normalised, so these go to it whole.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Strings that look like special tokens are ordinary ids of the vocabulary in the library's default mode.
+        self.special = tuple({token.content.lower() for token in self.tokenizer.get_added_tokens_decoder().values()})
         self.ends = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
         self.memo: dict[str, bytes] = {"": b""}
 
@@ -54,6 +56,13 @@ class WordIds:
         return found
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(map(str.lower, texts)) if any(s in t for s in self.special)]
+        if whole:
+            got = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
+            plain = self.encode_batch(["" if i in set(whole) else t for i, t in enumerate(texts)])
+            for i, e in zip(whole, got):
+                plain[i] = array("I", e.ids).tobytes()
+            return plain
         split = []
         for text in texts:
             if not _SIMPLE(text):

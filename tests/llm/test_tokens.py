@@ -127,3 +127,16 @@ def test_op5_has_little_padding(spark, sf):
     n = check_packed(pieces, tokens, packing.CAPACITY)
     total = sum(len(t) for _, t in tokens)
     assert sum(p["length"] for p in pieces) == total and 1 - total / (n * packing.CAPACITY) < 0.03
+
+
+def test_special_tokens_are_the_library_s():
+    """In other case, next to blanks or within words: the library decides before it normalises."""
+    lib = Tokenizer.from_file(WORDS)
+    w = wordids.WordIds(WORDS)
+    texts = ["one <|endoftext|> two", "<|endoftext|>\ntwo", "<|startoftext|> a", "a <|EndOfText|>", "<|ENDOFTEXT|>x", "a<|startoftext|><|endoftext|>b"]
+    rng = random.Random(5)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|STARTOFTEXT|>", " ", "\n", "one", "Two", "it's", "é", "12", "<|", "|>", "endoftext", "!", "\t", "中"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    for at in range(0, len(texts), 250):
+        part = texts[at : at + 250]
+        assert w.encode_batch(part) == [array("I", e.ids).tobytes() for e in lib.encode_batch(part, add_special_tokens=False)]
