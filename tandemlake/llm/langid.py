@@ -30,7 +30,12 @@ TRAIN_BATCH = 192
 RATE = 0.02
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]").search
+_WORD_CHARACTERS = re.compile(r"[^\W\d_]").finditer
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is alphabetic; figures such as a superscript two or a circled one are not."""
+    return any(m[0].isalpha() for m in _WORD_CHARACTERS(text))
 
 
 @dataclass(frozen=True)
@@ -199,7 +204,7 @@ def train_languages(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_RO
     )
     rows = known.filter(draw < chance).select("doc_id", "lang", places.alias("parts")).orderBy("doc_id").limit(4 * sample_rows * len(sizes)).collect()
     langs = tuple(sorted({r["lang"] for r in rows}))
-    cut = [(p.lower().encode("utf-8", "surrogatepass")[:SEGMENT], langs.index(r["lang"])) for r in rows for p in set(r["parts"]) if _LETTER(p)]
+    cut = [(p.lower().encode("utf-8", "surrogatepass")[:SEGMENT], langs.index(r["lang"])) for r in rows for p in set(r["parts"]) if has_letter(p)]
     if not cut:
         return None
     segments, lengths = (np.concatenate(x) for x in zip(*[_segments(p) for p, _ in cut]))
@@ -220,7 +225,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, key: str = "
     def work(rows: dict[str, list]) -> dict[str, list]:
         m = shared.value
         pred, score = [UNKNOWN] * len(rows["_text"]), [0.0] * len(rows["_text"])
-        known = [i for i, t in enumerate(rows["_text"]) if m is not None and _LETTER(t)]
+        known = [i for i, t in enumerate(rows["_text"]) if m is not None and has_letter(t)]
         if known:
             p = document_probabilities(m, [rows["_text"][i] for i in known])
             for i, best, q in zip(known, p.argmax(axis=1), p.max(axis=1)):

@@ -106,10 +106,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float =
 def train_quality(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     """Fit on labelled rows for which `learn` holds; at most some `sample_rows` of each class are read.
 
-    docs: doc_id, text. labels: doc_id, quality (0 or 1; other labels are ignored, as are rows with nulls). Without
-    labelled texts of both classes the model gives the share of label 1 (one half without any) to every text.
+    docs: doc_id, text. labels: doc_id, quality (0 or 1; other labels are ignored, as are rows with nulls; a document with
+    both labels counts as 0). Without labelled texts of both classes the model gives the share of label 1 (one half
+    without any) to every text.
     """
     known = labels.select("doc_id", "quality").filter(learn & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sizes = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     share = (sizes.get(1, 0) + 1) / (total + 2)
@@ -119,7 +121,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows
     # Each row's hash decides, so the sample is the same on every machine and its size is bounded.
     share_of = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / 1e6
     chance = F.when(F.col("quality") == 1, min(1.0, sample_rows / sizes[1])).otherwise(min(1.0, sample_rows / sizes[0]))
-    drawn = F.broadcast(known.filter(share_of(8) < chance).dropDuplicates(["doc_id"]))  # some 2 * sample_rows rows
+    drawn = F.broadcast(known.filter(share_of(8) < chance))  # some 2 * sample_rows rows
     rows = docs.join(drawn, "doc_id").select("doc_id", "quality", whole_text().alias("text"))
     # One half fills the dictionaries, the other calibrates.
     fills = rows.filter(share_of(9) < 0.5).select("doc_id", "quality", spread_slices(F.col("text")).alias("part"))

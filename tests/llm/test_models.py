@@ -138,3 +138,75 @@ def test_runs_of_positions(spark, edge_docs):
     texts = {r["doc_id"]: (r["text"] or "").lower().encode() for r in edge_docs.collect()}
     for r in langid.language_runs(edge_docs, model).collect():
         assert sum(x["end"] - x["start"] for x in r["runs"]) == len(texts[r["doc_id"]])
+
+
+def test_figures_are_no_letters(spark):
+    assert not any(map(langid.has_letter, ["", "12", "½ ² ①", "Ⅷ", "_ -", "🙂"])) and all(map(langid.has_letter, ["½a", "é", "中", "1x"]))
+    rows = [(i, ("the house and the garden " if i % 2 else "das haus und der garten ") * 5, "en" if i % 2 else "de") for i in range(40)]
+    model = langid.train_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    odd = spark.createDataFrame([(1, "½ ² ①"), (2, "Ⅷ 12"), (3, "x")], "doc_id bigint, text string")
+    assert [r["lang_pred"] == "und" for r in langid.predict_languages(odd, model).orderBy("doc_id").collect()] == [True, True, False]
+
+
+def test_probabilities_equal_a_network_of_plain_loops():
+    """One byte and one gate at a time, over the segments of a text."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(97, 123, (90, langid.SEGMENT)).astype(np.uint8)
+    m = langid.fit(rows, np.full(90, langid.SEGMENT), np.arange(90) % 3, ("a", "b", "c"), steps=5)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    text = "Ein Haus, ein Garten und é 中 am Fluss " * 3
+    data, total, hd = text.lower().encode(), np.zeros(3), langid.HIDDEN
+    for begin in range(0, len(data), langid.SEGMENT):
+        part = data[begin : begin + langid.SEGMENT]
+        states = []
+        for d, order in ((0, range(len(part))), (1, range(len(part) - 1, -1, -1))):
+            h, own = np.zeros(hd), {}
+            for t in order:
+                a, v = m.x[d][part[t]].astype(float) + m.b[d], h @ m.u[d].astype(float)
+                z, r = sigmoid(a[:hd] + v[:hd]), sigmoid(a[hd : 2 * hd] + v[hd : 2 * hd])
+                n = np.tanh(a[2 * hd :] + r * v[2 * hd :])
+                h = own[t] = (1 - z) * n + z * h
+            states.append(own)
+        for t in range(len(part)):
+            s = np.concatenate([states[0][t], states[1][t]]) @ m.w.astype(float) + m.c
+            total += np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+    assert langid.document_probabilities(m, [text])[0] == pytest.approx(total / len(data), rel=1e-3)
+
+
+def test_scores_equal_block_by_block_compression(spark, edge_docs):
+    """The score from its definition: sizes with each dictionary, block by block, into the calibration."""
+    import math
+
+    import zstandard
+
+    good, bad = "a calm sentence about the weather of the day. " * 8, "BUY $$$ ### NOW %%% CLICK &&& " * 10
+    docs = spark.createDataFrame([(i, (good if i % 2 else bad) + str(i)) for i in range(60)], "doc_id bigint, text string")
+    model = quality.train_quality(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int"), F.lit(True))
+
+    def size(data, content):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=quality.LEVEL)
+        return len(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(data))
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in edge_docs.collect()}
+    for r in quality.score_quality(edge_docs.drop("score"), model).collect():
+        data = texts[r["doc_id"]]
+        blocks = [data[i : i + quality.BLOCK] for i in range(0, len(data), quality.BLOCK)]
+        f = [0.0] * 6
+        if data.strip():
+            sizes = [(size(b, model.good), size(b, model.bad), len(b)) for b in blocks]
+            shares = [(y - x) / n for x, y, n in sizes if n >= min(quality.LEAST_BLOCK, len(data))]
+            f = [
+                sum(y - x for x, y, _ in sizes) / len(data), min(shares), max(shares), sum(min(x, y) for x, y, _ in sizes) / len(data),
+                sum(min(0, y - x) for x, y, _ in sizes) / len(data), sum(n for x, y, n in sizes if y < x) / len(data),
+            ]
+        z = model.bias + sum(w * v for w, v in zip(model.weights, f))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
+
+
+def test_documents_with_both_labels_count_as_bad(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * 20) for i in range(40)], "doc_id bigint, text string")
+    rows = [(i, i % 2) for i in range(40)]
+    clash = [(i, 1) for i in range(0, 40, 2)]
+    both = [quality.train_quality(docs, spark.createDataFrame(r, "doc_id bigint, quality int"), F.lit(True)) for r in (rows, rows + clash, clash + rows)]
+    assert both[0] == both[1] == both[2]
