@@ -8,8 +8,11 @@ suppressed. Base phrases are counted apart from that and are always reported.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import cache
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,30 +66,65 @@ def gate():
     return automaton
 
 
-def base_places(words: str) -> list[tuple[int, str]]:
+class Places:
+    """Words before a place in the words' text, counted once for the whole text when the first is asked for."""
+
+    def __init__(self, words: str):
+        self.words, self.blanks = words, None
+
+    def before(self, char: int) -> int:
+        if self.blanks is None:
+            self.blanks = np.flatnonzero(np.frombuffer(self.words.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+        return int(np.searchsorted(self.blanks, char))
+
+
+class Cover:
+    """Intervals, and whether one lies within any of them.
+
+    Of the intervals only those are kept that no other one contains: with their begins their ends ascend too, so the
+    last one that begins in time has the farthest end.
+    """
+
+    def __init__(self):
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+
+    def holds(self, begin: int, end: int) -> bool:
+        i = bisect_right(self.begins, begin) - 1
+        return i >= 0 and self.ends[i] >= end
+
+    def add(self, begin: int, end: int) -> None:
+        """An interval that none holds."""
+        i = bisect_left(self.begins, begin)
+        j = bisect_right(self.ends, end, lo=i)
+        self.begins[i:j], self.ends[i:j] = [begin], [end]
+
+
+def base_places(words: str, places: Places | None = None) -> list[tuple[int, str]]:
     """(first word, label) of every place where a base phrase stands."""
-    out = []
+    out, places = [], places or Places(words)
     for phrase, label in BASE:
         at = words.find(f" {phrase} ")
         while at >= 0:
-            out.append((words.count(" ", 0, at), label))
+            out.append((places.before(at), label))
             at = words.find(f" {phrase} ", at + 1)
     return sorted(out)
 
 
-def detections(words: str) -> list[tuple[int, int, str, int]]:
+def detections(words: str, places: Places | None = None) -> list[tuple[int, int, str, int]]:
     """(first word, end word, label, priority) that remain after suppression, by place."""
+    places = places or Places(words)
     present = {keyword for _, keyword in gate().iter(words)}
     found = []
     for i in sorted(i for k in present for i in keywords()[k]):
         priority, label, _, regex = rules()[i]
         found += [(priority, m.start() - m.end(), m.start(), m.end(), i, label) for m in regex.finditer(words)]
-    taken: list[tuple[int, int, str, int]] = []
+    taken, cover = [], Cover()
     for priority, _, begin, end, _, label in sorted(found):
-        if not any(a <= begin and end <= b for a, b, *_ in taken):
+        if not cover.holds(begin, end):
+            cover.add(begin, end)
             taken.append((begin, end, label, priority))
-    at = lambda char: words.count(" ", 0, char) - 1
-    return [(at(a), at(b) + 1, label, p) for a, b, label, p in sorted(taken)]
+    return [(places.before(a) - 1, places.before(b), label, p) for a, b, label, p in sorted(taken)]
 
 
 def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -101,8 +139,9 @@ def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         out: dict[str, list] = {c: [] for c in (key, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "found")}
         for k, t in zip(rows[key], rows["_text"]):
             words, n = words_of(t)
-            base = base_places(words)
-            found = detections(words)
+            places = Places(words)
+            base = base_places(words, places)
+            found = detections(words, places)
             doubt = (1 - BASE_TRUST) if base else 1.0
             for *_, p in found:
                 doubt *= 1 - TRUST[p]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,14 +98,28 @@ def _incompressible(text: str, begin: int, end: int) -> bool:
     return any(novelty(s[a:b], around) >= NOVELTY for a, b in zip(cuts, cuts[1:]))
 
 
-def _outside(begin: int, end: int, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The parts of an interval that no known span covers; known spans are sorted."""
-    out = []
-    for a, b, _ in known:
-        if b > begin and a < end:
-            if a > begin:
-                out.append((begin, a, "novel"))
-            begin = max(begin, b)
+def _union(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """(begins, ends) of the disjoint intervals that the spans cover."""
+    begins: list[int] = []
+    ends: list[int] = []
+    for a, b, _ in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    return begins, ends
+
+
+def _outside(begin: int, end: int, known: tuple[list[int], list[int]]) -> list[tuple[int, int, str]]:
+    """The parts of an interval that no known span covers."""
+    out, (begins, ends) = [], known
+    for i in range(bisect_right(ends, begin), len(begins)):
+        if begins[i] >= end:
+            break
+        if begins[i] > begin:
+            out.append((begin, begins[i], "novel"))
+        begin = ends[i]
     return [*out, (begin, end, "novel")] if begin < end else out
 
 
@@ -140,7 +155,7 @@ def novel_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int,
     token that dots join; the body of a PEM block goes as a whole.
     """
     out: list[tuple[int, int, str]] = []
-    known = sorted(known)
+    covered = _union(known)
     done = -1
     for word in _CONTEXT.finditer(text):
         pem = _PEM.match(text, word.start())
@@ -148,7 +163,7 @@ def novel_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int,
             pieces = _pem_pieces(text, pem.end())
             if any(_incompressible(text, a, b) for a, b in pieces):
                 for a, b in pieces:
-                    out += _outside(a, b, known)
+                    out += _outside(a, b, covered)
                 done = pieces[-1][1]
                 continue
         limit = word.end() + REACH
@@ -160,7 +175,7 @@ def novel_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int,
             begin, end = m.start(), _CANDIDATE.match(text, m.start()).end()
             at = done = end
             if _incompressible(text, begin, end):
-                out += _outside(begin, end, known)
+                out += _outside(begin, end, covered)
                 limit = max(limit, end + REACH)
             elif text[end : end + 1] == ".":
                 limit = max(limit, end + 1)

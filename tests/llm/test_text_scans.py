@@ -204,3 +204,95 @@ def test_grants_without_the_word_licensed():
     assert found("Licensed under the EUPL 1.2") == ["eupl-1.2"] and found("Licensed under the EUPL, version 1.1") == ["eupl-1.1"]
     assert found("an Open RAIL license") == ["openrail"]
     assert found("To the extent possible under law, the author has waived all copyright and related or neighboring rights") == ["cc0-1.0"]
+
+
+def brute_novel(text, base):
+    """Candidates after each sensitive word, found by looking at every character."""
+    letters = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    covered = {i for a, b, _ in base for i in range(a, b)}
+    out, done = [], -1
+    for word in secrets._CONTEXT.finditer(text):
+        at, limit = max(done, word.end()), word.end() + secrets.REACH
+        while at <= limit:
+            begin = next((i for i in range(at, min(len(text), limit + 1)) if len(text) - i >= 16 and all(c in letters for c in text[i : i + 16])), None)
+            if begin is None or begin > limit:
+                break
+            end = begin
+            while end < len(text) and text[end] in letters:
+                end += 1
+            at = done = end
+            s, around = text[begin:end], text[max(0, begin - secrets.AROUND) : begin] + text[end : end + secrets.AROUND]
+            cuts = [*range(0, max(1, len(s) - 15), secrets.WINDOW), len(s)]
+            mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+            if mixed and any(secrets.novelty(s[a:b], around) >= secrets.NOVELTY for a, b in zip(cuts, cuts[1:])):
+                free = [i for i in range(begin, end) if i not in covered]
+                out += [(i, "first") for i in free if i - 1 not in free] + [(i + 1, "end") for i in free if i + 1 not in free]
+                limit = max(limit, end + secrets.REACH)
+            elif text[end : end + 1] == ".":
+                limit = max(limit, end + 1)
+    firsts, ends = (sorted(i for i, k in out if k == kind) for kind in ("first", "end"))
+    return list(zip(firsts, ends))
+
+
+def test_novel_spans_equal_brute_force():
+    rng = random.Random(8)
+    parts = ["bearer ", "the token ", "credential: ", ".", " and ", "\n", "=", "password = 'abcdefgh1234'", "0123456789abcdef" * 2, "ordinary words here ", "access_key_id_and_secret_access_key "]
+    found = 0
+    for n in range(300):
+        text = "".join(rng.choice(parts) if rng.random() < 0.7 else key_text(rng.randint(8, 60), rng.random()) for _ in range(rng.randint(2, 14)))
+        base = secrets.base_spans(text)
+        got = [(a, b) for a, b, _ in sorted(secrets.novel_spans(text, base))]
+        assert got == brute_novel(text, base), text
+        found += len(got)
+    assert found > 100
+
+
+def test_many_spans_take_time_in_proportion():
+    import time
+
+    def took(n):
+        text = " ".join(f'password="abcdefgh{i}" bearer {key_text(24, i)}' for i in range(n))
+        begin = time.process_time()
+        base = secrets.base_spans(text)
+        secrets.novel_spans(text, base)
+        return time.process_time() - begin
+
+    took(100)
+    assert took(4000) < 12 * max(took(1000), 0.05)
+
+
+def brute_detections(words):
+    """Every rule on every text, every detection against all taken before."""
+    found = []
+    for i, (priority, label, _, regex) in enumerate(licenses.rules()):
+        found += [(priority, m.start() - m.end(), m.start(), m.end(), i, label) for m in regex.finditer(words)]
+    taken = []
+    for priority, _, begin, end, _, label in sorted(found):
+        if not any(a <= begin and end <= b for a, b, *_ in taken):
+            taken.append((begin, end, label, priority))
+    return [(len(words[:a].split()), len(words[:b].split()), label, p) for a, b, label, p in sorted(taken)]
+
+
+def test_labels_and_scores_equal_brute_force(spark):
+    rng = random.Random(6)
+    parts = [x.pattern.removeprefix("(?<= )(?:").removesuffix(")(?= )") for *_, x in licenses.rules()]
+    texts = []
+    for _ in range(120):
+        said = [phrases(re._parser.parse(rng.choice(parts)), rng) for _ in range(rng.randint(0, 5))]
+        texts.append(" ".join(x for s in said for x in (s, rng.choice(["", "and the", "é word", "under the"]))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in licenses.scan_licenses(df).collect():
+        words, _ = licenses.words_of(texts[r["doc_id"]])
+        base, found = brute_base(words.split()), brute_detections(words)
+        assert [(f["begin"], f["end"], f["label"]) for f in r["found"]] == [f[:3] for f in found]
+        assert r["labels"] == ",".join(sorted({x for _, x in base} | {f[2] for f in found}))
+        doubt = (1 - licenses.BASE_TRUST) if base else 1.0
+        for *_, p in found:
+            doubt *= 1 - licenses.TRUST[p]
+        assert r["score"] == pytest.approx(1 - doubt)
+
+
+def test_a_megabyte_of_licenses():
+    words, n = licenses.words_of("mit license " * 87_000)
+    places = licenses.Places(words)
+    assert licenses.detections(words, places)[-1][:3] == (n - 2, n, "mit") and len(licenses.base_places(words, places)) == 87_000
