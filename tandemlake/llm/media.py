@@ -37,7 +37,8 @@ class _Sequence(HTMLParser):
         self.words: list[str] = []
         self.skip = 0
         self.caption: list[str] | None = None
-        self.figure: int | None = None
+        self.figures: list[int] = []  # the first item of each open figure
+        self.captioned: set[int] = set()
 
     def flush(self):
         text = " ".join("".join(self.words).split())
@@ -59,20 +60,25 @@ class _Sequence(HTMLParser):
         elif tag in _BLOCKS:
             self.flush()
             if tag == "figure":
-                self.figure = len(self.items)
+                self.figures.append(len(self.items))
 
     def handle_endtag(self, tag):
         if tag in _SKIPPED:
             self.skip = max(0, self.skip - 1)
         elif tag == "figcaption" and self.caption is not None:
             text, self.caption = " ".join("".join(self.caption).split()), None
-            inside = [i for i in self.items[self.figure or 0 :] if i["kind"] == "media"]
-            for i in inside:  # the caption of a figure holds for each of its media
-                i["caption"] = text or i["caption"]
+            if self.figures:  # a figure's caption holds for each of its media but those of inner figures that have one
+                inside = [i for i in self.items[self.figures[-1] :] if i["kind"] == "media" and i["position"] not in self.captioned]
+                for i in inside if text else ():
+                    i["caption"] = text
+                    self.captioned.add(i["position"])
+            elif text:
+                self.words.append(f" {text} ")
+                self.flush()
         elif tag in _BLOCKS:
             self.flush()
-            if tag == "figure":
-                self.figure = None
+            if tag == "figure" and self.figures:
+                self.figures.pop()
 
     def handle_data(self, data):
         if not self.skip:

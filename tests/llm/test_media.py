@@ -66,3 +66,31 @@ def test_op10(spark, sf, edge_docs, tmp_path):
             stored = media.to_png(padded)
             assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
             assert seen.setdefault(data, r["feature"]) == r["feature"]
+
+
+def test_captions_hold_within_their_figure():
+    captions = lambda html: [i["caption"] or i["text"] for i in media.parse_sequence(html)]
+    assert captions('<p>a</p><img src=x alt="one"><figcaption>stray</figcaption>') == ["a", "one", "stray"]
+    inner = '<figure><img src=z><figcaption>in</figcaption></figure>'
+    assert captions(f'<figure><img src=y alt=old>{inner}<figcaption>out</figcaption></figure><img src=w alt=last></figure>') == ["out", "in", "last"]
+    assert captions('<figure><img src=a><img src=b></figure><figure><img src=c><figcaption>  </figcaption></figure>') == [None, None, None]
+
+
+def test_interleaving_survives_the_join(spark):
+    """Texts, media and captions of pages with several of each, in order, with their payloads."""
+    loads = [f"payload {i}".encode() * (i + 1) for i in range(5)]
+    digest = [hashlib.sha256(p).hexdigest() for p in loads]
+    pages = []
+    for page in range(30):
+        own = [(page + j) % 5 for j in range(page % 4)]
+        html = "<h1>head</h1>" + "".join(f"<p>text {j}</p><figure><img src='sha256:{digest[i]}'><figcaption>shows {i}</figcaption></figure>" for j, i in enumerate(own)) + "end"
+        pages.append((page, html, own))
+    sequences = media.interleaved(spark.createDataFrame([p[:2] for p in pages], "page_id bigint, html string")).cache()
+    store = media.store_media(spark.createDataFrame([(bytearray(p),) for p in loads], "payload binary"))
+    got = {}
+    for r in media.resolve(sequences, media.describe_media(store), "page_id").collect():
+        got.setdefault(r["page_id"], []).append((r["position"], r["caption"], r["n_bytes"]))
+    texts = {r["page_id"]: [(i["position"], i["text"]) for i in r["items"] if i["kind"] == "text"] for r in sequences.collect()}
+    for page, _, own in pages:
+        assert sorted(got.get(page, [])) == [(2 * j + 2, f"shows {i}", len(loads[i])) for j, i in enumerate(own)]
+        assert texts[page] == [(0, "head"), *[(2 * j + 1, f"text {j}") for j in range(len(own))], (2 * len(own) + 1, "end")]
