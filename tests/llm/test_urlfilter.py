@@ -1,3 +1,5 @@
+import random
+
 from tandemlake.llm import urlfilter as u
 
 URLS = [
@@ -39,6 +41,23 @@ def test_many_nested_rules_and_sweeps(spark, monkeypatch):
     check(spark, urls, rules)
 
 
+def test_rules_in_ranges(spark, monkeypatch):
+    """More rules than a sweep takes: each range sees its own rules and those that enclose its first key."""
+    monkeypatch.setattr(u, "ROWS_PER_SWEEP", 7)
+    rng = random.Random(4)
+    labels = ["a", "b", "c", "net", "x-y", "é", ""]
+    hosts = sorted({".".join(rng.choice(labels) for _ in range(rng.randint(1, 5))) for _ in range(120)})
+    rules = [(rng.choice(["block", "allow"]), h, rng.choice(["", "/", "/p"])) for h in hosts]
+    urls = [f"http://{'.'.join(rng.choice(labels) for _ in range(rng.randint(1, 6)))}{rng.choice(['', '/', '/p/q', '?x'])}" for _ in range(300)]
+    check(spark, urls + ["http://b.net/p"] * 60, rules)
+
+
+def test_columns_that_clash_in_another_case(spark):
+    df = spark.createDataFrame([(1, "http://a.net/", "x")], "page_id bigint, url string, Host string")
+    got = u.match_urls(df, u.rules_frame(spark))
+    assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict"] and got.first()["host"] == "a.net"
+
+
 def test_no_rules_and_no_rows(spark):
     check(spark, URLS, [("allow", None, "/")][:0] or [("block", "nowhere", "/")])
     none = u.rules_frame(spark).filter("false")
