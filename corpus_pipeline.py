@@ -6,14 +6,13 @@ Each stage takes (spark, docs, sf_dir), works on all rows that the stage before
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandemlake.llm import langid, packing, quality, secrets, simhash
-from tandemlake.llm.common import cut, read_table
+from tandemlake.llm.common import cut, read_table, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Pooled probability of the predicted language below which a document has no clear language.
@@ -22,7 +21,11 @@ LANGUAGE_SCORE = 0.3
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts good. It learns from all labelled documents of the corpus but the
-    held-out fold; documents it rejects go."""
+    held-out fold; documents it rejects go.
+
+    Null, empty and blank texts have the score of the calibration's bias and stay or go with it. Rows that repeat an id
+    are scored each by its own text, and a null id is as good as any. An empty table stays empty.
+    """
     corpus = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train_quality(corpus, read_table(spark, sf_dir, "labels"), ~quality.held_out())
     scored = quality.score_quality(docs.select(*COLUMNS), model, keep=("text", "lang", "source", "n_chars"))
@@ -31,7 +34,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a clear language; those predicted `und`, or of no language with a probability of at least
-    LANGUAGE_SCORE, go."""
+    LANGUAGE_SCORE, go.
+
+    So null, empty and letterless texts go. The column lang is only learned from and stays as it is, nulls included.
+    Repeated rows and null ids are kept or go by their texts. An empty table stays empty.
+    """
     model = langid.train_languages(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~langid.held_out())
     scored = langid.predict_languages(docs.select(*COLUMNS), model, keep=("text", "lang", "source", "n_chars"))
     return scored.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select(*COLUMNS)
@@ -63,10 +70,14 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences."""
+    """Pieces of all documents, packed into sequences, with the ids that a trainer reads.
+
+    Null and empty texts are the end id alone; rows that repeat an id, and those without one, are packed each for itself.
+    An empty table has no pieces.
+    """
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = (
@@ -84,8 +95,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to `documents`, each written to the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
