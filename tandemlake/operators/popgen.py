@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+from ..sources.exports import numbered
+
 #: Rows of a distance matrix that a driver kernel takes.
 DENSE_LIMIT = 5_000
+#: Distinct genotypes of two sets that meet in a task.
+GENOTYPES_LIMIT = 1_000_000
 
 
 def _long(wide: DataFrame, markers: list[int], keys) -> DataFrame:
@@ -42,21 +51,52 @@ def linkage(wide: DataFrame, markers: list[int], keys=("set_id",)) -> DataFrame:
     return sums.join(ones, list(keys)).select(*keys, "n", F.when(F.col("n") > 2, ia).alias("ia"))
 
 
-def linkage_pvalue(wide: DataFrame, markers: list[int], rounds: int = 200, seed: int = 1) -> DataFrame:
-    """set_id, n, p: the share of `rounds` shuffles of each locus whose variance of mismatches is at least the observed.
+def linkage_pvalue(wide: DataFrame, markers: list[int], rounds: int = 10_000, seed: int = 1) -> DataFrame:
+    """set_id, n, p: (1 + shuffles with at least the observed linkage) / (1 + rounds), each locus shuffled on its own.
 
-    Rounds are dealt out as rows, so the work is spread over tasks; each round shuffles a locus by random order within
-    the set and needs only the counts of `linkage`.
+    With the loci's counts given, the variance of mismatches grows with the pairs of samples that agree at two loci, so
+    these are compared, as whole numbers. A shuffle needs only how often each value occurs: blocks of rounds are dealt to
+    tasks, each with its set's value counts. Of a task's memory a set's samples take two bytes a locus.
     """
-    base = linkage(wide, markers).select("set_id", "n", F.col("ia").alias("observed"))
+    ship(wide.sparkSession)
+    block = 250
     loci = _long(wide, markers, ("set_id", "sample_id"))
-    many = loci.select("*", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    dealt = Window.partitionBy("set_id", "round", "locus").orderBy(F.xxhash64("sample_id", "locus", "round", F.lit(seed)), "sample_id")
-    mixed = many.withColumn("slot", F.row_number().over(dealt)).groupBy("set_id", "round", "slot").pivot("locus", markers).agg(F.first("v"))
-    mixed = mixed.select("set_id", "round", *[F.col(str(m)).alias(f"m{m}") for m in markers])
-    drawn = linkage(mixed, markers, ("set_id", "round")).select("set_id", F.col("ia").alias("drawn"))
-    got = drawn.join(base, "set_id").groupBy("set_id", "n").agg((F.count_if(F.col("drawn") >= F.col("observed")) / F.count("*")).alias("p"))
-    return got
+    counts = loci.groupBy("set_id", "locus", "v").agg(F.count("*").alias("c"))
+    per_set = counts.groupBy("set_id").agg(F.collect_list(F.struct("locus", "v", "c")).alias("counts"), (F.sum("c") / len(markers)).cast("bigint").alias("n"))
+    pairs = lambda n: F.col(n) * (F.col(n) - 1) / 2
+    kept = wide.dropna(subset=[f"m{m}" for m in markers])
+    both = [(a, b) for i, a in enumerate(markers) for b in markers[:i]]
+    tables = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"m{a}").alias("v"), F.col(f"m{b}").alias("w")) for i, (a, b) in enumerate(both)])
+    met = kept.select("set_id", F.inline(tables)).groupBy("set_id", "i", "v", "w").agg(F.count("*").alias("c"))
+    observed = met.groupBy("set_id").agg(F.sum(pairs("c")).cast("bigint").alias("observed"))
+    sizes = F.transform(F.sequence(F.lit(0), F.lit(rounds - 1), F.lit(block)), lambda b: F.struct(b.alias("block"), F.least(F.lit(block), F.lit(rounds) - b).alias("rounds")))
+    work = per_set.join(observed, "set_id").withColumn("part", F.explode(sizes)).select("set_id", "n", "counts", "observed", "part.*")
+
+    def shuffle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for name, n, rows, least, first, times in zip(f["set_id"], f["n"], f["counts"], f["observed"], f["block"], f["rounds"]):
+                rng = np.random.default_rng([seed, first, zlib.crc32(str(name).encode())])
+                columns, width = [], []
+                for m in markers:
+                    own = sorted((r["v"], r["c"]) for r in rows if r["locus"] == m)
+                    width.append(len(own))
+                    columns.append(np.repeat(np.arange(len(own), dtype=np.uint16 if len(own) < 65_536 else np.uint32), [c for _, c in own]))
+                hits = 0
+                for _ in range(times):
+                    mixed = [rng.permutation(c).astype(np.int64) for c in columns]
+                    agree = 0
+                    for i in range(len(markers)):
+                        for j in range(i):
+                            c = np.unique(mixed[i] * width[j] + mixed[j], return_counts=True)[1] if width[i] * width[j] > 4 * n + 1024 else np.bincount(mixed[i] * width[j] + mixed[j])
+                            agree += int((c * (c - 1) // 2).sum())
+                    hits += agree >= least
+                out.append((name, int(n), hits, int(times)))
+            yield pd.DataFrame(out, columns=["set_id", "n", "hits", "rounds"])
+
+    kind = wide.schema["set_id"].dataType.simpleString()
+    drawn = work.repartition("set_id", "block").mapInPandas(shuffle, f"set_id {kind}, n bigint, hits bigint, rounds bigint")
+    return drawn.groupBy("set_id").agg(F.first("n").alias("n"), ((1 + F.sum("hits")) / (1 + F.sum("rounds"))).alias("p"))
 
 
 def fst(wide: DataFrame, markers: list[int]) -> DataFrame:
@@ -89,6 +129,68 @@ def standardized_fst(observed: DataFrame, largest: DataFrame) -> DataFrame:
     return observed.join(top, ["set_i", "set_j"]).select("set_i", "set_j", F.try_divide("fst", F.nullif("top", F.lit(0.0))).alias("fst_std"))
 
 
+def fst_pvalue(wide: DataFrame, markers: list[int], rounds: int = 100, seed: int = 1) -> DataFrame:
+    """set_i, set_j, p: (1 + deals with at least the observed FST) / (1 + rounds), samples dealt anew to the two sets.
+
+    A deal needs only how often each genotype occurs in the two sets: it is drawn from these counts. Pairs of sets are
+    dealt to tasks; a pair of more than GENOTYPES_LIMIT distinct genotypes is an error.
+    """
+    ship(wide.sparkSession)
+    values = F.array(*[F.col(f"m{m}").cast("double") for m in markers])
+    kept = wide.dropna(subset=[f"m{m}" for m in markers])
+    per = kept.groupBy("set_id", values.alias("g")).agg(F.count("*").alias("c"))
+    sizes = per.groupBy("set_id").agg(F.count("*").alias("k"))
+    i, j = (sizes.select(F.col("set_id").alias(f"set_{x}"), F.col("k").alias(f"k_{x}")) for x in "ij")
+    couples = i.join(j, F.col("set_i") < F.col("set_j"))  # a row for each pair of sets
+    too_many = F.raise_error(F.lit(f"more than {GENOTYPES_LIMIT} genotypes in a pair of sets"))
+    couples = couples.withColumn("ok", F.when(F.col("k_i") + F.col("k_j") > GENOTYPES_LIMIT, too_many.cast("boolean")).otherwise(True)).filter("ok")
+    sides = [per.withColumnRenamed("set_id", f"set_{x}").join(F.broadcast(couples.select("set_i", "set_j")), f"set_{x}").withColumn("side", F.lit(s)) for s, x in enumerate("ij")]
+    both = sides[0].select("set_i", "set_j", "g", "c", "side").unionByName(sides[1].select("set_i", "set_j", "g", "c", "side"))
+    gathered = both.groupBy("set_i", "set_j").agg(F.collect_list(F.struct("g", "c", "side")).alias("rows"))
+
+    def value(a: np.ndarray, b: np.ndarray, codes: list[np.ndarray]) -> float:
+        """FST of two sets with these counts of each genotype."""
+        na, nb = float(a.sum()), float(b.sum())
+        n = na + nb
+
+        def unlike(x, y):
+            """Differing loci, summed over pairs of x and y."""
+            return len(codes) * x.sum() * y.sum() - sum(float(np.bincount(k, x) @ np.bincount(k, y)) for k in codes)
+
+        within = unlike(a, a) / (2 * na) + unlike(b, b) / (2 * nb)
+        sb = within / (n - 2) if n > 2 else np.nan
+        sa = (unlike(a + b, a + b) / (2 * n) - within - sb) / (n - (na * na + nb * nb) / n)
+        return sa / (sa + sb) if sa + sb else np.nan
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for x, y, rows in zip(f["set_i"], f["set_j"], f["rows"]):
+                place = {g: k for k, g in enumerate(sorted({tuple(r["g"]) for r in rows}))}
+                counts = np.zeros((2, len(place)), np.int64)
+                for r in rows:
+                    counts[r["side"], place[tuple(r["g"])]] += r["c"]
+                table = np.array(list(place))
+                codes = [np.unique(table[:, m], return_inverse=True)[1] for m in range(table.shape[1])]
+                rng = np.random.default_rng([seed, zlib.crc32(f"{x}|{y}".encode())])
+                every, size = counts.sum(axis=0), int(counts[0].sum())
+                least = value(counts[0].astype(float), counts[1].astype(float), codes)
+                hits = 0
+                for _ in range(rounds):
+                    own = rng.multivariate_hypergeometric(every, size, method="marginals")
+                    hits += value(own.astype(float), (every - own).astype(float), codes) >= least - 1e-12
+                out.append((x, y, (1 + hits) / (1 + rounds)))
+            yield pd.DataFrame(out, columns=["set_i", "set_j", "p"])
+
+    kind = wide.schema["set_id"].dataType.simpleString()
+    return gathered.mapInPandas(deal, f"set_i {kind}, set_j {kind}, p double")
+
+
+def fst_table(wide: DataFrame, markers: list[int], rounds: int = 100) -> DataFrame:
+    """set_i, set_j, fst, p of every pair of sets."""
+    return fst(wide, markers).join(fst_pvalue(wide, markers, rounds), ["set_i", "set_j"])
+
+
 def principal_components(rows: DataFrame, columns: list[str], k: int = 2, key: str = "sample_id") -> DataFrame:
     """key, pc1..pck, eigenvalue and share: principal components of numeric columns (complete rows).
 
@@ -110,6 +212,69 @@ def principal_components(rows: DataFrame, columns: list[str], k: int = 2, key: s
     return kept.select(key, *out, *share)
 
 
+def distance_components(wide: DataFrame, markers: list[int], k: int = 2, key: str = "sample_id") -> DataFrame:
+    """key, pc1..pck, value1..valuek: principal components of the matrix of distances of all complete samples, whose
+    rows are the observations and whose distances are shares of differing markers. value is the component's variance.
+
+    The matrix is never made. A distance is 1 less the shared alleles over the markers, so with one column for each
+    allele the matrix is a product of that table with itself, and its components follow from how often two alleles occur
+    together: counts of pairs of alleles, the only thing gathered (at most DENSE_LIMIT alleles).
+    """
+    loci = _long(wide, markers, (key,))
+    names = [(r["locus"], r["v"]) for r in loci.select("locus", "v").distinct().orderBy("locus", "v").limit(DENSE_LIMIT + 1).collect()]
+    if len(names) > DENSE_LIMIT:
+        raise ValueError(f"more than {DENSE_LIMIT} alleles")
+    place = {x: i for i, x in enumerate(names)}
+    kept = wide.dropna(subset=[f"m{m}" for m in markers])
+    pairs = [F.struct(F.lit(a).alias("k"), F.col(f"m{a}").alias("v"), F.lit(b).alias("l"), F.col(f"m{b}").alias("w")) for i, a in enumerate(markers) for b in markers[: i + 1]]
+    together = kept.select(F.inline(F.array(*pairs))).groupBy("k", "v", "l", "w").agg(F.count("*").alias("c")).collect()  # pairs of alleles
+    g = np.zeros((len(names), len(names)))
+    for r in together:
+        i, j = place[r["k"], r["v"]], place[r["l"], r["w"]]
+        g[i, j] = g[j, i] = r["c"]
+    n, size = (g.diagonal().sum() / len(markers) if names else 0), len(markers)
+    if n < 2:
+        return kept.filter("false").select(key, *[F.lit(0.0).alias(f"{c}{q}") for q in range(1, k + 1) for c in ("pc", "value")])
+    share = g.diagonal() / n
+    scatter = g - n * np.outer(share, share)
+    values, vectors = np.linalg.eigh(scatter)
+    root = (vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T
+    own, axes = np.linalg.eigh(root @ g @ root)
+    k = min(k, len(names))
+    order = np.argsort(own)[::-1][:k]
+    own = np.maximum(own[order], 1e-300)
+    load = -(g @ root @ axes[:, order]) / np.sqrt(own) / size
+    load -= share @ load / size  # centred, a sample having `size` alleles
+    load *= np.sign(load[np.abs(load).argmax(axis=0), range(k)])
+    table = F.create_map(*[x for (m, v), w in zip(names, load.tolist()) for x in (F.concat_ws("|", F.lit(str(m)), F.lit(float(v)).cast("string")), F.array(*map(F.lit, w)))])
+    parts = [F.element_at(table, F.concat_ws("|", F.lit(str(m)), F.col(f"m{m}").cast("double").cast("string"))) for m in markers]
+    out = [sum((F.get(p, F.lit(q)) for p in parts), F.lit(0.0)).alias(f"pc{q + 1}") for q in range(k)]
+    return kept.select(key, *out, *[F.lit(float(x / size**2 / (n - 1))).alias(f"value{q + 1}") for q, x in enumerate(own)])
+
+
+def jittered(rows: DataFrame, column: str, seed: int = 1) -> DataFrame:
+    """The column with normal noise, so that equal points part: its scale is half the number of rows, times the least
+    distance of different values over the largest. Equal seeds give equal noise for equal partitions."""
+    values = numbered(rows.select(F.col(column).alias("v")).filter("v IS NOT NULL").distinct(), ["v"])
+    after = values.select((F.col("number") - 1).alias("number"), F.col("v").alias("w"))
+    gaps = values.join(after, "number").agg(F.min(F.col("w") - F.col("v")).alias("least"))
+    span = values.agg((F.max("v") - F.min("v")).alias("most"))
+    least, most, n = gaps.first()["least"], span.first()["most"], rows.count()
+    scale = least / most * n / 2 if most else 0.0
+    return rows.withColumn(column, F.col(column) + F.lit(float(scale)) * F.randn(seed))
+
+
+def distance_index(wide: DataFrame, dim: DataFrame, markers: list[int]) -> DataFrame:
+    """position, set_id, label, colour, sample_id: the order of the samples in a matrix of distances, set after set."""
+    kept = wide.dropna(subset=[f"m{m}" for m in markers]).select("set_id", "sample_id").join(F.broadcast(dim.select("set_id", "label", "colour")), "set_id")
+    return numbered(kept, ["set_id", "sample_id"]).select((F.col("number") - 1).alias("position"), "set_id", "label", "colour", "sample_id")
+
+
+def distance_slices(index: DataFrame) -> DataFrame:
+    """set_id, start, n of each set's samples in the order."""
+    return index.groupBy("set_id").agg(F.min("position").alias("start"), F.count("*").alias("n"))
+
+
 def neighbour_joining(names: list, d: np.ndarray) -> list[tuple[str, str, float]]:
     """(child, parent, length) of the tree by Saitou and Nei's method; inner nodes are n1, n2, ..."""
     if len(names) > DENSE_LIMIT:
@@ -150,3 +315,55 @@ def set_tree(wide: DataFrame, markers: list[int]) -> DataFrame:
     for r in rows:
         d[names.index(r["set_i"]), names.index(r["set_j"])] = r["d"]
     return wide.sparkSession.createDataFrame(neighbour_joining(names, d) if names else [], "child string, parent string, length double")
+
+
+def sample_tree(wide: DataFrame, markers: list[int], key: str = "sample_id") -> DataFrame:
+    """child, parent, length: the neighbour-joining tree of all complete samples, by shares of differing markers rounded
+    to three digits. At most DENSE_LIMIT samples."""
+    rows = wide.dropna(subset=[f"m{m}" for m in markers]).select(F.col(key).cast("string").alias("k"), *[f"m{m}" for m in markers]).orderBy(key).limit(DENSE_LIMIT + 1).collect()
+    x = np.array([[r[f"m{m}"] for m in markers] for r in rows], float).reshape(len(rows), len(markers))
+    if len(rows) > DENSE_LIMIT:
+        raise ValueError(f"a tree of more than {DENSE_LIMIT} tips: take distinct genotypes or sets instead")
+    d = np.zeros((len(rows), len(rows)))
+    for column in x.T:
+        d += column[:, None] != column[None, :]
+    edges = neighbour_joining([r["k"] for r in rows], np.round(d / len(markers), 3))
+    return wide.sparkSession.createDataFrame(edges, "child string, parent string, length double")
+
+
+def newick(edges: list[tuple[str, str, float]]) -> str:
+    """The tree in Newick's notation, from the node that is nobody's child; lengths with six digits."""
+    below: dict[str, list[tuple[str, float]]] = {}
+    for child, parent, length in edges:
+        below.setdefault(parent, []).append((child, length))
+    tops = set(below) - {c for c, _, _ in edges}
+    if not tops:
+        return ";"
+    # Children before their parents, so that long chains need no recursion.
+    order, todo = [], [min(tops)]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c, _ in below.get(node, ())]
+    text: dict[str, str] = {}
+    for node in reversed(order):
+        inner = ",".join(f"{text.pop(c)}:{length:.6f}" for c, length in below.get(node, ()))
+        text[node] = f"({inner})" if inner else node
+    return text[order[0]] + ";"
+
+
+def coloured_tree(edges: DataFrame, classes: DataFrame, other: str = "black") -> DataFrame:
+    """child, parent, length, colour: a branch has the colour that all tips below it share, else `other`; negative lengths
+    become 0. classes: tip, colour. For trees of at most DENSE_LIMIT tips."""
+    rows = [tuple(r) for r in edges.select("child", "parent", "length").limit(4 * DENSE_LIMIT).collect()]
+    colour = {r["tip"]: r["colour"] for r in classes.select("tip", "colour").limit(2 * DENSE_LIMIT).collect()}
+    up = {c: p for c, p, _ in rows}
+    seen: dict[str, set] = {}
+    inner = set(up.values())
+    for tip in (c for c in [*up, *inner] if c not in inner or c in colour):
+        at = tip
+        while at is not None:
+            seen.setdefault(at, set()).add(colour.get(tip, other))
+            at = up.get(at)
+    out = [(c, p, max(0.0, length), next(iter(seen[c])) if len(seen[c]) == 1 else other) for c, p, length in rows]
+    return edges.sparkSession.createDataFrame(out, "child string, parent string, length double, colour string")
