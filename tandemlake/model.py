@@ -56,6 +56,12 @@ class AnalysisParams:
         if self.sample_option not in ("A", "S", "U") or self.spatial not in range(-1, 5) or self.temporal not in (0, 1, 3):
             raise ValueError(f"unknown option in {self}")
 
+    @classmethod
+    def from_control(cls, d: dict) -> AnalysisParams:
+        """Parameters of a control document: its parts `parameter` (thresholds) and `differentiation`, both optional."""
+        where = dict(d.get("differentiation") or {})
+        return cls.from_dict({**(d.get("parameter") or {}), **where})
+
     @classmethod
     def from_dict(cls, d: dict) -> AnalysisParams:
         """Known keys override the defaults, in the types of the defaults."""

@@ -25,6 +25,19 @@ def unique_genotypes(wide: DataFrame, markers: list[int]) -> DataFrame:
     return wide.groupBy(*[f"m{m}" for m in markers]).agg(F.min("sample_id").alias("sample_id"), F.count("*").alias("n"))
 
 
+def unique_in_sets(wide: DataFrame, markers: list[int]) -> DataFrame:
+    """Of the samples of a set with one genotype that with the smallest id; columns as they were."""
+    names = [f"m{m}" for m in markers]
+    return wide.groupBy("set_id", *names).agg(F.min("sample_id").alias("sample_id")).select("set_id", "sample_id", *names)
+
+
+def genotype_display(alleles: DataFrame, assays: DataFrame) -> DataFrame:
+    """`genotype_rows` with the assay of each allele: sample_id, marker_id, row, value, height, assay_id, filename."""
+    per = alleles.groupBy("sample_id", "marker_id").agg(F.sort_array(F.collect_list(F.struct("height", "value", "assay_id")), False).alias("a"))
+    rows = per.select("sample_id", "marker_id", F.posexplode("a").alias("row", "x")).select("sample_id", "marker_id", "row", "x.value", "x.height", "x.assay_id")
+    return rows.join(assays.select("assay_id", "filename"), "assay_id", "left").select("sample_id", "marker_id", "row", "value", "height", "assay_id", "filename")
+
+
 def genotype_rows(alleles: DataFrame) -> DataFrame:
     """sample_id, marker_id, row, value, height: alleles of a marker side by side, the highest in row 0."""
     per = alleles.groupBy("sample_id", "marker_id").agg(F.sort_array(F.collect_list(F.struct("height", "value")), False).alias("a"))
@@ -81,24 +94,17 @@ def mismatch_histogram(wide: DataFrame, markers: list[int]) -> DataFrame:
     """d, share over the ordered-or-equal pairs i <= j of complete samples, diagonal included.
 
     Samples with one genotype are counted together, and pairs that agree on a subset of markers are counted by that
-    subset: for each subset of markers a groupBy gives the pairs equal on it, and inclusion-exclusion gives those equal
-    on exactly so many. No pair of samples is ever made; the subsets are 2 to the number of markers.
+    subset: a cube over the distinct genotypes gives the pairs equal on each subset, and inclusion-exclusion gives those
+    equal on exactly so many. No pair of samples is ever made; the subsets are 2 to the number of markers, at most 20.
     """
-    from itertools import combinations
     from math import comb
 
-    names = [f"m{m}" for m in markers]
+    names, size = [f"m{m}" for m in markers], len(markers)
+    if size > 20:
+        raise ValueError("more than 20 markers have too many subsets; take fewer, or genotype_pairs")
     distinct = complete(wide, markers).groupBy(*names).agg(F.count("*").alias("c"))
-    equal = []
-    for k in range(len(names) + 1):
-        for subset in combinations(names, k):
-            per = distinct.groupBy(*subset).agg(F.sum("c").alias("n")) if subset else distinct.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
-            equal.append(per.agg(F.lit(k).alias("k"), F.coalesce(F.sum(F.col("n") * (F.col("n") + 1) / 2), F.lit(0.0)).alias("pairs")))
-    sums = equal[0]
-    for e in equal[1:]:
-        sums = sums.union(e)
-    sums = sums.groupBy("k").agg(F.sum("pairs").alias("pairs"))
-    size = len(names)
+    cubed = distinct.cube(*names).agg(F.sum("c").alias("n"), F.grouping_id().alias("left_out"))
+    sums = cubed.filter("n IS NOT NULL").groupBy((F.lit(size) - F.bit_count("left_out")).alias("k")).agg(F.sum(F.col("n") * (F.col("n") + 1) / 2).alias("pairs"))
     # Pairs equal on exactly e markers: sum over k >= e of (-1)^(k-e) * C(k, e) * S_k.
     signs = F.inline(F.array(*[F.struct(F.lit(e).alias("e"), F.lit(k).alias("k"), F.lit(float((-1) ** (k - e) * comb(k, e))).alias("w")) for e in range(size + 1) for k in range(e, size + 1)]))
     weights = wide.sparkSession.range(1).select(signs)

@@ -5,10 +5,10 @@ Frames have set_id, sample_id and marker_id; samples without any allele are in n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .alleles import thresholds
+from .alleles import dominant, thresholds
 from .sets import differentiate
 
 
@@ -42,17 +42,54 @@ def strict(alleles: DataFrame, keys=("sample_id",)) -> DataFrame:
     return alleles.join(single, list(keys), "left_semi")
 
 
+def unique(alleles: DataFrame, keys=("set_id", "sample_id")) -> DataFrame:
+    """Alleles of the samples with unique genotypes: of a set's samples with one genotype that with the smallest id.
+
+    A genotype is the mean of the dominant alleles of every marker; a missing marker is a value of its own.
+    """
+    top = dominant(alleles, (*keys, "marker_id")).groupBy(*keys, "marker_id").agg(F.avg("value").alias("v"))
+    per = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("marker_id", "v"))).alias("genotype"))
+    sets = [k for k in keys if k != "sample_id"]
+    first = per.groupBy(*sets, "genotype").agg(F.min("sample_id").alias("sample_id")).select(*keys)
+    return alleles.join(first, list(keys), "left_semi")
+
+
+def sample_quality_report(alleles: DataFrame, threshold: float) -> DataFrame:
+    """Per set: samples, the markers that they lack (mean, median, least, most), failed samples and their share in %."""
+    judged = sample_quality(alleles, threshold)
+    failed = F.count_if(~F.col("passed"))
+    return judged.groupBy("set_id").agg(
+        F.count("*").alias("samples"), F.avg("failed").alias("mean"), F.percentile("failed", 0.5).alias("median"), F.min("failed").alias("min"), F.max("failed").alias("max"),
+        failed.alias("failed_samples"), F.bround(100.0 * failed / F.count("*")).cast("int").alias("failed_pct"),
+    )
+
+
+def failed_markers(alleles: DataFrame) -> DataFrame:
+    """set_id, sample_id, failed: the markers, of those that any set has, that a sample lacks."""
+    every = alleles.agg(F.array_sort(F.collect_set("marker_id")).alias("every"))  # one row
+    own = alleles.groupBy("set_id", "sample_id").agg(F.collect_set("marker_id").alias("own"))
+    return own.join(F.broadcast(every)).select("set_id", "sample_id", F.array_except("every", "own").alias("failed"))
+
+
 def prepare(alleles: DataFrame, members: DataFrame, samples: DataFrame, params) -> tuple[DataFrame, DataFrame]:
     """(prepared alleles with set_id, sets) for `AnalysisParams`: differentiation, thresholds, sample and marker quality.
 
-    Thresholds work within marker and sample, so removing samples or markers later equals extracting alleles anew.
+    Thresholds work within marker and sample, so removing samples or markers later equals extracting alleles anew. One
+    shuffle by sample serves the thresholds, the sets and what is counted within a sample.
     """
     sets = differentiate(members, samples, params.spatial, params.temporal, params.detection)
-    facts = thresholds(alleles, params).join(sets.select("set_id", "sample_id"), "sample_id")
-    good_samples = sample_quality(facts, params.sample_qual_threshold).filter("passed").select("set_id", "sample_id")
-    facts = facts.join(good_samples, ["set_id", "sample_id"], "left_semi")
-    good_markers = marker_quality(facts, params.marker_qual_threshold).filter("passed").select("marker_id")
-    facts = facts.join(F.broadcast(good_markers), "marker_id", "left_semi")  # a row a marker
+    facts = thresholds(alleles.repartition("sample_id"), params).join(sets.select("set_id", "sample_id"), "sample_id")
+    # Markers per sample first, so that distinct markers are counted over few rows.
+    n = facts.select("sample_id", "marker_id").distinct().select(F.count_distinct("marker_id").alias("n")).scalar()
+    present = F.size(F.collect_set("marker_id").over(Window.partitionBy("set_id", "sample_id")))
+    facts = facts.withColumn("_lacks", n - present).filter(F.col("_lacks") <= n - params.sample_qual_threshold * n).drop("_lacks")
+    seen = facts.select("sample_id", "marker_id").distinct()
+    total = facts.select("sample_id").distinct().select(F.count("*").alias("n")).scalar()
+    counted = seen.groupBy("marker_id").agg(F.count("*").alias("present")).withColumn("n", total)
+    good = counted.filter(F.try_divide((F.col("n") - F.col("present")).cast("double"), F.col("present")) <= params.marker_qual_threshold)
+    facts = facts.join(F.broadcast(good.select("marker_id")), "marker_id", "left_semi")  # a row a marker
     if params.sample_option == "S":
         facts = strict(facts, ("set_id", "sample_id"))
+    elif params.sample_option == "U":
+        facts = unique(facts)
     return facts, sets

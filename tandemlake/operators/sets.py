@@ -115,6 +115,56 @@ def differentiate(members: DataFrame, samples: DataFrame, spatial: int = -1, tem
     return joined.select("t.set_id", "r.sample_id", "r.location", "r.time", "r.detection", "r.label", "r.source")
 
 
+def no_samples(samples: DataFrame) -> DataFrame:
+    """The empty set."""
+    return samples.select("sample_id").filter("false")
+
+
+def from_selector(spec: dict, samples: DataFrame, queries: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, dimension), as `labelled`, of a selector: {label: [{"batch": ..., "codes": [...]} or {"query": name}]}.
+
+    A part takes the samples of a batch with one of the codes (of the whole batch without codes), or the named set of
+    `queries`, within the batch if one is given. The label `__ALL__` is shown as '-'. Unknown queries are an error.
+    """
+    sets = {}
+    for label, parts in spec.items():
+        ids = no_samples(samples)
+        for part in parts:
+            if "query" in part:
+                if part["query"] not in (queries or {}):
+                    raise ValueError(f"unknown query {part['query']}")
+                found = queries[part["query"]].select("sample_id")
+                if "batch" in part:
+                    found = found.join(samples.filter(F.col("batch") == part["batch"]).select("sample_id"), "sample_id", "left_semi")
+            else:
+                rows = samples.filter(F.col("batch") == part["batch"])
+                found = (rows.filter(F.col("code").isin(*part["codes"])) if "codes" in part else rows).select("sample_id")
+            ids = ids.union(found)
+        sets["-" if label == "__ALL__" else label] = ids.distinct()
+    return labelled(sets)
+
+
+def saved_queries(saved: DataFrame, owner: int) -> DataFrame:
+    """queryset_id, n of an owner's saved sets, the newest (largest id) first."""
+    return saved.filter(F.col("owner") == owner).groupBy("queryset_id").agg(F.count_distinct("sample_id").alias("n")).orderBy(F.desc("queryset_id"))
+
+
+def last_queries(saved: DataFrame, owner: int, n: int = 10) -> DataFrame:
+    return saved_queries(saved, owner).limit(n)
+
+
+def save_if_any(ids: DataFrame, queryset_id: int, owner: int) -> tuple[int, DataFrame]:
+    """(count, rows to append): a set without samples is only counted, not saved."""
+    n = ids.distinct().count()
+    rows = save_set(ids, queryset_id, owner)
+    return n, rows if n else rows.filter("false")
+
+
+def paired_sets(a: DataFrame, b: DataFrame, on: str = "set_id") -> DataFrame:
+    """Rows of two tables of the same sets side by side, the second's columns with `strict_`; sets that one lacks stay."""
+    return a.join(b.select(on, *[F.col(c).alias(f"strict_{c}") for c in b.columns if c != on]), on, "full")
+
+
 def visible(samples: DataFrame, groups, shared: str = "shared", group: str = "group_id") -> DataFrame:
     """Shared rows, and those of the groups."""
     return samples.filter(F.col(shared) | F.col(group).isin(*groups))

@@ -19,8 +19,10 @@ def merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def insert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The new rows whose key is not stored yet, to append."""
-    return new.join(old.select(*keys), keys, "left_anti").dropDuplicates(keys)
+    """The new rows whose key is not stored yet, to append; of rows with one key the least by all columns, nulls first."""
+    rest = [c for c in new.columns if c not in keys]
+    one = new.join(old.select(*keys), keys, "left_anti").groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row") if rest else F.lit(None).alias("_row"))
+    return one.select(*keys, *([F.col(f"_row.{c}").alias(c) for c in rest])).select(*new.columns)
 
 
 def existing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -62,13 +62,24 @@ def wilcoxon(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def allele_summary(alleles: DataFrame, keys=()) -> DataFrame:
-    """Per marker and value: share, count, height, sizes and whether the next values are at least 1 away."""
+    """Per marker and value: share, count, height, sizes and whether the next values are more than 1 away (`delta_status`)."""
     per = alleles.groupBy(*keys, "marker_id", "value").agg(
         F.count("*").alias("n"), F.avg("height").alias("mean_height"), F.min("size").alias("min_size"), F.max("size").alias("max_size"),
         (F.max("size") - F.min("size")).alias("delta"), F.avg("size").alias("mean_size"), F.count_distinct("sample_id").alias("samples"),
     )
     total = F.sum("n").over(Window.partitionBy(*keys, "marker_id"))
-    return per.withColumn("freq", F.col("n") / total)
+    return delta_status(per.withColumn("freq", F.col("n") / total), (*keys, "marker_id"))
+
+
+def allele_members(alleles: DataFrame, keys=()) -> DataFrame:
+    """Marker, value and sample of every allele of the summary, each once."""
+    return alleles.select(*keys, "marker_id", "value", "sample_id").distinct()
+
+
+def allele_maps(alleles: DataFrame, keys=()) -> DataFrame:
+    """Per marker: values with their counts, as a map; a marker has few values."""
+    per = alleles.groupBy(*keys, "marker_id", "value").agg(F.count("*").alias("n"))
+    return per.groupBy(*keys, "marker_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("counts"))
 
 
 def delta_status(values: DataFrame, keys=("marker_id",), fix_last: bool = False) -> DataFrame:
@@ -130,6 +141,62 @@ def sample_summary(alleles: DataFrame) -> DataFrame:
     return n.join(moi_stats(alleles), "set_id").join(mean_heterozygosity(alleles).select("set_id", "he"), "set_id")
 
 
+def with_main_country(facts: DataFrame, sets: DataFrame) -> DataFrame:
+    """The alleles of all sets, and once more those of the main country's sets as one set, named by the country.
+
+    facts: set_id (text). sets: set_id, country. The main country has the most samples, of equal ones the last by name.
+    """
+    counted = facts.select("set_id", "sample_id").distinct().join(F.broadcast(sets), "set_id").groupBy("country").agg(F.count_distinct("sample_id").alias("n"))  # a row a set
+    top = counted.agg(F.max(F.struct("n", "country"))["country"].alias("country"))
+    inside = sets.join(F.broadcast(top), "country").select("set_id", "country")
+    again = facts.join(F.broadcast(inside), "set_id").drop("set_id").withColumnRenamed("country", "set_id").dropDuplicates(["set_id", "sample_id", "marker_id", "value", "size", "height"])
+    return facts.unionByName(again.select(*facts.columns))
+
+
+def full_sample_summary(alleles: DataFrame, markers: list[int], sets: DataFrame | None = None) -> DataFrame:
+    """Per set, and for the main country: `sample_summary` with the linkage of complete, strict and unique genotypes.
+
+    n and ia of the sets of genotypes are null where none is complete; ia is null for at most two.
+    """
+    from .genotype import complete, genotypes, unique_in_sets
+    from .popgen import linkage
+    from .quality import strict
+
+    rows = with_main_country(alleles, sets) if sets is not None else alleles
+    whole = complete(genotypes(rows, markers), markers)
+    kinds = {"": whole, "strict_": complete(genotypes(strict(rows, ("set_id", "sample_id")), markers), markers), "unique_": unique_in_sets(whole, markers)}
+    out = sample_summary(rows)
+    for name, wide in kinds.items():
+        got = linkage(wide, markers).select("set_id", F.col("n").alias(f"{name}n_ld"), F.col("ia").alias(f"{name}ia"))
+        out = out.join(got, "set_id", "left")
+    return out
+
+
+def rank_polyclonality(alleles: DataFrame, by: str = "he") -> DataFrame:
+    """`cumulative_clonality` as shares of what all markers together find; 0 where they find none."""
+    rows = cumulative_clonality(alleles, by)
+    most = F.max("cumulative").over(Window.partitionBy())  # a row a marker
+    return rows.withColumn("share", F.coalesce(F.try_divide(F.col("cumulative").cast("double"), most), F.lit(0.0)))
+
+
+def loci_distribution(alleles: DataFrame, keys=("set_id",)) -> DataFrame:
+    """Per set and number of markers with several alleles: how many samples have that number, and their mean MoI."""
+    return moi_per_sample(alleles, (*keys, "sample_id")).groupBy(*keys, "multi_loci").agg(F.count("*").alias("n"), F.avg("moi").alias("mean"))
+
+
+def he_report(alleles: DataFrame, sets: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(markers by sets with rows Mean and StdDev, test): the paired test of two sets, else that of all."""
+    table = he_table(alleles, sets)
+    shown = table.select(F.col("marker_id").cast("string").alias("marker"), *[f"`{s}`" for s in sets])
+    ends = [table.agg(*[f(s).alias(s) for s in sets]).select(F.lit(label).alias("marker"), *[f"`{s}`" for s in sets]) for label, f in (("Mean", F.avg), ("StdDev", F.stddev_pop))]
+    if len(sets) == 2:
+        test = wilcoxon(table, *sets)
+    else:
+        long = table.select("marker_id", F.inline(F.array(*[F.struct(F.lit(s).alias("set_id"), F.col(f"`{s}`").alias("he")) for s in sets])))
+        test = kruskal(long, "set_id", "he")
+    return shown.unionByName(ends[0]).unionByName(ends[1]), test
+
+
 def by_location(rows: DataFrame) -> DataFrame:
     return rows.groupBy("location").agg(F.count("*").alias("n"))
 
@@ -149,7 +216,8 @@ def comprehensive(alleles: DataFrame) -> dict[str, DataFrame]:
     return {
         "marker_summary": marker_summary(alleles), "sample_summary": sample_summary(alleles), "clonality_by_he": cumulative_clonality(alleles),
         "clonality_by_polyclonal": cumulative_clonality(alleles, "polyclonal"), "allele_summary": allele_summary(alleles, ("set_id",)),
-        "marker_distribution": marker_distribution(alleles),
+        "marker_distribution": marker_distribution(alleles), "rank_by_he": rank_polyclonality(alleles), "rank_by_polyclonal": rank_polyclonality(alleles, "polyclonal"),
+        "loci_distribution": loci_distribution(alleles),
     }
 
 

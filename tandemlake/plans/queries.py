@@ -246,7 +246,6 @@ query(
 
 
 def _he_rows(s, d):
-    # Rounded, so that equal values tie whatever order they were summed in.
     return sm.heterozygosity(al.dominant(facts(s, d), ("set_id", "marker_id", "sample_id")), ("set_id", "marker_id"))
 
 
@@ -356,14 +355,19 @@ query(
 query("haplotype_by_set", f"SELECT set_id, {_HAP} AS haplotype, count(*) AS n FROM whole GROUP BY ALL", "whole")(lambda s, d: gt.haplotypes_by_set(wide(s, d), MARKERS3))
 query(
     "pairwise_distance",
-    """, g AS (SELECT * FROM whole WHERE sample_id <= 150)
+    """, g AS (SELECT * FROM whole WHERE sample_id IN (SELECT sample_id FROM sample WHERE NOT recurrent AND level1 = 'NATION_8'))
     SELECT a.sample_id AS i, b.sample_id AS j, CAST(a.m1 <> b.m1 AS INT) + CAST(a.m2 <> b.m2 AS INT) + CAST(a.m3 <> b.m3 AS INT) AS d,
       round((CAST(a.m1 <> b.m1 AS INT) + CAST(a.m2 <> b.m2 AS INT) + CAST(a.m3 <> b.m3 AS INT)) / 3, 6) AS d_norm
     FROM g a JOIN g b ON a.sample_id < b.sample_id""", "whole",
-)(lambda s, d: rounded(gt.pairwise_distance(wide(s, d).filter("sample_id <= 150"), MARKERS3)))
-# The distances of all samples: pairs of distinct genotypes and the samples of each. The SQL of pairwise_distance is of samples up to 150.
-query("genotype_pairs")(lambda s, d: rounded(gt.genotype_pairs(wide(s, d), MARKERS3)))
-query("genotype_members")(lambda s, d: gt.genotype_members(wide(s, d), MARKERS3))
+)(lambda s, d: rounded(gt.pairwise_distance(wide(s, d).join(st.select_samples(tb.samples(s, d), level1="NATION_8"), "sample_id", "left_semi"), MARKERS3)))
+# The distances of all samples: pairs of distinct genotypes and the samples of each.
+_KINDS = ", k AS (SELECT m1, m2, m3, min(sample_id) AS id, count(*) AS n FROM whole GROUP BY ALL)"
+query(
+    "genotype_pairs",
+    _KINDS + """ SELECT a.id AS i, b.id AS j, a.n AS n_i, b.n AS n_j, CAST(a.m1 <> b.m1 AS INT) + CAST(a.m2 <> b.m2 AS INT) + CAST(a.m3 <> b.m3 AS INT) AS d,
+      round((CAST(a.m1 <> b.m1 AS INT) + CAST(a.m2 <> b.m2 AS INT) + CAST(a.m3 <> b.m3 AS INT)) / 3, 6) AS d_norm FROM k a JOIN k b ON a.id < b.id""", "whole",
+)(lambda s, d: rounded(gt.genotype_pairs(wide(s, d), MARKERS3)))
+query("genotype_members", _KINDS + " SELECT sample_id, id AS genotype FROM whole JOIN k USING (m1, m2, m3)", "whole")(lambda s, d: gt.genotype_members(wide(s, d), MARKERS3))
 query(
     "mismatch_hist",
     """SELECT CAST(a.m1 <> b.m1 AS INT) + CAST(a.m2 <> b.m2 AS INT) + CAST(a.m3 <> b.m3 AS INT) AS d,
@@ -385,7 +389,14 @@ query("fst_max", _OWN + _FST.format("own") + "SELECT i AS set_i, j AS set_j, rou
 )
 
 
-@query("fst_standardized", None)
+_TWO = _FST.format("own").replace(", mm AS", ", mm2 AS").replace(", sz AS", ", sz2 AS").replace("\nq AS", "\nq2 AS").replace("\nv AS", "\nv2 AS")
+_TWO = _TWO.replace("FROM mm x JOIN sz a", "FROM mm2 x JOIN sz2 a").replace("JOIN sz b", "JOIN sz2 b").replace("JOIN mm p", "JOIN mm2 p").replace("JOIN mm r", "JOIN mm2 r").replace("FROM q)", "FROM q2)")
+
+
+@query(
+    "fst_standardized",
+    _OWN + _FST.format("whole") + _TWO + "SELECT v.i AS set_i, v.j AS set_j, round(v.sa / (v.sa + v.sb) / (v2.sa / (v2.sa + v2.sb)), 6) AS fst_std FROM v JOIN v2 ON v.i = v2.i AND v.j = v2.j", "whole",
+)
 def fst_standardized(s, d):
     return rounded(pop.standardized_fst(pop.fst(wide(s, d), MARKERS3), pop.fst(pop.recode_private(wide(s, d), MARKERS3, SETS), MARKERS3)))
 
@@ -399,7 +410,7 @@ query(
     ve AS (SELECT set_id, sum(h * (1 - h)) AS ve FROM h GROUP BY ALL)
     SELECT set_id, CAST(n AS BIGINT) AS n, round((vd / ve - 1) / 2, 6) AS ia FROM vd JOIN ve USING (set_id) JOIN n USING (set_id)""", "whole",
 )(lambda s, d: rounded(pop.linkage(wide(s, d), MARKERS3)))
-query("ld_pvalue")(lambda s, d: pop.linkage_pvalue(wide(s, d), MARKERS3, rounds=50))
+query("ld_pvalue")(lambda s, d: pop.linkage_pvalue(wide(s, d), MARKERS3))
 query("pca")(lambda s, d: rounded(pop.principal_components(gt.genotypes(tb.alleles(s, d).withColumn("set_id", F.lit(0)), MARKERS7), [f"m{m}" for m in MARKERS7])))
 query("nj_tree")(lambda s, d: rounded(pop.set_tree(wide(s, d), MARKERS3)))
 
@@ -435,7 +446,18 @@ def _markers(s):
 query("peak_spacing", "SELECT channel_id, CAST(min(g) AS DOUBLE) AS min_gap, CAST(max(g) AS DOUBLE) AS max_gap FROM (SELECT channel_id, lead(size) OVER (PARTITION BY channel_id ORDER BY size) - size AS g FROM peak) GROUP BY ALL", "peak")(
     lambda s, d: pk.spacing(tb.peaks(s, d).withColumn("size", F.col("size").cast("double")))
 )
-query("separated_peaks")(lambda s, d: pk.separated(tb.peaks(s, d), 3))
+query(
+    "separated_peaks",
+    """, o AS (SELECT channel_id, rtime, height, row_number() OVER (PARTITION BY channel_id ORDER BY rtime DESC, height DESC) AS i FROM peak),
+    f AS (WITH RECURSIVE r(channel_id, i, rtime, height, done_rtime, done_height) AS (
+      SELECT channel_id, i, rtime, height, CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE) FROM o WHERE i = 1 UNION ALL
+      SELECT r.channel_id, o.i, CASE WHEN r.rtime - o.rtime > 3 OR r.height <= o.height THEN o.rtime ELSE r.rtime END,
+        CASE WHEN r.rtime - o.rtime > 3 OR r.height <= o.height THEN o.height ELSE r.height END,
+        CASE WHEN r.rtime - o.rtime > 3 THEN r.rtime END, CASE WHEN r.rtime - o.rtime > 3 THEN r.height END
+      FROM r JOIN o ON o.channel_id = r.channel_id AND o.i = r.i + 1) SELECT * FROM r)
+    SELECT channel_id, CAST(done_rtime AS INT) AS rtime, done_height AS height FROM f WHERE done_rtime IS NOT NULL UNION ALL
+    SELECT channel_id, CAST(arg_max(rtime, i) AS INT), arg_max(height, i) FROM f GROUP BY channel_id""", "peak",
+)(lambda s, d: pk.separated(tb.peaks(s, d), 3))
 query(
     "overlap_report",
     """, p AS (SELECT sample_id AS channel_id, height, CASE peak_type WHEN 'R' THEN 'peak-overlap' ELSE 'peak-bin' END AS t FROM allele),
@@ -489,7 +511,8 @@ query("savgol", _weighted_sql(sg.savgol_weights()))(lambda s, d: rounded(sg.poin
 query("hanning_smooth", _weighted_sql(sg.hanning_weights(5)))(lambda s, d: rounded(sg.points(sg.hanning(tb.traces(s, d), 5))))
 query("turning_points")(lambda s, d: sg.detect_turning_points(tb.traces(s, d), 3, 0.05))
 query("cwt_peaks")(lambda s, d: rounded(sg.scan_peaks(tb.traces(s, d), sg.ScanParams(widths=(1, 2, 3, 4), min_snr=1.0))))
-query("ladder_alignment")(lambda s, d: sg.align_ladders(tb.peaks(s, d).filter("channel_id < 50"), [float(x) for x in range(10, 60, 3)]).select("assay_id", F.round("score", 6).alias("score"), F.round("rss", 6).alias("rss"), "n_peaks"))
+# Every channel is taken for the ladder channel of an assay of its own.
+query("ladder_alignment")(lambda s, d: sg.align_ladders(tb.peaks(s, d).withColumn("assay_id", F.col("channel_id")), [float(x) for x in range(10, 60, 3)]).select("assay_id", F.round("score", 6).alias("score"), F.round("rss", 6).alias("rss"), "n_peaks"))
 
 # Exports.
 
@@ -507,7 +530,7 @@ query(
 
 
 def _changes(s, d):
-    """A new account balance for every third customer, a new segment for every fifth, and ten new customers."""
+    """A new account balance for every third customer, and ten new customers."""
     old = tb.read(s, d, "customer").select("c_custkey", "c_name", "c_acctbal")
     third = old.filter("c_custkey % 3 = 0").select("c_custkey", F.lit("").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
     more = s.range(10_000_000, 10_000_010).select(F.col("id").alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(None).cast("double").alias("c_acctbal"))
@@ -519,7 +542,9 @@ query(
     """SELECT c_custkey, c_name, round(CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END, 2) AS c_acctbal FROM customer
        UNION ALL SELECT CAST(i AS BIGINT), 'new', NULL FROM range(10000000, 10000010) r(i)""",
 )(lambda s, d: rounded(store.merge(*_changes(s, d), ["c_custkey"]), 2))
-query("insert_missing", "SELECT CAST(i AS BIGINT) AS c_custkey FROM range(10000000, 10000010) r(i)")(lambda s, d: store.insert(*_changes(s, d), ["c_custkey"]).select("c_custkey"))
+query("insert_missing", "SELECT CAST(i AS BIGINT) AS c_custkey, 'new' AS c_name, CAST(NULL AS DOUBLE) AS c_acctbal FROM range(10000000, 10000010) r(i)")(
+    lambda s, d: store.insert(*_changes(s, d), ["c_custkey"])
+)
 
 
 @query(
@@ -560,7 +585,3 @@ def _main_country_alleles(s, d):
     top = st.main_country(st.all_samples(people), people)
     inside = people.join(F.broadcast(top.select("country")), "country").select("sample_id")
     return tb.alleles(s, d).join(inside, "sample_id", "left_semi").groupBy("marker_id", "value").agg(F.count("*").alias("n"))
-
-
-query("export_alleles")(lambda s, d: ex.allele_document(tb.alleles(s, d)))
-query("plot_points")(lambda s, d: ex.plot_points(tb.traces(s, d)))

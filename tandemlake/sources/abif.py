@@ -19,6 +19,8 @@ from ..shipping import ship
 _ENTRY = struct.Struct(">4sihhiii")
 #: Element types of the format: struct codes of numbers; the others are text.
 _NUMBERS = {1: "B", 4: "h", 5: "i", 7: "f", 8: "d", 201: "b"}
+#: Entries whose stored element type is not the one that their data have.
+_TYPES = {("PCON", 1): 201, ("GELP", 1): 2}
 #: Directory entries of the dyes' traces, by dye number.
 _TRACES = ((1, 1), (2, 2), (3, 3), (4, 4), (5, 105))
 
@@ -35,6 +37,7 @@ def entries(data: bytes) -> dict[tuple[str, int], object]:
         at = place + 28 * i
         tag, number, kind, _, n, size, where = _ENTRY.unpack_from(data, at)
         body = data[at + 20 : at + 20 + size] if size <= 4 else data[where : where + size]
+        kind = _TYPES.get((tag.decode("latin-1"), number), kind)
         if kind in _NUMBERS:
             value: object = struct.unpack(f">{len(body) // struct.calcsize(_NUMBERS[kind])}{_NUMBERS[kind]}", body)
         elif kind == 18:  # a length and that many characters

@@ -56,6 +56,49 @@ def arlequin_header(sets: int) -> str:
     return f'[Profile]\nTitle="samples"\nNbSamples={sets}\nDataType=STANDARD\nGenotypicData=0\nLocusSeparator=WHITESPACE\nMissingData="?"\n[Data]\n[[Samples]]\n'
 
 
+def arlequin_document(wide: DataFrame, markers: list[int], sets: list[str], recode: bool = False) -> DataFrame:
+    """part, position, line: the whole project in order: the head, then each set's block. Order by both and write."""
+    rows = arlequin_rows(wide, markers, sets, recode)
+    index = _set_index(sets)
+    order = Window.partitionBy("set_id").orderBy("line")
+    body = rows.select(index.alias("part"), (F.row_number().over(order) + 2).cast("bigint").alias("position"), "line")
+    sizes = rows.groupBy("set_id").agg(F.count("*").alias("n"))
+    opening = F.array(F.format_string('SampleName="%s"', "set_id"), F.format_string("SampleSize=%d", "n"), F.lit("SampleData= {"))
+    heads = sizes.select(index.alias("part"), F.posexplode(opening).alias("position", "line")).withColumn("position", F.col("position").cast("bigint"))
+    ends = sizes.select(index.alias("part"), (F.col("n") + 3).alias("position"), F.lit("}").alias("line"))
+    top = wide.sparkSession.range(1).select(F.lit(0).alias("part"), F.posexplode(F.split(F.lit(arlequin_header(len(sets)).rstrip("\n")), "\n")).alias("position", "line"))
+    return top.withColumn("position", F.col("position").cast("bigint")).unionByName(heads).unionByName(body).unionByName(ends)
+
+
+def genotype_lines(wide: DataFrame, markers: list[int], labels: DataFrame) -> DataFrame:
+    """set_id, position, line: for each set its label's line, then its genotypes with tabs, by sample; missing values empty."""
+    value = [F.coalesce(F.format_string("%.1f", F.col(f"m{m}").cast("double")), F.lit("")) for m in markers]
+    order = Window.partitionBy("set_id").orderBy("sample_id")
+    rows = wide.select("set_id", F.row_number().over(order).alias("position"), F.concat_ws("\t", F.col("sample_id").cast("string"), *value).alias("line"))
+    heads = labels.select("set_id", F.lit(0).alias("position"), F.format_string("Label: %s", "label").alias("line"))
+    return heads.unionByName(rows)
+
+
+def export(kind: str, **tables) -> DataFrame:
+    """The export of a kind: flat, structure, arlequin, genotypes or alleles, from the arguments that it takes."""
+    kinds = {"flat": flat, "structure": structure, "arlequin": arlequin_document, "genotypes": genotype_lines, "alleles": allele_document}
+    if kind not in kinds:
+        raise ValueError(f"unknown export {kind}: one of {sorted(kinds)}")
+    return kinds[kind](**tables)
+
+
+def marker_document(markers: DataFrame) -> DataFrame:
+    """code, doc: JSON of each marker's definition, as `tabular.definitions` reads it."""
+    bins = F.transform("bins", lambda b: F.array(b["pos"], b["tag"].cast("double")))
+    return markers.select("code", F.to_json(F.struct("code", "locus", "repeats", "min_size", "max_size", bins.alias("bins"))).alias("doc"))
+
+
+def panel_document(panels: DataFrame) -> DataFrame:
+    """code, doc: JSON of each panel's definition."""
+    own = F.map_from_entries(F.transform(F.map_entries("markers"), lambda e: F.struct(e["key"], F.struct(e["value"].alias("dye")))))
+    return panels.select("code", F.to_json(F.struct("code", F.struct("ladder", own.alias("markers")).alias("data"))).alias("doc"))
+
+
 def allele_document(alleles: DataFrame) -> DataFrame:
     """sample_id, doc: JSON of marker -> [(value, size, height)], the highest first."""
     per = alleles.groupBy("sample_id", "marker_id").agg(F.sort_array(F.collect_list(F.struct("height", "value", "size")), False).alias("a"))

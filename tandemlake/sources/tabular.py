@@ -113,13 +113,61 @@ def documents(wide: DataFrame) -> DataFrame:
     return joined.select("code", F.to_json(F.struct(F.date_format("collection_date", "yyyy/MM/dd").alias("collection_date"), place.alias("location"), "comments", "assays")).alias("doc"))
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """code, doc of the samples of JSON files that hold {code: document}, or {batch: {"samples": {code: document}}}.
+
+    YAML files (.yaml, .yml) are configuration-sized: the driver reads them.
+    """
+    if path.lower().endswith((".yaml", ".yml")):
+        import yaml
+
+        text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+        files = spark.createDataFrame([(json.dumps(yaml.safe_load(text) or {}, default=str),)], "value string")
+    else:
+        files = spark.read.text(path, wholetext=True)
+    each = lambda column, name: F.explode(F.from_json(column, "map<string,string>")).alias(name, "doc")
+    top = files.select(each("value", "code"))
+    inner = F.get_json_object("doc", "$.samples")
+    return top.filter(inner.isNull()).unionByName(top.filter(inner.isNotNull()).select(inner.alias("inner")).select(each("inner", "code")))
+
+
+def import_errors(docs: DataFrame, batch: str, batches: DataFrame, samples: DataFrame, markers: DataFrame, mode: str = "new") -> DataFrame:
+    """code, error: what forbids an import of documents (code, doc) into a batch; empty if nothing does.
+
+    Modes: `new` needs a new batch. The others need a stored one: `sample` adds samples that it lacks, `allele` and `info`
+    change samples that it has. batches: code. samples: batch, code. markers: code, in any case.
+    """
+    if mode not in ("new", "sample", "allele", "info"):
+        raise ValueError(f"unknown mode {mode}")
+    stored = batches.filter(F.lower("code") == batch.lower()).agg(F.count("*").alias("n"))
+    wrong = stored.filter("n > 0").select(F.lit("batch exists").alias("error")) if mode == "new" else stored.filter("n = 0").select(F.lit("no such batch").alias("error"))
+    out = wrong.select(F.lit(None).cast("string").alias("code"), "error")
+    own = samples.filter(F.lower("batch") == batch.lower()).select("code")
+    if mode == "sample":
+        out = out.unionByName(docs.join(own, "code", "left_semi").select("code", F.lit("sample exists").alias("error")))
+    elif mode != "new":
+        out = out.unionByName(docs.join(own, "code", "left_anti").select("code", F.lit("no such sample").alias("error")))
+    if mode != "info":
+        used = flatten_documents(docs).select(F.col("sample").alias("code"), F.lower("marker").alias("marker")).distinct()
+        unknown = used.join(markers.select(F.lower("code").alias("marker")), "marker", "left_anti")
+        out = out.unionByName(unknown.select("code", F.concat(F.lit("no such marker: "), "marker").alias("error")))
+    return out
+
+
+def stored_alleles(docs: DataFrame) -> DataFrame:
+    """The alleles of documents as they are stored: binned elsewhere."""
+    return flatten_documents(docs).withColumns({"peak_type": F.lit("peak-bin"), "method": F.lit("binning-external")})
+
+
 def flatten_documents(docs: DataFrame) -> DataFrame:
-    """The alleles of nested documents (code, doc)."""
-    allele = "array<struct<value:int,size:double,height:int,area:int>>"
-    kind = f"assays map<string, struct<panel:string,markers:map<string,struct<dye:string,alleles:{allele}>>>>"
+    """The alleles of nested documents (code, doc), written as objects or as lists of value, size, height and area."""
+    kind = "assays map<string, struct<panel:string,markers:map<string,struct<dye:string,alleles:array<string>>>>>"
+    item = lambda a, name, i: F.coalesce(F.get_json_object(a, f"$.{name}"), F.get_json_object(a, f"$[{i}]"))
+    kinds = (("value", "int"), ("size", "double"), ("height", "int"), ("area", "int"))
+    read = lambda a: F.struct(*[item(a, n, i).cast("double").cast(k).alias(n) for i, (n, k) in enumerate(kinds)])
     rows = docs.select("code", F.explode(F.from_json("doc", kind)["assays"]).alias("assay", "x"))
     rows = rows.select("code", "assay", F.col("x.panel").alias("panel"), F.explode("x.markers").alias("marker", "m"))
-    rows = rows.select("code", "assay", "panel", "marker", F.col("m.dye").alias("dye"), F.posexplode("m.alleles").alias("pos", "a"))
+    rows = rows.select("code", "assay", "panel", "marker", F.col("m.dye").alias("dye"), F.posexplode(F.transform("m.alleles", read)).alias("pos", "a"))
     return rows.select(F.col("code").alias("sample"), "assay", "marker", "panel", "dye", "pos", "a.*")
 
 
@@ -138,8 +186,9 @@ def unknown_exclusions(assays: DataFrame, panels: DataFrame) -> DataFrame:
     return wanted.join(known, ["sample", "fsa_file", "marker"], "left_anti")
 
 
-def definitions(spark: SparkSession, text: str, kind: str) -> DataFrame:
-    """Markers or panels of a YAML or JSON definition file (a configuration, read by the driver)."""
+def definitions(spark: SparkSession, text: str, kind: str, names: list[str] | None = None) -> DataFrame:
+    """Markers or panels of a YAML or JSON definition file (a configuration, read by the driver); those of `names`, in any
+    case, if given. A key that isn't its item's code is an error."""
     try:
         data = json.loads(text)
     except ValueError:
@@ -147,6 +196,10 @@ def definitions(spark: SparkSession, text: str, kind: str) -> DataFrame:
 
         data = yaml.safe_load(text)
     items = data.values() if isinstance(data, dict) and "code" not in data else data if isinstance(data, list) else [data]
+    if isinstance(data, dict) and "code" not in data and (wrong := [k for k, v in data.items() if k != v["code"]]):
+        raise ValueError(f"keys that are not the codes of their items: {wrong}")
+    if names is not None:
+        items = [x for x in items if x["code"].lower() in {n.lower() for n in names}]
     if kind == "marker":
         rows = [(m["code"], m.get("locus"), int(m.get("repeats") or 0), float(m.get("min_size") or 0), float(m.get("max_size") or 0), [(float(p), int(t)) for p, t in m.get("bins") or []]) for m in items]
         return spark.createDataFrame(rows, "code string, locus string, repeats int, min_size double, max_size double, bins array<struct<pos:double,tag:int>>")
@@ -169,3 +222,8 @@ def relabel(rows: DataFrame, names: DataFrame, column: str = "label") -> DataFra
 def number_suffix(name: str) -> int:
     """The number at the end of a column's name, 0 without."""
     return int((re.search(r"\d+$", name) or ["0"])[0])
+
+
+def unknown_panel_markers(panels: DataFrame, markers: DataFrame) -> DataFrame:
+    """panel, marker of panels' markers that no definition has: an error of the panels."""
+    return panel_markers(panels).select("panel", "marker").join(markers.select(F.lower("code").alias("known")), F.lower("marker") == F.col("known"), "left_anti")

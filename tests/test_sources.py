@@ -1,3 +1,4 @@
+import json
 import struct
 
 import pytest
@@ -107,3 +108,48 @@ def test_incremental_ingest(spark, tmp_path):
         (source / name).write_text(WIDE)
         ingest.ingest(ingest.stream_alleles(spark, str(source), columns), str(table), str(checkpoint)).awaitTermination()
         assert spark.read.parquet(str(table)).count() == n
+
+
+def test_types_that_entries_are_known_to_have():
+    data = abif.encode({("PCON", 1): (2, bytes([0, 20, 255]), 3), ("GELP", 1): (18, b"gel\0", 4), ("DATA", 1): (4, struct.pack(">2h", 5, -6), 2)})
+    got = abif.entries(data)
+    assert got["PCON", 1] == (0, 20, -1) and got["GELP", 1] == "gel" and got["DATA", 1] == (5, -6)
+
+
+def test_documents_of_both_forms(spark, tmp_path):
+    doc = {"assays": {"a1": {"panel": "P", "markers": {"M1": {"dye": "VIC", "alleles": [[200, 200.4, 900, 7], [203, 203.1, 400, 0]]}, "M9": {"dye": "NED", "alleles": []}}}}}
+    (tmp_path / "plain.json").write_text(json.dumps({"s1": doc, "s2": {"assays": {}}}))
+    (tmp_path / "archive.json").write_text(json.dumps({"B1": {"samples": {"s3": doc}}}))
+    docs = tabular.read_documents(spark, str(tmp_path))
+    assert sorted(r["code"] for r in docs.collect()) == ["s1", "s2", "s3"]
+    rows = tabular.stored_alleles(docs).orderBy("sample", "pos").collect()
+    assert [(r["sample"], r["marker"], r["value"], r["size"], r["height"], r["area"], r["peak_type"]) for r in rows][:2] == [("s1", "M1", 200, 200.4, 900, 7, "peak-bin"), ("s1", "M1", 203, 203.1, 400, 0, "peak-bin")]
+    batches, stored = spark.createDataFrame([("B1",)], "code string"), spark.createDataFrame([("B1", "s1")], "batch string, code string")
+    markers = spark.createDataFrame([("m1",)], "code string")
+    only = docs.filter("code <> 's2'")
+    errors = lambda batch, mode: sorted(tuple(r) for r in tabular.import_errors(only, batch, batches, stored, markers, mode).collect(), key=str)
+    assert errors("b2", "new") == [] and errors("b1", "new") == [(None, "batch exists")]
+    assert errors("B1", "sample") == [("s1", "sample exists")] and errors("B1", "info") == [("s3", "no such sample")]
+    assert (None, "no such batch") in errors("B7", "allele") and len(errors("B7", "allele")) == 3
+    bad = spark.createDataFrame([("x", json.dumps({"assays": {"a": {"panel": "P", "markers": {"Q": {"dye": "B", "alleles": [[1, 1, 1, 1]]}}}}}))], "code string, doc string")
+    assert [r["error"] for r in tabular.import_errors(bad, "new one", batches, stored, markers).collect()] == ["no such marker: q"]
+
+
+def test_named_definitions_and_their_checks(spark):
+    text = json.dumps({"M1": {"code": "M1", "repeats": 3, "min_size": 10, "max_size": 20, "bins": [[12, 12]]}, "M2": {"code": "M2"}})
+    assert [r["code"] for r in tabular.definitions(spark, text, "marker", ["m2"]).collect()] == ["M2"]
+    with pytest.raises(ValueError):
+        tabular.definitions(spark, json.dumps({"M1": {"code": "M3"}}), "marker")
+    markers = tabular.definitions(spark, text, "marker")
+    panels = tabular.definitions(spark, json.dumps({"P": {"code": "P", "data": {"ladder": "LIZ500", "markers": {"m1": {"dye": "VIC"}, "M7": {"dye": "NED"}}}}}), "panel")
+    assert [tuple(r) for r in tabular.unknown_panel_markers(panels, markers).collect()] == [("P", "M7")]
+    docs = {r["code"]: json.loads(r["doc"]) for r in exports.marker_document(markers).collect()}
+    again = tabular.definitions(spark, json.dumps(docs), "marker")
+    assert sorted(map(str, again.collect())) == sorted(map(str, markers.collect()))
+    panel = {r["code"]: json.loads(r["doc"]) for r in exports.panel_document(panels).collect()}
+    assert sorted(map(str, tabular.definitions(spark, json.dumps(panel), "panel").collect())) == sorted(map(str, panels.collect()))
+
+
+def test_export_kinds(spark):
+    with pytest.raises(ValueError):
+        exports.export("pdf")
