@@ -127,7 +127,7 @@ def test_documents_of_both_forms(spark, tmp_path):
     batches, stored = spark.createDataFrame([("B1",)], "code string"), spark.createDataFrame([("B1", "s1")], "batch string, code string")
     markers = spark.createDataFrame([("m1",)], "code string")
     only = docs.filter("code <> 's2'")
-    errors = lambda batch, mode: sorted(tuple(r) for r in tabular.import_errors(only, batch, batches, stored, markers, mode).collect(), key=str)
+    errors = lambda batch, mode: sorted((tuple(r) for r in tabular.import_errors(only, batch, batches, stored, markers, mode).collect()), key=str)
     assert errors("b2", "new") == [] and errors("b1", "new") == [(None, "batch exists")]
     assert errors("B1", "sample") == [("s1", "sample exists")] and errors("B1", "info") == [("s3", "no such sample")]
     assert (None, "no such batch") in errors("B7", "allele") and len(errors("B7", "allele")) == 3
