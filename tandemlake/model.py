@@ -22,6 +22,12 @@ PEAK_TYPES = (
     "peak-bin", "peak-called", "peak-scanned", "peak-ambiguous", "peak-stutter", "peak-overlap", "peak-noise",
     "peak-ladder", "peak-unassigned", "peak-broad", "peak-bigdelta", "peak-uncalled", "peak-artifact",
 )
+CHANNEL_STATUS = ("channel-clean", "channel-dirty", "channel-ladder", "channel-unavailable", "channel-unassigned")
+ASSAY_STATUS = ("assay-uploaded", "assay-analyzed", "assay-reviewed", "assay-unavailable")
+SIZING_METHODS = (
+    "allele-autoladder", "allele-semiladder", "allele-external", "allele-leastsquare", "allele-localsouthern", "allele-cubicspline", "allele-unknown",
+)
+BINNING_METHODS = ("binning-auto", "binning-semi", "binning-external", "binning-unavailable")
 LADDERS = {
     "LIZ600": (20, 40, 60, 80, 100, 114, 120, 140, 160, 180, 200, 214, 220, 240, 250, 260, 280, 300, 314, 320, 340, 360,
                380, 400, 414, 420, 440, 460, 480, 500, 514, 520, 540, 560, 580, 600),
@@ -32,6 +38,10 @@ COLOURS = ("red", "green", "blue", "orange", "purple", "black", "magenta", "whea
 DYES = {"B": "6-FAM", "G": "VIC", "Y": "NED", "O": "LIZ", "R": "PET"}
 
 
+#: Columns and the values that they may have.
+DOMAINS = {"peak_type": PEAK_TYPES, "channel_status": CHANNEL_STATUS, "assay_status": ASSAY_STATUS, "sizing_method": SIZING_METHODS, "binning_method": BINNING_METHODS}
+
+
 @dataclass(frozen=True)
 class AnalysisParams:
     """Thresholds and differentiation of an analysis.

@@ -190,6 +190,11 @@ def accept(peaks: DataFrame, value: str = "value") -> DataFrame:
     return peaks.withColumn("peak_type", F.when(F.col(value) > 0, "peak-uncalled").otherwise("peak-noise"))
 
 
+def qc_listing(assays: DataFrame, ladders: DataFrame) -> DataFrame:
+    """sample, fsa_file, rss, score and report of each assay; of those without a ladder the last three are null."""
+    return assays.join(ladders.select("assay_id", "rss", "score", "report"), "assay_id", "left").select("sample", "fsa_file", "rss", "score", "report")
+
+
 def repeated_files(lines: DataFrame, file: str = "fsa_file") -> DataFrame:
     """Trace files on more than one line of an assay list: an error of the list."""
     return lines.groupBy(file).agg(F.count("*").alias("n")).filter("n > 1")

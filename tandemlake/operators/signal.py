@@ -65,6 +65,32 @@ def hanning(traces: DataFrame, window: int = 11) -> DataFrame:
     return weighted(traces, hanning_weights(window))
 
 
+#: Weights of a window of a length, by name.
+WINDOWS = {"flat": np.ones, "hanning": np.hanning, "hamming": np.hamming, "bartlett": np.bartlett, "blackman": np.blackman}
+
+
+def window_smooth(traces: DataFrame, window: int = 11, name: str = "hanning") -> DataFrame:
+    """Moving weighted means over the data with both ends reflected: window - 1 points more than the data.
+
+    Windows below 3, and traces shorter than the window, leave the data as they are.
+    """
+    if name not in WINDOWS:
+        raise ValueError(f"unknown window {name}: one of {sorted(WINDOWS)}")
+    if window < 3:
+        return traces
+    w, data = WINDOWS[name](window), F.col("data")
+    w = (w / w.sum()).tolist()
+    wide = F.concat(F.reverse(F.slice(data, 2, window - 1)), data, F.reverse(F.slice(data, F.size(data) - window + 2, window - 1)))
+    moved = traces.withColumn("_wide", F.when(F.size(data) >= window, wide))
+
+    def at(i: Column) -> Column:
+        terms = [F.get("_wide", i + k) * x for k, x in enumerate(w)]
+        return sum(terms[1:], terms[0])
+
+    places = F.sequence(F.lit(0), F.size(data) + window - 2)
+    return moved.withColumn("data", F.when(F.col("_wide").isNotNull(), F.transform(places, at)).otherwise(data)).drop("_wide")
+
+
 def top_hat(traces: DataFrame, half: int) -> DataFrame:
     """data less its opening over 2 * half + 1 points (cut off at the ends): the widest minima, then their maxima."""
 

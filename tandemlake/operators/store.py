@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import DOMAINS
+
 
 def merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of both; where a key is in both, non-null (and non-empty) new fields replace the old ones.
@@ -46,6 +48,12 @@ def delete(tables: dict[str, DataFrame], gone: DataFrame, links: list[tuple[str,
     return out
 
 
+def outside_domain(rows: DataFrame, column: str, domain: str | None = None) -> DataFrame:
+    """Rows whose column has none of its domain's values: an error of the rows. Nulls are none."""
+    values = DOMAINS[domain or column]
+    return rows.filter(~F.coalesce(F.col(column).isin(*values), F.lit(False)))
+
+
 def published(rows: DataFrame, ids: list[int], key: str, flag: str = "published") -> DataFrame:
     return rows.withColumn(flag, F.col(flag) | F.col(key).isin(*ids))
 

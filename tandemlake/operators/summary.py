@@ -120,7 +120,7 @@ def allele_matrix(alleles: DataFrame, markers: list[int]) -> DataFrame:
 def marker_summary(alleles: DataFrame) -> DataFrame:
     """Per marker over all sets: distinct values, MoI statistics, dominant heterozygosity, polyclonal samples."""
     per = alleles.groupBy("marker_id", "sample_id").agg(F.count("*").alias("n"))
-    moi = per.groupBy("marker_id").agg(F.avg("n").alias("mean"), F.max("n").alias("max"), F.stddev_pop("n").alias("sd"), F.count_if(F.col("n") > 1).alias("polyclonal"), F.count("*").alias("samples"))
+    moi = per.groupBy("marker_id").agg(F.avg("n").alias("mean"), F.percentile("n", 0.5).alias("median"), F.min("n").alias("min"), F.max("n").alias("max"), F.stddev_pop("n").alias("sd"), F.count_if(F.col("n") > 1).alias("polyclonal"), F.count("*").alias("samples"))
     unique = alleles.groupBy("marker_id").agg(F.count_distinct("value").alias("unique"))
     he = heterozygosity(dominant(alleles)).select("marker_id", "he")
     return moi.join(unique, "marker_id").join(he, "marker_id")

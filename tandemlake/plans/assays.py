@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import assay as asy
 from ..operators import peaks as pk
+from ..operators import signal as sg
 from ..sources import tables as tb
 from ..sources import tabular as tab
 from ..streaming import ingest
@@ -202,3 +203,27 @@ query("overlap_with_signal", """, e AS (SELECT *, rtime - 1 AS b, rtime + 1 + pe
 query("arrivals", "SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS end, count(*) AS n FROM events GROUP BY ALL")(
     lambda s, d: ingest.arrivals(tb.read(s, d, "events"), "ts", "1 day", "1 hour")
 )
+
+
+def _window_sql(name: str, window: int) -> str:
+    import numpy as np
+
+    w = {"hamming": np.hamming, "flat": np.ones}[name](window)
+    return f"""WITH c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS d FROM embeddings),
+    w AS (SELECT vec_id, list_concat(list_concat(list_reverse(d[2:{window}]), d), list_reverse(d[len(d) - {window - 2}:len(d)])) AS wide FROM c)
+    SELECT vec_id AS channel_id, CAST(t AS INT) AS t, round(list_inner_product(wide[t + 1:t + {window}], {(w / w.sum()).tolist()}), 6) AS y FROM w, range(0, {64 + window - 1}) r(t)"""
+
+
+for _name in ("hamming", "flat"):
+    query(f"window_{_name}", _window_sql(_name, 7))(lambda s, d, n=_name: rounded(sg.points(sg.window_smooth(tb.traces(s, d), 7, n))))
+query(
+    "qc_listing",
+    """, x AS (SELECT DISTINCT assay_id FROM peak) SELECT 'S' || assay_id AS sample, 'f' || assay_id AS fsa_file, CASE WHEN assay_id % 3 <> 0 THEN assay_id / 2.0 END AS rss,
+    CASE WHEN assay_id % 3 <> 0 THEN 0.9 END AS score, CASE WHEN assay_id % 3 <> 0 THEN 'ok' END AS report FROM x""", "peak",
+)(lambda s, d: _listing(s, d))
+
+
+def _listing(s, d):
+    assays = _assays(s, d).select("assay_id", F.format_string("S%d", "assay_id").alias("sample"), F.format_string("f%d", "assay_id").alias("fsa_file"))
+    ladders = assays.filter("assay_id % 3 <> 0").select("assay_id", (F.col("assay_id") / 2.0).alias("rss"), F.lit(0.9).alias("score"), F.lit("ok").alias("report"))
+    return asy.qc_listing(assays, ladders)

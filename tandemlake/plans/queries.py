@@ -257,10 +257,12 @@ query(
 )(lambda s, d: rounded(sm.wilcoxon(sm.he_table(facts(s, d), SETS), "ASIA", "EUROPE")))
 query(
     "allele_summary",
-    """SELECT marker_id, value, count(*) AS n, round(sum(height), 2) AS sum_height, round(min(size), 6) AS min_size, round(max(size), 6) AS max_size,
+    """, x AS (SELECT marker_id, value, count(*) AS n, round(sum(height), 2) AS sum_height, round(min(size), 6) AS min_size, round(max(size), 6) AS max_size,
        round(max(size) - min(size), 6) AS delta, round(sum(size), 2) AS sum_size, count(DISTINCT sample_id) AS samples,
        round(count(*) / any_value(total), 6) AS freq
-       FROM (SELECT *, count(*) OVER (PARTITION BY marker_id) AS total FROM allele) GROUP BY marker_id, value""", "allele",
+       FROM (SELECT *, count(*) OVER (PARTITION BY marker_id) AS total FROM allele) GROUP BY marker_id, value)
+    SELECT *, CASE WHEN lead(value) OVER o IS NULL THEN true ELSE coalesce(value - lag(value) OVER o > 1, true) AND lead(value) OVER o - value > 1 END AS ok
+    FROM x WINDOW o AS (PARTITION BY marker_id ORDER BY value)""", "allele",
 )(lambda s, d: rounded(_sums(sm.allele_summary(tb.alleles(s, d)))))
 
 
@@ -299,11 +301,11 @@ query(
 )(lambda s, d: sm.allele_matrix(tb.alleles(s, d), MARKERS7))
 _MARKER = """, per AS (SELECT marker_id, sample_id, count(*) AS n FROM allele GROUP BY ALL), tops AS (SELECT marker_id, value, CAST(count(*) AS DOUBLE) AS c FROM topped GROUP BY ALL),
 hets AS (SELECT marker_id, sum(c) / (sum(c) - 1) * (1 - sum(c * c) / (sum(c) * sum(c))) AS he FROM tops GROUP BY ALL),
-ms AS (SELECT marker_id, avg(n) AS mean, max(n) AS max, stddev_pop(n) AS sd, count(*) FILTER (n > 1) AS polyclonal, count(*) AS samples FROM per GROUP BY ALL)
+ms AS (SELECT marker_id, avg(n) AS mean, quantile_cont(n, 0.5) AS median, min(n) AS min, max(n) AS max, stddev_pop(n) AS sd, count(*) FILTER (n > 1) AS polyclonal, count(*) AS samples FROM per GROUP BY ALL)
 """
 query(
     "marker_summary",
-    _MARKER + """SELECT marker_id, round(mean, 6) AS mean, max, round(sd, 6) AS sd, polyclonal, samples, u AS "unique", round(he, 6) AS he
+    _MARKER + """SELECT marker_id, round(mean, 6) AS mean, median, min, max, round(sd, 6) AS sd, polyclonal, samples, u AS "unique", round(he, 6) AS he
        FROM ms JOIN hets USING (marker_id) JOIN (SELECT marker_id, count(DISTINCT value) AS u FROM allele GROUP BY ALL) USING (marker_id)""", "topped",
 )(lambda s, d: rounded(sm.marker_summary(tb.alleles(s, d))))
 query(

@@ -240,3 +240,24 @@ query(
 def _snapshot(s, d):
     orders = tb.read(s, d, "orders")
     return store.snapshot(orders.select("o_orderkey", "o_custkey"), orders.select(F.col("o_orderpriority").alias("uid"), "o_orderkey"), "1-URGENT", "o_orderkey")
+
+
+query(
+    "comprehensive",
+    """, n AS (SELECT count(DISTINCT marker_id) AS m, count(DISTINCT set_id) AS s FROM facts)
+    SELECT 'marker_summary' AS part, m AS n FROM n UNION ALL SELECT 'sample_summary', s FROM n UNION ALL SELECT 'clonality_by_he', m FROM n UNION ALL SELECT 'clonality_by_polyclonal', m FROM n
+    UNION ALL SELECT 'allele_summary', count(*) FROM (SELECT DISTINCT set_id, marker_id, value FROM facts) UNION ALL SELECT 'marker_distribution', m FROM n
+    UNION ALL SELECT 'rank_by_he', m FROM n UNION ALL SELECT 'rank_by_polyclonal', m FROM n UNION ALL SELECT 'loci_distribution', count(*) FROM (SELECT DISTINCT set_id, multi_loci FROM moi)""", "facts", "moi",
+)(lambda s, d: _parts(sm.comprehensive(facts(s, d))))
+
+
+def _parts(tables):
+    """The tables of the report with their numbers of rows."""
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b), [t.agg(F.lit(k).alias("part"), F.count("*").alias("n")) for k, t in tables.items()])
+
+
+query("outside_domain", "SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0", "allele")(
+    lambda s, d: store.outside_domain(tb.read(s, d, "orders").withColumn("peak_type", F.when(F.col("o_orderkey") % 7 == 0, F.lit(None)).otherwise("peak-bin")), "peak_type").select("o_orderkey")
+)
