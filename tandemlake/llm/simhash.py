@@ -51,12 +51,14 @@ COMMON = 1 << 18
 NODE_BITS = 39
 SIZE_BITS = 24
 #: Shingles of a set for each counter of its outline, at least.
-OUTLINE_STEP = 4
+OUTLINE_STEP = 2
 #: Rows of a large group of a first shingle that meet in one task, of each side.
 GROUP_ROWS = 4_096
-#: Pairs of an Arrow batch, about; pairs that are broadcast at most; bits of the map of wanted rows at most.
+#: Bytes of the sets of a block of nodes, about, whose pairs with another block are compared in one task; least blocks.
+CELL_BYTES = 8 << 20
+LEAST_BLOCKS = 4
+#: Pairs of an Arrow batch, about; bits of the map of wanted rows at most.
 _PAIRS = 200_000
-FEW_PAIRS = 50_000
 WANTED_BITS = 1 << 26
 
 
@@ -465,15 +467,25 @@ def _crossing(similarity: float) -> Callable:
 
 
 def _alike(similarity: float) -> Callable:
-    def work(rows: dict[str, list]) -> dict[str, list]:
-        a, b = [], []
-        for i, j, x, y in zip(rows["a"], rows["b"], rows["x"], rows["y"]):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both + 1e-9 >= similarity * (len(x) + len(y) - both):
-                a.append(i)
-                b.append(j)
-        return {"a": a, "b": b}
+    """The pairs that are similar: rows (cell, role, a, b, x) come sorted by cell and role, first the sets x of nodes a
+    (role 0), then the pairs (role 1). A set is there once for all pairs of its cell."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sets = None, {}
+        for batch in batches:
+            out: tuple[list[int], list[int]] = ([], [])
+            for at, role, a, b, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != cell:
+                    cell, sets = at, {}
+                if role == 0:
+                    sets[a] = np.frombuffer(x, np.uint64)
+                    continue
+                x, y = sets[a], sets[b]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both + 1e-9 >= similarity * (len(x) + len(y) - both):
+                    out[0].append(a)
+                    out[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
     return work
 
@@ -591,8 +603,14 @@ def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
         x = outlines.select(F.col("node").alias("a"), "n", F.col("outline").alias("x"))
         y = outlines.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("outline").alias("y"))
         left = cut(map_columns(pairs.join(x, "a").join(y, "b"), "a bigint, b bigint", _allowed(similarity)))
-        wanted = cut(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node"))
-        bits = min(WANTED_BITS, 1 << max(15, (16 * wanted.count()).bit_length()))
+        ends = left.select(F.col("a").alias("node")).distinct().union(left.select(F.col("b").alias("node")).distinct()).distinct()
+        wanted = cut(ends.join(nodes.select("node", "row", "n"), "node"))
+        # Nodes are dealt to blocks, and pairs to cells of two blocks, so that a cell's sets take some CELL_BYTES.
+        count, total = wanted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        blocks = max(LEAST_BLOCKS, -(-8 * total // CELL_BYTES))
+        block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+        celled = left.select((block("a") * blocks + block("b")).alias("cell"), "a", "b")
+        bits = min(WANTED_BITS, 1 << max(15, (16 * count).bit_length()))
         marks = _wanted_bits(wanted, bits)
 
         def read(rows: dict[str, list]) -> dict[str, list]:
@@ -602,10 +620,10 @@ def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
 
         maybe = map_columns(texts.select(row_name(key).alias("row"), "_text").withColumn("p", _place(bits)), "row binary, x binary", read)
         sets = cut(maybe.join(wanted, "row").groupBy("row", "node").agg(F.first("x").alias("x")).select("node", "x"))
-        if left.count() <= FEW_PAIRS:
-            left = F.broadcast(left)
-        both = left.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
-        return cut(map_columns(both, "a bigint, b bigint", _alike(similarity)))
+        needed = celled.select("cell", F.col("a").alias("node")).distinct().union(celled.select("cell", F.col("b").alias("node")).distinct()).distinct()
+        own = needed.join(sets, "node").select("cell", F.lit(0).alias("role"), F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "x")
+        met = own.unionByName(celled.select("cell", F.lit(1).alias("role"), "a", "b", F.lit(None).cast("binary").alias("x")))
+        return cut(met.repartition("cell").sortWithinPartitions("cell", "role").mapInArrow(_alike(similarity), "a bigint, b bigint"))
 
     # Trees over distinct fingerprints; sets with one fingerprint are neighbours.
     by_print = near_links(cut(outlines.groupBy("fp").agg(F.min("node").alias("node")).select("node", "fp")))
