@@ -73,7 +73,7 @@ def token_pieces(df: DataFrame, tokenizer: str, key: str, text: str, capacity: i
         return out
 
     typed = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {typed}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, class int, worker int, rank bigint, ids array<bigint>"
+    schema = f"`{key}` {typed}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, class int, worker int, rank bigint, ids array<int>"
     return map_columns(df.select(key, whole_text(text).alias("_text")), schema, work, counts.clear)
 
 
