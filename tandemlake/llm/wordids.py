@@ -56,17 +56,19 @@ class WordIds:
         return found
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(map(str.lower, texts)) if any(s in t for s in self.special)]
+        low = [t.lower() for t in texts]
+        whole = [i for i, t in enumerate(low) if any(s in t for s in self.special)]
         if whole:
             got = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
-            plain = self.encode_batch(["" if i in set(whole) else t for i, t in enumerate(texts)])
+            rest = set(whole)
+            plain = self.encode_batch(["" if i in rest else t for i, t in enumerate(texts)])
             for i, e in zip(whole, got):
                 plain[i] = array("I", e.ids).tobytes()
             return plain
         split = []
-        for text in texts:
+        for text, lower in zip(texts, low):
             if not _SIMPLE(text):
-                text = _TAIL.sub(r" \1", text.lower().replace("\n", " "))
+                text = _TAIL.sub(r" \1", lower.replace("\n", " "))
             split.append(text.replace("\n", " ").split(" "))
         if len(self.memo) > MEMO_WORDS:
             self.memo = {"": b""}
