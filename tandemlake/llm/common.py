@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -50,6 +51,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of data that nothing refers to any more. It does so when the
+    driver's JVM collects garbage, which a job of many short rounds seldom makes it do by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_fold(column: str, parts: int) -> Column:
     """crc32 of the id written as text, modulo `parts`; null ids fall in a fold of their own (null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(parts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -32,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         ties = pairs.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         pairs = cut(ties.filter("a <> b").distinct())
         before, mark = mark, _mark(pairs)
+        release(pairs.sparkSession)
         if mark == before:
             break
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.select("b", "b").distinct())

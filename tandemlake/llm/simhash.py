@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import cut, map_columns, read_table, whole_text
+from .common import cut, map_columns, read_table, release, whole_text
 from .graph import components
 
 RADIUS = 3
@@ -623,7 +623,9 @@ def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
         needed = celled.select("cell", F.col("a").alias("node")).distinct().union(celled.select("cell", F.col("b").alias("node")).distinct()).distinct()
         own = needed.join(sets, "node").select("cell", F.lit(0).alias("role"), F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "x")
         met = own.unionByName(celled.select("cell", F.lit(1).alias("role"), "a", "b", F.lit(None).cast("binary").alias("x")))
-        return cut(met.repartition("cell").sortWithinPartitions("cell", "role").mapInArrow(_alike(similarity), "a bigint, b bigint"))
+        good = cut(met.repartition("cell").sortWithinPartitions("cell", "role").mapInArrow(_alike(similarity), "a bigint, b bigint"))
+        release(good.sparkSession)
+        return good
 
     # Trees over distinct fingerprints; sets with one fingerprint are neighbours.
     by_print = near_links(cut(outlines.groupBy("fp").agg(F.min("node").alias("node")).select("node", "fp")))
