@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.exports import numbered
 from .alleles import dominant
+from .ordering import numbered
 
 
 def genotypes(alleles: DataFrame, markers: list[int], keys=("set_id", "sample_id")) -> DataFrame:

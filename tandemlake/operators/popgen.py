@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ..sources.exports import numbered
+from .ordering import numbered
 
 #: Rows of a distance matrix that a driver kernel takes.
 DENSE_LIMIT = 5_000

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered
+
 MISSING = "-9"
 
 
@@ -32,15 +34,6 @@ def structure_params(markers: list[int], samples: int, sets: int) -> str:
     return "".join(f"#define {k} {v}\n" for k, v in lines.items())
 
 
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Add `number`, 1, 2, ... by the order over all rows: rows are sorted in ranges, counted per range and shifted."""
-    sized = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    sized = sized.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sized.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))  # a row a partition
-    return sized.join(F.broadcast(starts), "_part").withColumn("number", F.col("_at") + F.col("_start") + 1).drop("_at", "_part", "_start")
-
-
 def arlequin_rows(wide: DataFrame, markers: list[int], sets: list[str], recode: bool = False) -> DataFrame:
     """set_id, head, line of each sample. Recoded: a running number instead of the id, and values marked by their set."""
     if recode:
