@@ -47,7 +47,7 @@ def range_number(key: Column, kind: DataType, cuts: list[str]) -> Column:
     return skipped + F.size(F.filter(F.slice(array(cuts), skipped + 1, wide), lambda c: c <= key))
 
 
-def numbered(rows: DataFrame, order: list[str | Column], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str | Column], rows_per_range: int | None = None) -> DataFrame:
     """Add `number`, 1, 2, ... by the ascending order (nulls first) over all rows, without gaps.
 
     Rows that are equal in the order get numbers next to each other, in any sequence; so a value that a third of all
@@ -60,7 +60,7 @@ def numbered(rows: DataFrame, order: list[str | Column], rows_per_range: int = R
     # Checkpointed partitions don't change, so neither does the place of a row, which tells equal keys apart.
     kept = kept.withColumn("key", F.struct("key.*", F.monotonically_increasing_id().alias("at")))
     total = kept.count()
-    ranges = max(1, min(MAX_RANGES, total // rows_per_range))
+    ranges = max(1, min(MAX_RANGES, total // (rows_per_range or ROWS_PER_RANGE)))
     cuts = range_cuts(kept, ranges, total)
     placed = kept.withColumn("range", range_number(F.col("key"), kept.schema["key"].dataType, cuts))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from tandemlake.functions import scalar, stats
 from tandemlake.model import PRESETS, AnalysisParams
 from tandemlake.operators import alleles as al
 from tandemlake.operators import genotype as gt
+from tandemlake.operators import ordering
 from tandemlake.operators import peaks as pk
 from tandemlake.operators import popgen as pop
 from tandemlake.operators import quality as ql
@@ -322,7 +323,8 @@ def test_distances_of_all_pairs_by_genotypes(spark):
             assert (0 if i == j else d[i, j]) == sum(x != y for x, y in zip(values[a], values[b]))
 
 
-def test_haplotypes_are_numbered_without_one_task_for_all(spark):
+def test_haplotypes_are_numbered_without_one_task_for_all(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 10)
     rows = [("A", i, float(i % 40), float(i % 40)) for i in range(120)] + [("A", 500, 77.0, 1.0)]
     df = spark.createDataFrame(rows, "set_id string, sample_id bigint, m1 double, m2 double")
     found = gt.haplotypes(df, [1, 2])
