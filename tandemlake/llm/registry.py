@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import langid, licenses, media, mergepieces, packing, quality, secrets, simhash, urlfilter, winnowing
+from . import langid, licenses, media, mergepieces, packing, quality, resampling, secrets, simhash, urlfilter, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
@@ -17,8 +17,9 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_media": media.op10_media,
+    "op11_resampling": resampling.op11_resampling,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op2_url_filter": urlfilter.OP2_SQL}
+ORACLE_SQL = {"op2_url_filter": urlfilter.OP2_SQL, "op11_resampling": resampling.OP11_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
