@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import langid, licenses, media, mergepieces, packing, quality, resampling, secrets, simhash, urlfilter, winnowing
+from . import langid, licenses, media, mergepieces, packing, quality, repair, resampling, rules, secrets, simhash, urlfilter, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.op1_winnowing,
@@ -18,8 +18,10 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
     "op10_media": media.op10_media,
     "op11_resampling": resampling.op11_resampling,
+    "op12_quality_rules": rules.op12_quality_rules,
+    "op13_conversation_repair": repair.op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op2_url_filter": urlfilter.OP2_SQL, "op11_resampling": resampling.OP11_SQL}
+ORACLE_SQL = {"op2_url_filter": urlfilter.OP2_SQL, "op11_resampling": resampling.OP11_SQL, "op13_conversation_repair": repair.OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
