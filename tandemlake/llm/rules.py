@@ -25,12 +25,14 @@ TREES = 128
 TREE_ROWS = 256
 SAMPLE_ROWS = 8_192
 SEED = 12
+#: Ratios are seen by the forest in whole steps of this size.
+STEP = 0.1
 #: Anomalies are compared in steps of 1 / STEPS.
 STEPS = 1_000
 #: A labelled good text that is lost weighs as much as so many bad ones that stay.
 GOOD_WEIGHT = 4
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits", "n_lone")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_lone")
 
 
 def _repeated(words: list) -> int:
@@ -54,10 +56,10 @@ def text_counts(text: str) -> tuple[int, ...]:
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()  # of bytes: at SPACES only
     lines = [x for x in data.split(b"\n") if not x.isspace() and x]
-    upper, digits = (len(data) - len(data.translate(None, bytes(range(*span)))) for span in ((65, 91), (48, 58)))
+    upper = len(data) - len(data.translate(None, bytes(range(65, 91))))
     return (
         len(words), len(text) - sum(text.count(c) for c in SPACES), sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)),
-        _repeated(words), len(lines), upper, text.count("!") + text.count("?"), digits, sum(len(w) == 1 for w in words),
+        _repeated(words), upper, text.count("!") + text.count("?"), sum(len(w) == 1 for w in words),
     )
 
 
@@ -77,12 +79,13 @@ def fails_limits() -> Column:
 
 
 def ratios() -> list[Column]:
-    """What the forest sees: shares that don't depend on a text's length."""
-    words, chars, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
-    return [
-        F.col("word_chars") / words, F.col("n_symbols") / words, F.col("n_dup_lines") / lines, F.col("n_repeat_words") / words,
-        F.col("n_upper") / chars, F.col("n_marks") / words, F.col("n_digits") / chars, F.col("n_lone") / words,
-    ]
+    """What the forest sees: symbols, marks and lone words for each word, and the share of capitals, in whole STEP.
+
+    Smaller differences are chance, and a text's length plays no part. Repetition is left to the fixed limit: some
+    repeated lines or words are as common in good texts as in bad ones, and rare in both.
+    """
+    words, chars = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars"))
+    return [F.round(x / STEP) for x in (F.col("n_symbols") / words, F.col("n_marks") / words, F.col("n_lone") / words, F.col("n_upper") / chars)]
 
 
 def mean_path(n: np.ndarray | float) -> np.ndarray | float:
@@ -156,10 +159,11 @@ def grow_forest(x: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, s
 
 def add_anomaly(counts: DataFrame, forest: Forest) -> DataFrame:
     """The rows of counts with `anomaly`, 0 to 1."""
+    wide = len(ratios())
     shared = counts.sparkSession.sparkContext.broadcast(forest)  # TREES trees of at most 2 * TREE_ROWS nodes
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        x = np.array(rows.pop("_x"), dtype=np.float64).reshape(-1, len(ratios()))
+        x = np.array(rows.pop("_x"), dtype=np.float64).reshape(-1, wide)
         return rows | {"anomaly": shared.value.anomaly(x)}
 
     names = counts.columns
