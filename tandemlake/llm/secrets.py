@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from functools import cache
+from functools import cache, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +35,8 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 #: The head of a PEM block, its header lines, and what separates its lines: breaks, also as written in strings.
 _PEM = re.compile(r"-----BEGIN [^\r\n-]{1,64}-----", re.IGNORECASE)
 _PEM_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*: ")
-_PEM_LINE = re.compile(r"(?:[^\r\n\\]|\\(?![nr]))+")
+_PEM_BREAK = re.compile(r"[\r\n]|\\[nr]")
+_PEM_TOKEN = re.compile(r"(?P<line>[\r\n]|\\[nr])|(?:[^\s\"',\\]|\\(?![nr]))+")
 _PEM_PIECE = re.compile(r"[A-Za-z0-9+/=]+")
 #: Characters between the end of a sensitive word, or of a secret found, and a candidate's start; the text around that
 #: primes the dictionary; characters of a candidate that are judged at a time.
@@ -87,15 +88,33 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _without_copies(text: str, begin: int, end: int, copy: str) -> str:
+    """text[begin:end] without what copies of `copy` cover, also of those that reach over its ends."""
+    margin = len(copy) - 1
+    out, at = [], begin
+    found = text.find(copy, max(0, begin - margin), end + margin)
+    while 0 <= found < end:
+        out.append(text[at : max(at, found)])
+        at = max(at, found + len(copy))
+        found = text.find(copy, found + len(copy), end + margin)
+    return " ".join([*out, text[at:end]])
+
+
 def _incompressible(text: str, begin: int, end: int) -> bool:
-    """Whether the candidate mixes letters and digits and a window of it is novel."""
+    """Whether the candidate mixes letters and digits and a window of it is novel.
+
+    Copies of the candidate, and of the window, are no surroundings: a key that stands twice is as novel as one.
+    """
     s = text[begin:end]
     if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
         return False
-    around = text[max(0, begin - AROUND) : begin] + text[end : end + AROUND]
+    core = s.strip("=+/_-")
+    core = core if len(core) >= LEAST else s
+    before = _without_copies(text, max(0, begin - AROUND), begin, core)
+    after = _without_copies(text, end, min(len(text), end + AROUND), core)
     # A last window shorter than a candidate is joined to the one before.
     cuts = [*range(0, max(1, len(s) - LEAST + 1), WINDOW), len(s)]
-    return any(novelty(s[a:b], around) >= NOVELTY for a, b in zip(cuts, cuts[1:]))
+    return any(novelty(s[a:b], f"{before.replace(s[a:b], ' ')} {after.replace(s[a:b], ' ')}") >= NOVELTY for a, b in zip(cuts, cuts[1:]))
 
 
 def _union(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
@@ -123,28 +142,42 @@ def _outside(begin: int, end: int, known: tuple[list[int], list[int]]) -> list[t
     return [*out, (begin, end, "novel")] if begin < end else out
 
 
+@lru_cache(maxsize=1)
+def _line_ends(text: str) -> list[int]:
+    return [m.end() for m in _PEM_BREAK.finditer(text)]
+
+
 def _pem_pieces(text: str, at: int) -> list[tuple[int, int]]:
     """The lines of a PEM block's body from the end of its head on, up to a shorter one, which is the last.
 
-    A line with blanks is a body whose breaks have become blanks, if only its last piece is short.
+    A line with blanks is a body whose breaks have become blanks, if only its last piece is short. Pieces are read one
+    by one, and none beyond dashes, so heads that follow one another don't read each other's bodies.
     """
     out: list[tuple[int, int]] = []
-    for line in _PEM_LINE.finditer(text, at):
-        pieces = [m.span() for m in re.finditer(r"[^\s\"',]+", line[0])]
-        if not pieces or (not out and _PEM_HEADER.match(line[0].lstrip())):
-            continue
-        # A body in one line may have the closing line after it.
-        close = next((i for i, (a, b) in enumerate(pieces) if "-----" in line[0][a:b]), None)
-        if close is not None:
-            a, b = pieces[close]
-            head = line[0].index("-----", a)
-            pieces = pieces[:close] + ([(a, head)] if head > a else [])
-        whole = all(_PEM_PIECE.fullmatch(line[0], a, b) for a, b in pieces) and all(b - a >= LEAST for a, b in pieces[:-1])
-        if not pieces or not whole or (not out and pieces[0][1] - pieces[0][0] < LEAST):
-            break
-        out += [(line.start() + a, line.start() + b) for a, b in pieces]
-        if close is not None or out[-1][1] - out[-1][0] < out[0][1] - out[0][0]:
+    line: list[tuple[int, int]] = []
+    while True:
+        m = _PEM_TOKEN.search(text, at)
+        closed = m is not None and not m["line"] and "-----" in m[0]
+        if m is None or m["line"] or closed:
+            if closed and (cut := m.start() + m[0].index("-----")) > m.start():
+                line.append((m.start(), cut))
+            whole = all(_PEM_PIECE.fullmatch(text, a, b) for a, b in line) and all(b - a >= LEAST for a, b in line[:-1])
+            if not whole or (line and not out and line[0][1] - line[0][0] < LEAST):
+                break
+            out += line
+            if m is None or closed or (line and line[-1][1] - line[-1][0] < out[0][1] - out[0][0]):
+                break
+            line, at = [], m.end()
+        elif not out and not line and _PEM_HEADER.match(text, m.start()):
+            ends = _line_ends(text)
+            if (i := bisect_right(ends, m.end())) == len(ends):
+                break
+            at = ends[i]
+        elif not _PEM_PIECE.fullmatch(m[0]) or (line and line[-1][1] - line[-1][0] < LEAST):
             break
+        else:
+            line.append(m.span())
+            at = m.end()
     return out
 
 

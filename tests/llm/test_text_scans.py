@@ -206,6 +206,25 @@ def test_grants_without_the_word_licensed():
     assert found("To the extent possible under law, the author has waived all copyright and related or neighboring rights") == ["cc0-1.0"]
 
 
+def brute_around(text, begin, end, s):
+    """The surroundings of a candidate, character by character: a blank for each copy of it."""
+    core = s.strip("=+/_-")
+    core = core if len(core) >= 16 else s
+
+    def side(a, b):
+        out, i = "", max(0, a - len(core) + 1)
+        while i < b:
+            if text[i : min(i + len(core), b + len(core) - 1)] == core:
+                out += " "
+                i += len(core)
+            else:
+                out += text[i] if i >= a else ""
+                i += 1
+        return out
+
+    return side(max(0, begin - secrets.AROUND), begin), side(end, min(len(text), end + secrets.AROUND))
+
+
 def brute_novel(text, base):
     """Candidates after each sensitive word, found by looking at every character."""
     letters = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
@@ -221,10 +240,11 @@ def brute_novel(text, base):
             while end < len(text) and text[end] in letters:
                 end += 1
             at = done = end
-            s, around = text[begin:end], text[max(0, begin - secrets.AROUND) : begin] + text[end : end + secrets.AROUND]
+            s = text[begin:end]
+            before, after = brute_around(text, begin, end, s)
             cuts = [*range(0, max(1, len(s) - 15), secrets.WINDOW), len(s)]
             mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-            if mixed and any(secrets.novelty(s[a:b], around) >= secrets.NOVELTY for a, b in zip(cuts, cuts[1:])):
+            if mixed and any(secrets.novelty(s[a:b], f"{' '.join(before.split(s[a:b]))} {' '.join(after.split(s[a:b]))}") >= secrets.NOVELTY for a, b in zip(cuts, cuts[1:])):
                 free = [i for i in range(begin, end) if i not in covered]
                 out += [(i, "first") for i in free if i - 1 not in free] + [(i + 1, "end") for i in free if i + 1 not in free]
                 limit = max(limit, end + secrets.REACH)
@@ -234,9 +254,34 @@ def brute_novel(text, base):
     return list(zip(firsts, ends))
 
 
+@pytest.mark.parametrize("apart", [1, 60, 505, 520, 900])
+def test_keys_that_stand_twice(apart):
+    """A key is no surroundings of its own copy, wholly or partly within reach of it."""
+    for key in (key_text(40, 1), key_text(700, 2), "=" + key_text(32, 3)):
+        text = f"Use bearer {key} first. {'and then ' * (apart // 9)}{'x ' * (apart % 9)}bearer {key} again, client_id {key}."
+        spans = secrets.novel_spans(text, [])
+        assert [text[a:b] for a, b, _ in spans] == [key] * 3, (apart, len(key))
+        assert key not in secrets.masked(text, spans)
+
+
+def test_pem_heads_take_time_in_proportion():
+    import time
+
+    def took(n, part):
+        text = part * n
+        begin = time.process_time()
+        secrets.novel_spans(text, [])
+        return time.process_time() - begin
+
+    for part in ("-----BEGIN A----- " + "A" * 64 + " ", "-----BEGIN A----- Proc-Type: 4 ", "-----BEGIN A-----\n" + key_text(64, 5) + "\n"):
+        took(100, part)
+        assert took(8_000, part) < 12 * max(took(2_000, part), 0.05), part
+
+
 def test_novel_spans_equal_brute_force():
     rng = random.Random(8)
-    parts = ["bearer ", "the token ", "credential: ", ".", " and ", "\n", "=", "password = 'abcdefgh1234'", "0123456789abcdef" * 2, "ordinary words here ", "access_key_id_and_secret_access_key "]
+    repeated = key_text(24, 0.5)
+    parts = ["bearer ", "the token ", "credential: ", ".", " and ", "\n", "=", "password = 'abcdefgh1234'", "0123456789abcdef" * 2, "ordinary words here ", "access_key_id_and_secret_access_key ", f"bearer {repeated} ", repeated]
     found = 0
     for n in range(300):
         text = "".join(rng.choice(parts) if rng.random() < 0.7 else key_text(rng.randint(8, 60), rng.random()) for _ in range(rng.randint(2, 14)))
