@@ -51,9 +51,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that `cut` wrote and that no later step reads, by their paths in the shared folder."""
+    for df in frames:
+        plan = df._jdf.queryExecution().analyzed()
+        if not plan.getClass().getSimpleName() == "LogicalRDD":
+            continue  # a step upon a written frame owns no files
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files and checkpoints of data that nothing refers to any more. It does so when the
-    driver's JVM collects garbage, which a job of many short rounds seldom makes it do by itself."""
+    """Let Spark delete the shuffle files of data that nothing refers to any more. It does so when the driver's JVM
+    collects garbage, which a job of many short rounds seldom makes it do by itself."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, discard, release
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     joined back to it can be split where a node has many neighbours; rounds grow with the logarithm of the nodes.
     """
     pairs = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(pairs)
+    mark, written = _mark(pairs), pairs
     while mark[0]:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -31,6 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = pairs.groupBy("a").agg(F.min("b").alias("m"))
         ties = pairs.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         pairs = cut(ties.filter("a <> b").distinct())
+        discard(written)
+        written = pairs
         before, mark = mark, _mark(pairs)
         release(pairs.sparkSession)
         if mark == before:

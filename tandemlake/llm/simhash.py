@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import cut, map_columns, read_table, release, whole_text
+from .common import cut, discard, map_columns, read_table, release, whole_text
 from .graph import components
 
 RADIUS = 3
@@ -624,21 +624,31 @@ def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
         own = needed.join(sets, "node").select("cell", F.lit(0).alias("role"), F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "x")
         met = own.unionByName(celled.select("cell", F.lit(1).alias("role"), "a", "b", F.lit(None).cast("binary").alias("x")))
         good = cut(met.repartition("cell").sortWithinPartitions("cell", "role").mapInArrow(_alike(similarity), "a bigint, b bigint"))
+        discard(left, wanted, sets)
         release(good.sparkSession)
         return good
 
     # Trees over distinct fingerprints; sets with one fingerprint are neighbours.
-    by_print = near_links(cut(outlines.groupBy("fp").agg(F.min("node").alias("node")).select("node", "fp")))
+    distinct = cut(outlines.groupBy("fp").agg(F.min("node").alias("node")).select("node", "fp"))
+    by_print = near_links(distinct)
     of_print = outlines.select(F.col("fp").alias("h"), "node", F.lit(0).cast("bigint").alias("pos"))
     sized = lambda c: F.shiftright(c, NODE_BITS)
     by_print = by_print.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(sized("b") + 1e-6 >= similarity * sized("a"))
     near = by_print.union(neighbours(shared.union(of_print).withColumn("label", F.col("node")), 1, 1))
-    found = links(cut(near.distinct()))
-    again = cut(neighbours(classed(found), 2, 4).distinct())
-    found = cut(found.union(links(again)))
-    crossing = _cells(classed(found)).mapInArrow(_crossing(similarity), "a bigint, b bigint")
+    first = cut(near.distinct())
+    found = links(first)
+    discard(first, distinct)
+    labelled = classed(found)
+    again = cut(neighbours(labelled, 2, 4).distinct())
+    more = links(again)
+    found, before = cut(found.union(more)), found
+    discard(labelled, before, more)
+    labelled = classed(found)
+    crossing = _cells(labelled).mapInArrow(_crossing(similarity), "a bigint, b bigint")
     rest = cut(crossing.distinct().join(again, ["a", "b"], "left_anti"))
+    discard(labelled, again, shared)
     known = components(cut(found.union(links(rest))))
+    discard(rest, outlines)
     classes = nodes.select("name", "node").join(known, "node", "left").select("name", F.coalesce("component", "node").alias("class"))
     return prints.select(key, "digest", "name").join(classes, "name").select(key, "digest", "class")
 
