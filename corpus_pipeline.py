@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandemlake.llm import langid, packing, quality, secrets, simhash
-from tandemlake.llm.common import cut, read_table, shared_folder
+from tandemlake.llm.common import cut, discard, read_table, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Pooled probability of the predicted language below which a document has no clear language.
@@ -50,8 +50,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     texts stays with each."""
     rows = cut(simhash.similar_rows(docs.select("doc_id", "text")))
     first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("id"))
-    named = rows.join(first, "class").filter(F.col("doc_id").eqNullSafe(F.col("id.doc_id"))).select("class", simhash.row_name().alias("row"))
-    kept = cut(named.groupBy("class").agg(F.collect_set("row").alias("rows")).select("class", F.explode("rows").alias("row"), (F.size("rows") > 1).alias("tied")))
+    named = cut(rows.join(first, "class").filter(F.col("doc_id").eqNullSafe(F.col("id.doc_id"))).select("class", simhash.row_name().alias("row")).distinct())
+    several = named.groupBy("class").agg((F.count("*") > 1).alias("tied"))
+    kept = cut(named.join(several, "class"))
+    discard(rows, named)
     named_docs = docs.select(*COLUMNS, simhash.text_digest().alias("digest")).withColumn("row", simhash.row_name()).drop("digest")
     best = kept.filter("NOT tied").select("row")
     tied = kept.filter("tied")
