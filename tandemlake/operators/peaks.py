@@ -16,19 +16,44 @@ def stutter(peaks: DataFrame, reach: float = 1.25) -> DataFrame:
     return peaks.withColumn("peak_type", F.when(near, "peak-stutter").otherwise("peak-called"))
 
 
+def width_level(begin: Column, end: Column) -> Column:
+    """The least level from 1 on whose cells, 2 to its power wide, are as wide as the interval."""
+    return F.length(F.bin(F.greatest(F.ceil(end - begin), F.lit(1)).cast("bigint") - 1))
+
+
+def overlapping_pairs(peaks: DataFrame) -> DataFrame:
+    """x, y: structs of two peaks of different channels of an assay, the one of the lower or the same level first, that
+    lie in neighbouring cells of the level of y. Pairs of one level come twice. Peaks have brtime and ertime.
+
+    An interval's level follows its own width, and it is kept once, in the cell of its level where it begins. Others find
+    it from their own level upwards, over the levels that the assay has, in at most four cells of each. So a wide peak
+    meets what it covers, and no other peak meets more for it.
+    """
+    cell = lambda time, level: F.floor(time / F.pow(F.lit(2.0), level)).cast("bigint")
+    rows = peaks.withColumn("_level", width_level(F.col("brtime"), F.col("ertime")))
+    levels = rows.groupBy("assay_id").agg(F.collect_set("_level").alias("_levels"))  # at most some 60 a row
+    own = F.struct(*[F.col(c) for c in peaks.columns])
+    y = rows.select("assay_id", F.col("_level").alias("level"), cell(F.col("brtime"), F.col("_level")).alias("cell"), own.alias("y"))
+    first, last = F.least("brtime", "ertime"), F.greatest("brtime", "ertime")
+    x = rows.join(levels, "assay_id").select("assay_id", own.alias("x"), first.alias("first"), last.alias("last"), F.explode(F.filter("_levels", lambda v: v >= F.col("_level"))).alias("level"))
+    x = x.select("assay_id", "x", "level", F.explode(F.sequence(cell(F.col("first"), F.col("level")) - 1, cell(F.col("last"), F.col("level")))).alias("cell"))
+    return x.join(y, ["assay_id", "level", "cell"]).filter("x.channel_id <> y.channel_id").select("x", "y")
+
+
 def overlaps(peaks: DataFrame, channels: DataFrame | None = None) -> DataFrame:
     """peak_id of peaks that overlap in time with a higher one of another channel of the assay.
 
-    Peaks have brtime and ertime (end exclusive). Time is cut into slots as wide as a peak of the assay can be, so the
-    range join is an equi-join on assay and slot; all peaks are judged by the types they had before. With channels
-    (assay_id, channel_id, data) one of the two peaks must also be lower than the other channel's signal at its time.
+    Peaks have brtime and ertime (end exclusive); all are judged by the types they had before. With channels (assay_id,
+    channel_id, data) one of the two peaks must also be lower than the other channel's signal at its time.
     """
-    widths = peaks.groupBy("assay_id").agg(F.greatest(F.max(F.col("ertime") - F.col("brtime")), F.lit(1)).alias("width"))
-    rows = peaks.join(widths, "assay_id").withColumn("slot", F.floor(F.col("brtime") / F.col("width")))
-    near = F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1))
-    a = rows.select("assay_id", near.alias("slot"), F.col("channel_id").alias("c1"), F.col("peak_id"), F.col("brtime").alias("b1"), F.col("ertime").alias("e1"), F.col("height").alias("h1"))
-    b = rows.select("assay_id", "slot", F.col("channel_id").alias("c2"), F.col("peak_id").alias("other"), F.col("brtime").alias("b2"), F.col("ertime").alias("e2"), F.col("height").alias("h2"))
-    met = a.join(b, ["assay_id", "slot"]).filter("c1 <> c2 AND b1 < e2 AND b2 < e1 AND h1 < h2")
+    rows = peaks.select("assay_id", "channel_id", "peak_id", "brtime", "ertime", "height")
+    met = overlapping_pairs(rows).filter("x.brtime < y.ertime AND y.brtime < x.ertime AND x.height <> y.height")
+    lower, higher = (F.when((F.col("x.height") < F.col("y.height")) == first, F.col("x")).otherwise(F.col("y")) for first in (True, False))
+    met = met.select(lower.alias("a"), higher.alias("b"))
+    met = met.select(
+        F.col("a.peak_id").alias("peak_id"), F.col("a.channel_id").alias("c1"), F.col("a.height").alias("h1"),
+        F.col("b.peak_id").alias("other"), F.col("b.channel_id").alias("c2"), F.col("b.height").alias("h2"),
+    )
     if channels is not None:
         # The signal of the assay's other channels at each peak's time: traces meet the few peaks of their assay.
         traces = channels.select("assay_id", F.col("channel_id").alias("in"), "data")

@@ -428,6 +428,11 @@ query(
     """, e AS (SELECT *, rtime - 1 AS b, rtime + 1 + peak_id % 3 AS e FROM peak)
     SELECT DISTINCT x.peak_id FROM e x JOIN e y ON x.assay_id = y.assay_id AND x.channel_id <> y.channel_id AND x.b < y.e AND y.b < x.e AND x.height < y.height""", "peak",
 )(lambda s, d: pk.overlaps(tb.peaks(s, d).withColumn("brtime", F.col("rtime") - 1).withColumn("ertime", F.col("rtime") + 1 + F.col("peak_id") % 3)))
+query(
+    "overlap_wide",
+    """, e AS (SELECT *, rtime - 1 AS b, rtime + CASE WHEN peak_id % 1000 = 7 THEN 1000000 ELSE 1 + peak_id % 40 END AS e FROM peak)
+    SELECT DISTINCT x.peak_id FROM e x JOIN e y ON x.assay_id = y.assay_id AND x.channel_id <> y.channel_id AND x.b < y.e AND y.b < x.e AND x.height < y.height""", "peak",
+)(lambda s, d: pk.overlaps(tb.peaks(s, d).withColumn("brtime", F.col("rtime") - 1).withColumn("ertime", F.col("rtime") + F.when(F.col("peak_id") % 1000 == 7, 1_000_000).otherwise(1 + F.col("peak_id") % 40))))
 query(
     "band_overlap",
     "SELECT DISTINCT x.peak_id FROM peak x JOIN peak y ON x.assay_id = y.assay_id AND x.channel_id <> y.channel_id AND abs(x.size - y.size) < 1.25 AND x.height < y.height", "peak",

@@ -1,3 +1,4 @@
+import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,38 @@ def test_hidden_peaks(spark):
     assert [r[0] for r in pk.overlaps(peaks, channels).collect()] == [2]
 
 
+def made_peaks(rng, n, wide=0):
+    """Peaks of 4 assays of 5 channels, `wide` of them over the whole trace."""
+    rows = []
+    for i in range(n):
+        b = rng.randrange(8 * n)
+        width = 10 * n if i < wide else rng.choice([0, 1, 2, 3, 4, 5, 7, 8, 9, 16, 17, 33])
+        rows.append((i, i % 4, 100 * (i % 4) + rng.randrange(5), b, 0 if i < wide else b, b + width, float(rng.randrange(40))))
+    return rows
+
+
+PEAK = "peak_id bigint, assay_id bigint, channel_id bigint, rtime int, brtime int, ertime int, height double"
+
+
+def test_overlaps_of_peaks_of_all_widths(spark):
+    rng = random.Random(5)
+    for n, wide in ((60, 0), (60, 3), (25, 25), (1, 1)):
+        rows = made_peaks(rng, n, wide) + [(999, 0, 0, 5, 9, 4, 1.0)]  # an interval that ends before it begins
+        want = {x[0] for x in rows for y in rows if x[1] == y[1] and x[2] != y[2] and x[4] < y[5] and y[4] < x[5] and x[6] < y[6]}
+        assert {r[0] for r in pk.overlaps(spark.createDataFrame(rows, PEAK)).collect()} == want
+    assert pk.overlaps(spark.createDataFrame([], PEAK)).count() == 0
+
+
+def test_a_wide_peak_makes_no_other_peaks_meet(spark):
+    met = {}
+    for n in (500, 2_000):
+        for wide in (0, 2):
+            met[n, wide] = pk.overlapping_pairs(spark.createDataFrame(made_peaks(random.Random(6), n, wide), PEAK)).count()
+    assert met[2_000, 0] < 6 * met[500, 0]
+    # What one wide peak adds is what it covers: the other peaks of its assay.
+    assert met[500, 2] - met[500, 0] <= 2 * 500 and met[2_000, 2] - met[2_000, 0] <= 2 * 2_000
+
+
 def test_gates_by_score(spark):
     ladders = spark.createDataFrame([(1, 0.95), (2, 0.7), (3, 0.3)], "assay_id bigint, score double").withColumn("z", F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0)))
     ladders = ladders.withColumn("first_rtime", F.lit(0)).withColumn("last_rtime", F.lit(1000))
