@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .alleles import dominant
+from .classes import components
 from .ordering import numbered
 
 
@@ -111,3 +116,61 @@ def mismatch_histogram(wide: DataFrame, markers: list[int]) -> DataFrame:
     exact = sums.join(F.broadcast(weights), "k").groupBy("e").agg(F.sum(F.col("w") * F.col("pairs")).alias("pairs"))
     total = F.sum("pairs").over(Window.partitionBy())
     return exact.select((F.lit(size) - F.col("e")).alias("d"), F.try_divide("pairs", total).alias("share"))
+
+
+def _distinct_genotypes(wide: DataFrame, markers: list[int]) -> DataFrame:
+    """g (struct of the values), first_sample, n of each distinct genotype; a missing value is a value of its own."""
+    values = F.struct(*[F.col(f"m{m}").cast("double").alias(f"m{m}") for m in markers])
+    return wide.select(values.alias("g"), "sample_id").groupBy("g").agg(F.min("sample_id").alias("first_sample"), F.count("*").alias("n"))
+
+
+def _masked(distinct: DataFrame, markers: list[int], open_markers: list[tuple[int, ...]]) -> DataFrame:
+    """The distinct genotypes once for each choice of open markers: mask (its number) and rest, the other values."""
+    wanted = set(markers)
+    keys = [
+        F.struct(F.lit(i).alias("mask"), F.struct(*[(F.col(f"g.m{m}") if m in wanted - set(c) else F.lit(None).cast("double")).alias(f"m{m}") for m in markers]).alias("rest"))
+        for i, c in enumerate(open_markers)
+    ]
+    return distinct.select("first_sample", "n", F.explode(F.array(*keys)).alias("k")).select("first_sample", "n", "k.mask", "k.rest")
+
+
+def genotype_neighbours(wide: DataFrame, markers: list[int], radius: int) -> DataFrame:
+    """first_sample, n, at_1, ..., near of each distinct genotype: the samples that have it, those whose genotype differs
+    at exactly 1, 2, ... markers, and all of these up to the radius.
+
+    No pairs are made. Genotypes that differ at j markers or fewer agree outside some choice of j open markers. The
+    samples that agree with a genotype outside each choice are counted, by partial sums; a sample at i differences is
+    in comb(markers - i, j - i) of the counts for j, which is solved for the number at exactly j.
+    """
+    if not 0 < radius < len(markers):
+        raise ValueError(f"a radius from 1 to {len(markers) - 1}, not {radius}")
+    choices = [c for j in range(1, radius + 1) for c in combinations(markers, j)]
+    sizes = F.array(*[F.lit(len(c)) for c in choices])
+    distinct = _distinct_genotypes(wide, markers)
+    masked = _masked(distinct, markers, choices)
+    counts = masked.groupBy("mask", "rest").agg(F.sum("n").alias("c"))
+    found = masked.join(counts, ["mask", "rest"]).groupBy("first_sample", "n")
+    found = found.agg(*[F.sum(F.when(F.get(sizes, F.col("mask")) == j, F.col("c")).otherwise(0)).alias(f"sum_{j}") for j in range(1, radius + 1)])
+    at = {0: F.col("n")}
+    for j in range(1, radius + 1):
+        at[j] = F.col(f"sum_{j}") - sum((at[i] * comb(len(markers) - i, j - i) for i in range(j)), F.lit(0))
+    return found.select("first_sample", "n", *[at[j].cast("bigint").alias(f"at_{j}") for j in range(1, radius + 1)], sum((at[j] for j in range(1, radius + 1)), F.lit(0)).cast("bigint").alias("near"))
+
+
+def genotype_classes(wide: DataFrame, markers: list[int], radius: int) -> DataFrame:
+    """sample_id, class_id, class_size: samples are of one class if steps of at most `radius` differing markers lead from
+    one genotype to the other; class_id is its smallest sample.
+
+    Genotypes that agree outside a choice of `radius` open markers all link to each other, so each is tied to the first
+    of them only: as many ties as genotypes and choices, whatever the size of a group.
+    """
+    if not 0 <= radius < len(markers):
+        raise ValueError(f"a radius from 0 to {len(markers) - 1}, not {radius}")
+    distinct = cut(_distinct_genotypes(wide, markers))
+    masked = _masked(distinct, markers, list(combinations(markers, radius)))
+    first = masked.groupBy("mask", "rest").agg(F.min("first_sample").alias("b"))
+    found = components(masked.join(first, ["mask", "rest"]).select(F.col("first_sample").alias("a"), "b"))
+    classes = distinct.join(found, F.col("first_sample") == F.col("node"), "left").select("g", "n", F.coalesce("component", "first_sample").alias("class_id"))
+    sized = classes.join(classes.groupBy("class_id").agg(F.sum("n").alias("class_size")), "class_id").select("g", "class_id", "class_size")
+    own = wide.select("sample_id", F.struct(*[F.col(f"m{m}").cast("double").alias(f"m{m}") for m in markers]).alias("g"))
+    return own.join(sized, "g").select("sample_id", "class_id", "class_size")

@@ -418,6 +418,32 @@ query("nj_tree")(lambda s, d: rounded(pop.set_tree(wide(s, d), MARKERS3)))
 
 # Peaks and traces.
 
+def wide7(spark: SparkSession, d: str) -> DataFrame:
+    """Complete coarse genotypes of all markers, without sets."""
+    return gt.complete(gt.genotypes(tb.coarse_alleles(spark, d), MARKERS7, keys=("sample_id",)), MARKERS7)
+
+
+def _differing(a: str, b: str) -> str:
+    return " + ".join(f"({a}.m{m} <> {b}.m{m})::INT" for m in MARKERS7)
+
+
+_DISTINCT7 = ", g AS (SELECT m1, m2, m3, m4, m5, m6, m7, min(sample_id) AS first_sample, count(*) AS n FROM whole7 GROUP BY ALL)"
+for _d in (1, 2):
+    query(
+        f"genotype_neighbours_{_d}",
+        f"""{_DISTINCT7}, p AS (SELECT x.first_sample, x.n, y.n AS c, {_differing("x", "y")} AS d FROM g x, g y)
+        SELECT first_sample, n, {", ".join(f"coalesce(sum(c) FILTER (d = {j}), 0)::BIGINT AS at_{j}" for j in range(1, _d + 1))},
+        coalesce(sum(c) FILTER (d BETWEEN 1 AND {_d}), 0)::BIGINT AS near FROM p GROUP BY ALL""", "whole7",
+    )(lambda s, d, r=_d: gt.genotype_neighbours(wide7(s, d), MARKERS7, r))
+query(
+    "genotype_classes",
+    f"""{_DISTINCT7}, l AS (SELECT x.first_sample AS a, y.first_sample AS b FROM g x JOIN g y ON {_differing("x", "y")} <= 1),
+    t AS (WITH RECURSIVE r AS (SELECT first_sample AS a, first_sample AS b FROM g UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a, min(b) AS class_id FROM r GROUP BY a),
+    z AS (SELECT class_id, sum(n)::BIGINT AS class_size FROM t JOIN g ON a = first_sample GROUP BY ALL)
+    SELECT sample_id, class_id, class_size FROM whole7 JOIN g USING (m1, m2, m3, m4, m5, m6, m7) JOIN t ON first_sample = a JOIN z USING (class_id)""", "whole7",
+)(lambda s, d: gt.genotype_classes(wide7(s, d), MARKERS7, 1))
+
+
 query(
     "stutter",
     """SELECT peak_id, CASE WHEN (size - lag(size) OVER w < 1.25 AND lag(height) OVER w > height) OR (lead(size) OVER w - size < 1.25 AND lead(height) OVER w > height)

@@ -26,6 +26,11 @@ TABLES = {
         avg(CASE WHEN marker_id = 2 THEN value END) AS m2, avg(CASE WHEN marker_id = 3 THEN value END) AS m3
         FROM (SELECT *, max(height) OVER (PARTITION BY marker_id, sample_id) AS top FROM haplo) h
         JOIN sample s ON h.sample_id = s.sample_id WHERE height = top GROUP BY 1, 2""",
+    "coarse": "SELECT sample_id, marker_id, CAST(floor(value / 10) AS INT) AS value, height FROM allele",
+    "whole7": """SELECT sample_id, m1, m2, m3, m4, m5, m6, m7 FROM (PIVOT (SELECT sample_id, marker_id, avg(value) AS v
+        FROM (SELECT *, max(height) OVER (PARTITION BY marker_id, sample_id) AS top FROM coarse) WHERE height = top GROUP BY ALL)
+        ON marker_id IN (1 AS m1, 2 AS m2, 3 AS m3, 4 AS m4, 5 AS m5, 6 AS m6, 7 AS m7) USING any_value(v) GROUP BY sample_id)
+        WHERE m1 IS NOT NULL AND m2 IS NOT NULL AND m3 IS NOT NULL AND m4 IS NOT NULL AND m5 IS NOT NULL AND m6 IS NOT NULL AND m7 IS NOT NULL""",
     "whole": "SELECT * FROM genotype WHERE m1 IS NOT NULL AND m2 IS NOT NULL AND m3 IS NOT NULL",
     "moi": """SELECT set_id, sample_id, max(n) AS moi, count(*) FILTER (n > 1) AS multi_loci
         FROM (SELECT set_id, sample_id, marker_id, count(*) AS n FROM facts GROUP BY ALL) GROUP BY ALL""",
@@ -36,7 +41,7 @@ TABLES = {
         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rtime,
         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 0.75 AS size, value AS height FROM events""",
 }
-_NEEDS = {"haplo": ("allele",), "facts": ("allele", "sample"), "topped": ("facts",), "genotype": ("haplo", "sample"), "whole": ("genotype",), "moi": ("facts",), "he": ("topped",)}
+_NEEDS = {"haplo": ("allele",), "facts": ("allele", "sample"), "topped": ("facts",), "genotype": ("haplo", "sample"), "whole": ("genotype",), "coarse": ("allele",), "whole7": ("coarse",), "moi": ("facts",), "he": ("topped",)}
 
 
 def _with(names: tuple[str, ...]) -> list[str]:

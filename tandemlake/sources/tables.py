@@ -42,7 +42,12 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
 
 def haplotype_alleles(spark: SparkSession, folder: str) -> DataFrame:
     """Coarse alleles of three markers, so that genotypes are shared."""
-    return alleles(spark, folder).filter("marker_id <= 3").withColumn("value", F.floor(F.col("value") / 10).cast("int"))
+    return coarse_alleles(spark, folder).filter("marker_id <= 3")
+
+
+def coarse_alleles(spark: SparkSession, folder: str) -> DataFrame:
+    """Coarse alleles of all markers, so that genotypes are near to each other."""
+    return alleles(spark, folder).withColumn("value", F.floor(F.col("value") / 10).cast("int"))
 
 
 def country_sets(spark: SparkSession, folder: str) -> DataFrame:
