@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..storage import cut, discard, release, shared_folder  # noqa: F401  of the text operators
 
 #: Rows that a mapper handles at a time; texts may be long, so batches are cut small.
 SLICE_ROWS = 256
@@ -31,46 +30,6 @@ def fold_ascii(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Where it is unset a temporary folder serves a session whose executors are
-    threads of the driver (tests on one machine); on a cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="checkpoint-")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that later steps don't recompute and survive lost executors."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete the files of frames that `cut` wrote and that no later step reads, by their paths in the shared folder."""
-    for df in frames:
-        plan = df._jdf.queryExecution().analyzed()
-        if not plan.getClass().getSimpleName() == "LogicalRDD":
-            continue  # a step upon a written frame owns no files
-        file = plan.rdd().getCheckpointFile()
-        if file.isDefined():
-            context = df.sparkSession.sparkContext
-            path = context._jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of data that nothing refers to any more. It does so when the driver's JVM
-    collects garbage, which a job of many short rounds seldom makes it do by itself."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def id_fold(column: str, parts: int) -> Column:
     """crc32 of the id written as text, modulo `parts`; null ids fall in a fold of their own (null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(parts)
