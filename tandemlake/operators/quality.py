@@ -5,27 +5,57 @@ Frames have set_id, sample_id and marker_id; samples without any allele are in n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .alleles import dominant, thresholds
+from .alleles import absolute, by_type, dominant, thresholds
 from .sets import differentiate
 
 
+#: Markers in one number of a presence mask.
+WORD = 62
+
+
+def marker_ids(alleles: DataFrame) -> list[int]:
+    """The markers of a table, sorted: a row a marker is gathered."""
+    return sorted(r[0] for r in alleles.select("marker_id").filter("marker_id IS NOT NULL").distinct().collect())
+
+
+def _words(markers: list[int]) -> list[Column]:
+    """For each WORD of the markers the bit of a row's marker in it."""
+    place = F.array_position(F.array(*[F.lit(m).cast("bigint") for m in markers]), F.col("marker_id").cast("bigint")) - 1 if markers else F.lit(-1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(WORD)).cast("int"))
+    return [F.when((place >= j * WORD) & (place < (j + 1) * WORD), bit).otherwise(F.lit(0).cast("bigint")) for j in range(max(1, -(-len(markers) // WORD)))]
+
+
+def presence(alleles: DataFrame, markers: list[int], keys=("set_id", "sample_id")) -> DataFrame:
+    """keys, mask: which of the markers a sample has, a bit for each, WORD bits a number. One shuffle, of a row a sample."""
+    return alleles.groupBy(*keys).agg(F.array(*[F.bit_or(w) for w in _words(markers)]).alias("mask"))
+
+
+def mask_size(mask: Column) -> Column:
+    return F.aggregate(mask, F.lit(0).cast("bigint"), lambda n, w: n + F.bit_count(w))
+
+
+def mask_bit(mask: Column, i: int) -> Column:
+    """1 if the i-th marker is in a mask, else 0."""
+    return F.shiftright(F.get(mask, F.lit(i // WORD)), i % WORD).bitwiseAND(F.lit(1).cast("bigint"))
+
+
 def sample_quality(alleles: DataFrame, threshold: float) -> DataFrame:
     """set_id, sample_id, failed, passed: markers of all sets that a sample lacks; it may lack (1 - threshold) of them."""
-    n = alleles.select(F.count_distinct("marker_id").alias("n")).scalar()
-    counted = alleles.groupBy("set_id", "sample_id").agg(F.count_distinct("marker_id").alias("present"))
-    return counted.withColumn("n", n).select(
-        "set_id", "sample_id", (F.col("n") - F.col("present")).alias("failed"),
-        (F.col("n") - F.col("present") <= F.col("n") - threshold * F.col("n")).alias("passed"),
-    )
+    markers = marker_ids(alleles)
+    n = len(markers)
+    failed = (n - mask_size(F.col("mask"))).alias("failed")
+    return presence(alleles, markers).select("set_id", "sample_id", failed).withColumn("passed", F.col("failed") <= n - threshold * n)
 
 
 def marker_quality(alleles: DataFrame, threshold: float, denominator: str = "present") -> DataFrame:
     """marker_id, failed, prop_failed_pct, passed: samples that lack a marker, against those that have it (or `total`)."""
-    n = alleles.select(F.count_distinct("sample_id").alias("n")).scalar()
-    counted = alleles.groupBy("marker_id").agg(F.count_distinct("sample_id").alias("present")).withColumn("n", n)
+    markers = marker_ids(alleles)
+    masks = presence(alleles, markers, ("sample_id",))
+    counts = masks.agg(F.count("*").alias("n"), F.array(*[F.sum(mask_bit(F.col("mask"), i)) for i in range(len(markers))]).cast("array<bigint>").alias("c"))
+    counted = counts.select("n", F.posexplode("c").alias("i", "present")).withColumn("marker_id", F.get(F.array(*map(F.lit, markers)).cast("array<bigint>"), F.col("i")))
     prop = F.try_divide((F.col("n") - F.col("present")).cast("double"), F.col("present" if denominator == "present" else "n"))
     return counted.select("marker_id", (F.col("n") - F.col("present")).alias("failed"), (prop * 100).alias("prop_failed_pct"), (prop <= threshold).alias("passed"))
 
@@ -66,28 +96,44 @@ def sample_quality_report(alleles: DataFrame, threshold: float) -> DataFrame:
 
 def failed_markers(alleles: DataFrame) -> DataFrame:
     """set_id, sample_id, failed: the markers, of those that any set has, that a sample lacks."""
-    every = alleles.agg(F.array_sort(F.collect_set("marker_id")).alias("every"))  # one row
-    own = alleles.groupBy("set_id", "sample_id").agg(F.collect_set("marker_id").alias("own"))
-    return own.join(F.broadcast(every)).select("set_id", "sample_id", F.array_except("every", "own").alias("failed"))
+    markers = marker_ids(alleles)
+    every = F.array(*map(F.lit, markers)).cast("array<bigint>")
+    lacking = [F.when(mask_bit(F.col("mask"), i) == 0, F.lit(i)) for i in range(len(markers))]
+    failed = F.transform(F.array_compact(F.array(*lacking).cast("array<int>")), lambda i: F.get(every, i))
+    return presence(alleles, markers).select("set_id", "sample_id", failed.alias("failed"))
+
+
+def passing_markers(masks: DataFrame, markers: list[int], sample_threshold: float, marker_threshold: float) -> tuple[int, list[int]]:
+    """(markers that any sample has, markers that pass): of the samples with few enough missing markers, at most
+    `marker_threshold` times as many lack a passing marker as have it.
+
+    masks: a row a sample. Samples with equally many markers pass or fail together, so their counts decide: a row for
+    each number of markers is gathered.
+    """
+    sums = F.array(*[F.sum(mask_bit(F.col("mask"), i)) for i in range(len(markers))]).cast("array<bigint>")
+    found = masks.groupBy(mask_size(F.col("mask")).alias("size")).agg(F.count("*").alias("n"), sums.alias("c")).collect()
+    n = sum(any(r["c"][i] for r in found) for i in range(len(markers)))
+    kept = [r for r in found if n - r["size"] <= n - sample_threshold * n]
+    total, present = sum(r["n"] for r in kept), [sum(r["c"][i] for r in kept) for i in range(len(markers))]
+    return n, [m for m, c in zip(markers, present) if c and (total - c) / c <= marker_threshold]
 
 
 def prepare(alleles: DataFrame, members: DataFrame, samples: DataFrame, params) -> tuple[DataFrame, DataFrame]:
     """(prepared alleles with set_id, sets) for `AnalysisParams`: differentiation, thresholds, sample and marker quality.
 
     Thresholds work within marker and sample, so removing samples or markers later equals extracting alleles anew. One
-    shuffle by sample serves the thresholds, the sets and what is counted within a sample.
+    shuffle by sample serves the thresholds, the masks of the markers that a sample has, and the sets. Which markers pass
+    follows from counts of masks, which are gathered first.
     """
     sets = differentiate(members, samples, params.spatial, params.temporal, params.detection)
-    facts = thresholds(alleles.repartition("sample_id"), params).join(sets.select("set_id", "sample_id"), "sample_id")
-    # Markers per sample first, so that distinct markers are counted over few rows.
-    n = facts.select("sample_id", "marker_id").distinct().select(F.count_distinct("marker_id").alias("n")).scalar()
-    present = F.size(F.collect_set("marker_id").over(Window.partitionBy("set_id", "sample_id")))
-    facts = facts.withColumn("_lacks", n - present).filter(F.col("_lacks") <= n - params.sample_qual_threshold * n).drop("_lacks")
-    seen = facts.select("sample_id", "marker_id").distinct()
-    total = facts.select("sample_id").distinct().select(F.count("*").alias("n")).scalar()
-    counted = seen.groupBy("marker_id").agg(F.count("*").alias("present")).withColumn("n", total)
-    good = counted.filter(F.try_divide((F.col("n") - F.col("present")).cast("double"), F.col("present")) <= params.marker_qual_threshold)
-    facts = facts.join(F.broadcast(good.select("marker_id")), "marker_id", "left_semi")  # a row a marker
+    facts = thresholds(alleles.repartition("sample_id"), params)
+    markers = sorted(set(params.marker_ids)) or marker_ids(absolute(by_type(alleles, params.peak_types), params.abs_threshold))
+    masks = presence(facts.join(sets.select("sample_id").distinct(), "sample_id", "left_semi"), markers, ("sample_id",))
+    n, good = passing_markers(masks, markers, params.sample_qual_threshold, params.marker_qual_threshold)
+    own = Window.partitionBy("sample_id")
+    size = sum((F.bit_count(F.bit_or(w).over(own)) for w in _words(markers)), F.lit(0))
+    facts = facts.withColumn("_lacks", n - size).filter(F.col("_lacks") <= n - params.sample_qual_threshold * n).drop("_lacks")
+    facts = facts.filter(F.col("marker_id").isin(*good)).join(sets.select("set_id", "sample_id"), "sample_id")
     if params.sample_option == "S":
         facts = strict(facts, ("set_id", "sample_id"))
     elif params.sample_option == "U":

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.scalar import LEVELS, location, quarter, short_location
 from ..model import COLOURS
@@ -24,30 +25,102 @@ def allele_range(text: str) -> Column:
     return value == float(text)
 
 
-def select_samples(samples: DataFrame, alleles: DataFrame | None = None, **fields) -> DataFrame:
-    """Distinct sample ids for which all predicates hold in one joined row; recurrent samples never match.
-
-    Fields: country, level1..level4 (equal), batch (case-insensitive, with % and _), location (no restriction),
-    allele (see `allele_range`) and marker (ids). Alleles are joined only if one of the last two is asked for.
-    """
-    rows = samples.filter(~F.col("recurrent"))
+def _predicates(fields: dict) -> tuple[Column, Column | None]:
+    """What the fields ask of a sample, and of one of its alleles (None: nothing)."""
+    wanted = ~F.col("recurrent")
     for name, x in fields.items():
         if name in LEVELS:
-            rows = rows.filter(F.col(name) == x)
+            wanted = wanted & (F.col(name) == x)
         elif name == "batch":
-            rows = rows.filter(F.col("batch").ilike(x))
+            wanted = wanted & F.col("batch").ilike(x)
         elif name not in ("location", "allele", "marker"):
             raise ValueError(f"unknown field {name}")
-    wanted = [allele_range(fields["allele"])] if "allele" in fields else []
+    of_allele = [allele_range(fields["allele"])] if "allele" in fields else []
     if "marker" in fields:
         marker = fields["marker"]
-        wanted.append(F.col("marker_id").isin(*(marker if isinstance(marker, (list, tuple)) else [marker])))
-    ids = rows.select("sample_id")
-    if wanted:
-        ids = ids.join(alleles.filter(reduce(Column.__and__, wanted)).select("sample_id"), "sample_id", "left_semi")
+        of_allele.append(F.col("marker_id").isin(*(marker if isinstance(marker, (list, tuple)) else [marker])))
+    return wanted, reduce(Column.__and__, of_allele) if of_allele else None
+
+
+def select_samples(samples: DataFrame, alleles: DataFrame | None = None, **fields) -> DataFrame:
+    """Distinct sample ids for which all predicates hold in one joined row; recurrent samples never match.
+
+    Fields: country, level1..level4 (equal), batch (case-insensitive, with % and _), location (no restriction),
+    allele (see `allele_range`) and marker (ids). Alleles are joined only if one of the last two is asked for.
+    """
+    wanted, of_allele = _predicates(fields)
+    ids = samples.filter(wanted).select("sample_id")
+    if of_allele is not None:
+        ids = ids.join(alleles.filter(of_allele).select("sample_id"), "sample_id", "left_semi")
     return ids.distinct()
 
 
+def _leaves(tree) -> list:
+    """The leaves of a set expression, in order."""
+    if not isinstance(tree, tuple):
+        return [tree]
+    return [leaf for part in tree[1:] for leaf in _leaves(part)]
+
+
+def _holds(tree, leaves: list, known: Column) -> Column:
+    """The expression on the flags of a sample."""
+    if not isinstance(tree, tuple):
+        i = next(i for i, leaf in enumerate(leaves) if leaf is tree)
+        return F.col(f"s{i}") & F.col(f"a{i}")
+    verb, parts = tree[0], [_holds(t, leaves, known) for t in tree[1:]]
+    counts = {"all": (0, 0), "none": (0, 0), "not": (1, 1), "exclusive": (2, 2), "union": (1, None), "intersection": (1, None)}
+    if verb not in counts or len(parts) < counts[verb][0] or (counts[verb][1] is not None and len(parts) > counts[verb][1]):
+        raise ValueError(f"no set expression: {verb} of {len(parts)}")
+    if verb in ("all", "none"):
+        return known if verb == "all" else F.lit(False)
+    if verb == "not":
+        return known & ~parts[0]
+    if verb == "exclusive":
+        return parts[0] != parts[1]
+    return reduce(Column.__or__ if verb == "union" else Column.__and__, parts)
+
+
+def expression_sets(trees: dict[str, tuple | dict | DataFrame], samples: DataFrame, alleles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members: set_id, sample_id; dimension: set_id, label, colour) of labelled set expressions, all in one pass.
+
+    An expression is data: a dict of fields as `select_samples` takes them, a table of ids (a saved set), or a tuple of
+    ("union", x, ...), ("intersection", x, ...), ("exclusive", x, y), ("not", x), ("all",) or ("none",). Every leaf is a
+    flag of a sample. Samples, the alleles that any leaf asks for and the saved sets are put under each other and shuffled
+    once, by sample; the flags are merged by partial aggregates, and each expression is evaluated on them. The complement
+    is against the samples of the table. A predicate that is null doesn't hold.
+    """
+    leaves = [leaf for tree in trees.values() for leaf in _leaves(tree)]
+    fields = [_predicates(leaf) if isinstance(leaf, dict) else None for leaf in leaves]
+    if any(f and f[1] is not None for f in fields) and alleles is None:
+        raise ValueError("alleles are asked for, but there is no table of them")
+
+    def flags(of_sample, of_allele, known: bool) -> list[Column]:
+        sure = lambda c: F.coalesce(c, F.lit(False))
+        own = [sure(of_sample(i)).alias(f"s{i}") for i in range(len(leaves))]
+        return [F.col("sample_id"), F.lit(known).alias("known"), *own, *[sure(of_allele(i)).alias(f"a{i}") for i in range(len(leaves))]]
+
+    no = lambda i: F.lit(False)
+    # A leaf that asks nothing of alleles has that flag from the sample.
+    rows = samples.select(*flags(lambda i: fields[i][0] if fields[i] else F.lit(False), lambda i: F.lit(bool(fields[i]) and fields[i][1] is None), True))
+    asked = [i for i, f in enumerate(fields) if f and f[1] is not None]
+    if asked:
+        any_of = reduce(Column.__or__, [fields[i][1] for i in asked])
+        rows = rows.unionByName(alleles.filter(any_of).select(*flags(no, lambda i: fields[i][1] if i in asked else F.lit(False), False)))
+    for j, leaf in enumerate(leaves):
+        if isinstance(leaf, DataFrame):
+            rows = rows.unionByName(leaf.select(*flags(lambda i, j=j: F.lit(i == j), lambda i, j=j: F.lit(i == j), False)))
+    merged = rows.groupBy("sample_id").agg(*[F.bool_or(c).alias(c) for c in rows.columns[1:]])
+    sets = [F.when(_holds(tree, leaves, F.col("known")), F.lit(i)) for i, tree in enumerate(trees.values())]
+    members = merged.select(F.explode(F.array_compact(F.array(*sets))).alias("set_id"), "sample_id")
+    dims = [F.struct(F.lit(i).alias("set_id"), F.lit(label.strip()).alias("label"), F.lit(COLOURS[i % len(COLOURS)]).alias("colour")) for i, label in enumerate(trees)]
+    return members, samples.sparkSession.range(1).select(F.inline(F.array(*dims)))
+
+
+def select_expression(tree: tuple | dict | DataFrame, samples: DataFrame, alleles: DataFrame | None = None) -> DataFrame:
+    """sample_id of one set expression, see `expression_sets`."""
+    return expression_sets({"-": tree}, samples, alleles)[0].select("sample_id")
+
+
 def all_samples(samples: DataFrame) -> DataFrame:
     return samples.select("sample_id").distinct()
 
@@ -108,9 +181,12 @@ def differentiate(members: DataFrame, samples: DataFrame, spatial: int = -1, tem
     )
     kind = F.when(F.col("detection"), " PD").when(~F.col("detection"), " AD").otherwise("")
     rows = rows.withColumn("label", F.concat(short_location(F.trim(own)), kind))
-    tags = rows.select("source", "location", "time", "detection", "label").distinct()
-    numbered = tags.withColumn("set_id", F.row_number().over(Window.orderBy("label", "source")) - 1)  # a row a set
-    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("source", "location", "time", "detection")]
+    names = ("source", "location", "time", "detection")
+    tags = rows.select(*names, "label").distinct()
+    order = lambda r: [(r[c] is not None, r[c]) for c in ("label", *names)]  # noqa: E731  nulls first
+    found = sorted(tags.collect(), key=order)  # a row a set
+    numbered = rows.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(found)], StructType([StructField("set_id", IntegerType()), *tags.schema.fields]))
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in names]
     joined = rows.alias("r").join(F.broadcast(numbered.alias("t")), reduce(Column.__and__, on))
     return joined.select("t.set_id", "r.sample_id", "r.location", "r.time", "r.detection", "r.label", "r.source")
 

@@ -170,6 +170,36 @@ query(
 )(lambda s, d: _labelled(s, d))
 
 
+_MORE = "SELECT DISTINCT sample_id FROM allele WHERE"
+_HIGH = f"({IDS} country = 'EUROPE' INTERSECT {_MORE} value BETWEEN 20 AND 30 AND marker_id IN (2, 5))"
+_NESTED = f"((({A}) UNION ({B})) EXCEPT (({A}) INTERSECT ({B})))"
+_OUTSIDE = f"(SELECT sample_id FROM sample EXCEPT ({_NESTED} UNION {_HIGH}))"
+
+
+def _trees(s: SparkSession, d: str) -> dict:
+    """Nested expressions of the sets of the other queries, one of them a saved set."""
+    a, b, high = {"country": "ASIA"}, {"batch": "auto%"}, {"country": "EUROPE", "allele": "20-30", "marker": [2, 5]}
+    nested = ("exclusive", a, b)
+    saved = st.saved_set(st.save_set(asia(s, d), 3, 1), 3, 1)
+    return {
+        "nested": nested, "high": high, "outside": ("not", ("union", nested, high)), "saved": ("intersection", saved, ("not", b), ("all",)),
+        "none": ("intersection", ("not", nested), ("none",)), "three": ("intersection", ("union", a, high), ("not", ("not", ("union", high, b)))),
+    }
+
+
+query("q_expression", _OUTSIDE, "sample", "allele")(lambda s, d: st.select_expression(_trees(s, d)["outside"], tb.samples(s, d), tb.alleles(s, d)))
+query(
+    "q_expression_sets",
+    f"""SELECT 0 AS set_id, 'nested' AS label, sample_id FROM {_NESTED} UNION ALL SELECT 1, 'high', sample_id FROM {_HIGH} UNION ALL SELECT 2, 'outside', sample_id FROM {_OUTSIDE}
+    UNION ALL SELECT 3, 'saved', sample_id FROM (({A}) EXCEPT ({B})) UNION ALL SELECT 5, 'three', sample_id FROM ((({A}) UNION {_HIGH}) INTERSECT ({_HIGH} UNION ({B})))""", "sample", "allele",
+)(lambda s, d: _expressions(s, d))
+
+
+def _expressions(s, d):
+    members, dim = st.expression_sets(_trees(s, d), tb.samples(s, d), tb.alleles(s, d))
+    return members.join(F.broadcast(dim), "set_id").select("set_id", "label", "sample_id")
+
+
 def _labelled(s, d):
     members, dim = st.labelled({"Asia ": asia(s, d), " Europe": st.select_samples(tb.samples(s, d), country="EUROPE")}, autos(s, d))
     return members.join(F.broadcast(dim), "set_id").groupBy("label", "colour").agg(F.count("*").alias("n"))
