@@ -211,8 +211,8 @@ def by_keys(assays: DataFrame, **keys) -> DataFrame:
     return assays
 
 
-def series_bins(value: int, interval: int = 3, low: int = 200, high: int = 400) -> Column:
+def series_bins(value: Column | int, interval: int = 3, low: int = 200, high: int = 400) -> Column:
     """Bins (pos, tag) an interval apart in the phase of a value: the first beyond `low`'s step, the last below `high`."""
-    first = (low // interval + 1) * interval + value % interval
-    steps = F.sequence(F.lit(first), F.lit(high - 1), F.lit(interval)) if first < high else F.array().cast("array<int>")
+    first = F.lit((low // interval + 1) * interval) + (value if isinstance(value, Column) else F.lit(value)).cast("int") % interval
+    steps = F.when(first < high, F.sequence(first, F.greatest(first, F.lit(high - 1)), F.lit(interval))).otherwise(F.array().cast("array<int>"))
     return F.transform(steps, lambda b: F.struct(b.cast("double").alias("pos"), b.alias("tag")))

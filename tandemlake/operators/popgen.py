@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -25,30 +25,32 @@ def _long(wide: DataFrame, markers: list[int], keys) -> DataFrame:
     return kept.select(*keys, F.inline(F.array(*[F.struct(F.lit(m).alias("locus"), F.col(f"m{m}").alias("v")) for m in markers])))
 
 
-def linkage(wide: DataFrame, markers: list[int], keys=("set_id",)) -> DataFrame:
+def linkage(wide: DataFrame, markers: list[int], keys=("set_id",), weight: str | None = None) -> DataFrame:
     """keys, n, ia: the standardised index of association, from one- and two-locus counts without pairs of samples.
 
-    Sets of at most two complete samples have none (null).
+    weight: a column that says how many samples a row stands for. Sets of at most two complete samples have none (null).
     """
     kept = wide.dropna(subset=[f"m{m}" for m in markers])
-    values = F.array(*[F.struct(F.lit(m).alias("k"), F.col(f"m{m}").alias("v")) for m in markers])
-    one = kept.select(*keys, values.alias("g"))
-    two = one.select(*keys, F.explode("g").alias("a"), "g").select(*keys, "a", F.explode("g").alias("b"))
-    pairs = lambda n: F.col(n) * (F.col(n) - 1) / 2.0
-    both = two.groupBy(*keys, F.col("a.k").alias("k"), F.col("b.k").alias("l"), F.col("a.v").alias("v"), F.col("b.v").alias("w")).agg(F.count("*").alias("c"))
-    per = both.groupBy(*keys, "k", "l").agg(F.sum(pairs("c")).alias("m"), F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares"))
+    both = [F.struct(F.lit(a).alias("k"), F.lit(b).alias("l"), F.col(f"m{a}").alias("v"), F.col(f"m{b}").alias("w")) for i, a in enumerate(markers) for b in markers[: i + 1]]
+    times = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    met = kept.select(*keys, times.alias("_times"), F.inline(F.array(*both))).groupBy(*keys, "k", "l", "v", "w").agg(F.sum("_times").alias("c"))
+    c = F.col("c").cast("double")
     # m is the pairs of samples equal at both loci; k = l gives those equal at one.
-    single = per.filter("k = l").select(*keys, "k", F.col("m").alias("mk"), "n", (1 - F.col("squares") / (F.col("n") * F.col("n"))).alias("p"))
-    first = single.select(*keys, "k", "mk")
-    second = single.select(*keys, F.col("k").alias("l"), F.col("mk").alias("ml"))
-    p = pairs("n")
-    crossed = per.join(first, [*keys, "k"]).join(second, [*keys, "l"]).withColumn("both", F.when(F.col("k") == F.col("l"), p - F.col("mk")).otherwise(p - F.col("mk") - F.col("ml") + F.col("m")))
-    sums = crossed.groupBy(*keys).agg(F.sum("both").alias("dd"), F.first("n").alias("n"))
-    h = F.try_divide(F.col("n") * F.col("p"), F.col("n") - 1)
-    ones = single.withColumn("h", h).groupBy(*keys).agg(F.sum(pairs("n") - F.col("mk")).alias("d"), F.sum(F.col("h") * (1 - F.col("h"))).alias("ve"))
-    vd = F.try_divide(F.col("dd"), p) - F.pow(F.try_divide(F.col("d"), p), F.lit(2.0))
-    ia = F.try_divide(F.try_divide(vd, F.col("ve")) - 1.0, F.lit(float(len(markers) - 1)))
-    return sums.join(ones, list(keys)).select(*keys, "n", F.when(F.col("n") > 2, ia).alias("ia"))
+    per = met.groupBy(*keys, "k", "l").agg(F.sum(c * (c - 1) / 2).alias("m"), F.sum("c").alias("n"), F.sum(c * c).alias("squares"))
+    gathered = per.groupBy(*keys).agg(F.max("n").alias("n"), F.collect_list(F.struct("k", "l", "m", "squares")).alias("x"))  # pairs of loci in a row
+    n = F.col("n").cast("double")
+    p = n * (n - 1) / 2
+    ones = F.filter("x", lambda e: e["k"] == e["l"])
+    gathered = gathered.withColumn("p", p).withColumn("one", ones).withColumn("same", F.map_from_entries(F.transform(ones, lambda e: F.struct(e["k"], e["m"]))))
+    same = lambda locus: F.element_at(F.col("same"), locus)
+    add = lambda column, term: F.aggregate(column, F.lit(0.0), lambda acc, e: acc + term(e))
+    # Pairs that differ at both loci; two different loci stand for both orders.
+    dd = add("x", lambda e: F.when(e["k"] == e["l"], F.col("p") - e["m"]).otherwise(2 * (F.col("p") - same(e["k"]) - same(e["l"]) + e["m"])))
+    h = lambda e: F.coalesce(F.try_divide(n * (1 - e["squares"] / (n * n)), n - 1), F.lit(0.0))
+    d, ve = add("one", lambda e: F.col("p") - e["m"]), add("one", lambda e: h(e) * (1 - h(e)))
+    vd = F.try_divide(dd, "p") - F.pow(F.try_divide(d, "p"), F.lit(2.0))
+    ia = F.try_divide(F.try_divide(vd, ve) - 1.0, F.lit(float(len(markers) - 1)))
+    return gathered.select(*keys, "n", F.when(F.col("n") > 2, ia).alias("ia"))
 
 
 def linkage_pvalue(wide: DataFrame, markers: list[int], rounds: int = 10_000, seed: int = 1) -> DataFrame:
@@ -99,23 +101,37 @@ def linkage_pvalue(wide: DataFrame, markers: list[int], rounds: int = 10_000, se
     return drawn.groupBy("set_id").agg(F.first("n").alias("n"), ((1 + F.sum("hits")) / (1 + F.sum("rounds"))).alias("p"))
 
 
-def fst(wide: DataFrame, markers: list[int]) -> DataFrame:
-    """set_i, set_j, fst of every pair of sets, by analysis of molecular variance from allele counts alone."""
+def fst_both(wide: DataFrame, markers: list[int]) -> DataFrame:
+    """set_i, set_j, fst, fst_max of every pair of sets, by analysis of molecular variance from allele counts alone.
+
+    fst_max is the FST with alleles made private to their set, the largest possible: two sets then have no value in
+    common, and nothing else changes, so both come from the same counts.
+    """
     counts = _long(wide, markers, ("set_id",)).groupBy("set_id", "locus", "v").agg(F.count("*").cast("double").alias("c"))
-    sizes = counts.groupBy("set_id", "locus").agg(F.sum("c").alias("n")).groupBy("set_id").agg(F.max("n").alias("n"))
-    a, b = counts.select(F.col("set_id").alias("i"), "locus", "v", "c"), counts.select(F.col("set_id").alias("j"), "locus", "v", F.col("c").alias("d"))
-    same = a.join(b, ["locus", "v"]).groupBy("i", "j").agg(F.sum(F.col("c") * F.col("d")).alias("same"))
-    ni, nj = sizes.select(F.col("set_id").alias("i"), F.col("n").alias("ni")), sizes.select(F.col("set_id").alias("j"), F.col("n").alias("nj"))
-    grid = ni.join(nj, F.col("i") <= F.col("j")).join(same, ["i", "j"], "left")  # a row for each pair of sets
-    s = grid.select("i", "j", "ni", "nj", (len(markers) * F.col("ni") * F.col("nj") - F.coalesce("same", F.lit(0.0))).alias("s"))
-    own = s.filter("i = j").select(F.col("i").alias("k"), F.col("s").alias("own"))
-    rows = s.filter("i < j").join(own.select(F.col("k").alias("i"), F.col("own").alias("si")), "i").join(own.select(F.col("k").alias("j"), F.col("own").alias("sj")), "j")
-    n = F.col("ni") + F.col("nj")
-    within = F.try_divide(F.col("si"), 2 * F.col("ni")) + F.try_divide(F.col("sj"), 2 * F.col("nj"))
-    total = (F.col("si") + F.col("sj") + 2 * F.col("s")) / (2 * n)
-    sb = F.try_divide(within, n - 2)
-    sa = F.try_divide(total - within - sb, n - (F.col("ni") * F.col("ni") + F.col("nj") * F.col("nj")) / n)
-    return rows.select(F.col("i").alias("set_i"), F.col("j").alias("set_j"), F.try_divide(sa, sa + sb).alias("fst"))
+    per = counts.groupBy("set_id").agg((F.sum("c") / len(markers)).alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    # s: loci at which pairs of samples differ, summed. Sets meet in a row for each pair of sets.
+    sets = per.select(F.struct("set_id", "n", (len(markers) * F.col("n") * F.col("n") - F.col("same")).alias("s")).alias("e")).agg(F.collect_list("e").alias("e"))
+    grid = sets.select(F.explode("e").alias("a"), "e").select("a", F.explode("e").alias("b")).filter("a.set_id < b.set_id")
+    grid = grid.select(F.col("a.set_id").alias("set_i"), F.col("b.set_id").alias("set_j"), F.col("a.n").alias("ni"), F.col("b.n").alias("nj"), F.col("a.s").alias("si"), F.col("b.s").alias("sj"))
+    values = counts.groupBy("locus", "v").agg(F.array_sort(F.collect_list(F.struct("set_id", "c"))).alias("e"))  # at most a row's worth of sets
+    couples = values.select(F.explode("e").alias("a"), "e").select("a", F.explode("e").alias("b")).filter("a.set_id < b.set_id")
+    shared = couples.groupBy(F.col("a.set_id").alias("set_i"), F.col("b.set_id").alias("set_j")).agg(F.sum(F.col("a.c") * F.col("b.c")).alias("same"))
+    rows = grid.join(shared, ["set_i", "set_j"], "left")
+    n, whole = F.col("ni") + F.col("nj"), len(markers) * F.col("ni") * F.col("nj")
+
+    def value(between: Column) -> Column:
+        within = F.try_divide(F.col("si"), 2 * F.col("ni")) + F.try_divide(F.col("sj"), 2 * F.col("nj"))
+        total = (F.col("si") + F.col("sj") + 2 * between) / (2 * n)
+        sb = F.try_divide(within, n - 2)
+        sa = F.try_divide(total - within - sb, n - (F.col("ni") * F.col("ni") + F.col("nj") * F.col("nj")) / n)
+        return F.try_divide(sa, sa + sb)
+
+    return rows.select("set_i", "set_j", value(whole - F.coalesce("same", F.lit(0.0))).alias("fst"), value(whole).alias("fst_max"))
+
+
+def fst(wide: DataFrame, markers: list[int]) -> DataFrame:
+    """set_i, set_j, fst of every pair of sets."""
+    return fst_both(wide, markers).select("set_i", "set_j", "fst")
 
 
 def recode_private(wide: DataFrame, markers: list[int], sets: list[str]) -> DataFrame:
@@ -129,6 +145,11 @@ def standardized_fst(observed: DataFrame, largest: DataFrame) -> DataFrame:
     return observed.join(top, ["set_i", "set_j"]).select("set_i", "set_j", F.try_divide("fst", F.nullif("top", F.lit(0.0))).alias("fst_std"))
 
 
+def fst_standardized(wide: DataFrame, markers: list[int]) -> DataFrame:
+    """set_i, set_j, fst_std: FST over the largest possible one, in one pass."""
+    return fst_both(wide, markers).select("set_i", "set_j", F.try_divide("fst", F.nullif("fst_max", F.lit(0.0))).alias("fst_std"))
+
+
 def fst_pvalue(wide: DataFrame, markers: list[int], rounds: int = 100, seed: int = 1) -> DataFrame:
     """set_i, set_j, p: (1 + deals with at least the observed FST) / (1 + rounds), samples dealt anew to the two sets.
 

@@ -94,6 +94,26 @@ def sample_quality_report(alleles: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def sample_failures(alleles: DataFrame, threshold: float) -> DataFrame:
+    """`sample_quality_report` with a last row over all sets (set_id null), and passed_samples: both from one pass."""
+    judged = sample_quality(alleles, threshold)
+    failed = F.count_if(~F.col("passed"))
+    return judged.rollup("set_id").agg(
+        F.count("*").alias("samples"), F.avg("failed").alias("mean"), F.percentile("failed", 0.5).alias("median"), F.min("failed").alias("min"), F.max("failed").alias("max"),
+        failed.alias("failed_samples"), F.bround(100.0 * failed / F.count("*")).cast("int").alias("failed_pct"), F.count_if(F.col("passed")).alias("passed_samples"),
+    )
+
+
+def marker_failures(alleles: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
+    """code, failed, failed_pct (whole percents of all samples, cut), included (Yes or No) of each marker by its code.
+
+    codes: marker_id, code. A marker passes by the samples that have it, as in the filter; shares are of all samples.
+    """
+    judged = marker_quality(alleles, threshold).select("marker_id", "passed")
+    shown = marker_quality(alleles, threshold, "total").join(F.broadcast(judged.withColumnRenamed("passed", "kept")), "marker_id")  # a row a marker
+    return shown.join(F.broadcast(codes), "marker_id").select("code", "failed", F.floor("prop_failed_pct").cast("int").alias("failed_pct"), F.when(F.col("kept"), "Yes").otherwise("No").alias("included"))
+
+
 def failed_markers(alleles: DataFrame) -> DataFrame:
     """set_id, sample_id, failed: the markers, of those that any set has, that a sample lacks."""
     markers = marker_ids(alleles)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .alleles import dominant
 from .quality import moi_per_sample
 
@@ -90,13 +91,16 @@ def delta_status(values: DataFrame, keys=("marker_id",), fix_last: bool = False)
     return values.withColumn("ok", F.when(F.lead("value").over(order).isNull(), last).otherwise((F.coalesce(before > 1, F.lit(True))) & (after > 1)))
 
 
-def moi_stats(alleles: DataFrame, keys=("set_id",)) -> DataFrame:
-    moi = moi_per_sample(alleles, (*keys, "sample_id"))
+def _moi_columns() -> list[Column]:
     multi = F.col("moi") > 1
-    return moi.groupBy(*keys).agg(
+    return [
         F.avg("moi").alias("mean"), F.percentile("moi", 0.5).alias("median"), F.min("moi").alias("min"), F.max("moi").alias("max"),
         F.stddev_pop("moi").alias("sd"), F.avg(multi.cast("double")).alias("prop"), F.count_if(multi).alias("n"),
-    )
+    ]
+
+
+def moi_stats(alleles: DataFrame, keys=("set_id",)) -> DataFrame:
+    return moi_per_sample(alleles, (*keys, "sample_id")).groupBy(*keys).agg(*_moi_columns())
 
 
 def moi_histogram(alleles: DataFrame, by: str = "multi_loci") -> DataFrame:
@@ -137,8 +141,17 @@ def cumulative_clonality(alleles: DataFrame, by: str = "he") -> DataFrame:
 
 def sample_summary(alleles: DataFrame) -> DataFrame:
     """Per set: samples, mean and spread of MoI, polyclonal share and mean heterozygosity."""
-    n = alleles.groupBy("set_id").agg(F.count_distinct("sample_id").alias("samples"))
-    return n.join(moi_stats(alleles), "set_id").join(mean_heterozygosity(alleles).select("set_id", "he"), "set_id")
+    counted = moi_per_sample(alleles, ("set_id", "sample_id")).groupBy("set_id").agg(F.count("*").alias("samples"), *_moi_columns())
+    return counted.join(mean_heterozygosity(alleles).select("set_id", "he"), "set_id")
+
+
+def sample_profiles(alleles: DataFrame, markers: list[int]) -> DataFrame:
+    """set_id, sample_id, m1, ... (mean of the dominant alleles), moi, multi_loci of each sample, after one shuffle."""
+    keys = ("set_id", "sample_id")
+    rows = alleles.repartition(*keys).withColumn("_top", F.max("height").over(Window.partitionBy(*keys, "marker_id")))
+    per = rows.groupBy(*keys, "marker_id").agg(F.count("*").alias("n"), F.avg(F.when(F.col("height") == F.col("_top"), F.col("value"))).alias("v"))
+    values = [F.max(F.when(F.col("marker_id") == m, F.col("v"))).alias(f"m{m}") for m in markers]
+    return per.groupBy(*keys).agg(*values, F.max("n").alias("moi"), F.count_if(F.col("n") > 1).alias("multi_loci"))
 
 
 def with_main_country(facts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -147,8 +160,8 @@ def with_main_country(facts: DataFrame, sets: DataFrame) -> DataFrame:
     facts: set_id (text). sets: set_id, country. The main country has the most samples, of equal ones the last by name.
     """
     counted = facts.select("set_id", "sample_id").distinct().join(F.broadcast(sets), "set_id").groupBy("country").agg(F.count_distinct("sample_id").alias("n"))  # a row a set
-    top = counted.agg(F.max(F.struct("n", "country"))["country"].alias("country"))
-    inside = sets.join(F.broadcast(top), "country").select("set_id", "country")
+    top = counted.agg(F.max(F.struct("n", "country"))["country"]).first()[0]
+    inside = sets.filter(F.col("country") == top).select("set_id", "country")
     again = facts.join(F.broadcast(inside), "set_id").drop("set_id").withColumnRenamed("country", "set_id").dropDuplicates(["set_id", "sample_id", "marker_id", "value", "size", "height"])
     return facts.unionByName(again.select(*facts.columns))
 
@@ -158,18 +171,20 @@ def full_sample_summary(alleles: DataFrame, markers: list[int], sets: DataFrame
 
     n and ia of the sets of genotypes are null where none is complete; ia is null for at most two.
     """
-    from .genotype import complete, genotypes, unique_in_sets
     from .popgen import linkage
-    from .quality import strict
 
     rows = with_main_country(alleles, sets) if sets is not None else alleles
-    whole = complete(genotypes(rows, markers), markers)
-    kinds = {"": whole, "strict_": complete(genotypes(strict(rows, ("set_id", "sample_id")), markers), markers), "unique_": unique_in_sets(whole, markers)}
-    out = sample_summary(rows)
-    for name, wide in kinds.items():
-        got = linkage(wide, markers).select("set_id", F.col("n").alias(f"{name}n_ld"), F.col("ia").alias(f"{name}ia"))
-        out = out.join(got, "set_id", "left")
-    return out
+    profiles = cut(sample_profiles(rows, markers))  # a row a sample, read twice
+    counted = profiles.groupBy("set_id").agg(F.count("*").alias("samples"), *_moi_columns())
+    out = counted.join(mean_heterozygosity(rows).select("set_id", "he"), "set_id")
+    # A genotype of a set stands for all its samples, for the strict ones, and for one: one table and one linkage for all.
+    names = [f"m{m}" for m in markers]
+    alike = profiles.dropna(subset=names).groupBy("set_id", *names).agg(F.count("*").alias("all"), F.count_if(F.col("multi_loci") <= 1).alias("strict"))
+    kinds = {"": F.col("all"), "strict_": F.col("strict"), "unique_": F.lit(1)}
+    each = alike.select("set_id", *names, F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), n.cast("bigint").alias("weight")) for k, n in kinds.items()]))).filter("weight > 0")
+    got = linkage(each, markers, ("set_id", "kind"), "weight")
+    columns = [F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}{name}") for k in kinds for c, name in (("n", "n_ld"), ("ia", "ia"))]
+    return out.join(got.groupBy("set_id").agg(*columns), "set_id", "left")
 
 
 def rank_polyclonality(alleles: DataFrame, by: str = "he") -> DataFrame:
@@ -211,14 +226,21 @@ def adjusted_bins(alleles: DataFrame, bins: DataFrame) -> DataFrame:
     return bins.join(seen, ["marker_id", "tag"], "left").select("marker_id", "tag", F.coalesce("mean", "pos").alias("pos"))
 
 
-def comprehensive(alleles: DataFrame) -> dict[str, DataFrame]:
-    """The tables of a full report, all lazy."""
-    return {
-        "marker_summary": marker_summary(alleles), "sample_summary": sample_summary(alleles), "clonality_by_he": cumulative_clonality(alleles),
-        "clonality_by_polyclonal": cumulative_clonality(alleles, "polyclonal"), "allele_summary": allele_summary(alleles, ("set_id",)),
-        "marker_distribution": marker_distribution(alleles), "rank_by_he": rank_polyclonality(alleles), "rank_by_polyclonal": rank_polyclonality(alleles, "polyclonal"),
-        "loci_distribution": loci_distribution(alleles),
+def comprehensive(alleles: DataFrame, markers: list[int] | None = None, sample_threshold: float = 0.5) -> dict[str, DataFrame]:
+    """The tables of a full report, by name. With markers also the linkage of the sets and their FST over them."""
+    from .genotype import genotypes
+    from .popgen import fst_both
+    from .quality import sample_failures
+
+    parts = {
+        "sample_failures": sample_failures(alleles, sample_threshold), "marker_summary": marker_summary(alleles), "sample_summary": sample_summary(alleles),
+        "clonality_by_he": cumulative_clonality(alleles), "clonality_by_polyclonal": cumulative_clonality(alleles, "polyclonal"),
+        "allele_summary": allele_summary(alleles, ("set_id",)), "marker_distribution": marker_distribution(alleles), "rank_by_he": rank_polyclonality(alleles),
+        "rank_by_polyclonal": rank_polyclonality(alleles, "polyclonal"), "loci_distribution": loci_distribution(alleles),
     }
+    if markers:
+        parts |= {"linkage": full_sample_summary(alleles, markers), "fst": fst_both(genotypes(alleles, markers), markers)}
+    return parts
 
 
 def set_counts(members: DataFrame, alleles: DataFrame) -> DataFrame:

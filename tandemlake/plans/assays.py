@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,9 +103,20 @@ query(
     SELECT channel_id, assay_id, CASE WHEN k = 1 THEN 'M1' WHEN k = 2 AND assay_id % 4 <> 0 THEN 'M2' WHEN k = 3 THEN 'M3' ELSE 'undefined' END AS marker,
       CASE WHEN k = 0 THEN 'channel-ladder' WHEN k = 4 OR k = 2 AND assay_id % 4 = 0 THEN 'channel-unassigned' ELSE 'channel-clean' END AS status, CASE WHEN k = 0 THEN 16 ELSE 0 END AS sizes FROM c""", "peak",
 )(lambda s, d: asy.assign_channels(_channels(s, d), _assays(s, d), _panels(s), asy.ladder_table(s)).select("channel_id", "assay_id", "marker", "status", F.coalesce(F.size("sizes"), F.lit(0)).alias("sizes")))
-query("ladder_sizes", "SELECT 'LIZ500' AS ladder, 'LIZ' AS dye, 16 AS n, 35.0 AS least, 500.0 AS most UNION ALL SELECT 'LIZ600', 'LIZ', 36, 20.0, 600.0")(
-    lambda s, d: asy.ladder_table(s).select("ladder", "dye", F.size("sizes").alias("n"), F.array_min("sizes").alias("least"), F.array_max("sizes").alias("most"))
-)
+query(
+    "ladder_sizes",
+    """WITH a AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'LIZ500' WHEN 1 THEN 'LIZ600' ELSE 'none' END AS ladder FROM orders), l AS (SELECT 'LIZ500' AS ladder, 'LIZ' AS dye, 16 AS n, 35.0 AS least, 500.0 AS most
+      UNION ALL SELECT 'LIZ600', 'LIZ', 36, 20.0, 600.0) SELECT ladder, dye, n, least, most, count(*) AS assays FROM a LEFT JOIN l USING (ladder) GROUP BY ALL""",
+)(lambda s, d: _with_ladder(s, d).groupBy("ladder", "dye", F.size("sizes").alias("n"), F.array_min("sizes").alias("least"), F.array_max("sizes").alias("most")).agg(F.count("*").alias("assays")))
+
+
+def _with_ladder(s, d):
+    """Assays by the ladder that their order's number names; one in three names an unknown one."""
+    name = F.when(F.col("o_orderkey") % 3 == 0, "LIZ500").when(F.col("o_orderkey") % 3 == 1, "LIZ600").otherwise("none")
+    assays = tb.read(s, d, "orders").select(name.alias("ladder"))
+    return assays.join(F.broadcast(asy.ladder_table(s)), "ladder", "left")  # a row a ladder
+
+
 query(
     "ladder_reports",
     """SELECT event_id, array_to_string(list_filter([CASE WHEN 36 - user_id % 40 > 0 THEN 'QC missing peaks = ' || (36 - user_id % 40) END, CASE WHEN value > 1024 THEN 'QC RSS > 1024' END,
@@ -184,16 +193,9 @@ query("repeated_files", "SELECT 'f' || c_nationkey AS fsa_file, count(*) AS n FR
 query("assays_by_keys", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '5-LOW')")(
     lambda s, d: asy.by_keys(tb.read(s, d, "orders").withColumnsRenamed({"o_orderstatus": "batch", "o_orderpriority": "panel"}), batch="O", panel=["1-URGENT", "5-LOW"], sample=None).select("o_orderkey")
 )
-query("series_bins", "SELECT CAST(p_size AS INT) AS value, CAST(unnest(range((200 // 3 + 1) * 3 + p_size % 3, 400, 3)) AS INT) AS tag FROM (SELECT DISTINCT p_size FROM part WHERE p_size <= 6)")(
-    lambda s, d: reduce(DataFrame.unionByName, [_bins_of(s, d, v) for v in range(1, 7)])
+query("series_bins", "SELECT CAST(p_size AS INT) AS value, CAST(unnest(range((200 // 3 + 1) * 3 + p_size % 3, 400, 3)) AS INT) AS tag FROM (SELECT DISTINCT p_size FROM part)")(
+    lambda s, d: tb.read(s, d, "part").select(F.col("p_size").cast("int").alias("value")).distinct().select("value", F.explode(asy.series_bins(F.col("value"))).alias("b")).select("value", "b.tag")
 )
-
-
-def _bins_of(s, d, value):
-    rows = tb.read(s, d, "part").filter(F.col("p_size") == value).select(F.col("p_size").cast("int").alias("value")).distinct()
-    return rows.select("value", F.explode(asy.series_bins(value)).alias("b")).select("value", "b.tag")
-
-
 query("overlap_with_signal", """, e AS (SELECT *, rtime - 1 AS b, rtime + 1 + peak_id % 3 AS e FROM peak)
     SELECT DISTINCT x.peak_id FROM e x JOIN e y ON x.assay_id = y.assay_id AND x.channel_id <> y.channel_id AND x.b < y.e AND y.b < x.e AND x.height < y.height
       LEFT JOIN embeddings vx ON vx.vec_id = x.channel_id LEFT JOIN embeddings vy ON vy.vec_id = y.channel_id

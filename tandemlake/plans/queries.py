@@ -430,7 +430,7 @@ _TWO = _TWO.replace("FROM mm x JOIN sz a", "FROM mm2 x JOIN sz2 a").replace("JOI
     _OWN + _FST.format("whole") + _TWO + "SELECT v.i AS set_i, v.j AS set_j, round(v.sa / (v.sa + v.sb) / (v2.sa / (v2.sa + v2.sb)), 6) AS fst_std FROM v JOIN v2 ON v.i = v2.i AND v.j = v2.j", "whole",
 )
 def fst_standardized(s, d):
-    return rounded(pop.standardized_fst(pop.fst(wide(s, d), MARKERS3), pop.fst(pop.recode_private(wide(s, d), MARKERS3, SETS), MARKERS3)))
+    return rounded(pop.fst_standardized(wide(s, d), MARKERS3))
 
 
 query(
@@ -535,14 +535,14 @@ query(
 )(lambda s, d: tb.read(s, d, "events").select("event_id", F.round(scalar.ladder_score(F.col("value"), F.col("user_id") % 40, F.lit(36)), 6).alias("score")))
 query(
     "wavelength_rgb",
-    """WITH w AS (SELECT CAST(i AS BIGINT) AS id, CAST(i AS DOUBLE) AS x FROM range(370, 791) r(i)),
+    """WITH w AS (SELECT p_partkey AS id, CAST(370 + p_partkey % 421 AS DOUBLE) AS x FROM part),
     c AS (SELECT id, x, CASE WHEN x >= 380 AND x < 440 THEN (440 - x) / 60 WHEN x >= 510 AND x < 580 THEN (x - 510) / 70 WHEN x >= 580 AND x <= 780 THEN 1 ELSE 0 END AS r,
       CASE WHEN x >= 440 AND x < 490 THEN (x - 440) / 50 WHEN x >= 490 AND x < 580 THEN 1 WHEN x >= 580 AND x < 645 THEN (645 - x) / 65 ELSE 0 END AS g,
       CASE WHEN x >= 380 AND x < 490 THEN 1 WHEN x >= 490 AND x < 510 THEN (510 - x) / 20 ELSE 0 END AS b,
       CASE WHEN x >= 380 AND x < 420 THEN 0.3 + 0.7 * (x - 380) / 40 WHEN x >= 420 AND x < 701 THEN 1 WHEN x >= 701 AND x <= 780 THEN 0.3 + 0.7 * (780 - x) / 80 ELSE 0 END AS f FROM w)
     SELECT id, concat_ws(' ', CAST(CAST(round(255 * pow(r * f, 0.8)) AS INT) AS VARCHAR), CAST(CAST(round(255 * pow(g * f, 0.8)) AS INT) AS VARCHAR),
       CAST(CAST(round(255 * pow(b * f, 0.8)) AS INT) AS VARCHAR)) AS rgb FROM c""",
-)(lambda s, d: s.range(370, 791).select("id", F.concat_ws(" ", scalar.wavelength_rgb(F.col("id").cast("double"), F.lit(255)).cast("array<string>")).alias("rgb")))
+)(lambda s, d: tb.read(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", scalar.wavelength_rgb((370 + F.col("p_partkey") % 421).cast("double"), F.lit(255)).cast("array<string>")).alias("rgb")))
 query(
     "channel_stats",
     """SELECT vec_id AS channel_id, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS median, round(min(x), 6) AS min, round(max(x), 6) AS max, round(stddev_pop(x), 6) AS sd

@@ -41,10 +41,25 @@ query(
 )(lambda s, d: ql.failed_markers(high(s, d)).withColumn("failed", F.concat_ws(" ", F.col("failed").cast("array<string>"))))
 query(
     "unique_samples",
-    """, v AS (SELECT set_id, sample_id, marker_id, avg(value) AS v FROM (SELECT * FROM topped WHERE marker_id <= 2 AND height > 50000) GROUP BY ALL),
+    """, v AS (SELECT set_id, sample_id, marker_id, avg(value) AS v FROM (SELECT * FROM topped WHERE height > 50000) GROUP BY ALL),
     g AS (SELECT set_id, sample_id, string_agg(marker_id || ':' || v, ' ' ORDER BY marker_id) AS g FROM v GROUP BY ALL)
     SELECT set_id, min(sample_id) AS sample_id FROM g GROUP BY set_id, g""", "topped",
-)(lambda s, d: ql.unique(al.absolute(al.dominant(facts(s, d)), 50_000).filter("marker_id <= 2")).select("set_id", "sample_id").distinct())
+)(lambda s, d: ql.unique(al.absolute(al.dominant(facts(s, d)), 50_000)).select("set_id", "sample_id").distinct())
+
+_JUDGED = """, n AS (SELECT count(DISTINCT marker_id) AS n FROM facts WHERE height > 60000),
+  j AS (SELECT set_id, sample_id, n - count(DISTINCT marker_id) AS failed, n - count(DISTINCT marker_id) <= n - 0.6 * n AS passed FROM facts, n WHERE height > 60000 GROUP BY set_id, sample_id, n)"""
+query(
+    "sample_failures",
+    _JUDGED + """ SELECT set_id, count(*) AS samples, round(avg(failed), 6) AS mean, round(quantile_cont(failed, 0.5), 6) AS median, min(failed) AS min, max(failed) AS max,
+      count(*) FILTER (NOT passed) AS failed_samples, CAST(round_even(100.0 * count(*) FILTER (NOT passed) / count(*), 0) AS INT) AS failed_pct, count(*) FILTER (passed) AS passed_samples
+      FROM j GROUP BY ROLLUP (set_id)""", "facts",
+)(lambda s, d: rounded(ql.sample_failures(al.absolute(facts(s, d), 60_000), 0.6)))
+query(
+    "marker_failures",
+    """, h AS (SELECT * FROM facts WHERE height > 60000), n AS (SELECT CAST(count(DISTINCT sample_id) AS DOUBLE) AS n FROM h),
+    p AS (SELECT marker_id, count(DISTINCT sample_id) AS c FROM h GROUP BY ALL)
+    SELECT 'M' || marker_id AS code, CAST(n - c AS BIGINT) AS failed, CAST(floor((n - c) / n * 100) AS INT) AS failed_pct, CASE WHEN (n - c) / c <= 0.3 THEN 'Yes' ELSE 'No' END AS included FROM p, n""", "facts",
+)(lambda s, d: ql.marker_failures(al.absolute(facts(s, d), 60_000), s.range(1, 8).select(F.col("id").alias("marker_id"), F.concat(F.lit("M"), F.col("id").cast("string")).alias("code")), 0.3))
 
 # Summaries.
 
@@ -247,8 +262,10 @@ query(
     """, n AS (SELECT count(DISTINCT marker_id) AS m, count(DISTINCT set_id) AS s FROM facts)
     SELECT 'marker_summary' AS part, m AS n FROM n UNION ALL SELECT 'sample_summary', s FROM n UNION ALL SELECT 'clonality_by_he', m FROM n UNION ALL SELECT 'clonality_by_polyclonal', m FROM n
     UNION ALL SELECT 'allele_summary', count(*) FROM (SELECT DISTINCT set_id, marker_id, value FROM facts) UNION ALL SELECT 'marker_distribution', m FROM n
-    UNION ALL SELECT 'rank_by_he', m FROM n UNION ALL SELECT 'rank_by_polyclonal', m FROM n UNION ALL SELECT 'loci_distribution', count(*) FROM (SELECT DISTINCT set_id, multi_loci FROM moi)""", "facts", "moi",
-)(lambda s, d: _parts(sm.comprehensive(facts(s, d))))
+    UNION ALL SELECT 'rank_by_he', m FROM n UNION ALL SELECT 'rank_by_polyclonal', m FROM n UNION ALL SELECT 'loci_distribution', count(*) FROM (SELECT DISTINCT set_id, multi_loci FROM moi)
+    UNION ALL SELECT 'sample_failures', s + 1 FROM n UNION ALL SELECT 'linkage', s FROM n
+    UNION ALL SELECT 'fst', k * (k - 1) // 2 FROM (SELECT count(DISTINCT set_id) AS k FROM whole)""", "facts", "moi", "whole",
+)(lambda s, d: _parts(sm.comprehensive(facts(s, d), MARKERS3)))
 
 
 def _parts(tables):
