@@ -55,5 +55,6 @@ def map_columns(
                 part = batch.slice(at, SLICE_ROWS)
                 got = work({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out_schema], schema=out_schema)
+        pa.default_memory_pool().release_unused()  # Spark keeps the process for other stages
 
     return df.mapInArrow(run, schema)

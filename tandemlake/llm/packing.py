@@ -15,13 +15,14 @@ import zlib
 from array import array
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_columns, read_table, whole_text
-from .wordids import WordIds
+from .wordids import MEMO_WORDS, WordIds
 
 CAPACITY = 2048
 END_ID = 1
@@ -50,13 +51,13 @@ def cut_lengths(total: int, capacity: int = CAPACITY, slack: float = SLACK) -> l
 _LOADED: dict[str, WordIds] = {}
 
 
-def token_pieces(df: DataFrame, tokenizer: str, key: str, text: str, capacity: int, slack: float, with_ids: bool) -> DataFrame:
+def token_pieces(df: DataFrame, tokenizer: str, key: str, text: str, capacity: int, slack: float, with_ids: bool, memo_words: int = MEMO_WORDS) -> DataFrame:
     """key, start, length, ids_crc32, doc_tokens (and ids) of each piece, with its class, worker and rank there."""
     counts: dict[int, int] = {}
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         if tokenizer not in _LOADED:
-            _LOADED[tokenizer] = WordIds(tokenizer)
+            _LOADED[tokenizer] = WordIds(tokenizer, memo_words)
         worker = TaskContext.get().partitionId()
         end = array("I", [END_ID]).tobytes()
         out: dict[str, list] = {c: [] for c in (key, "start", "length", "ids_crc32", "doc_tokens", "class", "worker", "rank", "ids")}
@@ -66,7 +67,7 @@ def token_pieces(df: DataFrame, tokenizer: str, key: str, text: str, capacity: i
             for length, of in cut_lengths(len(data) // 4, capacity, slack):
                 part = data[4 * at : 4 * (at + length)]
                 rank = counts[of] = counts.get(of, -1) + 1
-                row = (k, at, length, zlib.crc32(part), len(data) // 4, of, worker, rank, memoryview(part).cast("I").tolist() if with_ids else None)
+                row = (k, at, length, zlib.crc32(part), len(data) // 4, of, worker, rank, np.frombuffer(part, "<i4") if with_ids else None)
                 for c, v in zip(out, row):
                     out[c].append(v)
                 at += length
@@ -78,16 +79,17 @@ def token_pieces(df: DataFrame, tokenizer: str, key: str, text: str, capacity: i
 
 
 def pack_documents(
-    df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, slack: float = SLACK, with_ids: bool = False
+    df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, slack: float = SLACK, with_ids: bool = False,
+    memo_words: int = MEMO_WORDS,
 ) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if asked for).
 
     Every row is a document; repeated rows are packed as often as they come. Null and empty texts are the end id alone.
     Each id of a document, with the end id, lies in exactly one piece. An empty table has no pieces. Other columns are
-    ignored. sequence_id counts from 0 without gaps.
+    ignored. sequence_id counts from 0 without gaps. memo_words: words that a Python worker remembers, for speed alone.
     """
     # Materialised once: ranks depend on how rows were dealt to workers.
-    pieces = cut(token_pieces(df, tokenizer, key, text, capacity, slack, with_ids))
+    pieces = cut(token_pieces(df, tokenizer, key, text, capacity, slack, with_ids, memo_words))
     sizes = pieces.groupBy("class", "worker").agg(F.count("*").alias("n"))  # classes x workers rows
     earlier = Window.partitionBy("class").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
     first_rank = sizes.select("class", "worker", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first_rank"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from array import array
 
-#: Words kept in a Python worker; the memo starts afresh when it is full (about 200 bytes a word).
+#: Words kept in a Python worker, unless another number is given; the memo starts afresh when it is full (about 200 bytes a word).
 MEMO_WORDS = 700_000
 #: Longer words aren't kept.
 MEMO_CHARS = 64
@@ -29,9 +29,10 @@ _PLAIN = re.compile("[!-~\xa1-įı-ɏ]+").fullmatch
 class WordIds:
     """encode(text) -> the ids as little-endian unsigned 32-bit integers, equal to the library's ids of the text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
+        self.memo_words = memo_words
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple({token.content.lower() for token in self.tokenizer.get_added_tokens_decoder().values()})
         self.ends = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
@@ -70,7 +71,7 @@ class WordIds:
             if not _SIMPLE(text):
                 text = _TAIL.sub(r" \1", lower.replace("\n", " "))
             split.append(text.replace("\n", " ").split(" "))
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > self.memo_words:
             self.memo = {"": b""}
         memo = self.memo
         new = set().union(*split).difference(memo) if split else set()
