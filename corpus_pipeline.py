@@ -17,6 +17,8 @@ from tandemlake.llm.common import cut, discard, read_table, shared_folder
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Pooled probability of the predicted language below which a document has no clear language.
 LANGUAGE_SCORE = 0.3
+#: Words that packing remembers: its Python workers are those of the other stages too, and keep what these loaded.
+MEMO_WORDS = 200_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +81,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True, memo_words=MEMO_WORDS)
 
 
 STAGES = (
