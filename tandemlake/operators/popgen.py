@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..storage import cut, discard
 from .ordering import numbered
 
 #: Rows of a distance matrix that a driver kernel takes.
 DENSE_LIMIT = 5_000
 #: Distinct genotypes of two sets that meet in a task.
 GENOTYPES_LIMIT = 1_000_000
+#: Samples of a set that a task of linkage's P values shuffles at a time.
+PART_ROWS = 1_000_000
 
 
 def _long(wide: DataFrame, markers: list[int], keys) -> DataFrame:
@@ -53,12 +56,30 @@ def linkage(wide: DataFrame, markers: list[int], keys=("set_id",), weight: str |
     return gathered.select(*keys, "n", F.when(F.col("n") > 2, ia).alias("ia"))
 
 
-def linkage_pvalue(wide: DataFrame, markers: list[int], rounds: int = 10_000, seed: int = 1) -> DataFrame:
+def _agreements(columns: list[np.ndarray], width: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the pair of loci, cells, counts): how often two values meet, for each pair of loci."""
+    pair = 0
+    for i in range(len(columns)):
+        for j in range(i):
+            mixed = columns[i].astype(np.int64) * width[j] + columns[j]
+            if width[i] * width[j] > 4 * len(mixed) + 1024:
+                cells, counts = np.unique(mixed, return_counts=True)
+            else:
+                every = np.bincount(mixed)
+                cells = np.flatnonzero(every)
+                counts = every[cells]
+            yield pair, cells, counts
+            pair += 1
+
+
+def linkage_pvalue(wide: DataFrame, markers: list[int], rounds: int = 10_000, seed: int = 1, part_rows: int = PART_ROWS) -> DataFrame:
     """set_id, n, p: (1 + shuffles with at least the observed linkage) / (1 + rounds), each locus shuffled on its own.
 
     With the loci's counts given, the variance of mismatches grows with the pairs of samples that agree at two loci, so
-    these are compared, as whole numbers. A shuffle needs only how often each value occurs: blocks of rounds are dealt to
-    tasks, each with its set's value counts. Of a task's memory a set's samples take two bytes a locus.
+    these are compared, as whole numbers. A shuffle needs only how often each value occurs. Blocks of rounds are dealt to
+    tasks, and a set of more than `part_rows` samples is dealt in parts: how many of each value a part gets is drawn
+    without replacement, from a seed of the round that all its parts know, and each part shuffles its own share; what
+    meets in the parts is summed. So a task's memory follows part_rows, whatever the set. Sets have below 10^9 samples.
     """
     ship(wide.sparkSession)
     block = 250
@@ -72,33 +93,41 @@ def linkage_pvalue(wide: DataFrame, markers: list[int], rounds: int = 10_000, se
     met = kept.select("set_id", F.inline(tables)).groupBy("set_id", "i", "v", "w").agg(F.count("*").alias("c"))
     observed = met.groupBy("set_id").agg(F.sum(pairs("c")).cast("bigint").alias("observed"))
     sizes = F.transform(F.sequence(F.lit(0), F.lit(rounds - 1), F.lit(block)), lambda b: F.struct(b.alias("block"), F.least(F.lit(block), F.lit(rounds) - b).alias("rounds")))
-    work = per_set.join(observed, "set_id").withColumn("part", F.explode(sizes)).select("set_id", "n", "counts", "observed", "part.*")
+    work = per_set.withColumn("task", F.explode(sizes)).select("set_id", "n", "counts", "task.*")
+    work = work.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / part_rows) - 1, F.lit(0)).cast("int"))))
 
     def shuffle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for name, n, rows, least, first, times in zip(f["set_id"], f["n"], f["counts"], f["observed"], f["block"], f["rounds"]):
-                rng = np.random.default_rng([seed, first, zlib.crc32(str(name).encode())])
-                columns, width = [], []
-                for m in markers:
-                    own = sorted((r["v"], r["c"]) for r in rows if r["locus"] == m)
-                    width.append(len(own))
-                    columns.append(np.repeat(np.arange(len(own), dtype=np.uint16 if len(own) < 65_536 else np.uint32), [c for _, c in own]))
-                hits = 0
-                for _ in range(times):
-                    mixed = [rng.permutation(c).astype(np.int64) for c in columns]
-                    agree = 0
-                    for i in range(len(markers)):
-                        for j in range(i):
-                            c = np.unique(mixed[i] * width[j] + mixed[j], return_counts=True)[1] if width[i] * width[j] > 4 * n + 1024 else np.bincount(mixed[i] * width[j] + mixed[j])
-                            agree += int((c * (c - 1) // 2).sum())
-                    hits += agree >= least
-                out.append((name, int(n), hits, int(times)))
-            yield pd.DataFrame(out, columns=["set_id", "n", "hits", "rounds"])
+            for name, n, rows, first, times, part in zip(f["set_id"], f["n"], f["counts"], f["block"], f["rounds"], f["part"]):
+                code = zlib.crc32(str(name).encode())
+                every = [np.array([c for _, c in sorted((r["v"], r["c"]) for r in rows if r["locus"] == m)], np.int64) for m in markers]
+                width = [len(c) for c in every]
+                for r in range(first, first + times):
+                    deal, own = np.random.default_rng([seed, r, code]), np.random.default_rng([seed, r, code, part + 1])
+                    shares = []
+                    for c in every:
+                        # The shares of the parts before this one are drawn first, so all parts agree on them.
+                        for at in range(part + 1):
+                            size = min(part_rows, int(n) - at * part_rows)
+                            share = c if size == c.sum() else deal.multivariate_hypergeometric(c, size, method="marginals")
+                            c = c - share
+                        # Parts after this one draw nothing here: each locus has its own stream.
+                        deal = deal.spawn(1)[0]
+                        shares.append(share)
+                    columns = [own.permutation(np.repeat(np.arange(len(c), dtype=np.uint16 if len(c) < 65_536 else np.uint32), c)) for c in shares]
+                    found = list(_agreements(columns, width))
+                    if n <= part_rows:
+                        agree = sum(int((c * (c - 1) // 2).sum()) for _, _, c in found)
+                        yield pd.DataFrame({"set_id": [name], "n": [n], "round": [r], "pair": [-1], "cell": [0], "c": [agree]})
+                    else:
+                        pair, cell, c = (np.concatenate(x) for x in zip(*((np.full(len(x), i), x, y) for i, x, y in found)))
+                        yield pd.DataFrame({"set_id": name, "n": n, "round": r, "pair": pair, "cell": cell, "c": c})
 
     kind = wide.schema["set_id"].dataType.simpleString()
-    drawn = work.repartition("set_id", "block").mapInPandas(shuffle, f"set_id {kind}, n bigint, hits bigint, rounds bigint")
-    return drawn.groupBy("set_id").agg(F.first("n").alias("n"), ((1 + F.sum("hits")) / (1 + F.sum("rounds"))).alias("p"))
+    drawn = work.repartition("set_id", "block", "part").mapInPandas(shuffle, f"set_id {kind}, n bigint, round bigint, pair int, cell bigint, c bigint")
+    merged = drawn.groupBy("set_id", "n", "round", "pair", "cell").agg(F.sum("c").alias("c"))
+    agreed = merged.groupBy("set_id", "n", "round").agg(F.sum(F.when(F.col("pair") < 0, F.col("c")).otherwise(F.expr("c * (c - 1) div 2"))).alias("agree"))
+    return agreed.join(observed, "set_id").groupBy("set_id").agg(F.first("n").alias("n"), ((1 + F.count_if(F.col("agree") >= F.col("observed"))) / (1 + F.count("*"))).alias("p"))
 
 
 def fst_both(wide: DataFrame, markers: list[int]) -> DataFrame:
@@ -267,10 +296,14 @@ def distance_components(wide: DataFrame, markers: list[int], k: int = 2, key: st
     load = -(g @ root @ axes[:, order]) / np.sqrt(own) / size
     load -= share @ load / size  # centred, a sample having `size` alleles
     load *= np.sign(load[np.abs(load).argmax(axis=0), range(k)])
-    table = F.create_map(*[x for (m, v), w in zip(names, load.tolist()) for x in (F.concat_ws("|", F.lit(str(m)), F.lit(float(v)).cast("string")), F.array(*map(F.lit, w)))])
-    parts = [F.element_at(table, F.concat_ws("|", F.lit(str(m)), F.col(f"m{m}").cast("double").cast("string"))) for m in markers]
-    out = [sum((F.get(p, F.lit(q)) for p in parts), F.lit(0.0)).alias(f"pc{q + 1}") for q in range(k)]
-    return kept.select(key, *out, *[F.lit(float(x / size**2 / (n - 1))).alias(f"value{q + 1}") for q, x in enumerate(own)])
+    # A row an allele, at most DENSE_LIMIT, joined once for each marker.
+    rows = [(int(m), float(v), w) for (m, v), w in zip(names, load.tolist())]
+    table = wide.sparkSession.createDataFrame(rows, "locus bigint, v double, w array<double>")
+    parts = kept.select(key, *[F.col(f"m{m}").cast("double").alias(f"m{m}") for m in markers])
+    for m in markers:
+        parts = parts.join(F.broadcast(table.filter(F.col("locus") == m).select(F.col("v").alias(f"m{m}"), F.col("w").alias(f"w{m}"))), f"m{m}")
+    out = [sum((F.get(f"w{m}", F.lit(q)) for m in markers), F.lit(0.0)).alias(f"pc{q + 1}") for q in range(k)]
+    return parts.select(key, *out, *[F.lit(float(x / size**2 / (n - 1))).alias(f"value{q + 1}") for q, x in enumerate(own)])
 
 
 def jittered(rows: DataFrame, column: str, seed: int = 1) -> DataFrame:
@@ -375,16 +408,25 @@ def newick(edges: list[tuple[str, str, float]]) -> str:
 
 def coloured_tree(edges: DataFrame, classes: DataFrame, other: str = "black") -> DataFrame:
     """child, parent, length, colour: a branch has the colour that all tips below it share, else `other`; negative lengths
-    become 0. classes: tip, colour. For trees of at most DENSE_LIMIT tips."""
-    rows = [tuple(r) for r in edges.select("child", "parent", "length").limit(4 * DENSE_LIMIT).collect()]
-    colour = {r["tip"]: r["colour"] for r in classes.select("tip", "colour").limit(2 * DENSE_LIMIT).collect()}
-    up = {c: p for c, p, _ in rows}
-    seen: dict[str, set] = {}
-    inner = set(up.values())
-    for tip in (c for c in [*up, *inner] if c not in inner or c in colour):
-        at = tip
-        while at is not None:
-            seen.setdefault(at, set()).add(colour.get(tip, other))
-            at = up.get(at)
-    out = [(c, p, max(0.0, length), next(iter(seen[c])) if len(seen[c]) == 1 else other) for c, p, length in rows]
-    return edges.sparkSession.createDataFrame(out, "child string, parent string, length double, colour string")
+    become 0. classes: tip, colour; tips without one have `other`, and an inner node may have one too.
+
+    The least and the largest colour below each node are found by doubling: every round a node passes what lies within a
+    distance to the ancestor at that distance, and the distance doubles. So a tree of any shape takes as many rounds as
+    the logarithm of its depth, all joins and partial aggregates.
+    """
+    up = edges.select(F.col("child").alias("node"), F.col("parent").alias("above"))
+    nodes = up.unionByName(edges.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("above"))).groupBy("node").agg(F.max("above").alias("above"))
+    inner = edges.select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
+    own = classes.groupBy(F.col("tip").alias("node")).agg(F.min("colour").alias("own"))
+    state = nodes.join(own, "node", "left").join(inner, "node", "left")
+    colour = F.when(F.col("inner").isNull(), F.coalesce("own", F.lit(other))).otherwise(F.col("own"))
+    state = cut(state.select("node", "above", colour.alias("low"), colour.alias("high")))
+    while not state.filter("above IS NOT NULL").isEmpty():
+        passed = state.filter("above IS NOT NULL").groupBy(F.col("above").alias("node")).agg(F.min("low").alias("low2"), F.max("high").alias("high2"))
+        farther = state.select(F.col("node").alias("above"), F.col("above").alias("next"))
+        after = state.join(passed, "node", "left").join(farther, "above", "left")
+        before, state = state, cut(after.select("node", F.col("next").alias("above"), F.least("low", "low2").alias("low"), F.greatest("high", "high2").alias("high")))
+        discard(before)
+    one = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(other)
+    found = state.select(F.col("node").alias("child"), one.alias("colour"))
+    return edges.join(found, "child").select("child", "parent", F.greatest("length", F.lit(0.0)).alias("length"), "colour")

@@ -33,6 +33,37 @@ def test_linkage_p_equals_all_orders(spark):
     assert pop.linkage_pvalue(df, [1, 2], rounds=4000).first()["p"] == pytest.approx(exact, abs=0.03)
 
 
+@pytest.mark.parametrize("part_rows", [1, 2, 3])
+def test_linkage_p_in_parts_equals_all_orders(spark, part_rows):
+    """A set that is dealt in parts has the distribution of the whole set's shuffles."""
+    rows = [(1.0, 1.0, 5.0), (1.0, 2.0, 5.0), (2.0, 2.0, 6.0), (2.0, 2.0, 6.0)]
+    columns = list(zip(*rows))
+    agree = lambda cs: sum(a[i] == a[j] and b[i] == b[j] for k, a in enumerate(cs) for b in cs[:k] for i in range(4) for j in range(i))
+    exact = np.mean([agree([columns[0], q, r]) >= agree(columns) for q in itertools.permutations(columns[1]) for r in itertools.permutations(columns[2])])
+    df = spark.createDataFrame([("x", i, *r) for i, r in enumerate(rows)], "set_id string, sample_id bigint, m1 double, m2 double, m3 double")
+    got = pop.linkage_pvalue(df, [1, 2, 3], rounds=3000, part_rows=part_rows).first()
+    assert got["n"] == 4 and got["p"] == pytest.approx(exact, abs=0.035)
+
+
+def test_colours_of_deep_and_wide_trees(spark):
+    rng = random.Random(9)
+    for n, near in ((60, 60), (200, 2), (40, 1)):
+        up = {i: rng.randrange(max(0, i - near), i) for i in range(1, n)}
+        inner = set(up.values())
+        colour = {str(i): rng.choice(["red", "blue"]) for i in range(n) if i not in inner and rng.random() < 0.9}
+        below = {i: set() for i in range(n)}
+        for i in range(n):
+            if i not in inner:
+                at = i
+                while at is not None:
+                    below[at].add(colour.get(str(i), "black"))
+                    at = up.get(at)
+        edges = spark.createDataFrame([(str(c), str(p), rng.uniform(-1, 1)) for c, p in up.items()], "child string, parent string, length double")
+        got = {r["child"]: r["colour"] for r in pop.coloured_tree(edges, spark.createDataFrame(list(colour.items()), "tip string, colour string")).collect()}
+        assert got == {str(i): next(iter(below[i])) if len(below[i]) == 1 else "black" for i in up}
+    assert pop.coloured_tree(edges.limit(0), spark.createDataFrame([("1", "red")], "tip string, colour string")).count() == 0
+
+
 def test_fst_p_tells_sets_apart(spark):
     df, _ = table(spark, 90, shift=2)
     got = {(r["set_i"], r["set_j"]): (r["fst"], r["p"]) for r in pop.fst_table(df, [1, 2, 3], 200).collect()}
