@@ -8,7 +8,7 @@ repeats, min_size, max_size, bins. peaks: peak_id, assay_id, channel_id, marker,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -149,11 +149,17 @@ def bin_peaks(peaks: DataFrame, markers: DataFrame, codes: list[str] | None = No
     return binned.unionByName(others, allowMissingColumns=True)
 
 
-def process(channels: DataFrame, assays: DataFrame, panels: DataFrame, ladders: DataFrame, markers: DataFrame, params: RunParams = RunParams()) -> dict[str, DataFrame]:
-    """channels, ladders and peaks of a whole run: assigned, scanned, called, checked and binned. All lazy."""
+def process(
+    channels: DataFrame, assays: DataFrame, panels: DataFrame, ladders: DataFrame, markers: DataFrame, params: RunParams = RunParams(),
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> dict[str, DataFrame]:
+    """channels, ladders and peaks of a whole run: assigned, scanned, called, checked and binned.
+
+    All lazy, unless `keep` (such as `storage.cut`) writes what the scans find, which the later steps read several times.
+    """
     assigned = assign_channels(channels, assays, panels, ladders)
-    fits = scan_ladders(assigned, params)
-    peaks = call_peaks(scan_channels(assigned, fits, params), fits, params)
+    fits = keep(scan_ladders(assigned, params))
+    peaks = call_peaks(keep(scan_channels(assigned, fits, params)), fits, params)
     return {"channels": assigned, "ladders": fits, "peaks": bin_peaks(check_peaks(peaks, assigned, fits, params), markers)}
 
 

@@ -325,3 +325,35 @@ def align_ladders(peaks: DataFrame, sizes: list[float]) -> DataFrame:
         return pd.DataFrame([(f["assay_id"].iloc[0], fit.dpscore, fit.rss, fit.z, len(f))], columns=["assay_id", "score", "rss", "z", "n_peaks"])
 
     return peaks.select("assay_id", "rtime", "height").groupBy("assay_id").applyInPandas(one, "assay_id bigint, score double, rss double, z array<double>, n_peaks bigint")
+
+
+def peak_fits(traces: DataFrame, peaks: DataFrame, reach: int = 3) -> DataFrame:
+    """channel_id, rtime, n, centre, sigma, top of each peak (channel_id, rtime): the Gaussian through its surroundings.
+
+    The logarithm of a Gaussian is a parabola, so the fit is closed: the least-squares parabola of the log heights of the
+    n points above 0 within `reach` places, from its normal equations. Where fewer than three points are there, or the
+    parabola is not open downwards, the last three are null. Peaks outside their trace have no points.
+    """
+    rows = peaks.select("channel_id", "rtime").join(traces.select("channel_id", "data"), "channel_id")
+    near = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda u: F.struct(u.cast("double").alias("u"), F.get("data", (F.col("rtime") + u).cast("int")).alias("y")))
+    kept = F.filter(near, lambda e: e["y"] > 0)
+    rows = rows.select("channel_id", "rtime", F.transform(kept, lambda e: F.struct(e["u"].alias("u"), F.log(e["y"]).alias("z"))).alias("e"))
+    total = lambda term: F.aggregate("e", F.lit(0.0), lambda acc, e: acc + term(e))
+    u = lambda k: total(lambda e: F.pow(e["u"], F.lit(float(k))) if k else F.lit(1.0))
+    z = lambda k: total(lambda e: e["z"] * (F.pow(e["u"], F.lit(float(k))) if k else F.lit(1.0)))
+    sums = rows.select("channel_id", "rtime", F.size("e").cast("bigint").alias("n"), *[u(k).alias(f"s{k}") for k in range(5)], *[z(k).alias(f"t{k}") for k in range(3)])
+
+    def det(a, b, c) -> Column:
+        """The determinant of three columns."""
+        (a0, a1, a2), (b0, b1, b2), (c0, c1, c2) = ([F.col(x) for x in v] for v in (a, b, c))
+        return a0 * (b1 * c2 - b2 * c1) - b0 * (a1 * c2 - a2 * c1) + c0 * (a1 * b2 - a2 * b1)
+
+    one, two, three, right = ("s0", "s1", "s2"), ("s1", "s2", "s3"), ("s2", "s3", "s4"), ("t0", "t1", "t2")
+    whole = F.when(F.col("n") >= 3, det(one, two, three))
+    c, b, a = (F.try_divide(d, whole) for d in (det(right, two, three), det(one, right, three), det(one, two, right)))
+    fitted = sums.select("channel_id", "rtime", "n", a.alias("a"), b.alias("b"), c.alias("c"))
+    shown = lambda x: F.when(F.col("a") < 0, x)
+    return fitted.select(
+        "channel_id", "rtime", "n", shown(F.col("rtime") - F.col("b") / (2 * F.col("a"))).alias("centre"), shown(F.sqrt(-1 / (2 * F.col("a")))).alias("sigma"),
+        shown(F.exp(F.col("c") - F.col("b") * F.col("b") / (4 * F.col("a")))).alias("top"),
+    )

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..model import LADDERS
 from ..operators import assay as asy
 from ..operators import peaks as pk
 from ..operators import signal as sg
+from ..operators.spline import size_by_spline
 from ..sources import tables as tb
 from ..sources import tabular as tab
-from ..streaming import ingest
+from ..storage import cut, shared_folder
+from ..streaming import ingest, kept
 from .queries import rounded
 from .registry import query
 
+LIZ = LADDERS["LIZ500"]
+
 # A wide allele table made of the orders: an order is an assay of its customer, its first three lines are alleles.
 WIDE = """w AS (SELECT 'S' || o_custkey AS sample, 'A' || o_orderkey AS assay, CASE o_orderkey % 3 WHEN 0 THEN 'M1' WHEN 1 THEN 'M2' ELSE 'M3' END AS marker,
   CASE o_orderkey % 2 WHEN 0 THEN 'B' ELSE 'NED' END AS dye, o_orderdate, o_custkey,
@@ -229,3 +236,94 @@ def _listing(s, d):
     assays = _assays(s, d).select("assay_id", F.format_string("S%d", "assay_id").alias("sample"), F.format_string("f%d", "assay_id").alias("fsa_file"))
     ladders = assays.filter("assay_id % 3 <> 0").select("assay_id", (F.col("assay_id") / 2.0).alias("rss"), F.lit(0.9).alias("score"), F.lit("ok").alias("report"))
     return asy.qc_listing(assays, ladders)
+
+
+# Fits.
+
+query(
+    "peak_fits",
+    """WITH t AS (SELECT vec_id AS channel_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS y FROM embeddings), p AS (SELECT channel_id, y, list_position(y, list_max(y)) - 1 AS rtime FROM t),
+    w AS (SELECT channel_id, rtime, unnest(range(-3, 4)) AS u, y FROM p), q AS (SELECT channel_id, rtime, u::DOUBLE AS u, ln(y[rtime + u + 1]) AS z FROM w WHERE rtime + u BETWEEN 0 AND len(y) - 1 AND y[rtime + u + 1] > 0),
+    m AS (SELECT channel_id, rtime, count(*) AS n, count(*)::DOUBLE AS s0, sum(u) AS s1, sum(u * u) AS s2, sum(u * u * u) AS s3, sum(u * u * u * u) AS s4, sum(z) AS t0, sum(u * z) AS t1, sum(u * u * z) AS t2 FROM q GROUP BY ALL),
+    e AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS w FROM m),
+    f AS (SELECT channel_id, rtime, n, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / w AS c, (s0 * (t1 * s4 - t2 * s3) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)) / w AS b,
+      (s0 * (s2 * t2 - s3 * t1) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)) / w AS a FROM e)
+    SELECT channel_id, CAST(rtime AS INT) AS rtime, n, CASE WHEN n >= 3 AND a < -1e-9 THEN round(rtime - b / (2 * a), 4) END AS centre, CASE WHEN n >= 3 AND a < -1e-9 THEN round(sqrt(-1 / (2 * a)), 4) END AS sigma,
+      CASE WHEN n >= 3 AND a < -1e-9 THEN round(exp(c - b * b / (4 * a)), 6) END AS top FROM f""",
+)(lambda s, d: _fitted(s, d))
+
+
+def _fitted(s, d):
+    """The highest place of each trace."""
+    traces = tb.traces(s, d).withColumn("data", F.transform("data", F.abs))
+    peaks = traces.select("channel_id", (F.array_position("data", F.array_max("data")) - 1).cast("int").alias("rtime"))
+    return sg.peak_fits(traces, peaks).select("channel_id", "rtime", "n", F.round("centre", 4).alias("centre"), F.round("sigma", 4).alias("sigma"), F.round("top", 6).alias("top"))
+
+
+@query("spline_sizes")
+def spline_sizes(s, d):
+    """Peaks of all assays by the splines of ladders whose times are shifted by the assay's own heights."""
+    peaks = tb.peaks(s, d)
+    slots = peaks.groupBy("assay_id", (F.col("peak_id") % len(LIZ)).cast("int").alias("k")).agg(F.avg("height").alias("h"))
+    sizes = F.array(*[F.lit(float(x)) for x in LIZ])
+    point = F.struct((F.get(sizes, F.col("k")) / 10 + F.pmod(F.col("h"), F.lit(0.8))).alias("rtime"), F.get(sizes, F.col("k")).alias("size"))
+    ladders = slots.groupBy("assay_id").agg(F.array_sort(F.collect_list(point)).alias("x")).select("assay_id", F.col("x.rtime").alias("rtimes"), F.col("x.size").alias("sizes"))
+    return rounded(size_by_spline(peaks, ladders).select("peak_id", "size"), 4)
+
+
+def kept_batches(s, d):
+    """The alleles of the table arrive in four batches, two of which are merged in between."""
+    folder = f"{shared_folder(s).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    rows = tb.alleles(s, d)
+    for batch in range(4):
+        kept.add_batch(rows.filter(F.col("sample_id") % 4 == batch), folder, batch)
+        if batch == 1:
+            kept.compact(s, folder)
+    return kept.kept_counts(s, folder)
+
+
+query("kept_moi", "SELECT sample_id, max(n) AS moi, count(*) FILTER (n > 1) AS multi_loci FROM (SELECT sample_id, marker_id, count(*) AS n FROM allele GROUP BY ALL) GROUP BY ALL", "allele")(
+    lambda s, d: kept.kept_moi(kept_batches(s, d))
+)
+query("kept_alleles", "SELECT marker_id, value::DOUBLE AS value, n, round(n / sum(n) OVER (PARTITION BY marker_id), 6) AS freq FROM (SELECT marker_id, value, count(*) AS n FROM allele GROUP BY ALL)", "allele")(
+    lambda s, d: rounded(kept.kept_alleles(kept_batches(s, d)).withColumn("n", F.col("n").cast("bigint")))
+)
+
+
+# A whole run.
+
+
+def run_traces(s: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """(channels, assays, panels, markers) of runs made of the tables: each supplier is an assay of a ladder channel and
+    of two others. A channel's trace is a sum of peaks, of the ladder's sizes or at places and heights that follow from
+    the supplier's balance; every fifth assay's ladder is too weak."""
+    vectors = tb.read(s, d, "supplier").select(F.col("s_suppkey").alias("assay_id"), F.col("s_acctbal").cast("double").alias("balance"))
+    place = lambda size: 400 + size * 8.0
+    value = lambda i: F.pmod(F.col("balance") * (i + 1) * 0.0137, F.lit(1.0))
+    weak = F.when(F.col("assay_id") % 5 == 4, 0.0).otherwise(1.0)
+    ladder = [(F.lit(place(x)), 600.0 * weak) for x in LIZ]
+    one = [(F.round(place(205 + F.pmod(value(3 * k) * 997, F.lit(100.0)))), 300 + F.pmod(value(3 * k + 1) * 9973, F.lit(900.0))) for k in range(3)]
+    two = [(F.round(place(205 + F.pmod(value(20 + 3 * k) * 997, F.lit(100.0)))), 300 + F.pmod(value(21 + 3 * k) * 9973, F.lit(900.0))) for k in range(2)]
+
+    def trace(peaks) -> Column:
+        """Places 0 to 4799: a ripple, and near each peak its bell."""
+        bells = F.array(*[F.struct(p.alias("p"), h.alias("h")) for p, h in peaks])
+        bell = lambda x: F.aggregate(bells, F.lit(0.0), lambda acc, b: acc + F.when(F.abs(x - b["p"]) < 12, b["h"] * F.exp(-F.pow((x - b["p"]) / 2.5, F.lit(2.0)) / 2)).otherwise(0.0))
+        return F.transform(F.sequence(F.lit(0), F.lit(4_799)), lambda x: 0.3 * F.sin(x * 0.9) + bell(x.cast("double")))
+
+    kinds = [("LIZ", 0, ladder), ("6-FAM", 1, one), ("VIC", 2, two)]
+    channels = F.array(*[F.struct(F.lit(dye).alias("dye"), (F.col("assay_id") * 3 + i).alias("channel_id"), trace(peaks).alias("data")) for dye, i, peaks in kinds])
+    rows = cut(vectors.repartition("assay_id").select("assay_id", F.inline(channels)))  # made once, read by every step
+    assays = vectors.select("assay_id", F.lit("P").alias("panel"), F.when(F.col("assay_id") % 7 == 3, F.array(F.lit("m2"))).alias("exclude"))
+    panels = s.range(1).select(F.inline(F.array(*[F.struct(F.lit("P").alias("panel"), F.lit("LIZ500").alias("ladder"), F.lit(m).alias("marker"), F.lit(c).alias("dye")) for m, c in (("M1", "6-FAM"), ("M2", "VIC"))])))
+    bins = F.transform(F.sequence(F.lit(200), F.lit(320), F.lit(3)), lambda b: F.struct(b.cast("double").alias("pos"), b.alias("tag")))
+    markers = s.range(1, 3).select(F.col("id").alias("marker_id"), F.concat(F.lit("M"), F.col("id").cast("string")).alias("code"), F.lit(3).alias("repeats"), F.lit(190.0).alias("min_size"), F.lit(330.0).alias("max_size"), bins.alias("bins"))
+    return rows, assays, panels, markers
+
+
+@query("assay_run")
+def assay_run(s, d):
+    """All assays from traces to bins: peak, channel, type, size, value and bin of each peak."""
+    channels, assays, panels, markers = run_traces(s, d)
+    out = asy.process(channels, assays, panels, asy.ladder_table(s), markers, keep=cut)
+    return rounded(out["peaks"].select("assay_id", "channel_id", "marker", "rtime", "size", "value", "peak_type"), 3)
