@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..model import LADDERS
 from ..operators import assay as asy
+from ..operators import imports as im
 from ..operators import peaks as pk
 from ..operators import signal as sg
 from ..operators.spline import size_by_spline
@@ -238,6 +239,25 @@ def _listing(s, d):
     return asy.qc_listing(assays, ladders)
 
 
+query(
+    "imported",
+    f"WITH {WIDE}, m AS (SELECT DISTINCT marker FROM a), s AS (SELECT sample, marker, count(*) AS n FROM a GROUP BY ALL) SELECT sample, marker, n, CASE WHEN CAST(substr(sample, 2) AS BIGINT) % 2 = 0 THEN 3 ELSE 2 END AS revision FROM s",
+)(lambda s, d: _imported(s, d))
+
+
+def _imported(s, d):
+    """All samples of the wide table by three imports: the even ones as a new batch, the others, and the even ones' alleles
+    once more."""
+    docs = cut(tab.documents(wide_table(s, d)))
+    even = F.substring("code", 2, 20).cast("bigint") % 2 == 0
+    stored = im.empty(s, s.range(1, 4).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("code")))
+    for mode, part in (("new", docs.filter(even)), ("sample", docs.filter(~even)), ("allele", docs.filter(even))):
+        stored, errors = im.import_documents(part, "B", stored, mode)
+        if not errors.isEmpty():
+            raise ValueError(f"errors of an import: {errors.first()}")
+    return im.latest_alleles(stored).groupBy("sample", "marker", "revision").agg(F.count("*").alias("n")).select("sample", "marker", "n", "revision")
+
+
 # Fits.
 
 query(
