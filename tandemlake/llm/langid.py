@@ -24,8 +24,8 @@ SEGMENT = 64
 BATCH = 2_048
 #: Labelled documents of each language that training reads, in expectation; segments drawn from each, from all over it.
 SAMPLE_ROWS = 400
-#: Languages that are learned, the most frequent ones: labels that are rarer than these are taken for slips.
-MAX_LANGUAGES = 300
+#: Labelled documents of all languages together: with very many languages each has its share of these.
+ALL_ROWS = 120_000
 SEGMENTS_EACH = 6
 STEPS = 260
 TRAIN_BATCH = 192
@@ -190,23 +190,24 @@ def fit(segments: np.ndarray, lengths: np.ndarray, labels: np.ndarray, langs: tu
 def train_languages(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
     """Fit on rows for which `learn` holds and lang is not null; some `sample_rows` of each language are read.
 
-    docs: doc_id, text, lang. The MAX_LANGUAGES most frequent languages are learned, of equally frequent ones the first in
-    the alphabet. None without a labelled text that has a letter.
+    docs: doc_id, text, lang. Every language is learned, however rare: of more than ALL_ROWS / sample_rows languages each
+    has fewer rows. None without a labelled text that has a letter.
     """
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    frequent = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    sizes = {r["lang"]: r["n"] for r in frequent.collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not sizes:
         return None
+    each = max(1, min(sample_rows, ALL_ROWS // len(sizes)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) / 1e6
-    chance = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample_rows / n))) for k, n in sizes.items()])
+    chances = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in sizes.items()], "lang string, chance double")
+    known = known.select("doc_id", "text", "lang").join(F.broadcast(chances), "lang")  # a row a language
     # The places of the segments within a text: evenly spread over all of it.
     n = F.length("text")
     places = F.transform(
         F.sequence(F.lit(0), F.lit(SEGMENTS_EACH - 1)),
         lambda i: F.substring(F.col("text"), (F.greatest(n - SEGMENT, F.lit(0)) * i / (SEGMENTS_EACH - 1)).cast("int") + 1, F.lit(SEGMENT)),
     )
-    rows = known.filter(F.coalesce(draw < chance, F.lit(False))).select("doc_id", "lang", places.alias("parts")).orderBy("doc_id").limit(4 * sample_rows * len(sizes)).collect()
+    rows = known.filter(F.coalesce(draw < F.col("chance"), F.lit(False))).select("doc_id", "lang", places.alias("parts")).orderBy("doc_id").limit(4 * each * len(sizes)).collect()
     langs = tuple(sorted({r["lang"] for r in rows}))
     cut = [(p.lower().encode("utf-8", "surrogatepass")[:SEGMENT], langs.index(r["lang"])) for r in rows for p in set(r["parts"]) if has_letter(p)]
     if not cut:
