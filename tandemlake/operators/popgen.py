@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -262,46 +262,105 @@ def principal_components(rows: DataFrame, columns: list[str], k: int = 2, key: s
     return kept.select(key, *out, *share)
 
 
-def distance_components(wide: DataFrame, markers: list[int], k: int = 2, key: str = "sample_id") -> DataFrame:
+def krylov_components(times: Callable[[np.ndarray], np.ndarray], share: np.ndarray, n: float, k: int, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """(values, vectors) of the k largest solutions of G S x = value x with x' S x = 1, where S = G - n share share'.
+
+    G is only known by its products `times` with a few columns. A block Lanczos method with full orthogonalisation: the
+    space grows by the products of its last block, and the best solutions within it are taken, until they stay the same.
+    """
+    size, wide = len(share), min(len(share), k + 4)
+    block = np.linalg.qr(np.random.default_rng(1).normal(size=(size, wide)))[0]
+    space, s_space, m_space = (np.zeros((size, 0)) for _ in range(3))
+    last = None
+    for _ in range(steps):
+        s_block = times(block) - n * np.outer(share, share @ block)
+        m_block = times(s_block)
+        space, s_space, m_space = np.hstack([space, block]), np.hstack([s_space, s_block]), np.hstack([m_space, m_block])
+        metric, power = space.T @ s_space, s_space.T @ m_space
+        scale, axes = np.linalg.eigh((metric + metric.T) / 2)
+        keep = scale > max(1e-11 * scale.max(), 1e-12 * n)
+        if not keep.any():
+            return np.zeros(0), np.zeros((size, 0))
+        white = axes[:, keep] / np.sqrt(scale[keep])
+        found, turned = np.linalg.eigh(white.T @ ((power + power.T) / 2) @ white)
+        order = np.argsort(found)[::-1][:k]
+        values, inside = np.maximum(found[order], 1e-300), white @ turned[:, order]
+        if last is not None and len(last) == len(values) and np.abs(values - last).max() <= 1e-12 * values.max():
+            break
+        last = values
+        rest = m_block
+        for _ in range(2):
+            rest = rest - space @ (space.T @ rest)
+        q, r = np.linalg.qr(rest)
+        block = q[:, np.abs(np.diag(r)) > 1e-10 * max(np.abs(m_block).max(), 1e-300)]
+        if not block.shape[1] or space.shape[1] >= size:
+            break
+    return values, (m_space @ inside) / values
+
+
+def distance_components(wide: DataFrame, markers: list[int], k: int = 2, key: str = "sample_id", dense: int = DENSE_LIMIT) -> DataFrame:
     """key, pc1..pck, value1..valuek: principal components of the matrix of distances of all complete samples, whose
     rows are the observations and whose distances are shares of differing markers. value is the component's variance.
 
     The matrix is never made. A distance is 1 less the shared alleles over the markers, so with one column for each
     allele the matrix is a product of that table with itself, and its components follow from how often two alleles occur
-    together: counts of pairs of alleles, the only thing gathered (at most DENSE_LIMIT alleles).
+    together. Up to `dense` alleles these counts are gathered; with more they stay a table, and its products with a few
+    columns, a number an allele each, are joins and sums.
     """
+    size = len(markers)
     loci = _long(wide, markers, (key,))
-    names = [(r["locus"], r["v"]) for r in loci.select("locus", "v").distinct().orderBy("locus", "v").limit(DENSE_LIMIT + 1).collect()]
-    if len(names) > DENSE_LIMIT:
-        raise ValueError(f"more than {DENSE_LIMIT} alleles")
-    place = {x: i for i, x in enumerate(names)}
+    seen = sorted((r["locus"], r["v"], r["c"]) for r in loci.groupBy("locus", "v").agg(F.count("*").alias("c")).collect())  # a row an allele
     kept = wide.dropna(subset=[f"m{m}" for m in markers])
-    pairs = [F.struct(F.lit(a).alias("k"), F.col(f"m{a}").alias("v"), F.lit(b).alias("l"), F.col(f"m{b}").alias("w")) for i, a in enumerate(markers) for b in markers[: i + 1]]
-    together = kept.select(F.inline(F.array(*pairs))).groupBy("k", "v", "l", "w").agg(F.count("*").alias("c")).collect()  # pairs of alleles
-    g = np.zeros((len(names), len(names)))
-    for r in together:
-        i, j = place[r["k"], r["v"]], place[r["l"], r["w"]]
-        g[i, j] = g[j, i] = r["c"]
-    n, size = (g.diagonal().sum() / len(markers) if names else 0), len(markers)
+    n = sum(c for _, _, c in seen) / size
     if n < 2:
         return kept.filter("false").select(key, *[F.lit(0.0).alias(f"{c}{q}") for q in range(1, k + 1) for c in ("pc", "value")])
-    share = g.diagonal() / n
-    scatter = g - n * np.outer(share, share)
-    values, vectors = np.linalg.eigh(scatter)
-    root = (vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T
-    own, axes = np.linalg.eigh(root @ g @ root)
+    names = [(m, v) for m, v, _ in seen]
+    share = np.array([c for _, _, c in seen]) / n
     k = min(k, len(names))
-    order = np.argsort(own)[::-1][:k]
-    own = np.maximum(own[order], 1e-300)
-    load = -(g @ root @ axes[:, order]) / np.sqrt(own) / size
+    pairs = [F.struct(F.lit(a).alias("k"), F.col(f"m{a}").alias("v"), F.lit(b).alias("l"), F.col(f"m{b}").alias("w")) for i, a in enumerate(markers) for b in markers[: i + 1]]
+    together = kept.select(F.inline(F.array(*pairs))).groupBy("k", "v", "l", "w").agg(F.count("*").alias("c"))
+    if len(names) <= dense:
+        place = {x: i for i, x in enumerate(names)}
+        g = np.zeros((len(names), len(names)))
+        for r in together.collect():  # pairs of alleles
+            i, j = place[r["k"], r["v"]], place[r["l"], r["w"]]
+            g[i, j] = g[j, i] = r["c"]
+        values, vectors = np.linalg.eigh(g - n * np.outer(share, share))
+        root = (vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T
+        own, axes = np.linalg.eigh(root @ g @ root)
+        order = np.argsort(own)[::-1][:k]
+        own = np.maximum(own[order], 1e-300)
+        found = (g @ root @ axes[:, order]) / own
+    else:
+        spark = wide.sparkSession
+        known = spark.createDataFrame([(int(m), float(v), i) for i, (m, v) in enumerate(names)], "locus int, v double, id int")
+        first = known.select(F.col("locus").alias("k"), "v", F.col("id").alias("i"))
+        second = known.select(F.col("locus").alias("l"), F.col("v").alias("w"), F.col("id").alias("j"))
+        one = together.join(first, ["k", "v"]).join(second, ["l", "w"]).select("i", "j", F.col("c").cast("double").alias("c"))
+        table = cut(one.unionByName(one.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "c")))
+
+        def times(block: np.ndarray) -> np.ndarray:
+            columns = spark.createDataFrame(pd.DataFrame(block, columns=[f"y{q}" for q in range(block.shape[1])]).assign(j=np.arange(len(block), dtype=np.int32)))
+            summed = table.join(columns, "j").groupBy("i").agg(*[F.sum(F.col("c") * F.col(f"y{q}")).alias(f"y{q}") for q in range(block.shape[1])]).toPandas()
+            out = np.zeros_like(block)
+            out[summed["i"].to_numpy()] = summed[[f"y{q}" for q in range(block.shape[1])]].to_numpy()
+            return out
+
+        own, found = krylov_components(times, share, n, k)
+        discard(table)
+    # Where samples don't vary there is no component: all zero.
+    known = own > 1e-12 * n * n
+    own, found = np.where(known, own, 0.0), np.where(known, found, 0.0)
+    own, found = np.append(own, np.zeros(k - len(own))), np.hstack([found, np.zeros((len(names), k - found.shape[1]))])
+    load = -np.sqrt(own) * found / size
     load -= share @ load / size  # centred, a sample having `size` alleles
     load *= np.sign(load[np.abs(load).argmax(axis=0), range(k)])
-    # A row an allele, at most DENSE_LIMIT, joined once for each marker.
+    # A row an allele, joined once for each marker.
     rows = [(int(m), float(v), w) for (m, v), w in zip(names, load.tolist())]
-    table = wide.sparkSession.createDataFrame(rows, "locus bigint, v double, w array<double>")
+    loads = wide.sparkSession.createDataFrame(rows, "locus bigint, v double, w array<double>")
     parts = kept.select(key, *[F.col(f"m{m}").cast("double").alias(f"m{m}") for m in markers])
     for m in markers:
-        parts = parts.join(F.broadcast(table.filter(F.col("locus") == m).select(F.col("v").alias(f"m{m}"), F.col("w").alias(f"w{m}"))), f"m{m}")
+        parts = parts.join(loads.filter(F.col("locus") == m).select(F.col("v").alias(f"m{m}"), F.col("w").alias(f"w{m}")), f"m{m}")
     out = [sum((F.get(f"w{m}", F.lit(q)) for m in markers), F.lit(0.0)).alias(f"pc{q + 1}") for q in range(k)]
     return parts.select(key, *out, *[F.lit(float(x / size**2 / (n - 1))).alias(f"value{q + 1}") for q, x in enumerate(own)])
 

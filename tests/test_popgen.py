@@ -84,6 +84,35 @@ def test_components_of_the_distance_matrix(spark):
     assert pop.distance_components(df.filter("false"), [1, 2, 3]).count() == 0
 
 
+def test_components_by_products_equal_the_dense_ones(spark):
+    rng = random.Random(12)
+    rows = [(i, float(rng.randrange(9) + 10 * (i % 2)), float(rng.randrange(12)), float(rng.randrange(5) + i % 3)) for i in range(70)]
+    df = spark.createDataFrame([*rows, (999, None, 1.0, 1.0)], "sample_id bigint, m1 double, m2 double, m3 double")
+    a, b = (pop.distance_components(df, [1, 2, 3], 3, dense=d).orderBy("sample_id").toPandas() for d in (5_000, 0))
+    assert len(a) == len(b) == 70
+    for q in (1, 2, 3):
+        assert b[f"value{q}"][0] == pytest.approx(a[f"value{q}"][0], rel=1e-9)
+        assert b[f"pc{q}"].to_numpy() == pytest.approx(a[f"pc{q}"].to_numpy(), abs=1e-5)
+    one = spark.createDataFrame([(i, 1.0, 2.0, 3.0) for i in range(4)], "sample_id bigint, m1 double, m2 double, m3 double")
+    assert [r["pc1"] for r in pop.distance_components(one, [1, 2, 3], 1, dense=0).collect()] == pytest.approx([0.0] * 4, abs=1e-6)
+
+
+def test_block_lanczos_of_a_large_matrix():
+    """Against numpy's solver, with more columns than the space it needs."""
+    rng = np.random.default_rng(4)
+    z = np.hstack([np.eye(60)[rng.integers(0, 60, 500)] for _ in range(5)])
+    z = z[:, z.sum(axis=0) > 0]
+    g, n = z.T @ z, 500
+    share = g.diagonal() / n
+    s = g - n * np.outer(share, share)
+    calls = []
+    values, x = pop.krylov_components(lambda y: calls.append(y.shape[1]) or g @ y, share, n, 3)
+    want = np.sort(np.linalg.eigvals(g @ s).real)[::-1][:3]
+    assert values == pytest.approx(want, rel=1e-9)
+    assert np.allclose(g @ s @ x, x * values, atol=1e-4 * values.max() * np.abs(x).max()) and np.allclose(np.diag(x.T @ s @ x), 1, atol=1e-6)
+    assert max(calls) == 7
+
+
 def test_jitter_scale_and_seed(spark):
     rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 1, 2, 5, 5, 9])], "i int, v double").coalesce(1)
     a, b = (sorted(map(tuple, pop.jittered(rows, "v", 4).collect())) for _ in range(2))
