@@ -166,6 +166,49 @@ def test_a_wide_peak_makes_no_other_peaks_meet(spark):
     assert met[500, 2] - met[500, 0] <= 2 * 500 and met[2_000, 2] - met[2_000, 0] <= 2 * 2_000
 
 
+def most_rows(df):
+    """The most rows that a step of the plan made."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        found = node.metrics().get("numOutputRows")
+        if found.isDefined():
+            most = max(most, found.get().value())
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_many_peaks_of_one_time_do_not_meet_each_other(spark):
+    peaks = spark.range(600).selectExpr("id AS peak_id", "0L AS assay_id", "id AS channel_id", "5 AS rtime", "4 AS brtime", "6 AS ertime", "CAST(id AS double) AS height", "5.0d AS size")
+    channels = peaks.filter("channel_id < 300").selectExpr("assay_id", "channel_id", "array_repeat(1000.0d, 10) AS data")
+    for found, n in ((pk.overlaps(peaks), 599), (pk.overlaps(peaks, channels), 300), (pk.band_overlaps(peaks), 599)):
+        assert found.count() == n and most_rows(found) <= 10 * 600
+
+
+def test_overlaps_with_signal_of_dense_peaks(spark):
+    rng = random.Random(3)
+    for n, length in ((60, 40), (120, 12)):
+        rows = []
+        for i in range(n):
+            t = rng.randrange(length)
+            rows.append((i, i % 2, 10 * (i % 2) + rng.randrange(4), t, t - rng.choice([0, 0, 1, 2]), t + rng.choice([0, 1, 1, 2, 3, 20]) - rng.choice([0] * 19 + [8]), float(rng.randrange(15))))
+        data = {c: [float(rng.randrange(20)) for _ in range(rng.choice([length, length // 2]))] for c in (0, 1, 2, 10, 11, 12, 13)}
+        at = lambda c, t: data[c][t] if c in data and t < len(data[c]) else -1.0
+        want = {
+            x[0] for x in rows for y in rows
+            if x[1] == y[1] and x[2] != y[2] and x[4] < y[5] and y[4] < x[5] and x[6] < y[6] and (x[6] < at(y[2], x[3]) or y[6] < at(x[2], y[3]))
+        }
+        channels = spark.createDataFrame([(c // 10, c, v) for c, v in data.items()], "assay_id bigint, channel_id bigint, data array<double>")
+        assert {r[0] for r in pk.overlaps(spark.createDataFrame(rows, PEAK), channels).collect()} == want
+
+
 def test_gates_by_score(spark):
     ladders = spark.createDataFrame([(1, 0.95), (2, 0.7), (3, 0.3)], "assay_id bigint, score double").withColumn("z", F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0)))
     ladders = ladders.withColumn("first_rtime", F.lit(0)).withColumn("last_rtime", F.lit(1000))
