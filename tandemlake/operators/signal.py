@@ -157,9 +157,13 @@ def wavelet_peaks(y: np.ndarray, widths, min_snr: float) -> list[int]:
         near = np.full(len(tops), -1)
         live = np.flatnonzero(level - k <= patience + 1)
         if len(live) and len(tops):
-            far = np.abs(tops[:, None] - last[live][None, :])
-            best = far.argmin(axis=1)
-            near = np.where(far[np.arange(len(tops)), best] <= widths[k] / 4, live[best], -1)
+            # The nearest ridge ends at the place before or behind; of equally near ones the first ridge.
+            ends, first = np.unique(last[live], return_index=True)
+            behind = np.minimum(np.searchsorted(ends, tops), len(ends) - 1)
+            before = np.maximum(behind - 1, 0)
+            a, b = np.abs(tops - ends[before]), np.abs(tops - ends[behind])
+            best = np.where(a < b, first[before], np.where(b < a, first[behind], np.minimum(first[before], first[behind])))
+            near = np.where(np.minimum(a, b) <= widths[k] / 4, live[best], -1)
         on, first, count = np.unique(near[near >= 0], return_index=True, return_counts=True)
         last, level, end, size = last.copy(), level.copy(), end.copy(), size.copy()
         went = tops[near >= 0]
@@ -167,13 +171,19 @@ def wavelet_peaks(y: np.ndarray, widths, min_snr: float) -> list[int]:
         new = tops[near < 0]
         last, level, end, size = (np.append(a, b) for a, b in ((last, new), (level, np.full(len(new), k)), (end, new), (size, np.ones(len(new), int))))
     half, odd = divmod(-(-n // 20), 2)
-    out = set()
-    for i in np.flatnonzero(size >= -(-len(rows) // 4)):
-        at = end[i]
-        noise = np.percentile(rows[0][max(0, at - half) : at + half + odd], 10)
-        if abs(rows[level[i], at]) >= min_snr * abs(noise):
-            out.add(int(at))
-    return sorted(out)
+    kept = np.flatnonzero(size >= -(-len(rows) // 4))
+    places = end[kept]
+    # Windows of one length are read side by side; those that the trace's ends cut off, one by one.
+    noise, length = np.empty(len(kept)), 2 * half + odd
+    whole = (places >= half) & (places + half + odd <= n)
+    if whole.any():
+        windows = np.lib.stride_tricks.sliding_window_view(rows[0], length)
+        for part in np.array_split(np.flatnonzero(whole), -(-int(whole.sum()) // 1_000)):
+            noise[part] = np.percentile(windows[places[part] - half], 10, axis=1)
+    for i in np.flatnonzero(~whole):
+        noise[i] = np.percentile(rows[0][max(0, places[i] - half) : places[i] + half + odd], 10)
+    loud = np.abs(rows[level[kept], places]) >= min_snr * np.abs(noise)
+    return np.unique(places[loud]).tolist()
 
 
 def flank(y: np.ndarray, share: float) -> tuple[float, int]:

@@ -325,15 +325,19 @@ def run_traces(s: SparkSession, d: str) -> tuple[DataFrame, ...]:
     one = [(F.round(place(205 + F.pmod(value(3 * k) * 997, F.lit(100.0)))), 300 + F.pmod(value(3 * k + 1) * 9973, F.lit(900.0))) for k in range(3)]
     two = [(F.round(place(205 + F.pmod(value(20 + 3 * k) * 997, F.lit(100.0)))), 300 + F.pmod(value(21 + 3 * k) * 9973, F.lit(900.0))) for k in range(2)]
 
-    def trace(peaks) -> Column:
-        """Places 0 to 4799: a ripple, and near each peak its bell."""
-        bells = F.array(*[F.struct(p.alias("p"), h.alias("h")) for p, h in peaks])
-        bell = lambda x: F.aggregate(bells, F.lit(0.0), lambda acc, b: acc + F.when(F.abs(x - b["p"]) < 12, b["h"] * F.exp(-F.pow((x - b["p"]) / 2.5, F.lit(2.0)) / 2)).otherwise(0.0))
-        return F.transform(F.sequence(F.lit(0), F.lit(4_799)), lambda x: 0.3 * F.sin(x * 0.9) + bell(x.cast("double")))
+    def trace(bells: Column) -> Column:
+        """Places 0 to 4799: a ripple, and near each peak its bell. Stretches of 48 places look at the bells near them."""
+        bell = lambda x, near: F.aggregate(near, F.lit(0.0), lambda acc, b: acc + F.when(F.abs(x - b["p"]) < 12, b["h"] * F.exp(-F.pow((x - b["p"]) / 2.5, F.lit(2.0)) / 2)).otherwise(0.0))
+        parts = F.transform(F.sequence(F.lit(0), F.lit(4_752), F.lit(48)), lambda k: F.struct(k.alias("k"), F.filter(bells, lambda b: (b["p"] > k - 12) & (b["p"] < k + 60)).alias("near")))
+        return F.flatten(F.transform(parts, lambda e: F.transform(F.sequence(e["k"], e["k"] + 47), lambda x: 0.3 * F.sin(x * 0.9) + bell(x.cast("double"), e["near"]))))
 
+    bells = lambda peaks: F.array(*[F.struct(p.alias("p"), h.alias("h")) for p, h in peaks])
     kinds = [("LIZ", 0, ladder), ("6-FAM", 1, one), ("VIC", 2, two)]
-    channels = F.array(*[F.struct(F.lit(dye).alias("dye"), (F.col("assay_id") * 3 + i).alias("channel_id"), trace(peaks).alias("data")) for dye, i, peaks in kinds])
-    rows = cut(vectors.repartition("assay_id").select("assay_id", F.inline(channels)))  # made once, read by every step
+    channels = F.array(*[F.struct(F.lit(dye).alias("dye"), (F.col("assay_id") * 3 + i).alias("channel_id"), bells(peaks).alias("bells")) for dye, i, peaks in kinds])
+    # A supplier is a short row of much work: left to their sizes, all would be one task.
+    n = vectors.count()
+    tasks = max(1, min(n, max(4 * s.sparkContext.defaultParallelism, n // 100)))
+    rows = cut(vectors.repartition(tasks, "assay_id").select("assay_id", F.inline(channels)).select("assay_id", "dye", "channel_id", trace(F.col("bells")).alias("data")))  # made once, read by every step
     assays = vectors.select("assay_id", F.lit("P").alias("panel"), F.when(F.col("assay_id") % 7 == 3, F.array(F.lit("m2"))).alias("exclude"))
     panels = s.range(1).select(F.inline(F.array(*[F.struct(F.lit("P").alias("panel"), F.lit("LIZ500").alias("ladder"), F.lit(m).alias("marker"), F.lit(c).alias("dye")) for m, c in (("M1", "6-FAM"), ("M2", "VIC"))])))
     bins = F.transform(F.sequence(F.lit(200), F.lit(320), F.lit(3)), lambda b: F.struct(b.cast("double").alias("pos"), b.alias("tag")))

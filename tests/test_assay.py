@@ -238,3 +238,10 @@ def test_batch_verbs(spark):
         asy.by_keys(assays, town="x")
     got = spark.range(1).select(asy.series_bins(232).alias("b")).first()["b"]
     assert [b["tag"] for b in got] == list(range(202, 400, 3)) and got[0]["pos"] == 202.0
+
+
+def test_traces_are_dealt_to_tasks(spark):
+    from tandemlake.plans.assays import run_traces
+
+    channels = run_traces(spark, "/root/testdata/sf0.001")[0]
+    assert channels.rdd.getNumPartitions() >= 4 and {r[0] for r in channels.selectExpr("size(data)").collect()} == {4_800}
