@@ -45,6 +45,23 @@ def test_linkage_p_in_parts_equals_all_orders(spark, part_rows):
     assert got["n"] == 4 and got["p"] == pytest.approx(exact, abs=0.035)
 
 
+def test_linkage_p_from_tables_equals_all_orders(spark):
+    """Six samples and four combinations of values: the combinations' counts are drawn."""
+    a, b = (1.0, 1.0, 1.0, 2.0, 2.0, 2.0), (1.0, 1.0, 2.0, 2.0, 2.0, 1.0)
+    agree = lambda q: sum(a[i] == a[j] and q[i] == q[j] for i in range(6) for j in range(i))
+    exact = np.mean([agree(q) >= agree(b) for q in itertools.permutations(b)])
+    df = spark.createDataFrame([("x", i, *r) for i, r in enumerate(zip(a, b))], "set_id string, sample_id bigint, m1 double, m2 double")
+    assert pop.linkage_pvalue(df, [1, 2], rounds=4000).first()["p"] == pytest.approx(exact, abs=0.03)
+
+
+def test_tables_of_shuffles_follow_the_values_not_the_samples():
+    every = [np.array([400_000_000, 300_000_000]), np.array([500_000_000, 200_000_000]), np.array([1, 699_999_999])]
+    got = pop._tables(every, 50, np.random.default_rng(1))
+    assert got.shape == (50, 2, 2, 2) and (got >= 0).all()
+    for axis, counts in enumerate(every, 1):
+        assert (got.sum(axis=tuple(k for k in (1, 2, 3) if k != axis)) == counts).all()
+
+
 def test_colours_of_deep_and_wide_trees(spark):
     rng = random.Random(9)
     for n, near in ((60, 60), (200, 2), (40, 1)):
