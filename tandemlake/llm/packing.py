@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_columns, read_table, whole_text
+from .common import cut, held, map_columns, read_table, whole_text
 from .wordids import MEMO_WORDS, WordIds
 
 CAPACITY = 2048
@@ -48,20 +48,16 @@ def cut_lengths(total: int, capacity: int = CAPACITY, slack: float = SLACK) -> l
     return [(n, 1) if n == capacity else (n, known[i]) for n, i in out]
 
 
-_LOADED: dict[str, WordIds] = {}
-
-
 def token_pieces(df: DataFrame, tokenizer: str, key: str, text: str, capacity: int, slack: float, with_ids: bool, memo_words: int = MEMO_WORDS) -> DataFrame:
     """key, start, length, ids_crc32, doc_tokens (and ids) of each piece, with its class, worker and rank there."""
     counts: dict[int, int] = {}
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        if tokenizer not in _LOADED:
-            _LOADED[tokenizer] = WordIds(tokenizer, memo_words)
+        ids = held(tokenizer, lambda: WordIds(tokenizer, memo_words))
         worker = TaskContext.get().partitionId()
         end = array("I", [END_ID]).tobytes()
         out: dict[str, list] = {c: [] for c in (key, "start", "length", "ids_crc32", "doc_tokens", "class", "worker", "rank", "ids")}
-        for k, data in zip(rows[key], _LOADED[tokenizer].encode_batch(rows["_text"])):
+        for k, data in zip(rows[key], ids.encode_batch(rows["_text"])):
             data += end
             at = 0
             for length, of in cut_lengths(len(data) // 4, capacity, slack):
@@ -75,7 +71,7 @@ def token_pieces(df: DataFrame, tokenizer: str, key: str, text: str, capacity: i
 
     typed = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {typed}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, class int, worker int, rank bigint, ids array<int>"
-    return map_columns(df.select(key, whole_text(text).alias("_text")), schema, work, counts.clear)
+    return map_columns(df.select(key, whole_text(text).alias("_text")), schema, work, counts.clear, holds=tokenizer)
 
 
 def pack_documents(

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,7 +45,7 @@ class QualityModel:
     weights: tuple[float, ...]
 
 
-@cache
+@lru_cache(maxsize=2)  # of one model: a worker lives on through other models
 def _compressor(content: bytes):
     import zstandard
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import cut, discard, map_columns, read_table, release, whole_text
+from .common import bound_batches, cut, discard, give_back, map_columns, read_table, release, whole_text
 from .graph import components
 
 RADIUS = 3
@@ -219,6 +219,7 @@ def _searcher(radius: int, number: Callable) -> Callable:
             out_a, out_b = [], []
         close()
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        give_back()
 
     return search
 
@@ -233,6 +234,7 @@ def shard_links(shards: DataFrame, radius: int, number: Callable) -> DataFrame:
     shards: node bigint, fp, block int, bits (equal within a shard of a block).
     """
     ship(shards.sparkSession)
+    bound_batches(shards.sparkSession)
     large = shards.groupBy("block", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > TREE_SIZE)
     dealt = shards.join(large, ["block", "bits"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / TREE_SIZE), F.lit(1)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -366,6 +368,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in columns], names=["h", "node", "pos"])
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["h", "node", "pos"])
+    give_back()
 
 
 def node_size(node):
@@ -408,6 +411,7 @@ def _neighbours(similarity: float, steps: int) -> Callable:
                 b.append(np.minimum(node[i], node[i + step]))
             held = [c[-steps:] for c in columns]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+        give_back()
 
     return work
 
@@ -462,6 +466,7 @@ def _crossing(similarity: float) -> Callable:
                     out, held = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
+        give_back()
 
     return work
 
@@ -486,6 +491,7 @@ def _alike(similarity: float) -> Callable:
                     out[0].append(a)
                     out[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+        give_back()
 
     return work
 
@@ -568,6 +574,7 @@ def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     out most candidates before any set is fetched.
     """
     ship(df.sparkSession)
+    bound_batches(df.sparkSession)
     texts = df.select(key, whole_text(text).alias("_text")).withColumn("digest", text_digest("_text"))
     common, counts = _common_shingles(texts, shingle)
 

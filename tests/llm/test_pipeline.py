@@ -87,3 +87,38 @@ def test_repeated_and_null_ids(spark):
     got = [(r["doc_id"], r["text"]) for r in cp.drop_near_duplicates(spark, docs, "").collect()]
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted(got, key=key) == [(1, word(0)), (2, word(1)), (5, word(2)), (5, word(3)), (7, word(5)), (None, word(4))]
+
+
+def test_workers_hold_one_thing_at_a_time(spark):
+    from tandemlake.llm import common
+
+    made = []
+    common.let_go()
+    for name in ("a", "a", "b", "a"):
+        assert common.held(name, lambda: made.append(name) or name) == name and list(common._HELD) == [name]
+    assert made == ["a", "b", "a"]
+    common.let_go("a")
+    assert common._HELD
+    common.let_go()
+    assert not common._HELD
+    for i in range(5):  # models of five runs
+        quality.evidence(b"good %d " % i * 99, b"bad %d " % i * 99, "some text of any kind")
+    assert quality._compressor.cache_info().currsize == 2
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from tandemlake.llm.common import BATCH_BYTES, map_columns
+
+    rows = spark.range(0, 2_000, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("t"))  # 40 MB in one partition
+    map_columns(rows, "n bigint", lambda part: {"n": [len(t) for t in part["t"]]})
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    got = [r["n"] for r in rows.mapInArrow(sizes, "n bigint").collect()]
+    assert len(got) > 5 and max(got) < 2 * BATCH_BYTES
