@@ -60,3 +60,18 @@ def test_radius_and_empty_tables(spark):
     for bad in (0, 4):
         with pytest.raises(ValueError):
             gt.genotype_neighbours(empty, MARKERS, bad)
+
+
+def test_pairwise_distance_deals_pairs_to_tasks(spark):
+    """A set of a few kilobytes is not compared in one task; every pair comes once."""
+    from itertools import combinations
+
+    rows = [(i, float(i % 3), float(i % 2), float(i % 5)) for i in range(300)] + [(300, None, 1.0, 1.0)]
+    wide = spark.createDataFrame(rows, "sample_id bigint, m1 double, m2 double, m3 double")
+    got = gt.pairwise_distance(wide, [1, 2, 3])
+    per = [n for n in got.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert len(per) > 100 and max(per) < sum(per) / 20
+    want = {(a[0], b[0]): sum(x != y for x, y in zip(a[1:], b[1:])) for a, b in combinations(rows[:300], 2)}
+    found = got.collect()
+    assert len(found) == len(want) and {(r["i"], r["j"]): r["d"] for r in found} == want
+    assert all(abs(r["d_norm"] - r["d"] / 3) < 1e-12 for r in found)
