@@ -245,3 +245,24 @@ def test_traces_are_dealt_to_tasks(spark):
 
     channels = run_traces(spark, "/root/testdata/sf0.001")[0]
     assert channels.rdd.getNumPartitions() >= 4 and {r[0] for r in channels.selectExpr("size(data)").collect()} == {4_800}
+
+
+def test_ladders_are_aligned_together():
+    """Alignments that go on together are those of each alone, whatever the widths; sets of the same peaks are fitted once."""
+    rng = np.random.default_rng(5)
+    tables = [rng.random((6, m)) for m in (4, 9, 6, 1)]
+    wide = np.zeros((4, 6, 9))
+    for k, t in enumerate(tables):
+        wide[k, :, : t.shape[1]] = t
+    scores, pairs = ld.match_all(wide, np.array([t.shape[1] for t in tables]), -0.005)
+    assert [(s, p) for s, p in zip(scores.tolist(), pairs)] == [ld.match(t, -0.005) for t in tables]
+    sizes, times, heights = np.arange(58.0, 9, -3), np.arange(400.0, 100, -12), rng.uniform(50, 90, 25)
+    starts = [(times[:n], heights[:n], p) for n in (17, 20, 25) for p in ld.first_pairs(sizes, times[:n])]
+    alone = [ld.align_all(sizes, [s])[0] for s in starts]
+    for (a, b, z, p), (c, d, y, q) in zip(ld.align_all(sizes, starts), alone):
+        assert (a, b, p) == (c, d, q) and z.tolist() == y.tolist()
+    for k in (3, 4, 9, 17):
+        t, y = np.sort(rng.uniform(0, 300, k))[::-1], rng.uniform(0, 60, k)
+        z, rss = ld.cubic(y, t)
+        want = np.polyfit(t, y, min(3, k - 1))
+        assert z[4 - len(want) :].tolist() == want.tolist() and rss == ((np.polyval(z, t) - y) ** 2).sum()
