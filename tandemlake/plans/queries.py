@@ -30,7 +30,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
-    return tb.alleles(spark, d).join(tb.country_sets(spark, d), "sample_id")
+    """Alleles with the set of their sample. Sets, the small side, are hashed, so alleles are sorted once, by what follows."""
+    return tb.alleles(spark, d).join(tb.country_sets(spark, d).hint("shuffle_hash"), "sample_id")
 
 
 def wide(spark: SparkSession, d: str) -> DataFrame:

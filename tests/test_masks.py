@@ -71,3 +71,16 @@ def test_prepare_equals_sets(spark, rows, option, limits):
         several = {s: sum(c > 1 for (t, _), c in n.items() if t == s) for s, _ in n}
         want = [r for r in want if several[r[0]] <= 1]
     assert sorted((r["sample_id"], r["marker_id"], r["value"]) for r in kept.collect()) == want
+
+
+def test_alleles_with_sets_are_sorted_once(spark):
+    """The sets are hashed: a task of dominance holds one sort of the alleles of its samples."""
+    from tandemlake.operators import alleles as al
+    from tandemlake.plans.queries import facts
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = al.dominant(facts(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin [sample_id" in plan and "SortMergeJoin [sample_id" not in plan
