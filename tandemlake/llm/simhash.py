@@ -54,6 +54,9 @@ SIZE_BITS = 24
 OUTLINE_STEP = 2
 #: Rows of a large group of a first shingle that meet in one task, of each side.
 GROUP_ROWS = 4_096
+#: Counters of a set's sketch, and nodes of other classes that a node is compared with before all are.
+SKETCH = 64
+NEAREST = 8
 #: Bytes of the sets of a block of nodes, about, whose pairs with another block are compared in one task; least blocks.
 CELL_BYTES = 8 << 20
 LEAST_BLOCKS = 4
@@ -336,6 +339,18 @@ def outline(hashes: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many of the hashes fall to each of SKETCH buckets, modulo 256."""
+    return np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint8).tobytes()
+
+
+def sketch_distances(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """About the number of hashes that each set of `others` (rows of counters) has not in common with `own`: squares of the
+    counters' differences, right below 128."""
+    apart = (others - own).view(np.int8).astype(np.int32)
+    return (apart * apart).sum(axis=1)
+
+
 def may_be_alike(n: int, x: bytes, m: int, y: bytes, similarity: float) -> bool:
     """Whether outlines of sets of n and m shingles allow the similarity: they share at most the lesser counts."""
     a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
@@ -416,25 +431,34 @@ def _neighbours(similarity: float, steps: int) -> Callable:
     return work
 
 
-def _crossing(similarity: float) -> Callable:
+def _crossing(similarity: float, nearest: int | None = None) -> Callable:
     """Pairs of nodes of different classes that may be alike, one of them being of role 1.
 
     Rows (cell, role, node, pos, label) come sorted by cell; role 0 are a block of a group's nodes, role 1 those that
-    aren't of the group's main class. A cell has at most GROUP_ROWS rows of each role, or so.
+    aren't of the group's main class. A cell has at most GROUP_ROWS rows of each role, or so. nearest: a node of role 1
+    makes at most so many pairs in a cell, with those whose sketches, a sixth column, are nearest to its own.
     """
 
     def pairs(rows: list[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        role, node, pos, label = (np.concatenate(x) for x in zip(*rows))
+        role, node, pos, label, *more = (np.concatenate(x) for x in zip(*rows))
         left = role == 0
         order = np.argsort(node[left])
         every, places, labels = (x[left][order] for x in (node, pos, label))
         sizes = node_size(every)
+        if nearest is not None:
+            counters = np.frombuffer(b"".join(more[0].tolist()), np.uint8).reshape(len(role), -1)
+            drawn, mine = counters[left][order], iter(counters[~left])
         for x, at, own in zip(*(v[~left].tolist() for v in (node, pos, label))):
             n = node_size(x)
             part = slice(np.searchsorted(sizes, n * similarity - 1e-6), np.searchsorted(sizes, n / similarity + 1e-6, "right"))
             ok = labels[part] != own
             other, place = every[part][ok], places[part][ok]
-            other = other[_fits(similarity, np.full(len(other), x), np.full(len(other), at), other, place)]
+            fit = _fits(similarity, np.full(len(other), x), np.full(len(other), at), other, place)
+            other = other[fit]
+            if nearest is not None:
+                counts = next(mine)
+                if len(other) > nearest:
+                    other = other[np.argpartition(sketch_distances(counts, drawn[part][ok][fit]), nearest)[:nearest]]
             if len(other):
                 yield np.maximum(other, x), np.minimum(other, x)
 
@@ -444,7 +468,7 @@ def _crossing(similarity: float) -> Callable:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(i).to_numpy() for i in range(5)]
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             starts = np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1])).tolist()
             for begin, end in zip(starts, [*starts[1:], len(columns[0])]):
                 if columns[0][begin] != cell and rows:
@@ -539,25 +563,31 @@ def _numbered_sets(prints: DataFrame, key: str) -> DataFrame:
     return cut(one.withColumn("part", part).join(F.broadcast(starts), "part").select("name", "row", "n", (size + number).alias("node")))
 
 
-def _cells(labelled: DataFrame) -> DataFrame:
+def _cells(labelled: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
     """cell, role, node, pos, label: the nodes of each first shingle that several classes share, ready to be compared.
 
     The main class of a shingle is its most frequent one; its nodes meet only the others. Groups of any size are dealt
-    to cells of bounded size: a block of the group's nodes, and a block of those of other classes.
+    to cells of bounded size: a block of the group's nodes, and a block of those of other classes. With sketches (node,
+    sketch) only groups of more than NEAREST nodes, and the sketch of each.
     """
     per = labelled.groupBy("h", "label").agg(F.count("*").alias("c"))
     groups = per.groupBy("h").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("g")).filter("g > main.c")
     blocks = lambda c: F.ceil(c / GROUP_ROWS).cast("int")
-    groups = groups.select("h", F.col("main.label").alias("main"), blocks(F.col("g")).alias("p"), blocks(F.col("g") - F.col("main.c")).alias("q"))
-    rows = labelled.join(groups, "h")
+    groups = groups.select("h", "g", F.col("main.label").alias("main"), blocks(F.col("g")).alias("p"), blocks(F.col("g") - F.col("main.c")).alias("q"))
+    kept = ["h", "node", "pos", "label"]
+    if sketches is not None:
+        groups = groups.filter(F.col("g") > NEAREST)
+    rows = labelled.join(groups.drop("g"), "h")
+    if sketches is not None:
+        rows, kept = rows.join(sketches, "node"), [*kept, "sketch"]
     place = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
     count = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
     own = F.transform(count("q"), lambda j: F.struct(F.lit(0).alias("role"), place("p").alias("i"), j.alias("j")))
     others = F.transform(count("p"), lambda i: F.struct(F.lit(1).alias("role"), i.alias("i"), place("q").alias("j")))
     none = F.array().cast("array<struct<role:int,i:int,j:int>>")
     meets = F.concat(own, F.when(F.col("label") != F.col("main"), others).otherwise(none))
-    met = rows.select("h", "node", "pos", "label", F.explode(meets).alias("m")).repartition("h", "m.i", "m.j").sortWithinPartitions("h", "m.i", "m.j")
-    return met.select(F.xxhash64("h", "m.i", "m.j").alias("cell"), F.col("m.role").cast("bigint").alias("role"), "node", "pos", "label")
+    met = rows.select(*kept, F.explode(meets).alias("m")).repartition("h", "m.i", "m.j").sortWithinPartitions("h", "m.i", "m.j")
+    return met.select(F.xxhash64("h", "m.i", "m.j").alias("cell"), F.col("m.role").cast("bigint").alias("role"), *kept[1:])
 
 
 def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -568,10 +598,10 @@ def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     have no part in it.
 
     Candidates come in rounds. First: sets whose fingerprints the trees find within RADIUS bits, and of those that share
-    a first shingle, or a fingerprint, neighbours in a random order, a different one for each shingle. Then again
-    neighbours, in another order, as far as their classes differ. These join nearly all that is alike, in time in
-    proportion to the rows. Last: of those that share a first shingle all pairs whose classes still differ. Outlines rule
-    out most candidates before any set is fetched.
+    a first shingle, or a fingerprint, neighbours in a random order, a different one for each shingle. Then, as far as
+    classes differ, each set outside the main class of a first shingle with the NEAREST whose sketches are most like its
+    own. These join nearly all that is alike, by pairs in proportion to the rows. Last: of those that share a first
+    shingle all pairs whose classes still differ. Outlines rule out most candidates before any set is fetched.
     """
     ship(df.sparkSession)
     bound_batches(df.sparkSession)
@@ -582,12 +612,12 @@ def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
         sets = [shingle_hashes(t, shingle) for t in rows["_text"]]
         return {
             key: rows[key], "digest": rows["digest"], "name": [hashlib.sha256(x.tobytes()).digest()[:16] for x in sets], "n": [len(x) for x in sets],
-            "fp": [set_fingerprint(x) for x in sets], "outline": [outline(x) for x in sets],
+            "fp": [set_fingerprint(x) for x in sets], "outline": [outline(x) for x in sets], "sketch": [sketch(x) for x in sets],
             "first": [first_shingles(x, common, counts, similarity).view(np.int64) for x in sets],
         }
 
     typed = df.schema[key].dataType.simpleString()
-    prints = cut(map_columns(texts, f"`{key}` {typed}, digest binary, name binary, n bigint, fp bigint, outline binary, first array<bigint>", work))
+    prints = cut(map_columns(texts, f"`{key}` {typed}, digest binary, name binary, n bigint, fp bigint, outline binary, sketch binary, first array<bigint>", work))
     # One node for each distinct set: copies are never compared with each other.
     nodes = _numbered_sets(prints, key)
     own = lambda *columns: prints.select("name", row_name(key).alias("row"), *columns).join(nodes.select("name", "row", "node"), ["name", "row"]).dropDuplicates(["name", "row", "node"]).select("node", *columns)
@@ -595,11 +625,11 @@ def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     firsts = own("first").select(F.posexplode("first").alias("pos", "h"), "node").select("h", "node", F.col("pos").cast("bigint").alias("pos"))
     # Ranges of both columns, so a frequent shingle is spread over many tasks.
     shared = cut(firsts.repartitionByRange("h", "node").sortWithinPartitions("h", "node").mapInArrow(_shared, "h bigint, node bigint, pos bigint"))
-    outlines = cut(own("n", "fp", "outline"))
+    outlines = cut(own("n", "fp", "outline", "sketch"))
 
-    def neighbours(rows: DataFrame, seed: int, steps: int) -> DataFrame:
-        mixed = rows.withColumn("mix", F.xxhash64("h", "node", F.lit(seed))).repartitionByRange("h", "mix").sortWithinPartitions("h", "mix")
-        return mixed.select("h", "node", "pos", "label").mapInArrow(_neighbours(similarity, steps), "a bigint, b bigint")
+    def neighbours(rows: DataFrame) -> DataFrame:
+        mixed = rows.withColumn("mix", F.xxhash64("h", "node", F.lit(1))).repartitionByRange("h", "mix").sortWithinPartitions("h", "mix")
+        return mixed.select("h", "node", "pos", "label").mapInArrow(_neighbours(similarity, 1), "a bigint, b bigint")
 
     def classed(found: DataFrame) -> DataFrame:
         """The shared first shingles with the class of each node by the links found."""
@@ -641,12 +671,13 @@ def similar_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     of_print = outlines.select(F.col("fp").alias("h"), "node", F.lit(0).cast("bigint").alias("pos"))
     sized = lambda c: F.shiftright(c, NODE_BITS)
     by_print = by_print.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(sized("b") + 1e-6 >= similarity * sized("a"))
-    near = by_print.union(neighbours(shared.union(of_print).withColumn("label", F.col("node")), 1, 1))
+    near = by_print.union(neighbours(shared.union(of_print).withColumn("label", F.col("node"))))
     first = cut(near.distinct())
     found = links(first)
     discard(first, distinct)
     labelled = classed(found)
-    again = cut(neighbours(labelled, 2, 4).distinct())
+    nearest = _cells(labelled, outlines.select("node", "sketch")).mapInArrow(_crossing(similarity, NEAREST), "a bigint, b bigint")
+    again = cut(nearest.distinct())
     more = links(again)
     found, before = cut(found.union(more)), found
     discard(labelled, before, more)

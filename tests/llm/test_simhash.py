@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -252,3 +253,40 @@ def test_similar_classes_of_a_repeated_key(spark):
     assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 3)]
     ids = {(r["doc_id"], r["digest"]): r["class"] for r in s.similar_rows(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert len(ids) == 5 and len(set(ids.values())) == 3
+
+
+def test_few_pairs_of_many_near_copies_are_compared(spark, monkeypatch):
+    """Copies with up to four edits: those with few link nearly all others, which a random neighbour seldom is."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(2_000)}" for _ in range(200)]
+    texts = []
+    for n in range(400):
+        words = list(base)
+        for _ in range(n % 5):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    compared, plain = [], s.map_columns
+
+    def counting(df, schema, *more, **named):
+        if schema == "a bigint, b bigint":
+            compared.append(df.count())
+        return plain(df, schema, *more, **named)
+
+    monkeypatch.setattr(s, "map_columns", counting)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert len({r["class"] for r in s.similar_rows(rows).collect()}) == 1
+    assert len(compared) == 3 and sum(compared) < 12 * len(texts), compared
+
+
+def test_nearest_of_a_cell_come_first():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 100).astype(np.uint64)
+    sets = [np.unique(np.append(base[i:], rng.integers(0, 2**63, i).astype(np.uint64))) for i in range(40)]
+    node = np.array([(len(x) << s.NODE_BITS) + i for i, x in enumerate(sets)])
+    rows = [(7, 0, n, 0, 1 if i else 2, s.sketch(x)) for i, (n, x) in enumerate(zip(node.tolist(), sets))] + [(7, 1, int(node[0]), 0, 2, s.sketch(sets[0]))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["cell", "role", "node", "pos", "label", "sketch"])
+    pairs = [tuple(r.values()) for b in s._crossing(0.8, 5)(iter([batch])) for r in b.to_pylist()]
+    places = {(set(p) - {int(node[0])}).pop() & ((1 << s.NODE_BITS) - 1) for p in pairs}
+    assert len(pairs) == 5 and max(places) <= 8
+    every = [b.num_rows for b in s._crossing(0.8)(iter([batch]))]
+    assert sum(every) > 30
