@@ -331,3 +331,16 @@ def test_haplotypes_are_numbered_without_one_task_for_all(spark, monkeypatch):
     assert sorted((r["first_sample"], r["freq"], r["hap_id"]) for r in found.collect()) == [(i, 3, i + 1) for i in range(40)] + [(500, 1, 0)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(range#" in plan  # by ranges, never over all rows
+
+
+def test_report_tables_shuffle_no_alleles_again(spark):
+    """Alleles that a join left by sample are written so; only sums by marker or set are shuffled for the tables."""
+    from tandemlake.operators import summary
+    from tandemlake.plans.queries import facts
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    tables = summary.comprehensive(facts(spark, "/root/testdata/sf0.001"))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
+    plans = {k: t._jdf.queryExecution().executedPlan().toString() for k, t in tables.items()}
+    assert len(plans) == 10 and not [k for k, p in plans.items() for line in p.split("\n") if "Exchange hashpartitioning" in line and "sample_id" in line]
+    assert tables["marker_summary"].count() == 7 and tables["sample_failures"].count() == 6
