@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tabular import collection_date, import_errors, stored_alleles
-from ..storage import cut
+from ..storage import cut, discard
 from .store import merge
 
 FIELDS = ("country", "level1", "level2", "level3", "level4")
@@ -51,8 +51,11 @@ def import_documents(docs: DataFrame, batch: str, stored: Stored, mode: str = "n
     that a document has. With any error (see `import_errors`) the tables are as before.
     """
     docs = cut(docs.select("code", "doc"))  # read by every rule and every table
-    errors = cut(import_errors(docs, batch, stored.batches, stored.samples, stored.markers, mode))
+    alleles = cut(stored_alleles(docs)) if mode != "info" else None  # documents are parsed once
+    errors = cut(import_errors(docs, batch, stored.batches, stored.samples, stored.markers, mode, alleles))
     if not errors.isEmpty():
+        if alleles is not None:
+            discard(alleles)
         return stored, errors
     given = document_samples(docs, batch)
     after = stored
@@ -69,7 +72,7 @@ def import_documents(docs: DataFrame, batch: str, stored: Stored, mode: str = "n
         after = replace(after, samples=stored.samples.filter(~mine).unionByName(changed.join(names, "code")))
     if mode != "info":
         last = stored.alleles.filter(F.lower("batch") == batch.lower()).agg(F.coalesce(F.max("revision"), F.lit(0))).first()[0]
-        rows = stored_alleles(docs).select(F.lit(batch).alias("batch"), F.lit(last + 1).alias("revision"), *[F.col(c.split()[0]).cast(c.split()[1]) for c in ALLELE.split(", ")[2:]])
+        rows = alleles.select(F.lit(batch).alias("batch"), F.lit(last + 1).alias("revision"), *[F.col(c.split()[0]).cast(c.split()[1]) for c in ALLELE.split(", ")[2:]])
         after = replace(after, alleles=stored.alleles.unionByName(rows))
     return after, errors
 

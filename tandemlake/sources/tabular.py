@@ -131,11 +131,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return top.filter(inner.isNull()).unionByName(top.filter(inner.isNotNull()).select(inner.alias("inner")).select(each("inner", "code")))
 
 
-def import_errors(docs: DataFrame, batch: str, batches: DataFrame, samples: DataFrame, markers: DataFrame, mode: str = "new") -> DataFrame:
+def import_errors(docs: DataFrame, batch: str, batches: DataFrame, samples: DataFrame, markers: DataFrame, mode: str = "new", alleles: DataFrame | None = None) -> DataFrame:
     """code, error: what forbids an import of documents (code, doc) into a batch; empty if nothing does.
 
     Modes: `new` needs a new batch. The others need a stored one: `sample` adds samples that it lacks, `allele` and `info`
-    change samples that it has. batches: code. samples: batch, code. markers: code, in any case.
+    change samples that it has. batches: code. samples: batch, code. markers: code, in any case. alleles: those of the documents, if read before.
     """
     if mode not in ("new", "sample", "allele", "info"):
         raise ValueError(f"unknown mode {mode}")
@@ -148,7 +148,7 @@ def import_errors(docs: DataFrame, batch: str, batches: DataFrame, samples: Data
     elif mode != "new":
         out = out.unionByName(docs.join(own, "code", "left_anti").select("code", F.lit("no such sample").alias("error")))
     if mode != "info":
-        used = flatten_documents(docs).select(F.col("sample").alias("code"), F.lower("marker").alias("marker")).distinct()
+        used = (flatten_documents(docs) if alleles is None else alleles).select(F.col("sample").alias("code"), F.lower("marker").alias("marker")).distinct()
         unknown = used.join(markers.select(F.lower("code").alias("marker")), "marker", "left_anti")
         out = out.unionByName(unknown.select("code", F.concat(F.lit("no such marker: "), "marker").alias("error")))
     return out

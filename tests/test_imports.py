@@ -66,3 +66,13 @@ def test_modes_of_change(spark, first):
     assert told.alleles.count() == newer.alleles.count()
     second, errors = im.import_documents(docs(spark, s1=doc(M1=[300])), "B2", told)
     assert errors.count() == 0 and alleles(second).count(("s1", "M1", 300, 1)) == 1 and second.batches.count() == 2
+
+
+def test_documents_are_parsed_once(spark):
+    doc = '{"location": ["Malaysia"], "assays": {"A1": {"panel": "P", "markers": {"m1": {"dye": "FAM", "alleles": [[100, 100.2, 900, 0]]}}}}}'
+    docs = spark.createDataFrame([("S1", doc)], "code string, doc string")
+    stored, errors = im.import_documents(docs, "B", im.empty(spark, spark.createDataFrame([("m1",)], "code string")))
+    assert errors.isEmpty()
+    latest = im.latest_alleles(stored)
+    assert "from_json" not in latest._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["sample"], r["marker"], r["value"], r["revision"]) for r in latest.collect()] == [("S1", "m1", 100, 1)]
