@@ -1,7 +1,8 @@
 """The run of assays: channels to markers, ladders to sizes, peaks called, checked and binned. Steps over tables of all
 assays at once; each gives new tables.
 
-channels: assay_id, channel_id, dye, data. assays: assay_id, panel, exclude (array of lower-case marker codes or null).
+channels: assay_id, channel_id, dye, data; signals: assay_id, channel_id, levels (map from times to the trace's values).
+assays: assay_id, panel, exclude (array of lower-case marker codes or null).
 panels: panel, ladder, marker, dye (`tabular.panel_markers`). ladders: ladder, dye, sizes. markers: marker_id, code,
 repeats, min_size, max_size, bins. peaks: peak_id, assay_id, channel_id, marker, rtime, height, ..., peak_type.
 """
@@ -13,20 +14,26 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.scalar import ladder_reports, ladder_score
 from ..model import LADDER_DYE, LADDERS
 from ..shipping import ship
-from .ladder import LadderParams, fit_ladder
+from ..storage import cut
+from .ladder import LadderParams, fit_ladder, fit_score
 from .peaks import bin_alleles, overlaps, size_peaks, stutter
 from .signal import PEAK, ScanParams, peak_rows
 
 UNDEFINED = "undefined"
 #: Ladder scores from which an assay's other channels are scanned, its peaks called, and checked for stutter and overlap.
 SCAN_SCORE, CALL_SCORE, CHECK_SCORE = 0.9, 0.5, 0.9
-LADDER = "assay_id bigint, channel_id bigint, z array<double>, rss double, dpscore double, used int, first_rtime int, last_rtime int, height double, failure string, peaks array<struct<rtime:int,height:double,size:double,peak_type:string>>"
+LADDER = "channel_id bigint, z array<double>, rss double, dpscore double, used int, n_sizes int, first_rtime int, last_rtime int, height double, failure string, peaks array<struct<rtime:int,height:double,size:double,peak_type:string>>"
+#: A row an assay: its ladders, the peaks of its other channels, and of channels with peaks the levels at the times of all of them.
+SCANNED = f"assay_id bigint, ladders array<struct<{LADDER}>>, peaks array<struct<{PEAK}, marker string>>, signals array<struct<channel_id bigint, levels map<int,double>>>"
 
 
 @dataclass(frozen=True)
@@ -64,6 +71,32 @@ def assign_channels(channels: DataFrame, assays: DataFrame, panels: DataFrame, l
     return found.drop("panel", "exclude", "_dye", "_marker", "_ladder_dye", "_sizes")
 
 
+def ladder_row(channel: int, y: np.ndarray, sizes: list[float], params: RunParams) -> tuple:
+    """The ladder of a trace in the columns of LADDER."""
+    rows = [r for r in peak_rows(channel, y, params.ladder_scan) if r[9] == "peak-scanned"] if len(y) else []
+    times, heights = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
+    fit = fit_ladder(list(sizes), times, heights, params.ladder)
+    size = {j: s for s, j in fit.pairs}
+    peaks = [
+        {"rtime": int(times[j]), "height": float(heights[j]), "size": size.get(j, -1.0), "peak_type": "peak-ladder" if j in size else "peak-unassigned"}
+        for j in range(len(rows))
+    ]
+    used = sorted(int(times[j]) for j in size)
+    return (channel, fit.z or None, fit.rss, fit.dpscore, len(used), len(sizes), used[0] if used else None, used[-1] if used else None, fit.height, fit.report or None, peaks)
+
+
+def _names(schema: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in schema.split(", ")]
+
+
+def _scored(found: DataFrame) -> DataFrame:
+    """assay_id and the columns of LADDER with score and report."""
+    failed = F.col("z").isNull()
+    report = F.when(failed, F.col("failure")).otherwise(F.concat_ws("|", ladder_reports(F.col("rss"), F.col("used"), F.col("n_sizes")), F.format_string("Height = %d", F.col("height").cast("int"))))
+    score = F.when(failed, 0.0).otherwise(ladder_score(F.col("rss"), F.col("used"), F.col("n_sizes")))
+    return found.select("assay_id", "channel_id", "z", "rss", "dpscore", score.alias("score"), report.alias("report"), "used", "n_sizes", "first_rtime", "last_rtime", "peaks")
+
+
 def scan_ladders(channels: DataFrame, params: RunParams = RunParams()) -> DataFrame:
     """assay_id, channel_id, z, rss, dpscore, score, report, used, first_rtime, last_rtime, peaks of each ladder channel.
 
@@ -73,29 +106,11 @@ def scan_ladders(channels: DataFrame, params: RunParams = RunParams()) -> DataFr
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for assay, channel, data, sizes in zip(f["assay_id"], f["channel_id"], f["data"], f["sizes"]):
-                rows = peak_rows(channel, np.asarray(data, float), params.ladder_scan) if data is not None and len(data) else []
-                rows = [r for r in rows if r[9] == "peak-scanned"]
-                times, heights = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
-                fit = fit_ladder(list(sizes), times, heights, params.ladder)
-                size = {j: s for s, j in fit.pairs}
-                peaks = [
-                    {"rtime": int(times[j]), "height": float(heights[j]), "size": size.get(j, -1.0), "peak_type": "peak-ladder" if j in size else "peak-unassigned"}
-                    for j in range(len(rows))
-                ]
-                used = sorted(int(times[j]) for j in size)
-                out.append((assay, channel, fit.z or None, fit.rss, fit.dpscore, len(used), used[0] if used else None, used[-1] if used else None, fit.height, fit.report or None, peaks))
-            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in LADDER.split(", ")]).astype({"first_rtime": "Int32", "last_rtime": "Int32"})
+            out = [(assay, *ladder_row(channel, np.asarray([] if y is None else y, float), sizes, params)) for assay, channel, y, sizes in zip(f["assay_id"], f["channel_id"], f["data"], f["sizes"])]
+            yield pd.DataFrame(out, columns=["assay_id", *_names(LADDER)]).astype({"first_rtime": "Int32", "last_rtime": "Int32"})
 
     ladders = channels.filter("status = 'channel-ladder'")
-    found = ladders.select("assay_id", "channel_id", "data", "sizes").mapInPandas(scan, LADDER)
-    n = ladders.select("channel_id", F.size("sizes").alias("n_sizes"))
-    found = found.join(n, "channel_id")
-    failed = F.col("z").isNull()
-    report = F.when(failed, F.col("failure")).otherwise(F.concat_ws("|", ladder_reports(F.col("rss"), F.col("used"), F.col("n_sizes")), F.format_string("Height = %d", F.col("height").cast("int"))))
-    score = F.when(failed, 0.0).otherwise(ladder_score(F.col("rss"), F.col("used"), F.col("n_sizes")))
-    return found.select("assay_id", "channel_id", "z", "rss", "dpscore", score.alias("score"), report.alias("report"), "used", "n_sizes", "first_rtime", "last_rtime", "peaks")
+    return _scored(ladders.select("assay_id", "channel_id", "data", "sizes").mapInPandas(scan, f"assay_id bigint, {LADDER}"))
 
 
 def scan_channels(channels: DataFrame, ladders: DataFrame, params: RunParams = RunParams(), least: float = SCAN_SCORE) -> DataFrame:
@@ -105,7 +120,7 @@ def scan_channels(channels: DataFrame, ladders: DataFrame, params: RunParams = R
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = [r for k, y in zip(f["channel_id"], f["data"]) if y is not None and len(y) for r in peak_rows(k, np.asarray(y, float), params.scan)]
-            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in PEAK.split(", ")])
+            yield pd.DataFrame(rows, columns=_names(PEAK))
 
     wanted = channels.filter("status <> 'channel-ladder'").join(ladders.filter(F.col("score") >= least).select("assay_id"), "assay_id", "left_semi")
     found = wanted.select("channel_id", "data").mapInPandas(scan, PEAK)
@@ -113,6 +128,65 @@ def scan_channels(channels: DataFrame, ladders: DataFrame, params: RunParams = R
     return found.join(of, "channel_id").withColumn("peak_id", F.xxhash64("channel_id", "rtime"))
 
 
+def scan_assays(channels: DataFrame, params: RunParams = RunParams(), least: float = SCAN_SCORE) -> DataFrame:
+    """SCANNED: what `scan_ladders` and `scan_channels` find, and the levels that `check_peaks` asks for.
+
+    The channels of an assay meet in one task, so traces are read once and only what is found leaves it. Where channels
+    are placed by assay already (`repartition(n, "assay_id")`, such as of the rows or files that traces are made from)
+    no trace is shuffled or written.
+    """
+    ship(channels.sparkSession)
+    schema = to_arrow_schema(StructType.fromDDL(SCANNED))
+
+    def scan(table: pa.Table) -> pa.Table:
+        columns = table.select(["channel_id", "status", "marker", "sizes"]).to_pylist()
+        traces = table["data"].combine_chunks()
+        ladders: dict[int, tuple] = {}
+        peaks: list[tuple] = []
+        found: dict[int, list[tuple]] = {}
+        mine: dict[int, pa.Array] = {}
+
+        def numbers(i: int) -> np.ndarray:
+            return np.asarray(traces[i].values.to_numpy(zero_copy_only=False), float) if traces[i].is_valid else np.empty(0)
+
+        for i, c in enumerate(columns):
+            if c["status"] == "channel-ladder" and c["channel_id"] not in ladders:
+                ladders[c["channel_id"]] = ladder_row(c["channel_id"], numbers(i), c["sizes"], params)
+        at = _names(LADDER).index
+        if any(r[at("z")] is not None and fit_score(r[at("rss")], r[at("used")], r[at("n_sizes")]) >= least for r in ladders.values()):
+            for i, c in enumerate(columns):
+                k = c["channel_id"]
+                if c["status"] != "channel-ladder":
+                    if k not in found:
+                        y = numbers(i)
+                        found[k], mine[k] = (peak_rows(k, y, params.scan) if len(y) else []), traces[i].values
+                    peaks += [(*r, c["marker"]) for r in found[k]]
+        times = sorted({r[1] for rows in found.values() for r in rows})
+        signals = []
+        for k, rows in found.items():
+            if rows:
+                own = [t for t in times if t < len(mine[k])]
+                levels = mine[k].take(pa.array(own, pa.int64())).to_pylist()
+                signals.append((k, [(t, v) for t, v in zip(own, levels) if v is not None]))
+        named = [
+            [dict(zip(_names(LADDER), r)) for r in ladders.values()], [dict(zip([*_names(PEAK), "marker"], r)) for r in peaks],
+            [{"channel_id": k, "levels": levels} for k, levels in signals],
+        ]
+        return pa.Table.from_arrays([table["assay_id"][:1].cast(pa.int64()), *[pa.array([x], f.type) for x, f in zip(named, list(schema)[1:])]], schema=schema)
+
+    return channels.select("assay_id", "channel_id", "status", "marker", "sizes", "data").groupBy("assay_id").applyInArrow(scan, SCANNED)
+
+
+def scanned_ladders(scanned: DataFrame) -> DataFrame:
+    """The ladders of `scan_assays`, as `scan_ladders` gives them."""
+    return _scored(scanned.select("assay_id", F.inline("ladders")))
+
+
+def scanned_peaks(scanned: DataFrame) -> DataFrame:
+    """The peaks of `scan_assays`, as `scan_channels` gives them."""
+    return scanned.select("assay_id", F.inline("peaks")).select(*_names(PEAK), "assay_id", "marker", F.xxhash64("channel_id", "rtime").alias("peak_id"))
+
+
 def call_peaks(peaks: DataFrame, ladders: DataFrame, params: RunParams = RunParams(), least: float = CALL_SCORE) -> DataFrame:
     """Sizes, values and types of the peaks of assays whose ladder scores `least` at least; other peaks stay as they are.
 
@@ -128,7 +202,7 @@ def call_peaks(peaks: DataFrame, ladders: DataFrame, params: RunParams = RunPara
 
 
 def check_peaks(peaks: DataFrame, channels: DataFrame, ladders: DataFrame, params: RunParams = RunParams(), least: float = CHECK_SCORE) -> DataFrame:
-    """Stutter and overlap of called and binned peaks, of assays whose ladder scores `least` at least."""
+    """Stutter and overlap of called and binned peaks, of assays whose ladder scores `least` at least. channels: traces or signals."""
     sound = F.col("peak_type").isin("peak-called", "peak-bin")
     seen = peaks.filter(sound).join(ladders.filter(F.col("score") >= least).select("assay_id"), "assay_id", "left_semi")
     marked = stutter(seen, params.stutter).filter("peak_type = 'peak-stutter'").select("peak_id", F.lit("peak-stutter").alias("_new"))
@@ -151,16 +225,19 @@ def bin_peaks(peaks: DataFrame, markers: DataFrame, codes: list[str] | None = No
 
 def process(
     channels: DataFrame, assays: DataFrame, panels: DataFrame, ladders: DataFrame, markers: DataFrame, params: RunParams = RunParams(),
-    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+    keep: Callable[[DataFrame], DataFrame] = cut,
 ) -> dict[str, DataFrame]:
     """channels, ladders and peaks of a whole run: assigned, scanned, called, checked and binned.
 
-    All lazy, unless `keep` (such as `storage.cut`) writes what the scans find, which the later steps read several times.
+    `keep` writes what the scan finds and the called peaks, which the later steps read several times; traces are read
+    once and never written (see `scan_assays`).
     """
     assigned = assign_channels(channels, assays, panels, ladders)
-    fits = keep(scan_ladders(assigned, params))
-    peaks = call_peaks(keep(scan_channels(assigned, fits, params)), fits, params)
-    return {"channels": assigned, "ladders": fits, "peaks": bin_peaks(check_peaks(peaks, assigned, fits, params), markers)}
+    scanned = keep(scan_assays(assigned, params))
+    fits = scanned_ladders(scanned)
+    peaks = keep(call_peaks(scanned_peaks(scanned), fits, params))
+    signals = scanned.select("assay_id", F.inline("signals"))
+    return {"channels": assigned, "ladders": fits, "peaks": bin_peaks(check_peaks(peaks, signals, fits, params), markers)}
 
 
 def refit(ladder_peaks: DataFrame, ladders: DataFrame) -> DataFrame:

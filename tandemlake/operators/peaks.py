@@ -119,7 +119,8 @@ def overlaps(peaks: DataFrame, channels: DataFrame | None = None) -> DataFrame:
     """peak_id of peaks that overlap in time with a higher one of another channel of the assay.
 
     Peaks have brtime and ertime (end exclusive); all are judged by the types they had before. With channels (assay_id,
-    channel_id, data) one of the two peaks must also be lower than the other channel's signal at its time.
+    channel_id, data) one of the two peaks must also be lower than the other channel's signal at its time. Instead of data
+    channels may have levels, a map from the times of the peaks to the signal.
     """
     known = peaks.dropna(subset=[*TIMES, "channel_id", "height"])
     if channels is None:
@@ -127,14 +128,15 @@ def overlaps(peaks: DataFrame, channels: DataFrame | None = None) -> DataFrame:
     # Intervals of channels that have a signal meet the different intervals and times of the assay's peaks, not the peaks.
     rows = known.dropna(subset=["rtime"]).select("peak_id", "channel_id", "height", "rtime", *TIMES)
     places, mine = [*TIMES, "rtime"], [*TIMES, "channel_id"]
-    traces = channels.select("assay_id", "channel_id", "data")
+    at = F.try_element_at("levels", F.col("rtime").cast("int")) if "levels" in channels.columns else F.get("data", F.col("rtime").cast("int"))
+    traces = channels.select("assay_id", "channel_id", "levels" if "levels" in channels.columns else "data")
     shown = known.join(traces.select("assay_id", "channel_id"), ["assay_id", "channel_id"], "left_semi").groupBy(*mine).agg(F.max("height").alias("height"))
     asked = rows.select(*places).distinct()
     near = lambda of, at: [*[F.col(f"{at}_{c}").alias(c) for c in places], *[F.col(f"{of}_{c}").alias(c) for c in ("channel_id", "height")], F.col(f"{of}_brtime").alias("own_b"), F.col(f"{of}_ertime").alias("own_e")]
     near = _meetings(shown, asked).select(*near("x", "y")).unionByName(_meetings(asked, shown, above=True).select(*near("y", "x")))
     near = near.filter("own_b < ertime AND brtime < own_e").withColumn("own", F.struct(F.col("own_b").alias("brtime"), F.col("own_e").alias("ertime")))
     met = near.groupBy(*places, "channel_id").agg(F.max("height").alias("height"), F.collect_list("own").alias("own"))
-    met = met.join(traces, ["assay_id", "channel_id"]).withColumn("level", F.get("data", F.col("rtime").cast("int"))).drop("data").filter("level IS NOT NULL")
+    met = met.join(traces, ["assay_id", "channel_id"]).withColumn("level", at).drop("data", "levels").filter("level IS NOT NULL")
     # Lower than the signal of a channel whose own peak there is higher.
     under = two_highest(met.select(*places, "channel_id", F.least("height", "level").alias("height")), places)
     first = higher_than(rows, under, places).select("peak_id")

@@ -334,10 +334,11 @@ def run_traces(s: SparkSession, d: str) -> tuple[DataFrame, ...]:
     bells = lambda peaks: F.array(*[F.struct(p.alias("p"), h.alias("h")) for p, h in peaks])
     kinds = [("LIZ", 0, ladder), ("6-FAM", 1, one), ("VIC", 2, two)]
     channels = F.array(*[F.struct(F.lit(dye).alias("dye"), (F.col("assay_id") * 3 + i).alias("channel_id"), bells(peaks).alias("bells")) for dye, i, peaks in kinds])
-    # A supplier is a short row of much work: left to their sizes, all would be one task.
+    # A supplier is a short row of much work: left to their sizes, all would be one task. Suppliers are dealt out, not their
+    # traces, which are made where they are read.
     n = vectors.count()
     tasks = max(1, min(n, max(4 * s.sparkContext.defaultParallelism, n // 100)))
-    rows = cut(vectors.repartition(tasks, "assay_id").select("assay_id", F.inline(channels)).select("assay_id", "dye", "channel_id", trace(F.col("bells")).alias("data")))  # made once, read by every step
+    rows = vectors.repartition(tasks, "assay_id").select("assay_id", F.inline(channels)).select("assay_id", "dye", "channel_id", trace(F.col("bells")).alias("data"))
     assays = vectors.select("assay_id", F.lit("P").alias("panel"), F.when(F.col("assay_id") % 7 == 3, F.array(F.lit("m2"))).alias("exclude"))
     panels = s.range(1).select(F.inline(F.array(*[F.struct(F.lit("P").alias("panel"), F.lit("LIZ500").alias("ladder"), F.lit(m).alias("marker"), F.lit(c).alias("dye")) for m, c in (("M1", "6-FAM"), ("M2", "VIC"))])))
     bins = F.transform(F.sequence(F.lit(200), F.lit(320), F.lit(3)), lambda b: F.struct(b.cast("double").alias("pos"), b.alias("tag")))
@@ -349,5 +350,5 @@ def run_traces(s: SparkSession, d: str) -> tuple[DataFrame, ...]:
 def assay_run(s, d):
     """All assays from traces to bins: peak, channel, type, size, value and bin of each peak."""
     channels, assays, panels, markers = run_traces(s, d)
-    out = asy.process(channels, assays, panels, asy.ladder_table(s), markers, keep=cut)
+    out = asy.process(channels, assays, panels, asy.ladder_table(s), markers)
     return rounded(out["peaks"].select("assay_id", "channel_id", "marker", "rtime", "size", "value", "peak_type"), 3)

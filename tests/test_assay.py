@@ -266,3 +266,68 @@ def test_ladders_are_aligned_together():
         z, rss = ld.cubic(y, t)
         want = np.polyfit(t, y, min(3, k - 1))
         assert z[4 - len(want) :].tolist() == want.tolist() and rss == ((np.polyval(z, t) - y) ** 2).sum()
+
+
+def test_a_run_writes_no_traces(spark):
+    """Neither shuffles nor checkpoints hold traces: a run writes little beside their size."""
+    from pathlib import Path
+
+    from tandemlake.plans.assays import assay_run
+    from tandemlake.storage import cut
+
+    cut(spark.range(1))  # sets the checkpoint folder
+    context = spark.sparkContext._jsc.sc()
+    folder = Path(context.getCheckpointDir().get().removeprefix("file:"))
+
+    def written():
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}, sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+
+    (stages, files), traces = written(), 10 * 3 * 4_800 * 8
+    assert assay_run(spark, "/root/testdata/sf0.001").count() > 0
+    after, more = written()
+    assert sum(n for k, n in after.items() if k not in stages) + more - files < traces / 4
+
+
+def test_one_reading_finds_what_the_steps_find(spark, run):
+    """The channels of an assay scanned together give the ladders, peaks and overlaps of the steps one by one."""
+    channels = run["channels"]
+    scanned = asy.scan_assays(channels.repartition(3)).cache()
+    ladders, peaks = asy.scanned_ladders(scanned), asy.scanned_peaks(scanned)
+    text = lambda df: sorted(str(r) for r in df.collect())
+    fits = asy.scan_ladders(channels).cache()
+    steps = asy.scan_channels(channels, fits).cache()
+    assert text(ladders) == text(fits) and text(peaks) == text(steps) and peaks.columns == steps.columns
+    signals = scanned.select("assay_id", F.inline("signals"))
+    assert text(pk.overlaps(peaks, signals)) == text(pk.overlaps(steps, channels)) != []
+
+
+def test_scores_of_one_fit(spark):
+    rows = [(r, u, n) for r in (-1.0, 0.0, 0.1, 50.0, 51.0, 255.0, 256.0, 1024.0, 2000.0, float("nan")) for u, n in ((36, 36), (35, 36), (30, 36), (0, 36), (37, 36))]
+    got = spark.createDataFrame(rows, "rss double, used int, n int").select("*", asy.ladder_score(F.col("rss"), F.col("used"), F.col("n")).alias("score")).collect()
+    assert [r["score"] for r in got] == [ld.fit_score(r["rss"], r["used"], r["n"]) for r in got]
+
+
+def test_odd_traces_are_scanned_together(spark):
+    """Missing, empty and gappy traces, channels of an unknown assay, a dye with two markers."""
+    low = trace([(100, 500), (240.0, 300.0)], seed=3)
+    low[place(240.2) - 2 : place(240.2) + 3] = [None] * 5
+    ladder = trace([(s, 600.0) for s in LIZ], seed=1)
+    rows = [
+        (1, 10, "channel-ladder", "undefined", LIZ, ladder), (1, 11, "channel-clean", "M1", None, None), (1, 12, "channel-clean", "M2", None, []),
+        (1, 13, "channel-clean", "M3", None, trace([(240.2, 900.0)], seed=4)), (1, 13, "channel-clean", "M4", None, trace([(240.2, 900.0)], seed=4)), (1, 14, "channel-clean", "M5", None, trace([(200, 800.0)], n=2_100, seed=4)),
+        (1, 15, "channel-clean", "M6", None, low),
+        (2, 20, "channel-ladder", "undefined", LIZ, None), (2, 21, "channel-clean", "M1", None, low), (None, 30, "channel-unassigned", "undefined", None, low),
+    ]
+    channels = spark.createDataFrame(rows, "assay_id bigint, channel_id bigint, status string, marker string, sizes array<double>, data array<double>")
+    scanned = asy.scan_assays(channels).cache()
+    fits = {r["channel_id"]: r for r in asy.scanned_ladders(scanned).collect()}
+    assert set(fits) == {10, 20} and fits[10]["score"] > 0.9 and fits[20]["z"] is None and fits[20]["score"] == 0
+    peaks = asy.scanned_peaks(scanned).collect()
+    assert {(r["channel_id"], r["marker"]) for r in peaks} == {(13, "M3"), (13, "M4"), (14, "M5"), (15, "M6")}
+    assert len({(r["peak_id"], r["marker"]) for r in peaks}) == len(peaks)
+    levels = {r["channel_id"]: r["levels"] for r in scanned.select(F.inline("signals")).collect()}
+    times = {r["rtime"] for r in peaks}
+    assert set(levels) == {13, 14, 15} and set(levels[13]) == times and set(levels[14]) == {t for t in times if t < 2_100} != times
+    assert all(levels[13][t] == rows[3][5][t] for t in times)
+    assert levels[15] == {t: low[t] for t in times if low[t] is not None} and len(levels[15]) < len(times)
