@@ -15,7 +15,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -137,10 +137,12 @@ def scan_assays(channels: DataFrame, params: RunParams = RunParams(), least: flo
     """
     ship(channels.sparkSession)
     schema = to_arrow_schema(StructType.fromDDL(SCANNED))
+    at = _names(LADDER).index
 
-    def scan(table: pa.Table) -> pa.Table:
-        columns = table.select(["channel_id", "status", "marker", "sizes"]).to_pylist()
-        traces = table["data"].combine_chunks()
+    def one(rows: pa.Table) -> tuple:
+        """The row of an assay."""
+        columns = rows.select(["channel_id", "status", "marker", "sizes"]).to_pylist()
+        traces = rows["data"].combine_chunks()
         ladders: dict[int, tuple] = {}
         peaks: list[tuple] = []
         found: dict[int, list[tuple]] = {}
@@ -152,7 +154,6 @@ def scan_assays(channels: DataFrame, params: RunParams = RunParams(), least: flo
         for i, c in enumerate(columns):
             if c["status"] == "channel-ladder" and c["channel_id"] not in ladders:
                 ladders[c["channel_id"]] = ladder_row(c["channel_id"], numbers(i), c["sizes"], params)
-        at = _names(LADDER).index
         if any(r[at("z")] is not None and fit_score(r[at("rss")], r[at("used")], r[at("n_sizes")]) >= least for r in ladders.values()):
             for i, c in enumerate(columns):
                 k = c["channel_id"]
@@ -161,20 +162,32 @@ def scan_assays(channels: DataFrame, params: RunParams = RunParams(), least: flo
                         y = numbers(i)
                         found[k], mine[k] = (peak_rows(k, y, params.scan) if len(y) else []), traces[i].values
                     peaks += [(*r, c["marker"]) for r in found[k]]
-        times = sorted({r[1] for rows in found.values() for r in rows})
+        times = sorted({r[1] for got in found.values() for r in got})
         signals = []
-        for k, rows in found.items():
-            if rows:
+        for k, got in found.items():
+            if got:
                 own = [t for t in times if t < len(mine[k])]
                 levels = mine[k].take(pa.array(own, pa.int64())).to_pylist()
-                signals.append((k, [(t, v) for t, v in zip(own, levels) if v is not None]))
-        named = [
-            [dict(zip(_names(LADDER), r)) for r in ladders.values()], [dict(zip([*_names(PEAK), "marker"], r)) for r in peaks],
-            [{"channel_id": k, "levels": levels} for k, levels in signals],
-        ]
-        return pa.Table.from_arrays([table["assay_id"][:1].cast(pa.int64()), *[pa.array([x], f.type) for x, f in zip(named, list(schema)[1:])]], schema=schema)
-
-    return channels.select("assay_id", "channel_id", "status", "marker", "sizes", "data").groupBy("assay_id").applyInArrow(scan, SCANNED)
+                signals.append({"channel_id": k, "levels": [(t, v) for t, v in zip(own, levels) if v is not None]})
+        return [dict(zip(_names(LADDER), r)) for r in ladders.values()], [dict(zip([*_names(PEAK), "marker"], r)) for r in peaks], signals
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.Table] = []  # of an assay that goes on in the next batch
+        for batch in batches:
+            table = pa.concat_tables([*rest, pa.Table.from_batches([batch])])
+            begin, ids, out = 0, table["assay_id"].to_pylist(), []
+            while begin < len(ids) and (end := begin + table["channels"][begin].as_py()) <= len(ids):
+                if ids[begin:end] != ids[begin : begin + 1] * (end - begin):
+                    raise ValueError(f"the channels of assay {ids[begin]} are not together")
+                out.append((ids[begin], *one(table.slice(begin, end - begin))))
+                begin = end
+            rest = [table.slice(begin)] if begin < len(ids) else []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+
+    # A window needs the rows of an assay in one task and side by side, and shuffles only those that aren't.
+    known = channels.filter("assay_id IS NOT NULL").withColumn("channels", F.count("*").over(Window.partitionBy("assay_id")))
+    return known.select("assay_id", "channels", "channel_id", "status", "marker", "sizes", "data").mapInArrow(scan, SCANNED)
 
 
 def scanned_ladders(scanned: DataFrame) -> DataFrame:

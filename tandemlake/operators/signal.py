@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -133,11 +134,48 @@ def local_maxima(traces: DataFrame, min_height: float) -> DataFrame:
 # Helpers for one trace.
 
 
+@cache
 def ricker(width: int, points: int) -> np.ndarray:
     t = np.arange(points) - (points - 1) / 2
     return 2 / (np.sqrt(3 * width) * np.pi**0.25) * (1 - (t / width) ** 2) * np.exp(-(t**2) / (2 * width**2))
 
 
+def tenths(y: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """`np.percentile(y[begin:end], 10)` of each window, none of them empty.
+
+    Windows are searched as ranks of the whole trace's points: whole numbers, of which those of one length are searched
+    side by side.
+    """
+    if np.isnan(y).any():
+        return np.array([np.percentile(y[b:e], 10) for b, e in zip(begins, ends)])
+    order = np.argsort(y)
+    values, ranks = y[order], np.empty(len(y), np.int32)
+    ranks[order] = np.arange(len(y), dtype=np.int32)
+    out, lengths = np.empty(len(begins)), ends - begins
+
+    def tenth(windows: np.ndarray) -> np.ndarray:
+        """Between the two points around a tenth of the way, by the steps of `np.percentile`."""
+        n = windows.shape[-1]
+        at = (n - 1) * 0.1
+        k = int(at)
+        if n == 1:
+            return values[windows[..., 0]]
+        share, parts = at - k, np.partition(windows, k + 1, axis=-1)
+        low, high = values[parts[..., : k + 1].max(axis=-1)], values[parts[..., k + 1]]
+        step = high - low
+        return high - step * (1 - share) if share >= 0.5 else low + step * share
+
+    for n in set(lengths.tolist()):
+        which = np.flatnonzero(lengths == n)
+        if len(which) == 1:
+            out[which] = tenth(ranks[begins[which[0]] : ends[which[0]]])
+            continue
+        windows = np.lib.stride_tricks.sliding_window_view(ranks, n)
+        for part in np.array_split(which, -(-len(which) // 1_000)):
+            out[part] = tenth(windows[begins[part]])
+    return out
+
+
 def wavelet_peaks(y: np.ndarray, widths, min_snr: float) -> list[int]:
     """Places of ridges of wavelet maxima that run through the widths and stand out of the noise (Du et al. 2006).
 
@@ -158,30 +196,26 @@ def wavelet_peaks(y: np.ndarray, widths, min_snr: float) -> list[int]:
         live = np.flatnonzero(level - k <= patience + 1)
         if len(live) and len(tops):
             # The nearest ridge ends at the place before or behind; of equally near ones the first ridge.
-            ends, first = np.unique(last[live], return_index=True)
+            ends = last[live]
+            order = np.argsort(ends, kind="stable")
+            ends = ends[order]
+            one = np.concatenate(([True], ends[1:] != ends[:-1]))
+            ends, first = ends[one], order[one]
             behind = np.minimum(np.searchsorted(ends, tops), len(ends) - 1)
             before = np.maximum(behind - 1, 0)
             a, b = np.abs(tops - ends[before]), np.abs(tops - ends[behind])
             best = np.where(a < b, first[before], np.where(b < a, first[behind], np.minimum(first[before], first[behind])))
             near = np.where(np.minimum(a, b) <= widths[k] / 4, live[best], -1)
-        on, first, count = np.unique(near[near >= 0], return_index=True, return_counts=True)
-        last, level, end, size = last.copy(), level.copy(), end.copy(), size.copy()
-        went = tops[near >= 0]
-        last[near[near >= 0]], level[on], end[on], size[on] = went, k, went[first], size[on] + count
-        new = tops[near < 0]
-        last, level, end, size = (np.append(a, b) for a, b in ((last, new), (level, np.full(len(new), k)), (end, new), (size, np.ones(len(new), int))))
+        went = near >= 0
+        on, places, new = near[went], tops[went], tops[~went]
+        # Of several maxima on one ridge the last goes on with it, its least width begins at the first.
+        last[on], level[on], end[on[::-1]] = places, k, places[::-1]
+        size += np.bincount(on, minlength=len(size))
+        last, level, end, size = (np.concatenate(x) for x in ((last, new), (level, np.full(len(new), k)), (end, new), (size, np.ones(len(new), int))))
     half, odd = divmod(-(-n // 20), 2)
     kept = np.flatnonzero(size >= -(-len(rows) // 4))
     places = end[kept]
-    # Windows of one length are read side by side; those that the trace's ends cut off, one by one.
-    noise, length = np.empty(len(kept)), 2 * half + odd
-    whole = (places >= half) & (places + half + odd <= n)
-    if whole.any():
-        windows = np.lib.stride_tricks.sliding_window_view(rows[0], length)
-        for part in np.array_split(np.flatnonzero(whole), -(-int(whole.sum()) // 1_000)):
-            noise[part] = np.percentile(windows[places[part] - half], 10, axis=1)
-    for i in np.flatnonzero(~whole):
-        noise[i] = np.percentile(rows[0][max(0, places[i] - half) : places[i] + half + odd], 10)
+    noise = tenths(rows[0], np.maximum(places - half, 0), np.minimum(places + half + odd, n))
     loud = np.abs(rows[level[kept], places]) >= min_snr * np.abs(noise)
     return np.unique(places[loud]).tolist()
 
@@ -209,12 +243,18 @@ def flank(y: np.ndarray, share: float) -> tuple[float, int]:
 
 def find_peaks(y: np.ndarray, p: ScanParams) -> list[tuple[int, float, float, int, int]]:
     """(place, height, area, begin, end) of the peaks that pass the height filters."""
-    found: dict[int, float] = {}
-    for i in wavelet_peaks(y, p.widths, p.min_snr):
-        stop = min(len(y), i + 3)  # of equal heights the last
-        top = stop - 1 - int(np.argmax(y[max(0, i - 3) : stop][::-1]))
-        if y[top] >= p.min_height:
-            found[top] = float(y[top])
+    places = np.array(wavelet_peaks(y, p.widths, p.min_snr), int)
+    # The highest point near a place, of equal ones the last.
+    inside = (places >= 3) & (places <= len(y) - 3)
+    tops = np.empty(len(places), int)
+    if inside.any():
+        near = np.lib.stride_tricks.sliding_window_view(y, 6)[places[inside] - 3]
+        tops[inside] = places[inside] + 2 - np.argmax(near[:, ::-1], axis=1)
+    for k in np.flatnonzero(~inside):
+        stop = min(len(y), places[k] + 3)
+        tops[k] = stop - 1 - np.argmax(y[max(0, places[k] - 3) : stop][::-1])
+    tops = tops[y[tops] >= p.min_height]
+    found = dict(zip(tops.tolist(), y[tops].tolist()))
     middle = float(np.median(list(found.values()))) if found else 0.0
     highest = max(found.values(), default=0.0)
     kept = [

@@ -300,6 +300,15 @@ def test_one_reading_finds_what_the_steps_find(spark, run):
     assert text(ladders) == text(fits) and text(peaks) == text(steps) and peaks.columns == steps.columns
     signals = scanned.select("assay_id", F.inline("signals"))
     assert text(pk.overlaps(peaks, signals)) == text(pk.overlaps(steps, channels)) != []
+    # An assay that goes on in the next batch, and more channels than a batch holds.
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for n in ("1", "2", "4"):
+        spark.conf.set(name, n)
+        try:
+            parts = asy.scan_assays(channels.coalesce(1)).cache()
+            assert [text(parts.select("assay_id", F.inline(c))) for c in parts.columns[1:]] == [text(scanned.select("assay_id", F.inline(c))) for c in parts.columns[1:]]
+        finally:
+            spark.conf.unset(name)
 
 
 def test_scores_of_one_fit(spark):

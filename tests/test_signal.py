@@ -54,3 +54,19 @@ def test_statistics_of_edge_traces(spark):
     got = {r["channel_id"]: r for r in sg.channel_stats(df).collect()}
     assert set(got) == {1, 2} and tuple(got[1])[1:] == pytest.approx((2.5, 2.5, 1.0, 4.0, np.std([1, 2, 3, 4]))) and got[2]["median"] == 5.0
     assert [tuple(r) for r in sg.local_maxima(df, 0.0).collect()] == [(1, 2, 3.0)]
+
+
+def test_tenths_are_percentiles(monkeypatch):
+    rng = np.random.default_rng(4)
+    gaps = rng.normal(size=400)
+    gaps[200] = np.nan
+    for y in (rng.normal(size=400), rng.integers(0, 4, 400).astype(float), gaps):
+        for n in (1, 2, 3, 5, 10, 11, 15, 16, 120, 399, 400):
+            begins = rng.integers(0, 400 - n + 1, 5)
+            ends = np.minimum(begins + n + np.arange(5) % 2, 400)  # of two lengths
+            want = [np.percentile(y[b:e], 10) for b, e in zip(begins, ends)]
+            assert np.array_equal(sg.tenths(y, begins, ends), want, equal_nan=True)
+    # The noise of a trace's many ridges takes no call for each window.
+    wave = 0.3 * np.sin(np.arange(4_800) * 0.9)
+    monkeypatch.setattr(np, "percentile", None)
+    assert sg.wavelet_peaks(wave + 50 * np.exp(-(((np.arange(4_800) - 2_000) / 4) ** 2) / 2), range(5, 15), 2.5)
